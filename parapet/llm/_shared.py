@@ -107,8 +107,9 @@ class WordCodes:
             pass
         if len(known) > self.most:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = self.hash(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = self.hash(w)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 

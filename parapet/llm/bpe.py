@@ -115,7 +115,7 @@ class MergeReplay:
         new: set[str] = set()
         for pieces in cut:
             new.update(pieces)
-        new -= self.known.keys()
+        new = {p for p in new if p not in self.known}
         split = {p: self.words(p) for p in new}
         words = list({w for ws in split.values() for w in ws})
         ids, raw = {}, {}

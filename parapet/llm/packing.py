@@ -2,8 +2,8 @@
 
 1. Texts are tokenised once; the table keeps lengths and checksums, and ids only for texts longer than a sequence.
 2. The driver sees the histogram of lengths, which has at most `length` bars whatever the corpus. Lengths are grouped into classes
-   about 1/64 wide, and a linear program over patterns (how many texts of each class share a sequence) is solved by column
-   generation: a knapsack dynamic program prices new patterns until none improves the bound by more than a thousandth.
+   at most 1/32 wide, and a linear program over patterns (how many texts of each class share a sequence) is solved by column
+   generation: a knapsack dynamic program prices new patterns until none can improve the bound by more than 1/200.
 3. Patterns are rounded down; what is left of the histogram is filled largest first. Documents are ranked by (class, row) over the
    whole cluster, and a rank names its pattern, its copy of the pattern and so its sequence.
 4. Texts longer than a sequence form one tape in row order. The tape fills what the patterns leave free, from `least` tokens on,
@@ -32,8 +32,8 @@ CELL = 1 << 17  # tape tokens in a cell of the overlap join
 
 
 def class_sizes(length: int) -> np.ndarray:
-    """The largest length of each class: every length up to 64, then steps of 1/64 of the power of two below."""
-    sizes, step, top = [], 1, 64
+    """The largest length of each class: every length up to 64, then steps of 1/32 of the power of two below."""
+    sizes, step, top = [], 1, 32
     at = 1
     while at <= length:
         sizes.append(at)
@@ -67,7 +67,7 @@ def best_pattern(sizes: np.ndarray, prices: np.ndarray, length: int) -> tuple[fl
     return value, counts
 
 
-def patterns_of(sizes: np.ndarray, demand: np.ndarray, length: int, gap: float = 1e-3, most_rounds: int = 3000) -> list[tuple[int, np.ndarray]]:
+def patterns_of(sizes: np.ndarray, demand: np.ndarray, length: int, gap: float = 5e-3, most_rounds: int = 1000) -> list[tuple[int, np.ndarray]]:
     """(copies, counts by class) that hold exactly the demand. The linear program only has a row for each class in use."""
     use = np.flatnonzero(demand)
     if not len(use):

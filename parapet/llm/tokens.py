@@ -52,7 +52,7 @@ class PieceIds:
         except KeyError:
             if len(known) > MOST_PIECES:
                 known.clear()
-            new = set(pieces[1:]) - known.keys()
+            new = [p for p in set(pieces[1:]) if p not in known]
             if any(not p or p[0].isspace() or p[-1].isspace() for p in new):
                 return self._whole(text)
             for p in new:
