@@ -28,7 +28,7 @@ from parapet.llm.tokens import byte_vocabulary
 
 #: The characters with Unicode's White_Space property, as a regular expression class.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-MOST_PIECES = 300_000
+MOST_PIECES = 700_000
 
 
 class MergeReplay:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parapet.llm import bpe, exact, packing
+from parapet.llm import bpe, exact, packing, quality, secrets
 from parapet.llm._shared import read_table
 
 
@@ -16,11 +16,19 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.production(read_table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op7_exact_dedup)}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_secret_scan, op7_exact_dedup, op8_quality_rules)}
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -29,4 +37,23 @@ ORACLE_SQL = {
 with t as (select doc_id, sha256({LOWER.format("coalesce(text, '')")}) as text_sha256 from documents),
 g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from t group by text_sha256)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from t join g using (text_sha256)""",
+    "op8_quality_rules": r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+w as (select r, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) as i from d),
+g as (select r, i, word || ' ' || lead(word, 1) over s || ' ' || lead(word, 2) over s || ' ' || lead(word, 3) over s || ' ' || lead(word, 4) over s as gram from w window s as (partition by r order by i)),
+t as (select r, i from (select r, i, count(*) over (partition by r, gram) as n from g where gram is not null) where n > 1),
+rep as (select r, count(distinct i + k) as n_repeat_words from t, (select unnest([0, 1, 2, 3, 4]) as k) group by r),
+l as (select r, unnest(string_split(text, chr(10))) as line from d),
+f as (select r, line, regexp_matches(line, '[^\x20\x09-\x0D]') as has_word, length(line) as chars,
+    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words,
+    len(regexp_extract_all(line, '[#*$%&|<>{}\[\]~^=_\\]|!!|\?\?')) as marks,
+    len(regexp_extract_all(line, '[|\x{bb}\x{203a}\x{2022}\x{b7}]')) as bars,
+    regexp_matches(line, '\p{L}') as letter,
+    regexp_matches(line, '(?i)(cookie policy|privacy policy|terms of (use|service)|all rights reserved|enable javascript|lorem ipsum|click here|subscribe to our|sign up for|share this|licensed under)') as stock from l),
+v as (select r, sum(chars) as chars, count(*) filter (where has_word) - count(distinct line) filter (where has_word) as n_dup_lines,
+    sum(case when (has_word and not letter) or (marks >= 3 and 10 * marks > 3 * words) or (bars >= 3 and 10 * bars > 2 * words) or stock then chars else 0 end) as lost from f group by r),
+q as (select d.doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, v.n_dup_lines, coalesce(rep.n_repeat_words, 0) as n_repeat_words, v.lost, v.chars from d join v using (r) left join rep using (r)),
+z as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from q)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and 100 * lost <= 20 * chars as kept from z""",
 }

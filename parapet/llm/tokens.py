@@ -8,12 +8,13 @@ distinct piece is encoded once; a text whose white space is not of that plain ki
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 
-MOST_PIECES = 300_000
+MOST_PIECES = 700_000
 
 
 @lru_cache(maxsize=4)
@@ -22,6 +23,14 @@ def byte_vocabulary(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class PieceIds:
     """Encoder of texts to the little-endian unsigned 32-bit ids that `tokenizers` gives for a vocabulary file."""
 
@@ -36,7 +45,7 @@ class PieceIds:
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return packed(self.whole.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
         if not text or any(s in text for s in self.special):
@@ -56,9 +65,9 @@ class PieceIds:
             if any(not p or p[0].isspace() or p[-1].isspace() for p in new):
                 return self._whole(text)
             for p in new:
-                known[p] = np.array(self.piece(" " + p), "<u4").tobytes()
+                known[p] = packed(self.piece(" " + p))
             rest = b"".join(map(known.__getitem__, pieces[1:]))
-        return np.array(self.piece(first), "<u4").tobytes() + rest
+        return packed(self.piece(first)) + rest
 
 
 @lru_cache(maxsize=2)
