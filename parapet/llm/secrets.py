@@ -156,7 +156,11 @@ def scan(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined)."""
     found = with_spans(docs.select("doc_id", "text"))
     base = F.filter("spans", lambda x: x["number"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda x, i=i: x["number"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
+
+    def count(number: int) -> Column:
+        return F.size(F.filter("spans", lambda x: x["number"] == number)).cast("long")
+
+    counts = [count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
