@@ -1,0 +1,24 @@
+"""Connected components by smallest labels with pointer jumping; every round is a stored table, nothing is collected."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from parapet.llm._shared import stored
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links(a, b) -> (node, label): the smallest node reachable, for every node with a link. Self links are allowed."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = stored(both, "edges")
+    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
+    while True:
+        near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        lower = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        lower = stored(lower, "lower")
+        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        moved = stored(lower.join(jump, "label", "left").select("node", "old", F.coalesce("further", "label").alias("label")), "labels")
+        labels = moved.select("node", "label")
+        if moved.where("label != old").isEmpty():
+            return labels

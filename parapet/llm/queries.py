@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parapet.llm import bpe, exact, packing, quality, secrets
+from parapet.llm import bpe, exact, jaccard, packing, quality, secrets
 from parapet.llm._shared import read_table
 
 
@@ -20,6 +20,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(read_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -28,7 +32,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_secret_scan, op7_exact_dedup, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_secret_scan, op5_ngram_jaccard, op7_exact_dedup, op8_quality_rules)}
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -56,4 +60,15 @@ q as (select d.doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as n_w
     len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, v.n_dup_lines, coalesce(rep.n_repeat_words, 0) as n_repeat_words, v.lost, v.chars from d join v using (r) left join rep using (r)),
 z as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from q)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and 100 * lost <= 20 * chars as kept from z""",
+    "op5_ngram_jaccard": r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i + 4], ' ') end as g
+    from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as x from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select p.a, p.b from p join n x on p.a = x.doc_id join n y on p.b = y.doc_id where 100 * p.x >= 80 * (x.n + y.n - p.x)),
+e as (select a, b from l union select b, a from l),
+r as (select a as node, a as root from e union select e.b, r.root from r join e on r.node = e.a where r.root < e.b),
+c as (select node, min(root) as root from r group by node)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.root, d.doc_id) as component_id from d left join n using (doc_id) left join c on c.node = d.doc_id""",
 }
