@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parapet.llm import bpe, exact, jaccard, packing, quality, secrets
+from parapet.llm import bpe, exact, jaccard, packing, quality, secrets, substring
 from parapet.llm._shared import read_table
 
 
@@ -24,6 +24,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(read_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(read_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_secret_scan, op5_ngram_jaccard, op7_exact_dedup, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_secret_scan, op5_ngram_jaccard, op6_substring_dedup, op7_exact_dedup, op8_quality_rules)}
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -71,4 +75,12 @@ e as (select a, b from l union select b, a from l),
 r as (select a as node, a as root from e union select e.b, r.root from r join e on r.node = e.a where r.root < e.b),
 c as (select node, min(root) as root from r group by node)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.root, d.doc_id) as component_id from d left join n using (doc_id) left join c on c.node = d.doc_id""",
+    "op6_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as gram from (select doc_id, w, unnest(generate_series(1, len(w) - 12)) as i from d where len(w) >= 13)),
+m as (select gram, min(doc_id) as first from g group by gram),
+x as (select distinct doc_id, i + k as i from g join m using (gram), (select unnest(generate_series(0, 12)) as k) where first < doc_id),
+u as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from d),
+k as (select u.doc_id, count(*) filter (where x.i is not null) as n_removed, string_agg(u.word, ' ' order by u.i) filter (where x.i is null) as kept from u left join x on x.doc_id = u.doc_id and x.i = u.i group by u.doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)""",
 }
