@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parapet.llm import bpe, exact, jaccard, packing, quality, secrets, substring
+from parapet.llm import bpe, chat, exact, jaccard, lines, packing, quality, secrets, substring
 from parapet.llm._shared import read_table
 
 
@@ -20,6 +20,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(read_table(spark, sf_dir, "conversations"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(read_table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_secret_scan, op5_ngram_jaccard, op6_substring_dedup, op7_exact_dedup, op8_quality_rules)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_secret_scan, op4_chat_format, op5_ngram_jaccard, op6_substring_dedup, op7_exact_dedup, op8_quality_rules, op10_line_dedup)}
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -83,4 +91,22 @@ x as (select distinct doc_id, i + k as i from g join m using (gram), (select unn
 u as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from d),
 k as (select u.doc_id, count(*) filter (where x.i is not null) as n_removed, string_agg(u.word, ' ' order by u.i) filter (where x.i is null) as kept from u left join x on x.doc_id = u.doc_id and x.i = u.i group by u.doc_id)
 select d.doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)""",
+    "op4_chat_format": r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok')
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+    sum(length(regexp_replace(role, '\\|###|</turn>|:', '!\0', 'g')) + length(regexp_replace(text, '\\|###|</turn>', '!\0', 'g')) + 15)::bigint as formatted_chars
+from c group by conv_id""",
+    "op10_line_dedup": r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+u as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as i from d),
+w as (select *, row_number() over (partition by doc_id order by i) as k from u where regexp_matches(line, '[^\x20\x09-\x0D]')),
+g as (select doc_id, k, line, lead(line) over (partition by doc_id order by k) as line2 from w),
+o as (select doc_id, k, row_number() over (partition by line, line2 order by doc_id, k) as nth from g where line2 is not null),
+x as (select distinct doc_id, k + s as k from o, (select unnest([0, 1]) as s) where nth > 1),
+z as (select u.doc_id, u.i, u.line, w.k is not null as worded, x.k is not null as gone from u left join w using (doc_id, i) left join x on x.doc_id = u.doc_id and x.k = w.k)
+select doc_id, count(*) filter (where worded) as n_lines, count(*) filter (where gone) as n_removed,
+    sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256 from z group by doc_id""",
 }
