@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parapet.llm import bpe, chat, exact, jaccard, lines, packing, quality, secrets, substring
+from parapet.llm import bpe, chat, exact, html, jaccard, lines, packing, quality, secrets, substring
 from parapet.llm._shared import read_table
 
 
@@ -40,11 +40,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read_table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_secret_scan, op4_chat_format, op5_ngram_jaccard, op6_substring_dedup, op7_exact_dedup, op8_quality_rules, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_secret_scan, op4_chat_format, op5_ngram_jaccard, op6_substring_dedup, op7_exact_dedup, op8_quality_rules, op9_html_extraction, op10_line_dedup)}
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
