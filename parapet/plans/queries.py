@@ -1,6 +1,479 @@
-"""Named queries over the star-schema and message tables, and the SQL that checks them."""
+"""Named queries over the star-schema and message tables, and the SQL that checks them.
+
+Each query runs over its whole tables. `query` registers a function with its SQL; where SQL can't express it, the SQL is left out and
+a test holds it against brute force.
+"""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parapet.functions import arrays as A
+from parapet.functions import logic as L
+from parapet.functions import network as N
+from parapet.functions import regex as R
+from parapet.functions import strings as S
+from parapet.operators import campaign, corpus, lists, profile, rules, scoring, sensitive
+from parapet.sources import messages as M
+from parapet.sources.shared import read_table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(name: str):
+    return lambda spark, sf: read_table(spark, sf, name)
+
+
+lineitem, orders, part, events, documents, pages, labels, conversations, customer, nation = map(table, "lineitem orders part events documents pages labels conversations customer nation".split())
+
+V_MESSAGES = """v as (select d.doc_id as message_id, make_timestamp((1704067200 + (d.doc_id % 30) * 86400 + d.doc_id % 86400) * 1000000) as received_at,
+ cast(make_timestamp((1704067200 + (d.doc_id % 30) * 86400 + d.doc_id % 86400) * 1000000) as date) as day,
+ 'user' || (d.doc_id % 97) || '@' || d.source || '.example.com' as sender_email, d.source || '.example.com' as sender_domain,
+ array_to_string(string_split(d.text, ' ')[1:6], ' ') as subject, case when d.doc_id % 5 = 0 then 'outbound' else 'inbound' end as direction, d.lang, d.text as body,
+ case when l.toxic = 1 then 'needs_remediation' when l.quality = 0 then 'benign' else 'unreviewed' end as triage from documents d left join labels l using (doc_id))"""
+V_ORDERS = "lines as (select l_orderkey as o_orderkey, * exclude (l_orderkey) from lineitem)"
+KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
+
+# --- comparison, three-valued logic, arithmetic
+
+
+@query(f"select {KEYS}, l_quantity from lineitem where l_quantity > 30 and l_discount <= 0.05")
+def filter_compare(spark, sf):
+    return lineitem(spark, sf).where((F.col("l_quantity") > 30) & (F.col("l_discount") <= 0.05)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+@query(f"select {KEYS}, l_quantity from lineitem where 10 < l_quantity and l_quantity <= 20")
+def range_chain(spark, sf):
+    return lineitem(spark, sf).where(L.between(F.lit(10), F.col("l_quantity"), F.lit(20))).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+@query(f"select {KEYS} from lineitem where l_returnflag in ('A', 'R') and l_linestatus not in ('O')")
+def in_tuple(spark, sf):
+    return lineitem(spark, sf).where(L.one_of(F.col("l_returnflag"), "A", "R") & ~L.one_of(F.col("l_linestatus"), "O")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("""select d.doc_id, q.a and q.b as both, q.a or q.b as either, not q.a as neither, q.a is null as unknown from documents d
+left join labels l using (doc_id), lateral (select l.quality = 1 as a, l.toxic = 1 as b) q""")
+def kleene(spark, sf):
+    d = documents(spark, sf).join(labels(spark, sf), "doc_id", "left")
+    a, b = F.col("quality") == 1, F.col("toxic") == 1
+    return d.select("doc_id", (a & b).alias("both"), (a | b).alias("either"), (~a).alias("neither"), a.isNull().alias("unknown"))
+
+
+@query("""select d.doc_id, case when t >= 2 then true when n > 0 then null else false end as two_of from (select d.doc_id,
+ coalesce(cast(l.quality = 1 as int), 0) + coalesce(cast(l.toxic = 1 as int), 0) + cast(d.lang = 'en' as int) as t, cast(l.quality is null as int) + cast(l.toxic is null as int) as n
+ from documents d left join labels l using (doc_id)) d""")
+def of_threshold(spark, sf):
+    d = documents(spark, sf).join(labels(spark, sf), "doc_id", "left")
+    return d.select("doc_id", L.at_least(2, F.col("quality") == 1, F.col("toxic") == 1, F.col("lang") == "en").value.alias("two_of"))
+
+
+@query("""select o_orderkey, case when m <> 0 then k // m end as quotient, case when m <> 0 then k % m end as remainder, cast(k as double) / nullif(m, 0) as ratio
+ from (select o_orderkey, o_orderkey as k, o_custkey % 7 as m from orders)""")
+def int_div_mod(spark, sf):
+    k, m = F.col("o_orderkey"), F.col("o_custkey") % 7
+    return orders(spark, sf).select("o_orderkey", L.int_div(k, m).alias("quotient"), L.int_mod(k, m).alias("remainder"), L.ratio_of(k, m).alias("ratio"))
+
+
+@query("select p_partkey, lower(p_brand) in ('brand#11', 'brand#23', 'brand#34') as listed from part")
+def in_list(spark, sf):
+    return part(spark, sf).select("p_partkey", L.in_list(F.col("p_brand"), ["BRAND#11", "brand#23", "Brand#34"], "brands").value.alias("listed"))
+
+
+@query("""select p.p_partkey, l.k is not null as listed from part p left join (select distinct lower(p_brand) as k from part where p_size > 48) l on lower(p.p_brand) = l.k""")
+def in_long_list(spark, sf):
+    p = part(spark, sf)
+    return lists.flag_members(p.select("p_partkey", "p_brand"), "p_brand", p.where("p_size > 48").select(F.upper("p_brand").alias("value")), "listed").drop("p_brand")
+
+
+@query("""with b as (select n_name as value, 0 as place from nation where n_regionkey < 3 union all select upper(n_name), 1 from nation where n_regionkey >= 2),
+f as (select lower(value) as k, arg_min(value, (place, value)) as value from b group by 1)
+select value from f where k not in (select lower(n_name) from nation where n_nationkey % 5 = 0)""")
+def list_overrides(spark, sf):
+    n = nation(spark, sf)
+    return lists.resolve(n.where("n_regionkey < 3").select(F.col("n_name").alias("value")), n.where("n_regionkey >= 2").select(F.upper("n_name").alias("value")), n.where("n_nationkey % 5 = 0").select(F.col("n_name").alias("value")))
+
+
+@query("""with x as (select d.doc_id, contains(lower(d.text), 'password') as a, l.quality = 0 as q from documents d left join labels l using (doc_id))
+select doc_id, case when coalesce(a or q, false) then 'match' when q is null then 'indeterminate' else 'no-match' end as verdict, case when a or q is not null then '' else 'labels' end as missing from x""")
+def missing_evidence(spark, sf):
+    d = documents(spark, sf).join(labels(spark, sf), "doc_id", "left")
+    label = L.Answer(F.col("quality") == 0, F.when(F.col("quality").isNull(), F.array(F.lit("labels"))).otherwise(F.array().cast("array<string>")))
+    a = L.answer(S.contains(F.col("text"), "password", fold=True)) | label
+    return d.select("doc_id", a.verdict.alias("verdict"), F.array_join(a.names, ",").alias("missing"))
+
+
+# --- arrays
+
+
+@query(f"""with {V_ORDERS} select o.o_orderkey, case when count(l.o_orderkey) = 0 then null else bool_or(l.l_quantity > 45) end as any_large,
+ coalesce(bool_and(l.l_quantity > 5), true) as all_above, count(l.o_orderkey) filter (where l.l_returnflag = 'R') as n_returned, coalesce(sum(cast(l.l_quantity as bigint)), 0)::bigint as quantity,
+ case when count(l.o_orderkey) > 0 then count(*) filter (where l.l_returnflag = 'R') / cast(count(*) as double) end as share_returned,
+ nullif(count(l.o_orderkey), 0) as n_lines, min(l.l_linenumber) as smallest, max(l.l_linenumber) as largest from orders o left join lines l using (o_orderkey) group by o.o_orderkey""")
+def array_items(spark, sf):
+    x = F.col("lines")
+    kind = "array<struct<" + ",".join(f"{c}:{t}" for c, t in lineitem(spark, sf).select(M.LINE).dtypes) + ">>"
+    return M.v_orders(spark, sf).select(
+        "o_orderkey",
+        A.any_item(x, lambda i: i["l_quantity"] > 45).alias("any_large"),
+        A.all_items(x, lambda i: i["l_quantity"] > 5).alias("all_above"),
+        F.size(A.keep(x, lambda i: i["l_returnflag"] == "R", kind)).cast("long").alias("n_returned"),
+        A.total(x, lambda i: i["l_quantity"].cast("long")).alias("quantity"),
+        A.share(x, lambda i: i["l_returnflag"] == "R").alias("share_returned"),
+        A.length(x).cast("long").alias("n_lines"),
+        F.array_min(A.each(x, lambda i: i["l_linenumber"])).alias("smallest"),
+        F.array_max(A.each(x, lambda i: i["l_linenumber"])).alias("largest"),
+    )
+
+
+@query("""select conv_id, string_agg(role, ',' order by first) as roles from (select conv_id, role, min(turn) as first from conversations group by 1, 2) group by 1""")
+def array_distinct(spark, sf):
+    return M.v_threads(spark, sf).select("conv_id", F.array_join(A.unique(F.transform("turns", lambda t: t["role"]), "array<string>"), ",").alias("roles"))
+
+
+@query("""with w as (select conv_id, turn, unnest(string_split(text, ' ')) as word from conversations) select conv_id, count(*) as n_words from w group by 1""")
+def array_flatten(spark, sf):
+    words = F.transform("turns", lambda t: F.split(t["text"], " "))
+    return M.v_threads(spark, sf).select("conv_id", F.size(A.flat(words, "array<string>")).cast("long").alias("n_words"))
+
+
+@query("""select a.conv_id, bool_or(a.turn < b.turn and a.role = b.role) as repeats_role from conversations a join conversations b using (conv_id) group by 1""")
+def nested_scope(spark, sf):
+    turns = F.col("turns")
+    return M.v_threads(spark, sf).select("conv_id", A.any_item(turns, lambda a: A.any_item(turns, lambda b: (a["turn"] < b["turn"]) & (a["role"] == b["role"]))).alias("repeats_role"))
+
+
+@query("""with t as (select conv_id, list(role order by turn) as r from conversations group by 1) select conv_id, r[2] as second, null::varchar as before, array_to_string(r[2:3], ',') as middle from t""")
+def array_index_slice(spark, sf):
+    r = F.transform("turns", lambda t: t["role"])
+    return M.v_threads(spark, sf).select("conv_id", A.item(r, 1).alias("second"), A.item(r, -1).alias("before"), F.array_join(A.cut(r, 1, 3), ",").alias("middle"))
+
+
+@query("""select event_id, 'k' as names, cast(json_extract_string(props, '$.k') as bigint) as first_value from events""")
+def map_keys_values(spark, sf):
+    m = F.from_json("props", "map<string,bigint>")
+    return events(spark, sf).select("event_id", F.array_join(A.keys(m), ",").alias("names"), F.get(A.values(m), F.lit(0)).alias("first_value"))
+
+
+@query("""select d.doc_id, coalesce(l.quality, l.toxic, -1) as first_known, least(d.n_chars, d.doc_id) as low, greatest(d.n_chars, d.doc_id) as high from documents d left join labels l using (doc_id)""")
+def coalesce_min_max(spark, sf):
+    d = documents(spark, sf).join(labels(spark, sf), "doc_id", "left")
+    return d.select("doc_id", A.first_known("quality", "toxic", F.lit(-1)).alias("first_known"), A.smallest("n_chars", "doc_id").alias("low"), A.largest("n_chars", "doc_id").alias("high"))
+
+
+# --- strings
+
+
+@query("""select doc_id, contains(text, 'the ') or contains(text, ' der ') as has_word, contains(lower(text), 'password') as has_password, starts_with(lower(text), 'the') as starts, ends_with(text, '.') as ends,
+ regexp_matches(text, '(?s)^[^ ]* .*\\.$') as shaped, (length(text) - length(replace(text, 'th', ''))) // 2 as n_th, text[1:20] as head, text[5:] as tail, length(text) as n_points from documents""")
+def string_predicates(spark, sf):
+    x = F.col("text")
+    return documents(spark, sf).select(
+        "doc_id",
+        S.contains(x, "the ", " der ").alias("has_word"),
+        S.contains(x, "PASSWORD", fold=True).alias("has_password"),
+        S.starts_with(x, "The", fold=True).alias("starts"),
+        S.ends_with(x, ".").alias("ends"),
+        S.glob(x, "* *.").alias("shaped"),
+        S.count(x, "th").cast("long").alias("n_th"),
+        S.slice_text(x, 0, 20).alias("head"),
+        S.slice_text(x, 4, 10_000_000).alias("tail"),
+        F.length(x).cast("long").alias("n_points"),
+    )
+
+
+@query("""select a.p_partkey, levenshtein(a.p_name, b.p_name)::int as apart, levenshtein(lower(a.p_name), lower(b.p_name))::int as apart_folded, a.p_brand || '/' || a.p_type as joined from part a join part b on b.p_partkey = a.p_partkey + 1""")
+def string_distance(spark, sf):
+    p = part(spark, sf)
+    q = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
+    return p.join(q, "p_partkey").select("p_partkey", S.distance(F.col("p_name"), F.col("other")).alias("apart"), S.distance(F.col("p_name"), F.col("other"), fold=True).alias("apart_folded"), S.concat("p_brand", F.lit("/"), "p_type").alias("joined"))
+
+
+@query("""select doc_id, length(text) - length(translate(text, 'éè', '')) as n_accents, translate(translate(text[1:60], 'aeo', 'аео'), 'аео', 'aeo') as folded from documents""")
+def confusables(spark, sf):
+    head = F.substring("text", 1, 60)
+    return documents(spark, sf).select("doc_id", S.count(F.col("text"), "é").cast("long").__add__(S.count(F.col("text"), "è").cast("long")).alias("n_accents"), S.replace_confusables(F.translate(head, "aeo", "аео")).alias("folded"))
+
+
+@query("""select event_id, sha256(props) as sha256, md5(props) as md5, cast(json_extract_string(props, '$.k') as bigint) as k, json_extract_string(props, '$.none') as none, try_cast(replace(props, '{', '') as double) as bad,
+ hex(encode(event_type)) as hex, base64(encode(event_type)) as base64, event_type as from_hex, event_type as from_base64 from events""")
+def hashes_and_decoding(spark, sf):
+    p, e = F.col("props"), F.col("event_type")
+    return events(spark, sf).select("event_id", S.sha256(p).alias("sha256"), S.md5(p).alias("md5"), S.json_path(p, "$.k", "bigint").alias("k"), S.json_path(p, "$.none", "string").alias("none"), S.parse_float(F.replace(p, F.lit("{"), F.lit(""))).alias("bad"), F.hex(e).alias("hex"), F.base64(e.cast("binary")).alias("base64"), S.decode_hex(F.hex(e)).alias("from_hex"), S.decode_base64(F.rtrim(F.base64(e.cast("binary")), F.lit("="))).alias("from_base64"))
+
+
+@query("""with u as (select page_id, url, regexp_extract(url, '^(https?)://([^/?#:]+)', ['scheme', 'host']) as p from pages)
+select page_id, p.scheme as scheme, p.host as host, regexp_extract(p.host, '([a-z0-9-]+\\.[a-z]+)$', 1) as root_domain, nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '') as path,
+ nullif(regexp_extract(url, '\\?([^#]*)', 1), '') as query, nullif(regexp_extract(url, '#(.*)$', 1), '') as fragment from u""")
+def parse_urls(spark, sf):
+    u = S.parse_url(F.col("url"))
+    return pages(spark, sf).select("page_id", u.alias("u")).select("page_id", "u.scheme", "u.host", F.col("u.domain.root_domain").alias("root_domain"), "u.path", F.col("u.query_params").alias("query"), "u.fragment")
+
+
+@query(f"""with {V_MESSAGES} select message_id, lower(sender_email) as email, split_part(sender_email, '@', 1) as local_part, sender_domain as domain from v""")
+def parse_emails(spark, sf):
+    return M.v_messages(spark, sf).select("message_id", S.parse_email(F.col("sender_email")).alias("e")).select("message_id", "e.email", "e.local_part", "e.domain")
+
+
+@query("""select doc_id, regexp_matches(text, '(?i)(password|secret)\\s*[:=]') as has_secret, regexp_full_match(source, 'src[0-9]+') as plain_source, len(regexp_extract_all(text, '[A-Z][a-z]+')) as n_capitals,
+ regexp_extract(text, '([A-Za-z0-9._]+)@([A-Za-z0-9.]+)', 2) as first_domain from documents""")
+def regexes(spark, sf):
+    x = F.col("text")
+    first = F.get(R.extract(x, "([A-Za-z0-9._]+)@([A-Za-z0-9.]+)"), F.lit(0))
+    return documents(spark, sf).select("doc_id", R.search(x, r"(password|secret)\s*[:=]", fold=True).alias("has_secret"), R.match(F.col("source"), "src[[:digit:]]+").alias("plain_source"), R.count(x, "[A-Z][a-z]+").cast("long").alias("n_capitals"), F.coalesce(F.get(first["groups"], F.lit(1)), F.lit("")).alias("first_domain"))
+
+
+IP = "'10.' || (user_id % 4) || '.' || (user_id % 250) || '.7'"
+
+
+@query(f"""select event_id, {IP} as ip, user_id % 4 = 1 or (user_id % 4 = 2 and user_id % 250 < 64) as inside from events""")
+def ip_ranges(spark, sf):
+    ip = F.concat(F.lit("10."), F.col("user_id") % 4, F.lit("."), F.col("user_id") % 250, F.lit(".7"))
+    return events(spark, sf).select("event_id", ip.alias("ip")).select("*", N.ip_in(F.col("ip"), "10.1.0.0/16", "10.2.0.0/18", "bad", "::/8").alias("inside"))
+
+
+@query(f"""select event_id, {IP} as ip, user_id % 4 = 3 or (user_id % 4 = 0 and user_id % 250 between 16 and 31) as inside from events""")
+def ip_ranges_join(spark, sf):
+    ip = F.concat(F.lit("10."), F.col("user_id") % 4, F.lit("."), F.col("user_id") % 250, F.lit(".7"))
+    known = spark.createDataFrame(N.ranges(["10.3.0.0/16", "10.0.16.0/20"]), "low long, high long")
+    return N.flag_in_ranges(events(spark, sf).select("event_id", ip.alias("ip")), "ip", known, "inside")
+
+
+# --- history
+
+
+@query("""with e as (select event_id, ts, user_id, event_type, value from events),
+p as (select a.event_id, count(b.event_id) as prior_n_events, min(b.ts) as first, bool_or(b.event_type = 'purchase') as solicited, bool_or(b.event_type = 'error') as bad from e a left join e b on a.user_id = b.user_id and b.ts < a.ts group by 1)
+select event_id, prior_n_events, coalesce(solicited, false) as prior_solicited, coalesce(bad, false) as prior_any_malicious, case when prior_n_events = 0 then 'new' when prior_n_events < 3 then 'outlier' else 'common' end as prevalence,
+ greatest((epoch_us(e.ts) - epoch_us(first)) // 86400000000, case when first is null then 0 else 0 end) as days_known from p join e using (event_id)""")
+def asof_profile(spark, sf):
+    out = profile.as_of_events(M.v_sender_events(spark, sf))
+    return out.select("event_id", "prior_n_events", "prior_solicited", "prior_any_malicious", "prevalence", "days_known")
+
+
+@query("""with m as (select o_orderkey, o_custkey % 150 as u, timestamp '2024-01-01' + to_hours(cast(o_orderkey % 720 as int)) as at from orders)
+select o_orderkey, count(e.event_id) as prior_n_events, case when count(e.event_id) = 0 then 'new' when count(e.event_id) < 3 then 'outlier' else 'common' end as prevalence
+from m left join events e on e.user_id = m.u and e.ts < m.at group by 1""")
+def asof_join(spark, sf):
+    at = F.timestamp_seconds(F.lit(1704067200) + (F.col("o_orderkey") % 720) * 3600)
+    m = orders(spark, sf).select("o_orderkey", (F.col("o_custkey") % 150).cast("string").alias("sender"), at.alias("at"))
+    return profile.as_of(m, "at", M.v_sender_events(spark, sf)).select("o_orderkey", "prior_n_events", "prevalence")
+
+
+@query("""select cast(user_id as varchar) as sender, count(*) as n_events, bool_or(event_type = 'purchase') as solicited, bool_or(event_type = 'error') as any_malicious, bool_or(event_type = 'view') as any_benign,
+ bool_and(value < 10) as all_auth_failed, epoch_us(max(ts)) - epoch_us(min(ts)) as span_us from events group by 1""")
+def sender_profiles(spark, sf):
+    p = profile.profiles(M.v_sender_events(spark, sf))
+    return p.select("sender", "n_events", "solicited", "any_malicious", "any_benign", "all_auth_failed", (F.unix_micros("last_contact") - F.unix_micros("first_contact")).alias("span_us"))
+
+
+# --- rules, verdicts and analytics over them
+
+RULES = [
+    rules.Rule("secret_in_text", lambda t: S.contains(F.col("body"), "password:", "api_key", fold=True), "critical"),
+    rules.Rule("symbols", lambda t: R.count(F.col("body"), r"[#$%&*]") > 50, "high"),
+    rules.Rule("shouting", lambda t: S.count(F.col("body"), "!!") > 20, "medium"),
+    rules.Rule("reviewed_bad", lambda t: L.answer(F.col("direction") == "inbound") & L.Answer(F.col("triage") == "needs_remediation", F.when(F.col("triage") == "unreviewed", F.array(F.lit("triage"))).otherwise(F.array().cast("array<string>"))), "high", needs=("triage",)),
+    rules.Rule("reputation", lambda t: L.answer(F.col("lang") == "es") & L.unavailable("reputation"), "low", needs=("reputation",)),
+    rules.Rule("trusted_source", lambda t: L.in_list(F.col("sender_domain"), ["SRC1.example.com", "src2.example.com"], "trusted").value, type="exclusion"),
+]
+V_VERDICTS = f"""{V_MESSAGES}, r as (select *, contains(lower(body), 'password:') or contains(lower(body), 'api_key') as r1, len(regexp_extract_all(body, '[#$%&*]')) > 50 as r2,
+ (length(body) - length(replace(body, '!!', ''))) / 2 > 20 as r3, direction = 'inbound' and triage = 'needs_remediation' as r4, direction = 'inbound' and triage = 'unreviewed' as g4, lang = 'es' as g5,
+ lower(sender_domain) in ('src1.example.com', 'src2.example.com') as x from v),
+s as (select *, list_filter(['secret_in_text', 'reviewed_bad', 'symbols', 'shouting'], lambda n: (n = 'secret_in_text' and r1) or (n = 'reviewed_bad' and r4) or (n = 'symbols' and r2) or (n = 'shouting' and r3)) as matched,
+ list_filter(['triage', 'reputation'], lambda n: (n = 'triage' and g4) or (n = 'reputation' and g5)) as gaps from r),
+verdicts as (select *, case when len(matched) > 0 and not x then 'malicious' when len(gaps) > 0 then 'indeterminate' else 'clean' end as verdict from s)"""
+
+
+def v_verdicts(spark, sf):
+    return rules.evaluate(M.v_messages(spark, sf), RULES, ["message_id", "day", "received_at", "sender_email"])
+
+
+@query(f"""with {V_VERDICTS} select message_id, verdict, array_to_string(matched, ',') as matched, array_to_string(list_sort(gaps), ',') as missing from verdicts""")
+def rule_set(spark, sf):
+    return v_verdicts(spark, sf).select("message_id", "verdict", F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"))
+
+
+def flagship(spark, sf):
+    return v_verdicts(spark, sf).select("message_id", "verdict", "matched", "missing")
+
+
+@query(f"""with {V_VERDICTS} select day, count(*) as messages, count(*) filter (where verdict = 'malicious') as malicious, count(*) filter (where verdict = 'indeterminate') as indeterminate, count(*) filter (where verdict = 'clean') as clean from verdicts group by day""")
+def insights_by_day(spark, sf):
+    return corpus.by_day(v_verdicts(spark, sf))
+
+
+@query(f"""with {V_VERDICTS} select rule, count(*) as n from (select unnest(matched) as rule from verdicts) group by 1 order by 2 desc, 1 limit 10""")
+def top_rules(spark, sf):
+    return corpus.top_items(v_verdicts(spark, sf), F.col("matched"), "rule")
+
+
+@query(f"""with {V_VERDICTS} select lower(sender_email) as sender, count(*) as n from verdicts where verdict = 'malicious' group by 1 order by 2 desc, 1 limit 10""")
+def top_senders(spark, sf):
+    return corpus.top_values(v_verdicts(spark, sf).where("verdict = 'malicious'"), F.lower("sender_email"), "sender")
+
+
+@query(f"""with {V_VERDICTS} select capability, count(*) as n from (select unnest(gaps) as capability from verdicts) group by 1 order by 2 desc, 1 limit 10""")
+def missing_capabilities(spark, sf):
+    return corpus.top_items(v_verdicts(spark, sf), F.col("missing"), "capability")
+
+
+@query(f"""with {V_VERDICTS} select message_id from verdicts where list_contains(gaps, 'reputation')""")
+def rerunnable(spark, sf):
+    return corpus.rerunnable(v_verdicts(spark, sf), "reputation").select("message_id")
+
+
+@query(f"""with {V_VERDICTS} select rule, count(*) as hits, count(*) filter (where triage <> 'unreviewed') as reviewed, count(*) filter (where triage = 'needs_remediation') as confirmed, count(*) filter (where triage = 'benign') as benign,
+ case when count(*) filter (where triage <> 'unreviewed') >= 5 then count(*) filter (where triage = 'needs_remediation') / cast(count(*) filter (where triage <> 'unreviewed') as double) end as precision
+ from (select unnest(matched) as rule, triage from verdicts) group by 1""")
+def effectiveness(spark, sf):
+    return corpus.effectiveness(v_verdicts(spark, sf), M.v_messages(spark, sf).select("message_id", "triage"))
+
+
+@query(f"""with {V_VERDICTS} select rule from (select unnest(['secret_in_text', 'symbols', 'shouting', 'reviewed_bad', 'reputation', 'trusted_source']) as rule) where rule not in (select unnest(matched) from verdicts)""")
+def dormant_rules(spark, sf):
+    return corpus.dormant(spark.createDataFrame([(r.name,) for r in RULES], "rule string"), v_verdicts(spark, sf))
+
+
+@query("select * from (values ('triage', 1::bigint, 1::bigint), ('reputation', 1, 0)) t(capability, n_rules, n_answerable)")
+def rule_coverage(spark, sf):
+    return rules.coverage(RULES, {"triage"}, spark)
+
+
+@query(f"""with {V_MESSAGES} select message_id, cast(day as varchar) as day from v where day between date '2024-01-05' and date '2024-01-11'""")
+def window_scan(spark, sf):
+    return corpus.window_of(M.v_messages(spark, sf), "2024-01-05", "2024-01-11").select("message_id", F.col("day").cast("string").alias("day"))
+
+
+@query(f"""with {V_MESSAGES} select message_id, sender_email from v where contains(lower(sender_email), 'user1@src1')""")
+def search_page(spark, sf):
+    return corpus.search(M.v_messages(spark, sf), "sender_email", "USER1@src1").select("message_id", "sender_email")
+
+
+@query(f"""with {V_MESSAGES} select message_id, sender_domain from v order by received_at desc, message_id desc limit 100 offset 50""")
+def list_page(spark, sf):
+    return corpus.page(M.v_messages(spark, sf), [F.desc("received_at"), F.desc("message_id")], 100, 50).select("message_id", "sender_domain")
+
+
+@query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1")
+def latest_per_key(spark, sf):
+    return corpus.latest(events(spark, sf), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query(f"""with {V_MESSAGES} select triage as state, count(*) as n from v group by 1""")
+def triage_counts(spark, sf):
+    return corpus.triage_counts(M.v_messages(spark, sf))
+
+
+@query(f"""with {V_MESSAGES}, d as (select doc_id as message_id, 'malicious' as disposition from documents where doc_id % 11 = 0),
+s as (select message_id, coalesce(disposition, nullif(triage, 'unreviewed')) as said from v left join d using (message_id)) select message_id, case when said in ('needs_remediation', 'malicious') then 1 else 0 end as label from s where said is not null""")
+def training_labels(spark, sf):
+    d = documents(spark, sf).where("doc_id % 11 = 0").select(F.col("doc_id").alias("message_id"), F.lit("malicious").alias("disposition"))
+    return corpus.training_labels(M.v_messages(spark, sf), d)
+
+
+HUNT = "contains(lower(body), 'password')"
+
+
+def hunted(spark, sf):
+    gap = L.Answer(F.col("triage") == "benign", F.when(F.col("triage") == "unreviewed", F.array(F.lit("triage"))).otherwise(F.array().cast("array<string>")))
+    return L.answer(S.contains(F.col("body"), "password", fold=True)) | gap
+
+
+@query(f"""with {V_MESSAGES}, h as (select {HUNT} or triage = 'benign' as hit, triage = 'unreviewed' and not {HUNT} as gap from v)
+select count(*) as scanned, count(*) filter (where hit) as matched, count(*) filter (where not hit and gap) as undecided, 'triage=' || count(*) filter (where not hit and gap) as missing from h""")
+def hunt(spark, sf):
+    out = corpus.hunt(M.v_messages(spark, sf), hunted(spark, sf))
+    return out.withColumn("missing", F.array_join(F.transform("missing", lambda m: F.concat_ws("=", m["name"], m["n"])), ","))
+
+
+@query(f"""with {V_MESSAGES} select count(*) as matched, count(*) filter (where triage <> 'unreviewed') as reviewed, count(*) filter (where triage = 'benign') as benign, count(*) filter (where triage = 'needs_remediation') as confirmed,
+ case when count(*) filter (where triage <> 'unreviewed') >= 5 then count(*) filter (where triage = 'needs_remediation') / cast(count(*) filter (where triage <> 'unreviewed') as double) end as precision from v where contains(body, '!!') or contains(body, '|')""")
+def backtest(spark, sf):
+    return corpus.backtest(M.v_messages(spark, sf), S.contains(F.col("body"), "!!", "|"))
+
+
+@query(f"""with {V_VERDICTS} select message_id, 'rule' as kind, 'pipes' as source from verdicts where day > (select max(day) from verdicts) - 10 and contains(body, '|') and verdict <> 'malicious' and message_id % 4 <> 0""")
+def retro_sweep(spark, sf):
+    known = documents(spark, sf).where("doc_id % 4 = 0").select(F.col("doc_id").alias("message_id"), F.lit("rule").alias("kind"), F.lit("pipes").alias("source"))
+    return corpus.retro(M.v_messages(spark, sf), v_verdicts(spark, sf), S.contains(F.col("body"), "|"), "pipes", known, 10)
+
+
+@query("""select page_id, substr(sha256(url || '|true|' || cast(floor(log10(greatest(length(html), 1))) as bigint)), 1, 16) as digest from pages""")
+def link_digest(spark, sf):
+    return pages(spark, sf).select("page_id", corpus.link_digest(F.col("url"), F.lit(True), F.length("html")).alias("digest"))
+
+
+@query("select d.doc_id, case when l.quality is null then 'absent' when l.quality = 1 then 'pass' else 'fail' end as badge from documents d left join labels l using (doc_id)")
+def auth_badges(spark, sf):
+    return documents(spark, sf).join(labels(spark, sf), "doc_id", "left").select("doc_id", corpus.auth_badge(F.col("quality") == 1).alias("badge"))
+
+
+@query(f"""with {V_MESSAGES}, o as (select *, sender_domain in ('src0.example.com', 'src1.example.com') as own, 'src' || (message_id % 3) || '.example.com' as rcpt from v)
+select message_id, not own as inbound, own and rcpt in ('src0.example.com', 'src1.example.com') as internal, own and rcpt not in ('src0.example.com', 'src1.example.com') as outbound from o""")
+def direction(spark, sf):
+    rcpt = F.array(F.concat(F.lit("src"), F.col("message_id") % 3, F.lit(".example.com")))
+    return M.v_messages(spark, sf).select("message_id", M.org_direction(F.col("sender_domain"), rcpt, ["SRC0.example.com", "src1.example.com"]).alias("d")).select("message_id", "d.*")
+
+
+# --- extractors and scores
+
+
+@query("""with f as (select doc_id, 'email' as type, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}')) as value from documents
+ union all select doc_id, 'aws_access_key', unnest(regexp_extract_all(text, '\\bAKIA[A-Z0-9]{16}\\b')) from documents
+ union all select doc_id, 'ipv4', unnest(regexp_extract_all(text, '\\b(?:(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\b')) from documents) select distinct doc_id, type, value from f""")
+def sensitive_plain(spark, sf):
+    return sensitive.extract(documents(spark, sf), "text", ["doc_id"]).where(F.col("type").isin("email", "aws_access_key", "ipv4"))
+
+
+@query()
+def sensitive_checked(spark, sf):
+    return sensitive.extract(documents(spark, sf), "text", ["doc_id"])
+
+
+@query("""with w as (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) as w from documents),
+c as (select doc_id, count(*) filter (where w in ('der','die','das','und','ist','von','mit','den','ein','eine','zu','im')) as de, count(*) filter (where w in ('the','of','and','to','in','is','that','it','was','for','on','are')) as en,
+ count(*) filter (where w in ('el','la','de','que','y','en','los','un','por','con','una','las')) as es, count(*) filter (where w in ('le','la','les','de','et','un','une','est','des','que','pour','dans')) as fr from w group by 1)
+select doc_id, case greatest(de, en, es, fr) when 0 then null when de then 'de' when en then 'en' when es then 'es' else 'fr' end as language from c""")
+def language(spark, sf):
+    return documents(spark, sf).select("doc_id", scoring.language(F.col("text")).alias("language"))
+
+
+@query("""with s as (select l.doc_id, l.quality as label, least(len(regexp_extract_all(d.text, '[#$%&*|!]')) / 100.0::double, 1.0) as score from labels l join documents d using (doc_id)), t as (select unnest([0.1, 0.5, 0.9])::double as threshold)
+select threshold, count(*) filter (where score >= threshold and label = 1) as tp, count(*) filter (where score >= threshold and label = 0) as fp, count(*) filter (where score < threshold and label = 1) as fn from s, t group by 1""")
+def calibration(spark, sf):
+    d = documents(spark, sf).join(labels(spark, sf), "doc_id").select(F.least(F.regexp_count("text", F.lit(r"[#$%&*|!]")) / 100.0, F.lit(1.0)).alias("score"), F.col("quality").alias("label"))
+    return scoring.calibration(d, [0.1, 0.5, 0.9]).select("threshold", "tp", "fp", "fn")
+
+
+@query(f"""with {V_MESSAGES}, s as (select message_id, contains(lower(body), 'password') as m, triage = 'benign' as a, message_id % 7 = 0 as n, lang = 'fr' as b from v),
+t as (select message_id, case when m and a then 0.95 when m and n then 0.9 when m then 0.75 when b then 0.1 when a and n then 0.6 when a or n then 0.3 else 0.05 end::double as score from s)
+select message_id, score, case when score >= 0.9 then 'malicious' when score >= 0.5 then 'suspicious' when score >= 0.15 then 'unknown' else 'likely_benign' end as verdict from t""")
+def attack_scores(spark, sf):
+    s = scoring.attack_score(S.contains(F.col("body"), "password", fold=True), F.col("triage") == "benign", F.col("message_id") % 7 == 0, F.col("lang") == "fr")
+    return M.v_messages(spark, sf).select("message_id", s.alias("s")).select("message_id", "s.score", "s.verdict")
+
+
+@query()
+def fingerprints(spark, sf):
+    return campaign.fingerprints(M.v_messages(spark, sf))
+
+
+@query()
+def campaigns(spark, sf):
+    return campaign.campaigns(campaign.fingerprints(M.v_messages(spark, sf)))
