@@ -2,39 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SHARED_SETTING = "spark.checkpoint.dir"
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see. Only where the cluster names none (tests, local mode) is a local one made."""
-    base = spark.conf.get(SHARED_SETTING, None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="parapet-shared-")
-        spark.conf.set(SHARED_SETTING, base)
-    return f"{base.rstrip('/')}/parapet-{spark.sparkContext.applicationId}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: it is computed once, and a lost executor costs only the tasks that it ran."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from parapet.sources.shared import read_table, shared_dir, stored  # noqa: F401
 
 def running_total(df: DataFrame, order: list[str], value: str, out: str, name: str) -> DataFrame:
     """Add `out`: the sum of `value` over all rows that come earlier in the global order of `order`.
@@ -91,26 +67,61 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordCodes:
-    """64-bit codes of words (bytes), by xxhash; a bounded cache spares repeated hashing of frequent words."""
+BLANKS = np.zeros(256, bool)
+BLANKS[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
+LETTER, BASE = mix(np.arange(1, 257)), 0x9E3779B97F4A7C15
+BLOCK = 1 << 20
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of BASE and of its inverse modulo 2**64."""
+    if not _powers or len(_powers[0]) < n:
+        n = max(n, 1 << 16)
+        with np.errstate(over="ignore"):
+            _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (BASE, pow(BASE, -1, 1 << 64))]
+    return _powers
+
+
+def word_codes(data: bytes) -> np.ndarray:
+    """64-bit codes of the words of a text (runs of bytes other than white space), by a polynomial in each word's letters."""
+    if len(data) > 2 * BLOCK:  # very long texts: in blocks that end at white space
+        out, at = [], 0
+        while at < len(data):
+            end = at + BLOCK
+            while end < len(data) and not BLANKS[data[end]]:
+                end += 1
+            out.append(_block_codes(data[at:end]))
+            at = end
+        return np.concatenate(out)
+    return _block_codes(data)
+
+
+def _block_codes(data: bytes) -> np.ndarray:
+    letters = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], BLANKS[letters], [True]]).view(np.int8)))
+    start, end = edges[::2], edges[1::2]
+    power, inverse = _power_tables(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(letters) + 1, np.uint64)
+        np.cumsum(LETTER[letters] * power[: len(letters)], out=sums[1:])
+        return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+
 
-    def __init__(self, most: int = 500_000):
-        import xxhash
+def marked_bits(df: DataFrame, column: str, bits: int):
+    """Broadcast bitmap of 2**bits bits with those of the column's values (their low bits) set; its size doesn't depend on the data."""
+    place = F.expr(f"(`{column}` & {(1 << bits) - 1}L) + 1")  # the bitmap functions count from 1
+    slices = df.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for bucket, found in slices.toLocalIterator():
+        at = (bucket - 1) << 12
+        out[at : at + len(found)] = np.frombuffer(found, np.uint8)
+    return df.sparkSession.sparkContext.broadcast(out)
 
-        self.most, self.known, self.hash = most, {}, xxhash.xxh3_64_intdigest
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            pass
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = self.hash(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def is_marked(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = values & (8 * len(bitmap) - 1)
+    return bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0
 
 
 def grams(codes: np.ndarray, n: int) -> np.ndarray:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parapet.llm._shared import WordCodes, grams, stored, texts_of
+from parapet.llm._shared import grams, is_marked, marked_bits, stored, texts_of, word_codes
 
 RUN, BITS = 5, 28
 
@@ -106,7 +106,7 @@ class SuffixAutomaton:
 
 def _anchor_counts(window: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, pending, size = WordCodes(), [], 0
+        pending, size = [], 0
 
         def rows() -> pa.RecordBatch:
             value, n = np.unique(np.concatenate(pending), return_counts=True)
@@ -114,7 +114,7 @@ def _anchor_counts(window: int):
 
         for b in batches:
             for text in texts_of(b.column(0)):
-                _, code = anchors(codes(text.encode().split()), window)
+                _, code = anchors(word_codes(text.encode()), window)
                 if len(code):
                     pending.append(np.unique(code))
                     size += len(pending[-1])
@@ -133,7 +133,7 @@ PARTS = "doc_id long, text_key long, start int, anchor long, stretch long, words
 def _stretches(window: int, marked):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with a place (doc_id, text_key, start) for each stretch, and rows with the words and smallest doc_id of each distinct one."""
-        codes, known, bits = WordCodes(), {}, marked.value
+        known, bits = {}, marked.value
         names = ["doc_id", "text_key", "start", "anchor", "stretch", "words"]
 
         def distinct() -> Iterator[pa.RecordBatch]:
@@ -146,12 +146,11 @@ def _stretches(window: int, marked):
         for b in batches:
             docs, keys, starts, codes_out, hashes = [], [], [], [], []
             for doc, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
-                code = codes(text.encode().split())
+                code = word_codes(text.encode())
                 at, anchor = anchors(code, window)
                 if not len(at):
                     continue
-                place = anchor & ((1 << BITS) - 1)
-                hit = bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0
+                hit = is_marked(bits, anchor)
                 if not hit.any():
                     continue
                 first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
@@ -229,14 +228,8 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     keyed = plain.withColumn("text_key", F.xxhash64("text"))
     judged = keyed.where("doc_id is not null")
     counts = judged.select("text").mapInArrow(_anchor_counts(window), "anchor long, n byte")
-    place = F.expr(f"(anchor & {(1 << BITS) - 1}L) + 1")  # the bitmap functions count from 1
-    repeated = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select(place.alias("place"))
-    slices = repeated.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    bitmap = np.zeros(1 << (BITS - 3), np.uint8)
-    for bucket, bits in slices.toLocalIterator():  # 32 MB at most, whatever the corpus
-        at = ((bucket - 1) << 15) >> 3
-        bitmap[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
-    marked = docs.sparkSession.sparkContext.broadcast(bitmap)
+    repeated = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    marked = marked_bits(repeated, "anchor", BITS)  # 32 MB, whatever the corpus
 
     parts = stored(judged.select("doc_id", "text_key", "text").mapInArrow(_stretches(window, marked), PARTS), "stretches")
     distinct = parts.where("words is not null").groupBy("anchor", "stretch").agg(F.min("doc_id").alias("doc_id"), F.any_value("words").alias("words"))

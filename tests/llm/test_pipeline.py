@@ -1,0 +1,25 @@
+"""The pipeline's stages, one after the other, and the queries' registration."""
+
+import corpus_pipeline
+from parapet.llm import jaccard, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_keep_columns_and_take_effect(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, n = docs.columns, docs.count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == columns and docs.count() <= n
+        n = docs.count()
+    linked = jaccard.linked(docs).collect()
+    assert all(r.doc_id == r.component_id for r in linked)  # no near copies left
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
+    assert corpus_pipeline.run(spark, SF).count() == pieces.count()
+
+
+def test_names():
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
