@@ -87,7 +87,7 @@ def decode_base64(x: Column, url: bool = False) -> Column:
 
 def scan_base64(x: Column) -> Column:
     """Decoded runs of at least 16 base64 characters that are mostly printable."""
-    found = F.transform(F.regexp_extract_all(x, F.lit(r"[A-Za-z0-9+/]{16,}={0,2}"), F.lit(0)), decode_base64)
+    found = F.transform(F.regexp_extract_all(x, F.lit(r"[A-Za-z0-9+/]{16,}={0,2}"), F.lit(0)), lambda run: decode_base64(run))
     printable = lambda s: F.length(F.regexp_replace(s, r"[^\x20-\x7e\n\r\t]", "")) > 0.85 * F.length(s)
     return F.filter(found, lambda s: s.isNotNull() & printable(s))
 

@@ -1,0 +1,197 @@
+"""Campaigns, rules, history, mail, storage, streams and learning on small fixtures."""
+
+import datetime as dt
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from parapet.functions import logic as L
+from parapet.functions import strings as S
+from parapet.operators import campaign, graph, learn, lists, profile, rules
+from parapet.sources import mail, tables
+from parapet.streaming import ingest
+
+
+def brute_groups(pairs):
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        ra, rb = root(a), root(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    return {x: root(x) for x in list(parent)}
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1100)]
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == brute_groups(pairs)
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_campaigns(spark):
+    rng = random.Random(2)
+    base = [rng.getrandbits(63) for _ in range(12)]
+    prints = []
+    for i in range(200):
+        p = base[rng.randrange(12)]
+        for _ in range(rng.randint(0, 3)):
+            p ^= 1 << rng.randrange(63)
+        prints.append((i, p))
+    prints += [(900, 0), (901, 0)]
+    pairs = [(a, b) for i, (_, a) in enumerate(prints) for _, b in prints[: i + 1] if a and b and (a ^ b).bit_count() <= 3]
+    label = brute_groups(pairs)
+    sizes = Counter(label[p] for _, p in prints if p)
+    want = {(i, label[p], sizes[label[p]]) for i, p in prints if p and sizes[label[p]] >= 3}
+    assert {tuple(r) for r in campaign.campaigns(spark.createDataFrame(prints, "message_id long, fingerprint long")).collect()} == want
+
+
+def test_fingerprints_ignore_digits(spark):
+    rows = [(1, "Your invoice 123 is due now today", "x.test"), (2, "Your invoice 987 is due now today", "x.test"), (3, "Completely different words over here", "y.test")]
+    got = {r.message_id: r.fingerprint for r in campaign.fingerprints(spark.createDataFrame(rows, "message_id long, subject string, sender_domain string")).collect()}
+    assert got[1] == got[2] and (got[1] ^ got[3]).bit_count() > 3
+
+
+def test_rule_set(spark):
+    df = spark.createDataFrame([(1, "password here", True), (2, "nothing", None), (3, "password", False), (4, None, True)], "id long, body string, known boolean")
+    gap = lambda t: L.answer(S.contains(F.col("body"), "nothing")) & L.unavailable("whois")
+    many = [
+        rules.Rule("password", lambda t: S.contains(F.col("body"), "password"), "high"),
+        rules.Rule("gap", gap, "low"),
+        rules.Rule("trusted", lambda t: F.col("known"), type="exclusion"),
+        rules.Rule("broken", lambda t: F.col("no_such"), "low"),
+        rules.Rule("text", lambda t: F.col("body"), "low"),
+        rules.Rule("skipped", lambda t: F.col("body"), type="triage_rule"),
+    ]
+    _, broken = rules.load(df, many)
+    assert set(broken) == {"broken", "text"}
+    got = {r.id: (r.verdict, r.matched, r.missing) for r in rules.evaluate(df, many[:3], ["id"]).collect()}
+    assert got == {1: ("clean", ["password"], []), 2: ("indeterminate", [], ["whois"]), 3: ("malicious", ["password"], []), 4: ("indeterminate", [], ["whois"])}
+    assert {r.verdict for r in rules.evaluate(df, many, ["id"]).collect()} == {"indeterminate", "malicious"}
+    with pytest.raises(ValueError):
+        rules.Rule("x", lambda t: None, "urgent")
+
+
+def test_history_is_strictly_before(spark):
+    day = lambda n: dt.datetime(2024, 1, n)
+    rows = [(1, "A@x", day(1), "outbound", "", False), (2, "a@X", day(3), "inbound", "benign", True), (3, "a@x", day(5), "inbound", "", True), (4, "b@x", day(20), "inbound", "malicious", True)]
+    events = spark.createDataFrame(rows, "event_id long, sender string, occurred_at timestamp, direction string, verdict string, auth_failed boolean")
+    got = {r.event_id: (r.prior_n_events, r.prior_solicited, r.prevalence, r.days_known) for r in profile.as_of_events(events).collect()}
+    assert got == {1: (0, False, "new", 0), 2: (1, True, "outlier", 2), 3: (2, True, "outlier", 4), 4: (0, False, "new", 0)}
+    asked = spark.createDataFrame([("a@x", day(n)) for n in (2, 3, 4, 6, 28)], "sender string, at timestamp")
+    assert sorted((r.at.day, r.prior_n_events) for r in profile.as_of(asked, "at", events).collect()) == [(2, 1), (3, 1), (4, 2), (6, 3), (28, 3)]
+
+
+def test_lists(spark, tmp_path):
+    one = lambda *v: spark.createDataFrame([(x,) for x in v], "value string")
+    got = lists.resolve(one("Alpha", "beta", None), one("ALPHA", "gamma"), one("BETA"))
+    assert {r.value for r in got.collect()} == {"Alpha", "gamma"}
+    assert lists.first_known(one(), one("x")).count() == 1 and lists.first_known(one()) is None
+    (tmp_path / "l.txt").write_text("# comment\nevil.test\nhttps://bad.test/path\n\nevil.test\n")
+    (tmp_path / "c.csv").write_text('1,"a.test",x\n2,"b.test",y\n')
+    assert {r.value for r in tables.read_list(spark, str(tmp_path / "l.txt")).collect()} == {"evil.test", "bad.test"}
+    assert {r.value for r in tables.read_list(spark, str(tmp_path / "c.csv"), "csv2").collect()} == {"a.test", "b.test"}
+
+
+RAW = b"""From: "Ann, A." <Ann@Example.org>\r
+To: bob@x.test, "C" <c@y.test>\r
+Subject: [ext] Re: Fwd: Invoice 7\r
+Date: Tue, 02 Jan 2024 10:00:00 +0200\r
+Message-ID: <m1@example.org>\r
+Received: from b by c\r
+Received: from a by b\r
+Authentication-Results: mx; spf=fail; dkim=pass\r
+MIME-Version: 1.0\r
+Content-Type: multipart/mixed; boundary=q\r
+\r
+--q\r
+Content-Type: text/plain; charset=utf-8\r
+\r
+See https://evil.test/a now\r
+\r
+On Mon, Ann wrote:\r
+> old text\r
+> more\r
+--q\r
+Content-Type: application/pdf; name="a.pdf"\r
+Content-Disposition: attachment; filename="a.pdf"\r
+Content-Transfer-Encoding: base64\r
+\r
+JVBERi0xLjQK\r
+--q--\r
+"""
+
+
+def test_mail(spark):
+    df = spark.createDataFrame([(1, bytearray(RAW)), (2, bytearray(b"")), (3, bytearray(b"\xff\xfe broken")), (4, None)], "id long, raw binary")
+    got = {r.id: r.mdm for r in mail.parse(df).collect()}
+    m = got[1]
+    assert (m.sender.email, m.subject, m.message_id, str(m.sent_at)) == ("ann@example.org", "[ext] Re: Fwd: Invoice 7", "m1@example.org", "2024-01-02 08:00:00")
+    assert [x.email for x in m.recipients] == ["bob@x.test", "c@y.test"] and len(m.hops) == 2
+    assert m.current_text == "See https://evil.test/a now" and m.previous[0].startswith("On Mon") and [x.href for x in m.links] == ["https://evil.test/a"]
+    assert m.attachments[0].file_name == "a.pdf" and m.attachments[0].size == 9
+    assert got[2] is None and got[4] is None and got[3] is not None
+    row = mail.parse(df.where("id = 1")).select(mail.subject_parts(F.col("mdm.subject")).alias("s"), mail.auth_summary(F.col("mdm.hops"), "spf").alias("spf"), mail.auth_summary(F.col("mdm.hops"), "dmarc").alias("dmarc"), F.transform("mdm.attachments", lambda a: mail.file_type(a["file_name"], a["head"])).alias("t")).first()
+    assert (row.s.base, row.s.tags, row.s.is_reply, row.s.is_forward, row.spf, row.dmarc, row.t) == ("Invoice 7", ["ext"], True, True, False, None, ["pdf"])
+    shown = spark.range(1).select(mail.mismatched(F.lit("www.bank.test/login"), F.lit("evil.test")), mail.mismatched(F.lit("click"), F.lit("evil.test"))).first()
+    assert tuple(shown) == (True, None)
+
+
+def test_append_is_idempotent(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, "a\x00b", 5), (2, "c", 5), (2, "c", 5)], "message_id long, s string, day int")
+    assert tables.append_new(rows, path, ["message_id"], ["day"]).count() == 2
+    assert tables.append_new(rows, path, ["message_id"], ["day"]).count() == 0
+    assert {(r.message_id, r.s) for r in spark.read.parquet(path).collect()} == {(1, "ab"), (2, "c")}
+    tables.compact(spark, path, "day", str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 2
+
+
+def test_sql_rules(spark, tmp_path):
+    (tmp_path / "a.yml").write_text("name: big\nseverity: high\nwhen: n > 1\n")
+    (tmp_path / "b.yml").write_text("name: [\n")
+    (tmp_path / "c.yml").write_text("name: odd\nseverity: urgent\nwhen: n > 1\n")
+    good, broken = tables.sql_rules(str(tmp_path))
+    assert len(good) == 1 and len(broken) == 2
+    assert [r.verdict for r in rules.evaluate(spark.range(3), [rules.Rule("r", lambda t: F.expr("id > 1"))], ["id"]).orderBy("id").collect()] == ["clean", "clean", "malicious"]
+
+
+def test_streams(spark, tmp_path):
+    source = str(tmp_path / "in")
+    rows = [(i, dt.datetime(2024, 1, 1 + i % 5, i % 24), f"S{i % 3}@x", "outbound" if i % 7 == 0 else "inbound", "malicious" if i % 5 == 0 else "") for i in range(60)]
+    events = spark.createDataFrame(rows, "event_id long, occurred_at timestamp, sender string, direction string, verdict string")
+    events.unionByName(events.limit(10)).coalesce(1).write.parquet(source)
+    stream = ingest.message_stream(spark, source, events.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+    q = ingest.running_profiles(stream).writeStream.outputMode("update").format("memory").queryName("profiles").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r.sender: (r.n_events, r.any_malicious) for r in spark.table("profiles").collect()}
+    assert got == {f"s{k}@x": (20, True) for k in range(3)}
+
+    messages = events.select(F.col("event_id").alias("message_id"), F.to_date("occurred_at").alias("day"), F.col("verdict").alias("body"))
+    messages.coalesce(1).write.parquet(str(tmp_path / "m"))
+    for n in range(2):  # a second run from scratch adds nothing
+        q = ingest.store(ingest.message_stream(spark, str(tmp_path / "m"), "message_id long, day date, body string"), [rules.Rule("bad", lambda t: F.col("body") == "malicious")], str(tmp_path / "out"), str(tmp_path / f"cp{n}"))
+        q.awaitTermination(120)
+    stored = spark.read.parquet(str(tmp_path / "out/verdicts"))
+    assert stored.count() == 60 and stored.where("verdict = 'malicious'").count() == 12
+    watch = spark.createDataFrame([("a", dt.datetime(2024, 1, 1), 0, None), ("b", dt.datetime(2024, 1, 1), 4, dt.datetime(2024, 1, 1)), ("c", dt.datetime(2024, 1, 1), 1, dt.datetime(2024, 1, 1, 9))], "url string, added_at timestamp, attempts int, last_at timestamp")
+    assert [r.url for r in ingest.due_visits(watch, F.lit(dt.datetime(2024, 1, 1, 12))).collect()] == ["a"]
+
+
+def test_learning(spark):
+    rng = random.Random(3)
+    rows = [(i, int(rng.random() < 0.9), rng.randint(0, 1), 1) if i % 2 else (i, int(rng.random() < 0.1), rng.randint(0, 1), 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "message_id long, signal int, noise int, label int")
+    model = learn.train(df, ["signal", "noise"])
+    assert model["useful"] and learn.explain(model, 1)[0][0] == "signal"
+    assert learn.score(df, model).where("score between 0 and 1").count() == 400
+    with pytest.raises(ValueError):
+        learn.train(df.limit(20), ["signal"])
