@@ -195,3 +195,46 @@ def test_learning(spark):
     assert learn.score(df, model).where("score between 0 and 1").count() == 400
     with pytest.raises(ValueError):
         learn.train(df.limit(20), ["signal"])
+
+
+def test_insights(spark):
+    from parapet.operators import insights
+
+    df = mail.parse(spark.createDataFrame([(1, bytearray(RAW))], "id long, raw binary"))
+    row = insights.insights(df, ["id"]).first()
+    assert row.warnings == ["spf_fail", "fake_reply"] and row.context == ["quoted_thread"]
+    hops = spark.range(1).select(insights.origin(F.array(F.lit("from x [10.0.0.1] by y"), F.lit("from e [203.0.113.9] by x [192.168.1.1]")))).first()[0]
+    assert hops == "203.0.113.9"
+    links = spark.createDataFrame([(1, "https://a.shop.test/x"), (1, "https://b.other.test/")], "message_id long, href string")
+    whois = spark.createDataFrame([("shop.test", dt.datetime(2024, 1, 1))], "domain string, registered_at timestamp")
+    got = {r.host: (r.registered_at is not None, r.missing) for r in insights.registration_of_links(links, whois).collect()}
+    assert got == {"a.shop.test": (True, None), "b.other.test": (False, "whois")}
+
+
+def test_archives(spark):
+    import gzip
+    import io
+    import zipfile
+
+    from parapet.sources import archives
+
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("word/vbaProject.bin", b"x")
+    outer = io.BytesIO()
+    with zipfile.ZipFile(outer, "w") as z:
+        z.writestr("a.docm", inner.getvalue())
+        z.writestr("b.txt", b"hello")
+    rows = [(1, bytearray(outer.getvalue())), (2, bytearray(gzip.compress(b"data"))), (3, bytearray(b"plain")), (4, None), (5, bytearray(b"PK\x03\x04broken"))]
+    found = archives.expand(spark.createDataFrame(rows, "id long, raw binary"), "id", "raw")
+    got = {(r.id, r.path, r.depth, r.error is None) for r in found.collect()}
+    assert got == {(1, "a.docm", 1, True), (1, "a.docm/word/vbaProject.bin", 2, True), (1, "b.txt", 1, True), (2, "content", 1, True), (5, "", 1, False)}
+    assert {r.id: r.macros for r in archives.office_signs(found, "id").collect()}[1]
+
+
+def test_markup(spark):
+    from parapet.functions import markup
+
+    page = '<html><head><title>t</title><style>p{}</style></head><body><p>One &amp; two</p><div style="display:none">secret</div><a href="https://x.test/a"><b>go</b></a></body></html>'
+    h = spark.range(1).select(markup.parse_html(F.lit(page)).alias("h"), markup.xpath_texts(F.lit("<a><b>1</b><b>2</b></a>"), "a/b/text()").alias("x")).first()
+    assert (h.h.inner_text, h.h.display_text, [tuple(x) for x in h.h.links], h.x) == ("One & two\nsecret\ngo", "One & two\ngo", [("https://x.test/a", "go")], ["1", "2"])
