@@ -113,7 +113,7 @@ def marked_bits(df: DataFrame, column: str, bits: int):
     place = F.expr(f"(`{column}` & {(1 << bits) - 1}L) + 1")  # the bitmap functions count from 1
     slices = df.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for bucket, found in slices.toLocalIterator():
+    for bucket, found in slices.collect():  # of bounded size
         at = (bucket - 1) << 12
         out[at : at + len(found)] = np.frombuffer(found, np.uint8)
     return df.sparkSession.sparkContext.broadcast(out)

@@ -114,7 +114,7 @@ def _rows(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lowered = [x.encode().lower() for x in texts_of(b.column(1))]  # bytes.lower changes A-Z only
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(x).hexdigest() for x in lowered], pa.string()), pa.array([len(x) for x in lowered], pa.int64())], names=["doc_id", "text_sha256", "n_bytes"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(x).hexdigest() for x in lowered], pa.string()), pa.array([len(x) for x in lowered], pa.int64()), b.column(2)], names=["doc_id", "text_sha256", "n_bytes", "row_key"])
 
 
 def _own_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,14 +136,21 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _rows(index)
 
 
+def row_key(docs: DataFrame):
+    """The same for rows alike in doc_id and text, null or not."""
+    return F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text, any more columns): doc_id, keep_id, group_size, kept, text_sha256. An empty table gives no rows."""
-    marks = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_digests, "doc_id long, text_sha256 string, n_bytes long"), "digests")
-    groups = marks.mapInArrow(_own_copies, ROWS).repartition(F.col("text_sha256")).mapInArrow(_shard, ROWS)
-    return marks.select("doc_id", "text_sha256").join(groups.drop("n_bytes"), "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    """Per row of docs (doc_id, text, any more columns): doc_id, keep_id, group_size, kept, text_sha256, row_key. An empty table gives no rows."""
+    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), row_key(docs).alias("row_key"))
+    marks = stored(plain.mapInArrow(_digests, "doc_id long, text_sha256 string, n_bytes long, row_key long"), "digests")
+    groups = marks.drop("row_key").mapInArrow(_own_copies, ROWS).repartition(F.col("text_sha256")).mapInArrow(_shard, ROWS)
+    return marks.select("doc_id", "text_sha256", "row_key").join(groups.drop("n_bytes"), "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "row_key")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that lose; its columns stay as they are. Rows without a doc_id stay only if no other copy has one."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """docs without the rows that lose; of rows alike in doc_id and text one stays. Columns stay as they are."""
+    kept = exact_groups(docs).where("kept").select(F.col("row_key").alias("_row_key")).distinct()
+    keyed = docs.withColumn("_row_key", row_key(docs)).join(kept, "_row_key", "left_semi")
+    return keyed.dropDuplicates(["_row_key", "doc_id", "text"]).select(docs.columns)

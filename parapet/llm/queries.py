@@ -25,7 +25,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.linked(read_table(spark, sf_dir, "documents"))
+    return jaccard.linked(read_table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_groups(read_table(spark, sf_dir, "documents"))
+    return exact.exact_groups(read_table(spark, sf_dir, "documents")).drop("row_key")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,3 +114,33 @@ z as (select u.doc_id, u.i, u.line, w.k is not null as worded, x.k is not null a
 select doc_id, count(*) filter (where worded) as n_lines, count(*) filter (where gone) as n_removed,
     sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256 from z group by doc_id""",
 }
+
+
+def _secret_sql() -> str:
+    def both(word: str) -> str:
+        return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+    words = "|".join(both(w).replace("_", "_?") for w in ("password", "passwd", "secret", "token", "api_key"))
+    kinds = [
+        ("assign", f"({words})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 6),
+        ("access", "AKIA[A-Z0-9]+", 0, 20),
+        ("hex", "[0-9a-f]{24,}", 0, 0),
+        ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+        ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+        ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+        ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*", 0, 0),
+        ("stripe", "[sr]k_live_[A-Za-z0-9]{16,}", 0, 0),
+    ]
+    parts = " union all ".join(f"select r, '{k}' as kind, {n} as number, {least} as least, regexp_extract_all(text, '{p}') as m, regexp_extract_all(text, '{p}', {g}) as v, string_split_regex(text, '{p}') as gaps from d" for n, (k, p, g, least) in enumerate(kinds))
+    return f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+f as ({parts}),
+u as (select r, kind, number, least, generate_subscripts(m, 1) as i, unnest(m) as match, unnest(v) as value, unnest(gaps[1:len(m)]) as gap from f where len(m) > 0),
+p as (select *, sum(length(gap) + length(match)) over (partition by r, number order by i) as stop from u),
+s as (select r, number, kind, (stop - length(match))::bigint as start, kind || ':' || (stop - length(match))::bigint || ':' || stop::bigint as span from p where length(value) >= least),
+g as (select r, count(*) filter (where number = 0) as n_assign, count(*) filter (where number = 1) as n_access, count(*) filter (where number = 2) as n_hex,
+    string_agg(span, ',' order by start, number) filter (where number < 3) as base, string_agg(span, ',' order by start, number) as spans from s group by r)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (r)"""
+
+
+ORACLE_SQL["op3_secret_scan"] = _secret_sql()
