@@ -8,7 +8,8 @@ are sent only to the shards that can match them:
    are counted over the corpus and those of several documents are marked in a bitmap of fixed size (2**28 bits, built from sums over
    the cluster). When it fills up, more stretches go on to the next step; the result stays the same.
 2. The stretches of words whose windows share a marked anchor (13 to 21 words) are sent to the shard of that anchor: each distinct
-   stretch once, with its smallest doc_id, so a passage that a third of all documents carry is one row.
+   stretch once, with its smallest doc_id, so a passage that a third of all documents carry is one row. Where an anchor is in very
+   many documents, its windows go one by one to shards by their own hash, so that no shard gets all that surrounds a hot passage.
 3. A shard takes its stretches by rising doc_id. Each is streamed through the suffix automaton of those before it; where the matching
    statistic is 13 or more, the state of the 13-word suffix names the first document that had it. Then it is added.
 4. The first documents go back to all documents that have the stretch, which mark their windows; marked words are removed.
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from parapet.llm._shared import grams, is_marked, marked_bits, stored, texts_of, word_codes
 
 RUN, BITS = 5, 28
+HOT, KNOWN_HOT = 1000, 65_536  # documents from which an anchor is hot; so many are known, a megabyte at most for each executor
 
 
 def anchors(codes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +112,7 @@ def _anchor_counts(window: int):
 
         def rows() -> pa.RecordBatch:
             value, n = np.unique(np.concatenate(pending), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(value), pa.array(np.minimum(n, 2).astype(np.int8))], names=["anchor", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(value), pa.array(n, pa.int64())], names=["anchor", "n"])
 
         for b in batches:
             for text in texts_of(b.column(0)):
@@ -130,7 +132,7 @@ def _anchor_counts(window: int):
 PARTS = "doc_id long, text_key long, start int, anchor long, stretch long, words binary"
 
 
-def _stretches(window: int, marked):
+def _stretches(window: int, marked, hot):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with a place (doc_id, text_key, start) for each stretch, and rows with the words and smallest doc_id of each distinct one."""
         known, bits = {}, marked.value
@@ -156,9 +158,13 @@ def _stretches(window: int, marked):
                 first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                 last = np.append(first[1:], len(at))
                 data = code.astype("<u4").tobytes()
-                for i, j in zip(first[hit[first]].tolist(), last[hit[first]].tolist(), strict=True):
+                spread = hit & np.isin(anchor, hot.value)
+                parts = [(i, j, int(anchor[i])) for i, j in zip(first[(hit & ~spread)[first]].tolist(), last[(hit & ~spread)[first]].tolist(), strict=True)]
+                parts += [(i, i + 1, None) for i in np.flatnonzero(spread).tolist()]
+                for i, j, shard in parts:
                     words = data[4 * i : 4 * (j + window - 1)]
-                    k = (int(anchor[i]), xxhash.xxh3_64_intdigest(words) - (1 << 63))
+                    code_of = xxhash.xxh3_64_intdigest(words) - (1 << 63)
+                    k = (code_of if shard is None else shard, code_of)
                     had = known.get(k)
                     if had is None or doc < had[0]:
                         known[k] = (doc, words)
@@ -222,16 +228,19 @@ def _removed(window: int):
     return remove
 
 
-def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 13, hot_from: int = HOT) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_text (kept words joined by one space)."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = plain.withColumn("text_key", F.xxhash64("text"))
     judged = keyed.where("doc_id is not null")
-    counts = judged.select("text").mapInArrow(_anchor_counts(window), "anchor long, n byte")
+    counts = judged.select("text").mapInArrow(_anchor_counts(window), "anchor long, n long")
     repeated = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    repeated = stored(repeated, "repeated")
     marked = marked_bits(repeated, "anchor", BITS)  # 32 MB, whatever the corpus
+    frequent = repeated.where(F.col("n") >= hot_from).orderBy(F.desc("n"), "anchor").limit(KNOWN_HOT).collect()
+    hot = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r["anchor"] for r in frequent), np.int64))
 
-    parts = stored(judged.select("doc_id", "text_key", "text").mapInArrow(_stretches(window, marked), PARTS), "stretches")
+    parts = stored(judged.select("doc_id", "text_key", "text").mapInArrow(_stretches(window, marked, hot), PARTS), "stretches")
     distinct = parts.where("words is not null").groupBy("anchor", "stretch").agg(F.min("doc_id").alias("doc_id"), F.any_value("words").alias("words"))
     shards = distinct.select("anchor", "stretch", "doc_id", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "stretch")
     firsts = shards.mapInArrow(_shard(window), "anchor long, stretch long, firsts array<long>")

@@ -58,11 +58,11 @@ def test_exact(docs, none):
     for low, ids in groups.items():
         keep = max((i for i in ids if i is not None), default=None)
         want.update((i, keep, len(ids), i == keep, sha(low)) for i in ids)
-    assert Counter(map(tuple, exact.exact_groups(docs).collect())) == want
+    assert Counter(tuple(r)[:5] for r in exact.exact_groups(docs).collect()) == want
     assert exact.exact_groups(none).count() == 0
     kept = exact.drop_copies(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {k for _, k, *_ in want}
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(k for k in {(k, s) for _, k, _, _, s in want} for k in k[:1])
 
 
 def test_cuckoo_index_keeps_what_is_live():
@@ -209,7 +209,7 @@ def lowered(rows):
 
 @pytest.mark.parametrize("longest", [64, 2])
 def test_jaccard(docs, none, longest):
-    assert Counter(map(tuple, jaccard.linked(docs, longest=longest).collect())) == brute_jaccard(lowered(texts()))
+    assert Counter(tuple(r)[:3] for r in jaccard.linked(docs, longest=longest).collect()) == brute_jaccard(lowered(texts()))
     assert jaccard.linked(none).count() == 0
 
 
@@ -225,11 +225,12 @@ def test_jaccard_chains_of_near_copies(spark, longest):
             body = [*body[:at], f"n{rng.random()}", *body[at + 1 :]]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert Counter(map(tuple, jaccard.linked(df, longest=longest).collect())) == brute_jaccard(rows)
+    assert Counter(tuple(r)[:3] for r in jaccard.linked(df, longest=longest).collect()) == brute_jaccard(rows)
     assert jaccard.keep_one(df).count() == len({c for _, _, c in brute_jaccard(rows)})
 
 
-def test_substring(docs, none):
+@pytest.mark.parametrize("hot_from", [1000, 2])
+def test_substring(docs, none, hot_from):
     rows = texts()
     first = {}
     for i, t in rows:
@@ -243,7 +244,7 @@ def test_substring(docs, none):
         w = words(t)
         gone = {k + j for k in range(len(w) - 12) if i is not None and first[tuple(w[k : k + 13])] < i for j in range(13)}
         want[(i, len(w), len(gone), sha(b" ".join(x for k, x in enumerate(w) if k not in gone)))] += 1
-    assert Counter(map(tuple, substring.report(docs).collect())) == want
+    assert Counter((r.doc_id, r.n_words, r.n_removed, sha(r.kept_text)) for r in substring.without_repeats(docs, hot_from=hot_from).collect()) == want
     assert substring.report(none).count() == 0
 
 
