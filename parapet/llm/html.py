@@ -28,11 +28,13 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style noscript template textarea iframe svg canvas object select".split())
 FURNITURE = set("nav footer aside form button head dialog menu label fieldset noscript".split())
 CLOSED_BY = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
-HINTS = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|comment|comments|commentlist|disqus|respond|replies|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|toolbar|topbar|masthead|header|footer|foot|copyright|related|recommended|share|sharing|social|newsletter|subscribe|subscription|signup|login|search|popup|modal|overlay|notice|notices|alert|widget|skip)(?:$|[\s_-])", re.I)
+HINTS = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|comment|comments|commentlist|disqus|respond|replies|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|related|recommended|share|sharing|social|newsletter|subscribe|subscription|signup|login|search|popup|modal|overlay|notice|notices|alert|widget|skip)(?:$|[\s_-])", re.I)
+PAGE_HINTS = re.compile(r"(?:^|[\s_-])(?:toolbar|topbar|masthead|header|footer|foot|copyright)(?:$|[\s_-])", re.I)  # of a page, but not of its article
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+CONTAINERS = {"div", "section", "td", "body", "article", "main"}
 WINDOW, THRESHOLD, LINKS = 3, 80, 0.6
 
 
@@ -44,13 +46,15 @@ def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
         return True
-    return found.get("role", "").lower() in ROLES or any(HINTS.search(found.get(a, "")) for a in ("class", "id"))
+    names = [found.get(a, "") for a in ("class", "id")]
+    return found.get("role", "").lower() in ROLES or any(HINTS.search(x) for x in names) or (not inside and any(PAGE_HINTS.search(x) for x in names))
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
-    """(text, furniture, in an article, in the main part) of each block."""
-    out: list[tuple[str, bool, bool, bool]] = []
+def lines_of(page: str) -> list[tuple[str, bool, bool, bool, int]]:
+    """(text, furniture, in an article, in the main part, where the enclosing container starts) of each block."""
+    out: list[tuple[str, bool, bool, bool, int]] = []
     stack: list[tuple[str, bool]] = []
+    containers = [0]
     parts: list[str] = []
     counts = {"furniture": 0, "article": 0, "main": 0, "a": 0}
     linked = 0
@@ -59,7 +63,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append((text, counts["furniture"] > 0 or linked > LINKS * len(text), counts["article"] > 0, counts["main"] > 0))
+            out.append((text, counts["furniture"] > 0 or (counts["article"] + counts["main"] == 0 and linked > LINKS * len(text)), counts["article"] > 0, counts["main"] > 0, containers[-1]))
         parts.clear()
         linked = 0
 
@@ -71,6 +75,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
     def pop() -> str:
         name, furniture = stack.pop()
         shift(name, furniture, -1)
+        if name in CONTAINERS:
+            containers.pop()
         return name
 
     at = 0
@@ -110,6 +116,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
             continue
         furniture = _is_furniture(name, m[3], counts["article"] + counts["main"] > 0)
         stack.append((name, furniture))
+        if name in CONTAINERS:
+            containers.append(at)
         shift(name, furniture, 1)
     close_line()
     return out
@@ -119,9 +127,9 @@ def main_text(page: str) -> str:
     lines = lines_of(page)
     for place in (2, 3):
         if any(x[place] and not x[1] for x in lines):
-            lines = [(t, f or not x, a, x) if place == 3 else (t, f or not a, a, x) for t, f, a, x in lines]
+            lines = [(x[0], x[1] or not x[place], *x[2:]) for x in lines]
             break
-    lengths = [0 if f else len(t) for t, f, _, _ in lines]
+    lengths = [0 if x[1] else len(x[0]) for x in lines]
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
     stretches, start = [], None
     for i in range(len(lines) + 1):  # from gap to gap
@@ -135,6 +143,9 @@ def main_text(page: str) -> str:
     kept = [s for s in stretches if s[0] >= THRESHOLD] or [max(stretches)]
     if any(lines[i][2] or lines[i][3] for _, i, _ in kept):
         kept = stretches  # inside the marked part every stretch counts
+    else:  # a short stretch beside a kept one, in the same container, is what follows a gap inside the text
+        held = {lines[i][4] for _, a, b in kept for i in range(a, b)}
+        kept = [s for s in stretches if s in kept or any(lines[i][4] in held for i in range(s[1], s[2]))]
     return "\n".join(lines[i][0] for _, a, b in kept for i in range(a, b))
 
 
