@@ -4,6 +4,7 @@ The named method broadcasts automata of reference shards and streams every docum
 reference for all later ones, so that would read the corpus once for each shard; instead shards are cut by content and documents
 are sent only to the shards that can match them:
 
+0. Of texts that are wholly equal only the one with the smallest doc_id is searched; the others lose every word that has a window.
 1. Each 13-word window has an anchor, the smallest of the codes of its nine 5-word runs. Equal windows have equal anchors. Anchors
    are counted over the corpus and those of several documents are marked in a bitmap of fixed size (2**28 bits, built from sums over
    the cluster). When it fills up, more stretches go on to the next step; the result stays the same.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from parapet.llm._shared import grams, is_marked, marked_bits, stored, texts_of, word_codes
 
 RUN, BITS = 5, 28
-HOT, KNOWN_HOT = 1000, 65_536  # documents from which an anchor is hot; so many are known, a megabyte at most for each executor
+HOT, KNOWN_HOT = 10_000, 65_536  # documents from which an anchor is hot; so many are known, a megabyte at most for each executor
 
 
 def anchors(codes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +107,7 @@ class SuffixAutomaton:
         return out
 
 
-def _anchor_counts(window: int):
+def _anchor_counts(window: int, heads):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, size = [], 0
 
@@ -115,7 +116,8 @@ def _anchor_counts(window: int):
             return pa.RecordBatch.from_arrays([pa.array(value), pa.array(n, pa.int64())], names=["anchor", "n"])
 
         for b in batches:
-            for text in texts_of(b.column(0)):
+            head = pa.array(is_marked(heads.value, b.column(0).to_numpy()))
+            for text in texts_of(b.column(1).filter(head)):
                 _, code = anchors(word_codes(text.encode()), window)
                 if len(code):
                     pending.append(np.unique(code))
@@ -132,7 +134,7 @@ def _anchor_counts(window: int):
 PARTS = "doc_id long, text_key long, start int, anchor long, stretch long, words binary"
 
 
-def _stretches(window: int, marked, hot):
+def _stretches(window: int, heads, marked, hot):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with a place (doc_id, text_key, start) for each stretch, and rows with the words and smallest doc_id of each distinct one."""
         known, bits = {}, marked.value
@@ -147,6 +149,7 @@ def _stretches(window: int, marked, hot):
 
         for b in batches:
             docs, keys, starts, codes_out, hashes = [], [], [], [], []
+            b = b.filter(pa.array(is_marked(heads.value, b.column(3).to_numpy())))
             for doc, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
                 code = word_codes(text.encode())
                 at, anchor = anchors(code, window)
@@ -213,12 +216,14 @@ def _removed(window: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, kept = [], [], []
-            for text, starts in zip(texts_of(b.column(1)), b.column(2).to_pylist(), strict=True):
+            for text, starts, copy in zip(texts_of(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 words = text.encode().split()
                 step = np.zeros(len(words) + 1, np.int64)
                 at = np.unique(np.array(starts or [], np.int64))
+                if copy and len(words) >= window:
+                    at = np.arange(len(words) - window + 1)
                 step[at] += 1
-                np.add.at(step, at + window, -1) if len(at) else None
+                np.add.at(step, at + window, -1)
                 cover = np.cumsum(step[:-1]) > 0
                 n.append(len(words))
                 gone.append(int(cover.sum()))
@@ -232,23 +237,31 @@ def without_repeats(docs: DataFrame, window: int = 13, hot_from: int = HOT) -> D
     """Per row: doc_id, n_words, n_removed, kept_text (kept words joined by one space)."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = plain.withColumn("text_key", F.xxhash64("text"))
-    judged = keyed.where("doc_id is not null")
-    counts = judged.select("text").mapInArrow(_anchor_counts(window), "anchor long, n long")
+    # of texts that are wholly equal only the first is searched; in the others every window has been there before
+    rows = stored(keyed.where("doc_id is not null").select("doc_id", "text_key", F.xxhash64(F.lit(7), "text").alias("text_key2")), "rows")
+    whole = stored(rows.groupBy("text_key", "text_key2").agg(F.min("doc_id").alias("first_id")), "whole")
+    heads = marked_bits(whole.select(F.xxhash64("first_id", "text_key").alias("row_key")), "row_key", 26)
+    copies = rows.join(whole, ["text_key", "text_key2"]).where("doc_id > first_id").select("doc_id", "text_key", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy"))
+
+    judged = keyed.where("doc_id is not null").withColumn("row_key", F.xxhash64("doc_id", "text_key"))
+    counts = judged.select("row_key", "text").mapInArrow(_anchor_counts(window, heads), "anchor long, n long")
     repeated = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     repeated = stored(repeated, "repeated")
     marked = marked_bits(repeated, "anchor", BITS)  # 32 MB, whatever the corpus
     frequent = repeated.where(F.col("n") >= hot_from).orderBy(F.desc("n"), "anchor").limit(KNOWN_HOT).collect()
     hot = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r["anchor"] for r in frequent), np.int64))
 
-    parts = stored(judged.select("doc_id", "text_key", "text").mapInArrow(_stretches(window, marked, hot), PARTS), "stretches")
+    parts = stored(judged.select("doc_id", "text_key", "text", "row_key").mapInArrow(_stretches(window, heads, marked, hot), PARTS), "stretches")
     distinct = parts.where("words is not null").groupBy("anchor", "stretch").agg(F.min("doc_id").alias("doc_id"), F.any_value("words").alias("words"))
     shards = distinct.select("anchor", "stretch", "doc_id", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "stretch")
     firsts = shards.mapInArrow(_shard(window), "anchor long, stretch long, firsts array<long>")
     places = parts.where("words is null").select("doc_id", "text_key", "start", "anchor", "stretch")
     late = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
-    hits = places.join(firsts, ["anchor", "stretch"]).select("doc_id", "text_key", late.alias("starts")).where(F.size("starts") > 0)
-    per_text = hits.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts"))  # no more than the text's windows, for each row of that id and text
-    return keyed.join(per_text, ["doc_id", "text_key"], "left").select("doc_id", "text", "starts").mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    hits = places.join(firsts, ["anchor", "stretch"]).select("doc_id", "text_key", late.alias("starts"), F.lit(False).alias("copy")).where(F.size("starts") > 0)
+    # no more than the text's windows, for each row of that id and text
+    per_text = hits.unionByName(copies).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.bool_or("copy").alias("copy"))
+    marked_texts = keyed.join(per_text, ["doc_id", "text_key"], "left").select("doc_id", "text", "starts", "copy")
+    return marked_texts.mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def report(docs: DataFrame) -> DataFrame:
