@@ -50,7 +50,7 @@ def format_turn(role: str, text: str) -> tuple[str, int, int]:
     return head + body + CLOSE, len(head), len(head) + len(body)
 
 
-TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<#]|\\.|<(?!/turn>)|#(?!##))*) </turn>\n", re.S)
+TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<#]|\\(?:###|</turn>|\\)|<(?!/turn>)|#(?!##))*) </turn>\n", re.S)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
