@@ -28,7 +28,7 @@ from parapet.llm.tokens import byte_vocabulary
 
 #: The characters with Unicode's White_Space property, as a regular expression class.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-MOST_PIECES = 700_000
+MOST_PIECES = 500_000
 
 
 class MergeReplay:
@@ -107,14 +107,13 @@ class MergeReplay:
         upto = np.cumsum(live)[ends - 1]
         return np.split(token[:n][live], upto[:-1])
 
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """Pieces of each text; all of them are known afterwards: (ids joined by spaces, decoded bytes)."""
+    def learn(self, texts: list[str]) -> None:
+        """All pieces of the texts are known afterwards: (ids joined by spaces, decoded bytes)."""
         if len(self.known) > MOST_PIECES:
             self.known.clear()
-        cut = [self.coarse.findall(t) for t in texts]
         new: set[str] = set()
-        for pieces in cut:
-            new.update(pieces)
+        for t in texts:
+            new.update(self.coarse.findall(t))
         new = {p for p in new if p not in self.known}
         split = {p: self.words(p) for p in new}
         words = list({w for ws in split.values() for w in ws})
@@ -125,7 +124,6 @@ class MergeReplay:
             raw[w] = b"".join([self.token[i] for i in found])
         for p, ws in split.items():
             self.known[p] = (" ".join([ids[w] for w in ws]), b"".join([raw[w] for w in ws]))
-        return cut
 
 
 @lru_cache(maxsize=2)
@@ -141,9 +139,9 @@ def encode_and_decode(docs: DataFrame, ranks_path: str) -> DataFrame:
         for b in batches:
             texts = texts_of(b.column(1))
             n, ids_sha, raw_sha = [], [], []
-            cut = replay.learn(texts)
-            for pieces in cut:
-                both = [replay.known[p] for p in pieces]
+            replay.learn(texts)
+            for text in texts:
+                both = [replay.known[p] for p in replay.coarse.findall(text)]
                 ids = " ".join([x for x, _ in both])
                 n.append(ids.count(" ") + 1 if ids else 0)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
