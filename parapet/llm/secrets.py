@@ -19,6 +19,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parapet.llm._shared import let
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -113,8 +115,8 @@ def _candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     needs = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     rows = [(t, kind, c, a, len(alternative), len(q)) for kind, q in needs.items() for c, clause in enumerate(q) for a, alternative in enumerate(clause) for t in alternative]
     query = texts.sparkSession.createDataFrame(rows, "trigram string, kind string, clause int, alternative int, n_trigrams int, n_clauses int")  # bounded by the rules
-    low = F.lower("text")
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in sorted({r[0] for r in rows})]))
+    trigrams = sorted({r[0] for r in rows})
+    found = F.array_compact(let(F.lower("text"), lambda low: F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams])))  # lower-cased once
     postings = texts.select("key", F.explode(found).alias("trigram"))
     hits = postings.join(F.broadcast(query), "trigram").groupBy("key", "kind", "clause", "alternative", "n_trigrams", "n_clauses").agg(F.count_distinct("trigram").alias("n"))
     clauses = hits.where(F.col("n") == F.col("n_trigrams")).groupBy("key", "kind", "n_clauses").agg(F.count_distinct("clause").alias("n"))
