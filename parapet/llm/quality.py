@@ -3,7 +3,7 @@
 Each line with a word is held against three rules: punctuation (marks and symbols outweigh words, or no letter at all),
 navigation (a row of separators) and boilerplate (stock phrases). Lines that fail are removed; a document fails if the base rules
 fail it (fewer than 10 words, or over a fifth of the words in repeated 5-word windows) or if it loses more than `most_lost` per
-cent of the characters of its lines.
+cent of the characters of its lines to the first two (a stock phrase below a sound text is no fault of it).
 
 Words are runs of characters other than space and U+0009-000D. Null and empty texts have no words and are not kept. Rows are judged
 each on its own: repeated rows, a null doc_id and columns with other names change nothing. An empty table gives no rows.
@@ -24,13 +24,17 @@ SEPARATORS = r"[|»›•·]"
 WINDOW = 5
 
 
-def line_fails(line: Column) -> Column:
+def line_is_junk(line: Column) -> Column:
     words = F.regexp_count(line, F.lit(WORD + "+"))
     marks = F.regexp_count(line, F.lit(r"[#*$%&|<>{}\[\]~^=_\\]|!!|\?\?"))
     punctuation = (F.rlike(line, F.lit(WORD)) & ~F.rlike(line, F.lit(r"\p{L}"))) | ((marks >= 3) & (10 * marks > 3 * words))
     bars = F.regexp_count(line, F.lit(SEPARATORS))
     navigation = (bars >= 3) & (10 * bars > 2 * words)
-    return punctuation | navigation | F.rlike(line, F.lit(BOILERPLATE))
+    return F.coalesce(punctuation | navigation, F.lit(False))
+
+
+def line_is_stock(line: Column) -> Column:
+    return F.coalesce(F.rlike(line, F.lit(BOILERPLATE)), F.lit(False))
 
 
 def repeated_words(words: Column) -> Column:
@@ -62,14 +66,14 @@ def judged(docs: DataFrame, most_lost: int = 20) -> DataFrame:
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         repeated_words(words).alias("n_repeat_words"),
-        F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), F.coalesce(line_fails(x), F.lit(False)).alias("fails"))).alias("lines"),
+        F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), line_is_junk(x).alias("junk"), line_is_stock(x).alias("stock"))).alias("lines"),
     )
 
     def verdict(q: Column) -> Column:
         failed = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
         chars = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a + F.length(x["line"]))
-        lost = chars(F.filter(q["lines"], lambda x: x["fails"]))
-        good = F.array_join(F.transform(F.filter(q["lines"], lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
+        lost = chars(F.filter(q["lines"], lambda x: x["junk"] & ~x["stock"]))
+        good = F.array_join(F.transform(F.filter(q["lines"], lambda x: ~(x["junk"] | x["stock"])), lambda x: x["line"]), "\n")
         return F.struct(*[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"), (~failed & (100 * lost <= most_lost * chars(q["lines"]))).alias("kept"), good.alias("cleaned_text"))
 
     return docs.withColumn("quality", let(step1, verdict))

@@ -71,7 +71,7 @@ f as (select r, line, regexp_matches(line, '[^\x20\x09-\x0D]') as has_word, leng
     regexp_matches(line, '\p{L}') as letter,
     regexp_matches(line, '(?i)(cookie policy|privacy policy|terms of (use|service)|all rights reserved|enable javascript|lorem ipsum|click here|subscribe to our|sign up for|share this|licensed under)') as stock from l),
 v as (select r, sum(chars) as chars, count(*) filter (where has_word) - count(distinct line) filter (where has_word) as n_dup_lines,
-    sum(case when (has_word and not letter) or (marks >= 3 and 10 * marks > 3 * words) or (bars >= 3 and 10 * bars > 2 * words) or stock then chars else 0 end) as lost from f group by r),
+    sum(case when not stock and ((has_word and not letter) or (marks >= 3 and 10 * marks > 3 * words) or (bars >= 3 and 10 * bars > 2 * words)) then chars else 0 end) as lost from f group by r),
 q as (select d.doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, v.n_dup_lines, coalesce(rep.n_repeat_words, 0) as n_repeat_words, v.lost, v.chars from d join v using (r) left join rep using (r)),
 z as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from q)

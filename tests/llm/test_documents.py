@@ -304,7 +304,7 @@ def test_quality_counts(docs, none):
 def test_quality_verdict_agrees_with_labels(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    rows = quality.report(spark.read.parquet(f"{folder}/documents.parquet")).join(labels, "doc_id").groupBy("quality", "kept").count().collect()
+    rows = quality.report(spark.read.parquet(f"{folder}/documents.parquet")).where("n_words >= 10").join(labels, "doc_id").groupBy("quality", "kept").count().collect()
     n = {(r["quality"], r["kept"]): r["count"] for r in rows}
     good, bad = n.get((1, True), 0) / (n.get((1, True), 0) + n.get((1, False), 0)), n.get((0, False), 0) / (n.get((0, True), 0) + n.get((0, False), 0))
     assert good > 0.98 and bad > 0.9, n
