@@ -4,7 +4,7 @@ Conversations that share their initial turns share nodes of one tree: a node is
 the digest of that sequence). Each node is formatted and tokenised once. Nodes are emitted depth-first, which is the order of their
 paths, by a sort over the cluster; a running total over that order gives each node its place in the token stream. The position id
 of a node's first token is the number of tokens of its ancestors, and its tokens attend to themselves and to the intervals of the
-stream that its ancestors fill. A first turn that many conversations share is one node, so no key carries their texts.
+stream that its ancestors fill (joined where they follow each other). A first turn that many conversations share is one node, so no key carries their texts.
 
 The template writes a turn as
 
@@ -75,24 +75,42 @@ def tokenizer(path: str):
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """conv_id, turns -> a row for each turn with the path of node ids that leads to it."""
-    names = ["conv_id", "depth", "path", "node", "parent", "role", "text"]
+    """conv_id, turns -> a row for each turn; the first also carries the path of the whole conversation."""
+    names = ["conv_id", "leaf", "depth", "path", "node", "parent", "role", "text"]
     for b in batches:
         rows = []
         for conv, turns in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            path, parent = "", ""
-            for depth, t in enumerate(turns):
-                said = f"{parent}\x00{t['role']}\x00{t['text']}"
-                node = hashlib.sha256(said.encode()).hexdigest()[:32]
-                path += node[:16]
-                rows.append((conv, depth, path, node, parent, t["role"], t["text"]))
-                parent = node
+            nodes, parent = [], ""
+            for t in turns:
+                parent = hashlib.sha256(f"{parent}\x00{t['role']}\x00{t['text']}".encode()).hexdigest()[:32]
+                nodes.append(parent)
+            path = "".join(n[:16] for n in nodes)
+            rows += [(conv, parent, depth, None if depth else path, nodes[depth], nodes[depth - 1] if depth else "", t["role"], t["text"]) for depth, t in enumerate(turns)]
         for i in range(0, len(rows), 5000):
             columns = list(zip(*rows[i : i + 5000], strict=True))
-            kinds = [pa.int64(), pa.int32(), *[pa.string()] * 5]
+            kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.string()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+def _attention(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of a conversation -> for each: tokens before it, and the intervals of the stream that it attends to. In depth-first
+    order a node's first child follows it at once, so intervals join and a conversation that shares nothing has a single one."""
+    names = ["node", "position_start", "attention"]
+    kind = pa.list_(pa.struct([("stream_start", pa.int64()), ("stream_end", pa.int64())]))
+    for b in batches:
+        rows = []
+        for steps in b.column(0).to_pylist():
+            before, spans = 0, []
+            for t in steps:
+                start, end = t["stream_start"], t["stream_start"] + t["n_tokens"]
+                spans = [*spans[:-1], (spans[-1][0], end)] if spans and spans[-1][1] == start else [*spans, (start, end)]
+                rows.append((t["node"], before, [{"stream_start": x, "stream_end": y} for x, y in spans]))
+                before += t["n_tokens"]
+        for i in range(0, len(rows), 5000):
+            columns = list(zip(*rows[i : i + 5000], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), kind), strict=True)], names=names)
+
+
 def _emitted(path: str):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode_batch
@@ -102,7 +120,7 @@ def _emitted(path: str):
             masked = [r == MASKED for r in b.column(4).to_pylist()]
             lo = pa.array([x if m else None for (_, x, _), m in zip(done, masked, strict=True)], pa.int32())
             hi = pa.array([x if m else None for (_, _, x), m in zip(done, masked, strict=True)], pa.int32())
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), lo, hi], names=["node", "parent", "depth", "path", "ids", "n_tokens", "loss_from", "loss_to"])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), lo, hi], names=["node", "parent", "depth", "rank", "ids", "n_tokens", "loss_from", "loss_to"])
 
     return emit
 
@@ -110,23 +128,25 @@ def _emitted(path: str):
 def prefix_tree(conversations: DataFrame, tokenizer_path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, members).
 
-    nodes: node, parent, depth, path, ids, n_tokens, loss_from, loss_to (code points of the masked text in the formatted turn),
+    nodes: node, parent, depth, rank, ids, n_tokens, loss_from, loss_to (code points of the masked text in the formatted turn),
     stream_start (place of the first token in the depth-first stream), position_start, attention (intervals of the stream, root first,
-    the node's own last). members: conv_id, depth, node.
+    the last ends with the node's own tokens; neighbours are joined). members: conv_id, depth, node.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     grouped = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    steps = stored(grouped.mapInArrow(_paths, "conv_id long, depth int, path string, node string, parent string, role string, text string"), "turns")
-    distinct = steps.groupBy("node", "parent", "depth", "path").agg(F.any_value("role").alias("role"), F.any_value("text").alias("text"))
-    schema = "node string, parent string, depth int, path string, ids array<int>, n_tokens long, loss_from int, loss_to int"
-    emitted = running_total(distinct.mapInArrow(_emitted(tokenizer_path), schema), ["path", "node"], "n_tokens", "stream_start", "stream")
+    steps = stored(grouped.mapInArrow(_paths, "conv_id long, leaf string, depth int, path string, node string, parent string, role string, text string"), "turns")
+    # depth-first: conversations by their paths; a node comes where the first conversation that has it comes, by depth
+    paths = steps.where("path is not null").groupBy("leaf").agg(F.min("path").alias("path")).withColumn("one", F.lit(1).cast("long"))
+    ranks = running_total(paths, ["path", "leaf"], "one", "rank", "paths").select("leaf", "rank")
+    distinct = steps.join(ranks, "leaf").groupBy("node", "parent", "depth").agg(F.min("rank").alias("rank"), F.any_value("role").alias("role"), F.any_value("text").alias("text"))
+    distinct = distinct.select("node", "parent", "depth", "rank", "role", "text")
+    schema = "node string, parent string, depth int, rank long, ids array<int>, n_tokens long, loss_from int, loss_to int"
+    emitted = running_total(distinct.mapInArrow(_emitted(tokenizer_path), schema), ["rank", "depth"], "n_tokens", "stream_start", "stream")
     emitted = stored(emitted, "nodes")
-    # a node's ancestors are the prefixes of its path
-    spans = emitted.select(F.col("path").alias("up"), F.struct("stream_start", (F.col("stream_start") + F.col("n_tokens")).alias("stream_end")).alias("span"))
-    ups = emitted.select("node", F.explode(F.transform(F.sequence(F.lit(0), "depth"), lambda k: F.substring(F.col("path"), F.lit(1), (k + 1) * 16))).alias("up"))
-    seen = ups.join(spans, "up").groupBy("node").agg(F.sort_array(F.collect_list("span")).alias("attention"))
-    before = F.aggregate("attention", F.lit(0).cast("long"), lambda a, x: a + x["stream_end"] - x["stream_start"])
-    nodes = emitted.join(seen, "node").withColumn("position_start", before - F.col("n_tokens"))
+    places = steps.select("leaf", "depth", "node").distinct().join(emitted.select("node", "stream_start", "n_tokens"), "node")
+    walks = places.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "stream_start", "n_tokens"))).alias("steps"))
+    seen = walks.select("steps").mapInArrow(_attention, "node string, position_start long, attention array<struct<stream_start:bigint,stream_end:bigint>>")
+    nodes = emitted.join(seen.groupBy("node").agg(F.any_value("position_start").alias("position_start"), F.any_value("attention").alias("attention")), "node")
     return nodes, steps.select("conv_id", "depth", "node")
 
 

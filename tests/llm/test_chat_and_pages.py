@@ -54,14 +54,21 @@ def test_prefix_tree(spark):
     found = {r.node: r for r in nodes.collect()}
     assert len(found) < members.count()  # shared turns are emitted once
     at = 0
-    for r in sorted(found.values(), key=lambda r: (r.path, r.node)):  # depth-first, without gaps
+    for r in sorted(found.values(), key=lambda r: (r.rank, r.depth)):  # depth-first, without gaps
         assert r.stream_start == at and r.n_tokens == len(r.ids)
         at += r.n_tokens
-        up, spans = r, []
+        up, own = r, set()
         while up:
-            spans.insert(0, (up.stream_start, up.stream_start + up.n_tokens))
+            own |= set(range(up.stream_start, up.stream_start + up.n_tokens))
             up = found.get(up.parent)
-        assert [tuple(x) for x in r.attention] == spans and r.position_start == sum(b - a for a, b in spans[:-1])
+        assert {k for x in r.attention for k in range(x.stream_start, x.stream_end)} == own
+        assert len(own) == sum(x.stream_end - x.stream_start for x in r.attention) == r.position_start + r.n_tokens
+    order = sorted(found.values(), key=lambda r: r.stream_start)
+    for a, b in zip(order, order[1:], strict=False):  # after a node comes its child, or a child of one of its ancestors
+        up = a
+        while up and up.node != b.parent:
+            up = found.get(up.parent)
+        assert up or not b.parent
 
 
 PAGE = """<!DOCTYPE html><html><head><title>Title &amp; more</title><style>p{margin:0}</style><script>var t="<p>x</p>";</script></head><body>
