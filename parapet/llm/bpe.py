@@ -28,7 +28,7 @@ from parapet.llm.tokens import byte_vocabulary
 
 #: The characters with Unicode's White_Space property, as a regular expression class.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-MOST_PIECES = 500_000
+MOST_PIECES = 700_000
 
 
 class MergeReplay:
@@ -44,7 +44,9 @@ class MergeReplay:
         self.pair, self.rank = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self.coarse = re.compile(f"[{WHITE}]+(?![^{WHITE}])| ?[^{WHITE}]+|[{WHITE}]")
         self.words = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")).findall
-        self.known: dict[str, tuple[str, bytes]] = {}
+        self.known: dict[str, tuple[str, bytes]] = {}  # pieces that follow a space
+        self.whole: dict[str, tuple[str, bytes]] = {}  # of this block, with their white space
+        self.odd: set[str] = {""}  # what stands between spaces and isn't a plain piece
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it is no token."""
@@ -107,14 +109,29 @@ class MergeReplay:
         upto = np.cumsum(live)[ends - 1]
         return np.split(token[:n][live], upto[:-1])
 
+    def cut(self, text: str) -> list[str]:
+        """Pieces that nothing spans: at single spaces where that is plain to see, else by the coarse pattern."""
+        parts = text.split(" ")
+        if parts[0] and not parts[0][-1].isspace() and self.odd.isdisjoint(parts[1:]):
+            return parts
+        return ["", *self.coarse.findall(text)]
+
     def learn(self, texts: list[str]) -> None:
         """All pieces of the texts are known afterwards: (ids joined by spaces, decoded bytes)."""
         if len(self.known) > MOST_PIECES:
             self.known.clear()
-        new: set[str] = set()
+            self.odd = {""}
+        known, new = self.known, set()
+        for t in texts:
+            new.update(t.split(" ")[1:])
+        self.odd.update(p for p in new if p not in known and (not p or p[0].isspace() or p[-1].isspace()))
+        new = {" " + p for p in new if p not in known and p not in self.odd}
         for t in texts:
-            new.update(self.coarse.findall(t))
-        new = {p for p in new if p not in self.known}
+            parts = self.cut(t)
+            if parts[0]:
+                new.add(parts[0])
+            else:
+                new.update(parts)
         split = {p: self.words(p) for p in new}
         words = list({w for ws in split.values() for w in ws})
         ids, raw = {}, {}
@@ -122,8 +139,18 @@ class MergeReplay:
             found = found.tolist()
             ids[w] = " ".join(map(str, found))
             raw[w] = b"".join([self.token[i] for i in found])
+        self.whole = {}
         for p, ws in split.items():
-            self.known[p] = (" ".join([ids[w] for w in ws]), b"".join([raw[w] for w in ws]))
+            both = (" ".join([ids[w] for w in ws]), b"".join([raw[w] for w in ws]))
+            if p[:1] == " " and p[1:] not in self.odd:
+                known[p[1:]] = both  # after a space
+            self.whole[p] = both
+
+    def look_up(self, text: str) -> list[tuple[str, bytes]]:
+        parts = self.cut(text)
+        if parts[0]:
+            return [self.whole[parts[0]], *map(self.known.__getitem__, parts[1:])]
+        return [self.whole[p] for p in parts[1:]]
 
 
 @lru_cache(maxsize=2)
@@ -141,8 +168,8 @@ def encode_and_decode(docs: DataFrame, ranks_path: str) -> DataFrame:
             n, ids_sha, raw_sha = [], [], []
             replay.learn(texts)
             for text in texts:
-                both = [replay.known[p] for p in replay.coarse.findall(text)]
-                ids = " ".join([x for x, _ in both])
+                both = replay.look_up(text)
+                ids = " ".join([x for x, _ in both if x])
                 n.append(ids.count(" ") + 1 if ids else 0)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 raw_sha.append(hashlib.sha256(b"".join([x for _, x in both])).hexdigest())
