@@ -301,6 +301,18 @@ def test_quality_counts(docs, none):
     assert quality.report(none).count() == 0
 
 
+def test_quality_stock_lines(spark):
+    prose = lambda a, n: " ".join(f"word{i}" for i in range(a, a + n))
+    rows = [
+        (1, "All rights reserved.\nRead our privacy policy and our terms of use here today please"),  # nothing but stock lines
+        (2, prose(0, 40) + " where you may click here to see it " + prose(40, 40)),  # one long line that mentions a phrase
+        (3, prose(0, 10) + "\nThis work is licensed under the GNU General Public License, version 3."),  # half of it is stock
+        (4, "\n".join(prose(10 * i, 10) for i in range(6)) + "\nAll rights reserved."),
+    ]
+    found = {r.doc_id: r.text for r in quality.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {2: rows[1][1], 4: rows[3][1].removesuffix("\nAll rights reserved.")}
+
+
 def test_quality_verdict_agrees_with_labels(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
