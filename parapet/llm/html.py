@@ -2,9 +2,12 @@
 
 Markup is stripped to lines, one for each block element, in page order. Lines of page furniture (menus, headers, footers, sidebars,
 notices, adverts, forms, comments: by element, by class, id or role, or because most of the line is links) are cut out and leave a
-gap. Text lengths are summed over a sliding window of lines; a surge point is where the sums rise from a gap and reach the
+gap. A form, or an element that only its class, id or role makes furniture, stays if it turns out to hold the main part, the first
+article, a headline with text, or most of the text of the page (lists of comments, adverts and related pages: only the first or the
+third). If furniture covers everything, such elements all stay. Text lengths are summed over a sliding window of lines; a surge point is where the sums rise from a gap and reach the
 threshold, a dive point is the next gap. The text between surge and dive is kept whole, short lines included. Where a page marks its
-article, or else its main part, the search stays inside it; if nothing surges, the stretch with the largest sum is taken.
+article, or else its main part, the search stays inside it and every stretch there is kept, without threshold, surge or dive (a
+short article has no sum that reaches the threshold); if nothing surges, the stretch with the largest sum is taken.
 
 A null page has no text, nor has one without any. Rows are taken each on its own; page_id and url are passed on, null or repeated. An
 empty table gives no rows. Other columns are ignored.
@@ -26,10 +29,12 @@ from parapet.llm._shared import texts_of
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul title option".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea iframe svg canvas object select".split())
-FURNITURE = set("nav footer aside form button head dialog menu label fieldset noscript".split())
+FURNITURE = set("nav footer aside button head dialog menu label noscript".split())
+FORMS = {"form", "fieldset"}
 CLOSED_BY = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 HINTS = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|comment|comments|commentlist|disqus|respond|replies|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|related|recommended|share|sharing|social|newsletter|subscribe|subscription|signup|login|search|popup|modal|overlay|notice|notices|alert|widget|skip)(?:$|[\s_-])", re.I)
 PAGE_HINTS = re.compile(r"(?:^|[\s_-])(?:toolbar|topbar|masthead|header|footer|foot|copyright)(?:$|[\s_-])", re.I)  # of a page, but not of its article
+LISTS = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|comment|comments|commentlist|disqus|respond|replies|related|recommended)(?:$|[\s_-])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
@@ -38,43 +43,71 @@ CONTAINERS = {"div", "section", "td", "body", "article", "main"}
 WINDOW, THRESHOLD, LINKS = 3, 80, 0.6
 
 
-def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
+HARD, MAYBE, LISTING = 1, 2, 3
+
+
+def _is_furniture(name: str, attributes: str, inside: bool) -> int:
+    """0, HARD, or what the element's content must confirm: MAYBE, LISTING."""
     if name in FURNITURE or (name == "header" and not inside):
-        return True
+        return HARD
+    form = MAYBE * (name in FORMS)
     if not attributes or name in ("html", "body", "main"):
-        return False
+        return form
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-        return True
+        return HARD
     names = [found.get(a, "") for a in ("class", "id")]
-    return found.get("role", "").lower() in ROLES or any(HINTS.search(x) for x in names) or (not inside and any(PAGE_HINTS.search(x) for x in names))
-
-
-def lines_of(page: str) -> list[tuple[str, bool, bool, bool, int]]:
-    """(text, furniture, in an article, in the main part, where the enclosing container starts) of each block."""
-    out: list[tuple[str, bool, bool, bool, int]] = []
-    stack: list[tuple[str, bool]] = []
+    if any(LISTS.search(x) for x in names):
+        return LISTING
+    hinted = found.get("role", "").lower() in ROLES or any(HINTS.search(x) for x in names) or (not inside and any(PAGE_HINTS.search(x) for x in names))
+    return MAYBE if hinted else form
+
+
+def _confirmed(lines: list, kinds: list[int], holds: list[set[str]]) -> set[int]:
+    """Which of the elements in doubt are furniture, by what they hold."""
+    sizes = [0] * len(kinds)
+    for text, hard, within, *_ in lines:
+        if not hard:
+            for e in within:
+                sizes[e] += len(text)
+    out = {e for e, h in enumerate(holds) if not ("main" in h or ("h1" in h and sizes[e] >= THRESHOLD))}
+    listings = {e for e in out if kinds[e] == LISTING}
+    total = sum(len(x[0]) for x in lines if not x[1] and listings.isdisjoint(x[2]))
+    return {e for e in out if e in listings or not ("article" in holds[e] or 2 * sizes[e] > total)}
+
+
+def lines_of(page: str, doubts: bool = True) -> list[tuple[str, bool, bool, bool, int]]:
+    """(text, furniture, in an article, in the main part, where the enclosing container starts) of each block; without doubts only
+    sure furniture counts."""
+    out: list[tuple[str, bool, tuple[int, ...], bool, bool, int]] = []
+    stack: list[tuple[str, int]] = []
     containers = [0]
     parts: list[str] = []
     counts = {"furniture": 0, "article": 0, "main": 0, "a": 0}
     linked = 0
+    kinds: list[int] = []
+    holds: list[set[str]] = []
+    within: list[int] = []
+    articles = 0
 
     def close_line() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append((text, counts["furniture"] > 0 or (counts["article"] + counts["main"] == 0 and linked > LINKS * len(text)), counts["article"] > 0, counts["main"] > 0, containers[-1]))
+            out.append((text, counts["furniture"] > 0 or (counts["article"] + counts["main"] == 0 and linked > LINKS * len(text)), tuple(within), counts["article"] > 0, counts["main"] > 0, containers[-1]))
         parts.clear()
         linked = 0
 
-    def shift(name: str, furniture: bool, by: int) -> None:
-        counts["furniture"] += by * furniture
+    def shift(name: str, furniture: int, by: int) -> None:
+        counts["furniture"] += by * (furniture == HARD)
         if name in ("article", "main", "a"):
             counts[name] += by
 
     def pop() -> str:
         name, furniture = stack.pop()
         shift(name, furniture, -1)
+        if furniture > HARD:
+            within.pop()
         if name in CONTAINERS:
             containers.pop()
         return name
@@ -119,12 +152,24 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, bool, int]]:
         if name in CONTAINERS:
             containers.append(at)
         shift(name, furniture, 1)
+        if furniture > HARD:
+            within.append(len(kinds))
+            kinds.append(furniture)
+            holds.append(set())
+        if counts["furniture"] == 0 and (name in ("main", "h1") or (name == "article" and not articles)):
+            for e in within:
+                holds[e].add(name)
+        articles += name == "article" and not any(kinds[e] == LISTING for e in within)
     close_line()
-    return out
+    gone = _confirmed(out, kinds, holds) if doubts else set()
+    return [(text, hard or not gone.isdisjoint(inside), *rest) for text, hard, inside, *rest in out]
 
 
 def main_text(page: str) -> str:
-    lines = lines_of(page)
+    return _main_text(lines_of(page)) or _main_text(lines_of(page, doubts=False))
+
+
+def _main_text(lines: list[tuple[str, bool, bool, bool, int]]) -> str:
     for place in (2, 3):
         if any(x[place] and not x[1] for x in lines):
             lines = [(x[0], x[1] or not x[place], *x[2:]) for x in lines]

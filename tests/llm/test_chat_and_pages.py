@@ -87,6 +87,20 @@ def test_main_text(before, after):
     assert html.main_text(PAGE % (before, after)) == TEXT
 
 
+@pytest.mark.parametrize("wrapper", ["div class='has-sidebar'", "div class='no-sidebar'", "section class='content-with-nav'", "div id='widget-area'", "form id='aspnetForm'", "div role='form'"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_main_text_in_a_wrapper_that_looks_like_furniture(wrapper, inner):
+    body = " ".join(f"word{i}" for i in range(60))
+    page = f"<html><body><nav><a href='/'>Home</a></nav><{wrapper}><{inner}><h1>Headline</h1><p>{body}</p><div class='share'>Share this</div><p>End.</p></{inner}><div class='comments'><article><p>{'reader says ' * 90}</p></article></div></{wrapper.split()[0]}><footer>Site</footer></body></html>"
+    assert html.main_text(page) == f"Headline\n{body}\nEnd."
+    plain = page.replace("<h1>Headline</h1>", "")
+    assert html.main_text(plain) == f"{body}\nEnd."
+
+
+def test_main_text_where_furniture_covers_everything():
+    assert html.main_text("<body><div class='comments'><p>All that there is.</p></div></body>") == "All that there is."
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE % ("<article>", "</article>"), "x"), (1, None, None, "x"), (None, "v", "", "x"), (4, "w", "no markup < at all", "x"), (5, "w", "<p>unclosed <b>tags <script>var x", "x"), (6, "z", "<nav>only</nav>", "x")]
     found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
