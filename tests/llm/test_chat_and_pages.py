@@ -101,6 +101,12 @@ def test_main_text_where_furniture_covers_everything():
     assert html.main_text("<body><div class='comments'><p>All that there is.</p></div></body>") == "All that there is."
 
 
+def test_line_blocks_without_a_marked_part():
+    body = "A paragraph of the story that is long enough to reach the threshold of the sums by itself, and more."
+    page = f"<body><div><p>Stray words</p></div><nav>Menu</nav><div><p>{body}</p><p>Short.</p></div><nav>Menu</nav><div><p>Other words</p></div></body>"
+    assert html.main_text(page) == f"{body}\nShort."
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE % ("<article>", "</article>"), "x"), (1, None, None, "x"), (None, "v", "", "x"), (4, "w", "no markup < at all", "x"), (5, "w", "<p>unclosed <b>tags <script>var x", "x"), (6, "z", "<nav>only</nav>", "x")]
     found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
