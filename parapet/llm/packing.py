@@ -3,7 +3,8 @@
 1. Texts are tokenised once; the table keeps lengths and checksums, and ids only for texts longer than a sequence.
 2. The driver sees the histogram of lengths, which has at most `length` bars whatever the corpus. Lengths are grouped into classes
    at most 1/32 wide, and a linear program over patterns (how many texts of each class share a sequence) is solved by column
-   generation: a knapsack dynamic program prices new patterns until none can improve the bound by more than 1/200.
+   generation: a knapsack dynamic program prices new patterns until none can improve the bound by more than 1/200, or until the
+   program is within 1/200 of what the tokens alone fill.
 3. Patterns are rounded down; what is left of the histogram is filled largest first. Documents are ranked by (class, row) over the
    whole cluster, and a rank names its pattern, its copy of the pattern and so its sequence.
 4. Texts longer than a sequence form one tape in row order. The tape fills what the patterns leave free, from `least` tokens on,
@@ -45,30 +46,55 @@ def class_sizes(length: int) -> np.ndarray:
     return np.array(sizes)
 
 
-def best_pattern(sizes: np.ndarray, prices: np.ndarray, length: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack by dynamic programming over the capacity; multiples of a class enter by powers of two."""
+def best_patterns(sizes: np.ndarray, prices: np.ndarray, length: int, least: float, most: int = 24) -> tuple[float, list[np.ndarray]]:
+    """Unbounded knapsack by dynamic programming over the capacity; multiples of a class enter by powers of two. The value of the best
+    pattern, and the best patterns that hold given classes, as far as they are worth more than `least`."""
     best, taken, steps = np.zeros(length + 1), [], []
-    for c in np.flatnonzero(prices > 1e-12):
+    for c in np.flatnonzero(prices > 1e-12).tolist():
+        w, worth = int(sizes[c]), float(prices[c])
         times = 1
-        while times * sizes[c] <= length:
-            w = times * sizes[c]
-            more = best[: length + 1 - w] + times * prices[c]
+        while w <= length:
+            more = best[: length + 1 - w] + worth
             better = more > best[w:] + 1e-12
-            best[w:] = np.where(better, more, best[w:])
+            np.copyto(best[w:], more, where=better)
             taken.append(better)
             steps.append((c, times, w))
-            times *= 2
-    counts, at = np.zeros(len(sizes), np.int64), int(np.argmax(best))
-    value = best[at]
-    for (c, times, w), better in zip(reversed(steps), reversed(taken), strict=True):
-        if at >= w and better[at - w]:
-            counts[c] += times
-            at -= w
-    return value, counts
+            w, worth, times = 2 * w, 2 * worth, 2 * times
+    holding = best[length - sizes] + prices
+    found = {}
+    for c in np.argsort(-holding)[:most].tolist():
+        if holding[c] <= least:
+            break
+        counts, at = [0] * len(sizes), length - int(sizes[c])
+        counts[c] = 1
+        for (k, times, w), better in zip(reversed(steps), reversed(taken), strict=True):
+            if at >= w and better[at - w]:
+                counts[k] += times
+                at -= w
+        found[tuple(counts)] = None
+    return best[length], [np.array(x, np.int64) for x in found]
+
+
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """By Gauss-Jordan elimination in plain array steps: the driver's process has threads enough, so no linear-algebra library is called."""
+    m = len(matrix)
+    work = np.concatenate([matrix.astype(float), np.eye(m)], 1)
+    for i in range(m):
+        p = i + int(np.abs(work[i:, i]).argmax())
+        work[[i, p]] = work[[p, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0
+        work -= factor[:, None] * work[i]
+    return work[:, m:]
 
 
 def patterns_of(sizes: np.ndarray, demand: np.ndarray, length: int, gap: float = 5e-3, most_rounds: int = 1000) -> list[tuple[int, np.ndarray]]:
-    """(copies, counts by class) that hold exactly the demand. The linear program only has a row for each class in use."""
+    """(copies, counts by class) that hold exactly the demand. The linear program only has a row for each class in use.
+
+    Each pass of the dynamic program prices a column for every class; columns of the pool enter the basis while they lower the
+    objective. Any basis is a valid answer, so ending after `most_rounds` steps costs sequences, not correctness.
+    """
     use = np.flatnonzero(demand)
     if not len(use):
         return []
@@ -76,25 +102,35 @@ def patterns_of(sizes: np.ndarray, demand: np.ndarray, length: int, gap: float =
     m = len(use)
     columns = np.diag(length // size).astype(float)
     inverse, x = np.diag(1 / np.diag(columns)), need / np.diag(columns)
-    for turn in range(most_rounds):  # any basis is a valid answer; more rounds only lower the number of sequences
-        value, counts = best_pattern(size, prices := np.ones(m) @ inverse, length)
-        if value <= 1 + gap or prices.size == 0:
+    pool = np.empty((0, m), np.int64)
+    enough = (1 + gap) * (need * size).sum() / length  # no packing has fewer sequences than the tokens fill
+    for turn in range(1, most_rounds + 1):
+        if x.sum() <= enough:
             break
-        d = inverse @ counts
+        prices = inverse.sum(0)
+        worth = (pool * prices).sum(1)
+        if not len(worth) or worth.max() <= 1 + gap:
+            value, found = best_patterns(size, prices, length, 1 + gap)
+            if value <= 1 + gap or not found:
+                break
+            pool = np.concatenate([pool[-4000:], found])
+            worth = (pool * prices).sum(1)
+        counts = pool[int(worth.argmax())]
+        d = (inverse * counts).sum(1)
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
             break
         columns[:, out] = counts
-        if turn % 50 == 49:
-            inverse = np.linalg.inv(columns)
-            x = inverse @ need
+        if turn % 100 == 0:  # afresh, against rounding
+            inverse = inverted(columns)
+            x = (inverse * need).sum(1)
         else:
             step = ratio[out]
             x = x - step * d
             x[out] = step
             row = inverse[out] / d[out]
-            inverse = inverse - np.outer(d, row)
+            inverse = inverse - d[:, None] * row
             inverse[out] = row
         x = np.maximum(x, 0)
     plan, left = [], demand[use].copy()
