@@ -109,7 +109,8 @@ u as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as i from d),
 w as (select *, row_number() over (partition by doc_id order by i) as k from u where regexp_matches(line, '[^\x20\x09-\x0D]')),
 g as (select doc_id, k, line, lead(line) over (partition by doc_id order by k) as line2 from w),
 o as (select doc_id, k, row_number() over (partition by line, line2 order by doc_id, k) as nth from g where line2 is not null),
-x as (select distinct doc_id, k + s as k from o, (select unnest([0, 1]) as s) where nth > 1),
+n as (select doc_id, k, row_number() over (partition by line order by doc_id, k) as nth from g where len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 10),
+x as (select doc_id, k + s as k from o, (select unnest([0, 1]) as s) where nth > 1 union select doc_id, k from n where nth > 1),
 z as (select u.doc_id, u.i, u.line, w.k is not null as worded, x.k is not null as gone from u left join w using (doc_id, i) left join x on x.doc_id = u.doc_id and x.k = w.k)
 select doc_id, count(*) filter (where worded) as n_lines, count(*) filter (where gone) as n_removed,
     sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256 from z group by doc_id""",

@@ -259,17 +259,21 @@ def test_suffix_automaton():
             seen.setdefault(tuple(s[i : i + 4]), doc)
 
 
-@pytest.mark.parametrize("least", [2, 3])
-def test_lines(docs, none, least):
+def worded_lines(text):
+    return [x for x in (text or "").encode().split(b"\n") if x.split()]
+
+
+@pytest.mark.parametrize(("least", "long"), [(2, 10), (3, 10), (2, 10**6)])
+def test_lines(docs, none, least, long):
     rows = [(i, t) for i, t in texts() if i != 6]  # of rows that share an id only the hash tells the order
     order, seen, marks = sorted({(i, t or "") for i, t in rows if i is not None}), set(), {}
     for i, t in order:
-        worded = [x for x in t.encode().split(b"\n") if x.split()]
+        worded = worded_lines(t)
         gone = set()
-        for k in range(len(worded) - least + 1):
-            g = tuple(worded[k : k + least])
-            gone |= set(range(k, k + least)) if g in seen else set()
-            seen.add(g)
+        for k in range(len(worded)):
+            for g in ([tuple(worded[k : k + least])] if k + least <= len(worded) else []) + ([(worded[k],)] if len(worded[k].split()) >= long else []):
+                gone |= set(range(k, k + len(g))) if g in seen else set()
+                seen.add(g)
         marks[(i, t)] = gone
     want = Counter()
     for i, t in rows:
@@ -280,10 +284,53 @@ def test_lines(docs, none, least):
             kept += [] if worded and k in gone else [x]
             k += worded
         want[(i, k, len(gone), "\n".join(kept))] += 1
-    assert Counter(map(tuple, lines.without_repeated_runs(docs.where("doc_id is null or doc_id != 6"), least).collect())) == want
+    assert Counter(map(tuple, lines.without_repeated_runs(docs.where("doc_id is null or doc_id != 6"), least, long).collect())) == want
     assert lines.report(none).count() == 0
 
 
+def brute_runs(rows, least, long):
+    """Maximal runs by the rule of the intervals: the original is the earliest suffix that shares the deepest of the depths 1, least, 2 least, ..."""
+    suffixes = [(i, k, w[k:]) for i, t in sorted(rows) for w in [worded_lines(t)] for k in range(len(w))]
+    depths = [1] + ([d for d in range(2, least) if d == 2]) + [least * 2**n for n in range(12)]
+    best = {}
+    for d in sorted(set(depths)):
+        first = {}
+        for i, k, s in suffixes:
+            if len(s) >= d:
+                g = tuple(s[:d])
+                if g in first:
+                    best[(i, k)] = (d, *first[g])
+                else:
+                    first[g] = (i, k, s)
+    found = []
+    for (i, k), (d, fi, fk, fs) in best.items():
+        s = next(s for a, b, s in suffixes if (a, b) == (i, k))
+        n = next((m for m in range(min(len(s), len(fs))) if s[m] != fs[m]), min(len(s), len(fs)))
+        assert n >= d
+        if n >= least:
+            found.append((i, k, n, fi, fk))
+        elif len(s[0].split()) >= long:
+            found.append((i, k, 1, fi, fk))
+    return {r for r in found if not any(o[0] == r[0] and o[1] < r[1] and o[1] + o[2] >= r[1] + r[2] for o in found)}
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_runs_of_two_to_two_hundred_lines(spark, least):
+    rng = random.Random(9)
+    line = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.randint(2, 12)))
+    source, rows = [line() for _ in range(260)], []
+    for i, n in enumerate([2, 3, 4, 5, 7, 8, 9, 16, 31, 33, 64, 100, 127, 128, 200]):
+        at = rng.randrange(len(source) - n)
+        rows.append((i + 1, "\n".join([*(line() for _ in range(3)), *source[at : at + n], *(line() for _ in range(2))])))
+    rows += [(0, "\n".join(source[:130])), (50, "\n".join(source)), (51, "\n".join(["same again"] * 9)), (52, source[0] + "\n\n" + source[0])]
+    rng.shuffle(rows)
+    keyed = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) as text_key")
+    runs = lines.repeated_runs(keyed, keyed.selectExpr("doc_id", "text_key", "false as copy"), least, 10).drop("text_key")
+    found = {tuple(r) for r in runs.collect()}
+    assert found == brute_runs(rows, least, 10)
+    assert max(r[2] for r in found) >= 100
+
+
 def test_quality_counts(docs, none):
     want = Counter()
     for i, t in texts():
