@@ -43,6 +43,14 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str, name: s
     return table.join(F.broadcast(small), "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_before", "_at")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or that with underscores before it, so that no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 

@@ -1,16 +1,20 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip.
 
-A text's set is its distinct 5-word shingles (64-bit codes). A partner of a text with n shingles must share at least
-T = ceil(threshold * n) of its inverted lists, whatever the partner's size. As in DivideSkip the T - 1 longest lists of a text are
-set apart and only the rest is merged, where one hit makes a candidate; candidates then probe the set-apart lists by binary search
-until the overlap is known. List lengths come from a first pass in which each task counts the shingles that it meets more than
-once; the most frequent ones (a bounded table) are ordered last by their counts, all others first by their code. Any order that
-all texts share gives the same result, so these counts only decide how much work there is.
-
-Merging runs over the cluster: the short lists are dealt out by shingle and merged in each partition. Lists that are too long for
-pairs (more than `longest` texts; dealt out with a salt if known to be long) are not expanded: a star from each list's smallest
-text is checked first, the links found join texts to components, and afterwards only texts outside a list's largest component are
-compared with the rest of that list. Every pair that shares a merged list is thus checked or already connected.
+A text's set is its distinct 5-word shingles (64-bit codes); a shingle's inverted list is the texts that have it. Texts of n1 and n2
+shingles link if they share T = ceil(threshold * (n1 + n2) / (1 + threshold)) lists.
+
+1. Lists are ordered by length: a first pass counts the shingles that each task meets more than once; the most frequent ones (a bounded
+   table) come last by their counts, all others first by their code. Any order that all texts share gives the same result, so these
+   counts only decide how much work there is. Each text sets its ceil(threshold * n) - 1 last, longest lists apart.
+2. The other lists are dealt out by shingle and merged over the cluster: the hits of each pair of texts are counted. Whatever two similar
+   texts share beyond these lists is bounded by what they set apart, so a pair needs T - ceil(threshold * max(n1, n2)) + 1 hits there.
+3. Lists that are too long for pairs (more than `longest` texts; dealt out with a salt if known to be long) are not expanded. A star
+   from each list's smallest text is a candidate first.
+4. Candidates are searched in blocks: a query text, and an inverted index of up to `BLOCK` candidates over the query's shingles.
+   DivideSkip takes the L longest lists of the block apart, heap-merges the short ones, and probes the long ones by binary search for the
+   texts with T - L hits; those that reach their own T are linked.
+5. Links join texts to components. What is left are pairs that share long lists and lie in different components: only texts outside a
+   list's largest component are compared with the rest of that list.
 
 Texts with equal sets are one class from the start and are never compared with each other. Classes are told apart by set size and a
 64-bit digest of the set. Words are the whitespace-separated byte strings after lower-casing A-Z; a text of 1-4 words has one
@@ -20,15 +24,18 @@ a component without any doc_id has a null id). An empty table gives no rows. Oth
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
+from math import log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parapet.llm._shared import grams, is_marked, marked_bits, mix, stored, texts_of, word_codes
+from parapet.llm._shared import free_name, grams, is_marked, marked_bits, mix, stored, texts_of, word_codes
 from parapet.operators.graph import components
 
 WORDS = 5
@@ -44,13 +51,6 @@ def shingles(text: str) -> np.ndarray:
     return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
-def signature(found: np.ndarray) -> bytes | None:
-    """How many shingles fall on each value of their low bits, in as many cells as the power of two below their number."""
-    cells = 1 << (len(found).bit_length() - 1)
-    n = np.bincount((found & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-    return n.astype(np.uint8).tobytes() if n.max() < 256 else None
-
-
 BITS = [f"b{i}" for i in range(4)]
 
 
@@ -61,13 +61,6 @@ def bitmap(found: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def most_common(x: bytes, y: bytes) -> int:
-    """Two sets share no more than this."""
-    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
-    cells = min(len(a), len(b))
-    return int(np.minimum(a.reshape(-1, cells).sum(0), b.reshape(-1, cells).sum(0)).sum())
-
-
 def digest(found: np.ndarray) -> int:
     import xxhash
 
@@ -82,24 +75,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, n = np.unique(np.concatenate(pending), return_counts=True)
         value, n = value[n > 1].astype(np.int64), n[n > 1]
         none = pa.nulls(len(value), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(value), pa.binary()), pa.array(value), pa.array(n, pa.int64()), *[none] * 4], names=names)
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(value), pa.array(n, pa.int64()), *[none] * 4], names=names)
 
-    names = ["doc_id", "text_key", "n", "h", "signature", "shingle", "count", *BITS]
+    names = ["doc_id", "text_key", "n", "h", "shingle", "count", *BITS]
     for b in batches:
-        n, h, marks, bits = [], [], [], []
+        n, h, bits = [], [], []
         for text in texts_of(b.column(2)):
             found = shingles(text)
             n.append(len(found))
             h.append(digest(found) if len(found) else None)
-            marks.append(None)
             bits.append((None,) * 4)
             if len(found) and h[-1] not in seen:
                 seen.add(h[-1])
-                marks[-1], bits[-1] = signature(found) or b"", bitmap(found).tolist()
+                bits[-1] = bitmap(found).tolist()
                 pending.append(found)
                 size += len(found)
         none = pa.nulls(len(n), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(marks, pa.binary()), none, none, *[pa.array(x, pa.int64()) for x in zip(*bits, strict=True)]], names=names)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(h, pa.int64()), none, none, *[pa.array(x, pa.int64()) for x in zip(*bits, strict=True)]], names=names)
         if size > 4_000_000:
             yield repeated()
             pending, size, seen = [], 0, set()
@@ -127,7 +119,7 @@ def _sets(marked):
     return sets
 
 
-PAIR = "shingle long, place int, n1 long, h1 long, n2 long, h2 long"
+PAIR = "shingle long, place int, n1 long, h1 long, n2 long, h2 long, hits long"
 
 
 def _reachable(percent: int, n1, i, n2, j, least, most):
@@ -138,13 +130,13 @@ def _reachable(percent: int, n1, i, n2, j, least, most):
 
 def _merger(percent: int, longest: int):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The lists of a partition: pairs from short ones, the rows themselves of long ones."""
+        """The lists of a partition: pairs with their hits from short ones, the rows themselves of long ones."""
         parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(5)] for b in batches if b.num_rows]
         if not parts:
             return
         shingle, h, n, place, salt = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        names, kinds = ["shingle", "place", "n1", "h1", "n2", "h2"], [pa.int64(), pa.int32(), *[pa.int64()] * 4]
+        names, kinds = ["shingle", "place", "n1", "h1", "n2", "h2", "hits"], [pa.int64(), pa.int32(), *[pa.int64()] * 5]
 
         def rows(*columns) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(columns[2]), 50_000):
@@ -161,52 +153,82 @@ def _merger(percent: int, longest: int):
         lengths = np.diff(np.append(starts, len(shingle)))
         marked = salt[starts] >= 0
         long = (marked | (lengths > longest)).repeat(lengths)
-        yield from rows(shingle[long], place[long], n[long], h[long], None, None)
+        yield from rows(shingle[long], place[long], n[long], h[long], None, None, None)
         starts, lengths = starts[~marked & (lengths > 1) & (lengths <= longest)], lengths[~marked & (lengths > 1) & (lengths <= longest)]
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for k in np.unique(lengths):
             i, j = np.triu_indices(k, 1)
             at = starts[lengths == k][:, None]
             x, y = (at + i).ravel(), (at + j).ravel()
-            fit = _reachable(percent, n[x], place[x], n[y], place[y], np.minimum, np.maximum)
+            fit = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
             a.append(x[fit])
             b.append(y[fit])
         a, b = np.concatenate(a), np.concatenate(b)
         if len(a):
-            pairs = np.unique(np.stack([n[a], h[a], n[b], h[b]], 1), axis=0)
-            yield from rows(None, None, *pairs.T)
+            pairs, hits = np.unique(np.stack([n[a], h[a], n[b], h[b]], 1), axis=0, return_counts=True)
+            yield from rows(None, None, *pairs.T, hits)
 
     return merge
 
 
-def _possible(percent: int):
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (n1, h1, n2, h2, signatures, star) that may share enough."""
-        for b in batches:
-            x, y = b.column(4).to_pylist(), b.column(5).to_pylist()
-            sizes = b.column(0).to_numpy() + b.column(2).to_numpy()
-            keep = [not p or not q or (100 + percent) * most_common(p, q) >= percent * n for p, q, n in zip(x, y, sizes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], b.column(6)], names=["n1", "h1", "n2", "h2", "star"]).filter(pa.array(keep, pa.bool_()))
-
-    return check
-
+BLOCK, PROBE = 256, 0.01  # texts of a block; a probe's cost against that of a merge step
+
+
+def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int) -> list[bool]:
+    """Which sets share enough of the query's inverted lists. Sets and query are sorted."""
+    n, k = len(query), len(sets)
+    sizes = np.array([len(x) for x in sets])
+    code, owner = np.concatenate(sets), np.repeat(np.arange(k), sizes)
+    at = np.minimum(np.searchsorted(query, code), n - 1)
+    posting = np.sort((at * k + owner)[query[at] == code])  # the index: by list, then by text
+    need = -(-percent * (n + sizes) // (100 + percent))
+    lengths = np.bincount(posting // k, minlength=n)
+    least = int(need.min())
+    apart = min(int(least / (PROBE * log2(lengths.max() + 2) + 1)), least - 1)
+    order = np.argsort(-lengths, kind="stable")
+    long, short = order[:apart], np.sort(order[apart:])
+    ends = np.cumsum(lengths)
+    lists = [(posting[ends[i] - lengths[i] : ends[i]] - i * k).tolist() for i in short.tolist() if lengths[i]]
+    hits = np.zeros(k, np.int64)
+    for text, found in groupby(heapq.merge(*lists)):
+        hits[text] = sum(1 for _ in found)
+    found = np.flatnonzero(hits >= np.maximum(need - apart, 1))
+    if len(found) and apart:
+        probe = (long[:, None] * k + found).ravel()
+        there = np.minimum(np.searchsorted(posting, probe), len(posting) - 1)
+        hits[found] += (posting[there] == probe).reshape(apart, len(found)).sum(0)
+    enough = np.zeros(k, bool)
+    enough[found] = hits[found] >= need[found]
+    return enough.tolist()
+
+
+def _search(percent: int):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (n1, h1, salt, n2, h2, set) by query, the query's own set first -> the linked pairs."""
+        now, query, block = None, None, []
+
+        def linked_pairs() -> list[tuple]:
+            keep = divide_skip(query, [x for _, _, x in block], percent) if block else []
+            out = [(now[0], now[1], n, h) for (n, h, _), k in zip(block, keep, strict=True) if k]
+            block.clear()
+            return out
 
-def _overlapping(percent: int):
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (n1, h1, n2, h2, sets) that share enough."""
         for b in batches:
-            left, right = b.column(4), b.column(5)
-            keep = []
-            for i in range(b.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)  # probe the larger set
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)], names=["n1", "h1", "n2", "h2"]).filter(pa.array(keep, pa.bool_()))
-
-    return check
+            rows, sets = [], b.column(5)
+            for i, (n1, h1, salt, n2, h2) in enumerate(zip(*(b.column(j).to_pylist() for j in range(5)), strict=True)):
+                if (n1, h1, salt) != now or len(block) == BLOCK:
+                    rows += linked_pairs()
+                own = np.frombuffer(sets[i].as_buffer(), np.uint64)
+                if n2 is None:
+                    now, query = (n1, h1, salt), own.copy()
+                else:
+                    block.append((n2, h2, own.copy()))
+            for i in range(0, len(rows), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 5000], strict=True)], names=["n1", "h1", "n2", "h2"])
+        if rows := linked_pairs():
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["n1", "h1", "n2", "h2"])
+
+    return search
 
 
 def linked(docs: DataFrame, percent: int = 80, longest: int = 64) -> DataFrame:
@@ -214,7 +236,7 @@ def linked(docs: DataFrame, percent: int = 80, longest: int = 64) -> DataFrame:
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = plain.withColumn("text_key", F.xxhash64("text"))
-    first = stored(keyed.select("doc_id", "text_key", "text").mapInArrow(_count, "doc_id long, text_key long, n long, h long, signature binary, shingle long, count long, b0 long, b1 long, b2 long, b3 long"), "counted")
+    first = stored(keyed.select("doc_id", "text_key", "text").mapInArrow(_count, "doc_id long, text_key long, n long, h long, shingle long, count long, b0 long, b1 long, b2 long, b3 long"), "counted")
     texts = first.where("n is not null").select("doc_id", "text_key", "n", "h")
     frequent = first.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("n")).where(F.col("n") > longest // 2).orderBy(F.desc("n"), "shingle").limit(KNOWN_LONG)
     rows = sorted((s, n) for s, n in frequent.collect())
@@ -246,7 +268,7 @@ def linked(docs: DataFrame, percent: int = 80, longest: int = 64) -> DataFrame:
 
     dealt = keyed.select("text").mapInArrow(merged_lists, "shingle long, h long, n int, place int, salt byte").repartition("shingle", "salt")
     lists = stored(dealt.mapInArrow(_merger(percent, longest), PAIR), "lists")
-    pairs = lists.where("shingle is null").select("n1", "h1", "n2", "h2").distinct()
+    pairs = lists.where("shingle is null").groupBy("n1", "h1", "n2", "h2").agg(F.sum("hits").alias("hits"))
     long = stored(lists.where("shingle is not null").select("shingle", F.col("place").cast("long").alias("place"), F.col("n1").alias("n"), F.col("h1").alias("h")).distinct(), "long")
 
     def other(df: DataFrame) -> DataFrame:
@@ -267,8 +289,10 @@ def linked(docs: DataFrame, percent: int = 80, longest: int = 64) -> DataFrame:
     centre = stored(centre.select("shingle", "band", F.col("c.place").alias("place2"), F.col("c.n").alias("n2"), F.col("c.h").alias("h2")), "centres")  # stored: a long list's part of the join can be split
     stars = as_pairs(banded.join(centre, ["shingle", "band"]).where(reach))
 
-    signatures = first.where("signature is not null").select("n", "h", "signature", *BITS)
     heads = stored(texts.where("h is not null").groupBy("n", "h").agg(F.min("doc_id").alias("head"), F.min("text_key").alias("text_key")), "heads")
+    longs = stored(long.groupBy("n", "h").agg(F.count("*").alias("longs")), "longs")  # how many long lists a class merges
+    bound = lambda n: F.ceil(percent * F.col(n) / 100)
+    least_hits = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent)) - F.greatest(bound("n1"), bound("n2")) + 1
 
     def ends(candidates: DataFrame) -> DataFrame:
         return candidates.select(F.col("n1").alias("n"), F.col("h1").alias("h")).unionByName(candidates.select(F.col("n2").alias("n"), F.col("h2").alias("h"))).distinct()
@@ -276,26 +300,34 @@ def linked(docs: DataFrame, percent: int = 80, longest: int = 64) -> DataFrame:
     def with_both(candidates: DataFrame, table: DataFrame, column: str) -> DataFrame:
         left = table.select(F.col("n").alias("n1"), F.col("h").alias("h1"), F.col(column).alias("x"))
         right = table.select(F.col("n").alias("n2"), F.col("h").alias("h2"), F.col(column).alias("y"))
-        return candidates.join(left, ["n1", "h1"], "left").join(right, ["n2", "h2"], "left").select("n1", "h1", "n2", "h2", "x", "y", *[c for c in candidates.columns if c == "star"])
-
-    def possible(candidates: DataFrame, name: str) -> DataFrame:
-        own = stored(signatures.join(ends(candidates), ["n", "h"], "left_semi").groupBy("n", "h").agg(F.any_value("signature").alias("signature")), f"{name}-signatures")
-        return stored(with_both(candidates, own, "signature").mapInArrow(_possible(percent), "n1 long, h1 long, n2 long, h2 long, star boolean"), name)
+        return candidates.join(left, ["n1", "h1"], "left").join(right, ["n2", "h2"], "left")
 
     def checked(candidates: DataFrame, name: str) -> DataFrame:
         keys = heads.join(ends(candidates), ["n", "h"], "left_semi").select("text_key")
         own = keyed.select("text_key", "text").mapInArrow(_sets(marked_bits(keys, "text_key", 26)), "n long, h long, set binary")
         own = stored(own.join(ends(candidates), ["n", "h"], "left_semi").groupBy("n", "h").agg(F.any_value("set").alias("set")), f"{name}-sets")
-        return stored(with_both(candidates, own, "set").mapInArrow(_overlapping(percent), "n1 long, h1 long, n2 long, h2 long"), name)
+        blocks = candidates.groupBy("n1", "h1").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))  # a query with many candidates is dealt out
+        dealt = stored(candidates.join(blocks, ["n1", "h1"]).select("n1", "h1", F.pmod("h2", "blocks").alias("salt"), "n2", "h2"), f"{name}-dealt")
+        index = dealt.join(own.select(F.col("n").alias("n2"), F.col("h").alias("h2"), "set"), ["n2", "h2"])
+        queries = dealt.select("n1", "h1", "salt").distinct().join(own.select(F.col("n").alias("n1"), F.col("h").alias("h1"), "set"), ["n1", "h1"])
+        none = F.lit(None).cast("long")
+        rows = index.select("n1", "h1", "salt", "n2", "h2", "set").unionByName(queries.select("n1", "h1", "salt", none.alias("n2"), none.alias("h2"), "set"))
+        ordered = rows.repartition("n1", "h1", "salt").sortWithinPartitions("n1", "h1", "salt", "n2", "h2")
+        return stored(ordered.mapInArrow(_search(percent), "n1 long, h1 long, n2 long, h2 long"), name)
 
     def nodes(links: DataFrame) -> DataFrame:
         h1 = heads.select(F.col("n").alias("n1"), F.col("h").alias("h1"), F.col("head").alias("a"))
         h2 = heads.select(F.col("n").alias("n2"), F.col("h").alias("h2"), F.col("head").alias("b"))
         return links.join(h1, ["n1", "h1"]).join(h2, ["n2", "h2"]).where("a is not null and b is not null").select("a", "b")
 
+    def hopeful_pairs(counted: DataFrame) -> DataFrame:
+        """Pairs (n1, h1, n2, h2, hits) whose hits, with the long lists that they may share besides, are enough for merged lists."""
+        more = F.least(F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0)))
+        return with_both(counted, longs, "longs").where(F.col("hits") + more >= least_hits).select("n1", "h1", "n2", "h2")
+
     # first the stars and one more candidate for each text, its smallest partner; what these links join needs no further check
-    both = pairs.withColumn("star", F.lit(False)).unionByName(stars.withColumn("star", F.lit(True)))
-    candidates = possible(stored(both.groupBy("n1", "h1", "n2", "h2").agg(F.bool_or("star").alias("star")), "candidates"), "possible")
+    both = hopeful_pairs(pairs).withColumn("star", F.lit(False)).unionByName(stars.withColumn("star", F.lit(True)))
+    candidates = stored(both.groupBy("n1", "h1", "n2", "h2").agg(F.bool_or("star").alias("star")), "candidates")
     least = candidates.groupBy("n2", "h2").agg(F.min(F.struct("n1", "h1")).alias("c")).select("c.n1", "c.h1", "n2", "h2")
     trial = candidates.where("star").select("n1", "h1", "n2", "h2").unionByName(least).distinct()
     links = stored(nodes(checked(stored(trial, "trial"), "links")), "link-nodes")
@@ -303,7 +335,7 @@ def linked(docs: DataFrame, percent: int = 80, longest: int = 64) -> DataFrame:
     part = heads.join(found, F.col("head") == F.col("node"), "left").select("n", "h", F.coalesce("label", "head").alias("part"))
     apart = with_both(candidates, part, "part").where("x != y").select("n1", "h1", "n2", "h2")
     if not long.isEmpty():
-        marks = signatures.groupBy("n", "h").agg(*[F.max(b).alias(b) for b in BITS])
+        marks = first.where("b0 is not null").groupBy("n", "h").agg(*[F.max(b).alias(b) for b in BITS])
         named = stored(long.join(part, ["n", "h"]).join(marks, ["n", "h"]), "named")
         sizes = named.groupBy("shingle", "part").agg(F.count("*").alias("size"), F.min("place").alias("place"), F.min("n").alias("n"))
         main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "part")).alias("m"), F.count("*").alias("parts"), F.min("place").alias("place0"), F.min("n").alias("n0")).where("parts > 1")
@@ -314,7 +346,7 @@ def linked(docs: DataFrame, percent: int = 80, longest: int = 64) -> DataFrame:
         only = lambda a, b: reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{x}{a}").bitwiseAND(F.bitwise_not(f"{x}{b}"))) for x in BITS])
         enough = lambda n, a, b: (100 + percent) * (F.col(n) - only(a, b)) >= percent * (F.col("n") + F.col("n2"))
         others = outside.join(other(named), "shingle").where((F.col("part") != F.col("part2")) & reach & enough("n", "", "2") & enough("n2", "2", ""))
-        apart = apart.unionByName(possible(stored(as_pairs(others).withColumn("star", F.lit(False)), "others"), "possible-others").drop("star")).distinct()
+        apart = apart.unionByName(as_pairs(others)).distinct()
     apart = stored(apart, "apart")
     if not apart.isEmpty():
         found = components(links.unionByName(nodes(checked(apart, "more"))))
@@ -326,5 +358,6 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with the row of the smallest doc_id of each component only (all rows, if several share it); rows without a doc_id stay.
     Columns stay as they are."""
     key = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = linked(docs, percent).where("doc_id = component_id or doc_id is null").select(F.xxhash64("doc_id", "text_key").alias("_row_key")).distinct()
-    return docs.withColumn("_row_key", key).join(kept, "_row_key", "left_semi").select(docs.columns)
+    name = free_name(docs, "row_key")
+    kept = linked(docs, percent).where("doc_id = component_id or doc_id is null").select(F.xxhash64("doc_id", "text_key").alias(name)).distinct()
+    return docs.withColumn(name, key).join(kept, name, "left_semi").select(docs.columns)

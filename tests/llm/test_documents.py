@@ -367,3 +367,16 @@ def test_quality_verdict_agrees_with_labels(spark):
     n = {(r["quality"], r["kept"]): r["count"] for r in rows}
     good, bad = n.get((1, True), 0) / (n.get((1, True), 0) + n.get((1, False), 0)), n.get((0, False), 0) / (n.get((0, True), 0) + n.get((0, False), 0))
     assert good > 0.98 and bad > 0.9, n
+
+
+def test_divide_skip_counts_like_sets():
+    rng = random.Random(6)
+    for _ in range(300):
+        n = rng.randint(1, 60)
+        query = np.unique(np.array([rng.randrange(200) for _ in range(n)], np.uint64))
+        sets = []
+        for _ in range(rng.randint(1, 12)):
+            own = {x for x in query.tolist() if rng.random() < rng.choice([0.2, 0.85, 0.95, 1])} | {rng.randrange(300) for _ in range(rng.randint(0, 5))}
+            sets.append(np.array(sorted(own or {1}), np.uint64))
+        want = [100 * len(set(query.tolist()) & set(x.tolist())) >= 80 * len(set(query.tolist()) | set(x.tolist())) for x in sets]
+        assert jaccard.divide_skip(query, sets, 80) == want
