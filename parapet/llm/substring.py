@@ -1,23 +1,28 @@
 """Substring dedup by suffix automata: words in 13-word windows that also start in a document with a smaller doc_id are removed.
 
 The named method broadcasts automata of reference shards and streams every document past each of them. Here every document is
-reference for all later ones, so that would read the corpus once for each shard; instead shards are cut by content and documents
-are sent only to the shards that can match them:
+reference for all later ones, and streaming it past the automata of the whole corpus would read the corpus once for each shard. So the
+reference is split: what very many documents share is one shard of bounded size whose automaton is broadcast; the rest is cut into
+shards by content, and documents stream only past the shards that can match them.
 
 0. Of texts that are wholly equal only the one with the smallest doc_id is searched; the others lose every word that has a window.
 1. Each 13-word window has an anchor, the smallest of the codes of its nine 5-word runs. Equal windows have equal anchors. Anchors
    are counted over the corpus and those of several documents are marked in a bitmap of fixed size (2**28 bits, built from sums over
    the cluster). When it fills up, more stretches go on to the next step; the result stays the same.
-2. The stretches of words whose windows share a marked anchor (13 to 21 words) are sent to the shard of that anchor: each distinct
-   stretch once, with its smallest doc_id, so a passage that a third of all documents carry is one row. Where an anchor is in very
-   many documents, its windows go one by one to shards by their own hash, so that no shard gets all that surrounds a hot passage.
-3. A shard takes its stretches by rising doc_id. Each is streamed through the suffix automaton of those before it; where the matching
-   statistic is 13 or more, the state of the 13-word suffix names the first document that had it. Then it is added.
-4. The first documents go back to all documents that have the stretch, which mark their windows; marked words are removed.
+2. The windows at hot anchors (those in very many documents) are counted too; the most frequent ones, at most `HOT_WINDOWS`, with
+   their first documents make up the broadcast automaton. Documents stream their hot stretches past it: where the matching statistic
+   is 13 or more, the state names the first document. Windows it doesn't know go one by one to shards by their own hash.
+3. The stretches of words whose windows share another marked anchor (13 to 21 words) are sent to the shard of that anchor: a task sends
+   each distinct stretch once, with its smallest doc_id.
+4. A shard takes its stretches by anchor and rising doc_id. Each is streamed through the shard's suffix automaton; where the matching
+   statistic is 13 or more, the state of the 13-word suffix names the first document that had it. Then it is added. An automaton that
+   has grown to `MOST_WORDS` is begun anew with the next anchor, which loses nothing.
+5. The first documents go back to all documents that have the stretch, which mark their windows; marked words are removed.
 
 Null texts have no words. Rows without a doc_id are left whole and are no reference. Rows that share a doc_id are judged against
-smaller doc_ids, not against each other. Windows are judged on the input. An empty table gives no rows. Inside a shard words are
-compared by 32 bits of their hash, beside the 64-bit anchor.
+smaller doc_ids, not against each other. Windows are judged on the input. An empty table gives no rows. Other columns are ignored.
+Words are compared by 64-bit codes, 13 at a time and below a common 64-bit anchor: two windows that differ in one word are taken for
+equal with probability 2**-64 for each such pair.
 """
 
 from __future__ import annotations
@@ -33,7 +38,9 @@ from pyspark.sql import functions as F
 from parapet.llm._shared import grams, is_marked, marked_bits, stored, texts_of, word_codes
 
 RUN, BITS = 5, 28
-HOT, KNOWN_HOT = 10_000, 65_536  # documents from which an anchor is hot; so many are known, a megabyte at most for each executor
+HOT, KNOWN_HOT = 1_000, 65_536  # documents from which an anchor is hot; so many are known, a megabyte at most for each executor
+HOT_WINDOWS = 16_384  # windows of the broadcast automaton: some 400,000 states at most, 20 MB for each Python worker
+MOST_WORDS = 100_000  # of a shard's automaton
 
 
 def anchors(codes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +114,87 @@ class SuffixAutomaton:
         return out
 
 
+class FrozenAutomaton:
+    """The same as sorted arrays, to be broadcast: edges by (state, word number), links, lengths and first documents."""
+
+    def __init__(self, machine: SuffixAutomaton):
+        words = sorted({w for edges in machine.next for w in edges})
+        self.words = np.array(words, np.uint64)
+        number = {w: i for i, w in enumerate(words)}
+        edges = sorted((state << 32 | number[w], to) for state, out in enumerate(machine.next) for w, to in out.items())
+        self.key, self.to = (np.array([e[i] for e in edges], np.int64) for i in (0, 1))
+        self.link, self.length = np.array(machine.link, np.int32), np.array(machine.length, np.int32)
+        self.doc = np.array([-1 if d is None else d for d in machine.doc], np.int64)
+
+    def first_documents(self, code: np.ndarray, window: int) -> list:
+        """For each window of the sequence: the first document that has it, or None."""
+        if not len(self.words):
+            return [None] * (len(code) - window + 1)
+        at = np.minimum(np.searchsorted(self.words, code), len(self.words) - 1)
+        numbers = np.where(self.words[at] == code, at, -1).tolist()
+        out, state, length, last = [], 0, 0, len(self.key) - 1
+        for i, w in enumerate(numbers):
+            while True:
+                e = min(int(np.searchsorted(self.key, state << 32 | w)), last) if w >= 0 else -1
+                if e >= 0 and self.key[e] == state << 32 | w:
+                    state, length = int(self.to[e]), length + 1
+                    break
+                if not state:
+                    break
+                state = int(self.link[state])
+                length = int(self.length[state])
+            if i >= window - 1:
+                at = state
+                while length >= window and self.length[self.link[at]] >= window:
+                    at = self.link[at]
+                out.append(int(self.doc[at]) if length >= window else None)
+        return out
+
+
+def _hot_windows(window: int, heads, hot):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(code, n, doc_id, words) of the windows at hot anchors: how many texts of the task have them, and the smallest doc_id."""
+        known: dict[int, list] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            items = list(known.items())
+            known.clear()
+            for i in range(0, len(items), 20_000):
+                part = items[i : i + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int64()), *[pa.array([v[j] for _, v in part], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]], names=["code", "n", "doc_id", "words"])
+
+        for b in batches:
+            b = b.filter(pa.array(is_marked(heads.value, b.column(2).to_numpy())))
+            for doc, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
+                code = word_codes(text.encode())
+                at = np.flatnonzero(np.isin(anchors(code, window)[1], hot.value)).tolist()
+                data, own = code.tobytes(), set()
+                for i in at:
+                    words = data[8 * i : 8 * (i + window)]
+                    k = xxhash.xxh3_64_intdigest(words) - (1 << 63)
+                    had = known.setdefault(k, [0, doc, words])
+                    had[0] += k not in own
+                    had[1] = min(had[1], doc)
+                    own.add(k)
+            if len(known) > 200_000:
+                yield from rows()
+        yield from rows()
+
+    return count
+
+
+def hot_automaton(judged: DataFrame, window: int, heads, hot, most: int) -> FrozenAutomaton:
+    """Of the most frequent windows at hot anchors. Any choice of windows gives the same result; what is left out goes to the shards."""
+    machine = SuffixAutomaton()
+    if len(hot.value):
+        counts = judged.select("doc_id", "text", "row_key").mapInArrow(_hot_windows(window, heads, hot), "code long, n long, doc_id long, words binary")
+        frequent = counts.groupBy("code").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"), F.any_value("words").alias("words")).where("n > 1")
+        rows = frequent.orderBy(F.desc("n"), "code").limit(most).collect()  # `most` rows of 13 words
+        for _, _, doc, words in sorted(rows, key=lambda r: r["doc_id"]):
+            machine.add(np.frombuffer(words, "<u8").tolist(), doc)
+    return FrozenAutomaton(machine)
+
+
 def _anchor_counts(window: int, heads):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, size = [], 0
@@ -134,9 +222,10 @@ def _anchor_counts(window: int, heads):
 PARTS = "doc_id long, text_key long, start int, anchor long, stretch long, words binary"
 
 
-def _stretches(window: int, heads, marked, hot):
+def _stretches(window: int, heads, marked, hot, machine):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with a place (doc_id, text_key, start) for each stretch, and rows with the words and smallest doc_id of each distinct one."""
+        """Rows with a place (doc_id, text_key, start) for each stretch, rows with the words and smallest doc_id of each distinct one, and
+        places alone of windows that the broadcast automaton knows from a smaller doc_id."""
         known, bits = {}, marked.value
         names = ["doc_id", "text_key", "start", "anchor", "stretch", "words"]
 
@@ -160,12 +249,24 @@ def _stretches(window: int, heads, marked, hot):
                     continue
                 first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                 last = np.append(first[1:], len(at))
-                data = code.astype("<u4").tobytes()
+                data = code.tobytes()
                 spread = hit & np.isin(anchor, hot.value)
-                parts = [(i, j, int(anchor[i])) for i, j in zip(first[(hit & ~spread)[first]].tolist(), last[(hit & ~spread)[first]].tolist(), strict=True)]
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], spread, [False]])))
+                for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):  # runs of windows at hot anchors
+                    for k, doc1 in enumerate(machine.value.first_documents(code[i : j + window - 1], window), i):
+                        if doc1 is not None:
+                            spread[k] = hit[k] = False
+                            if doc1 < doc:
+                                docs.append(doc)
+                                keys.append(key)
+                                starts.append(k)
+                                codes_out.append(None)
+                                hashes.append(None)
+                plain = (hit & ~spread)[first]  # an anchor's windows are all hot or none is
+                parts = [(i, j, int(anchor[i])) for i, j in zip(first[plain].tolist(), last[plain].tolist(), strict=True)]
                 parts += [(i, i + 1, None) for i in np.flatnonzero(spread).tolist()]
                 for i, j, shard in parts:
-                    words = data[4 * i : 4 * (j + window - 1)]
+                    words = data[8 * i : 8 * (j + window - 1)]
                     code_of = xxhash.xxh3_64_intdigest(words) - (1 << 63)
                     k = (code_of if shard is None else shard, code_of)
                     had = known.get(k)
@@ -189,22 +290,27 @@ def _stretches(window: int, heads, marked, hot):
 def _shard(window: int):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (anchor, stretch, doc_id, words) by anchor and doc_id -> for each stretch the first document of each of its windows."""
-        now, machine, held = None, None, None  # held: the first stretch of an anchor, not yet in an automaton
+        now, held, done, machine, size = None, None, set(), SuffixAutomaton(), 0  # held: an anchor's first stretch, not yet in the automaton
         for b in batches:
             rows = []
             for anchor, stretch, doc, words in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                n = len(words) // 4 - window + 1
                 if anchor != now:
-                    now, machine, held = anchor, None, (words, doc)
-                    rows.append((anchor, stretch, [doc] * n))
+                    if size > MOST_WORDS:
+                        machine, size = SuffixAutomaton(), 0
+                    now, held, done = anchor, (words, doc), {stretch}
+                    rows.append((anchor, stretch, [doc] * (len(words) // 8 - window + 1)))
                     continue
-                if machine is None:
-                    machine = SuffixAutomaton()
-                    machine.add(np.frombuffer(held[0], "<u4").tolist(), held[1])
-                sequence = np.frombuffer(words, "<u4").tolist()
+                if stretch in done:  # sent by another task as well
+                    continue
+                done.add(stretch)
+                if held:
+                    machine.add(np.frombuffer(held[0], "<u8").tolist(), held[1])
+                    size, held = size + len(held[0]) // 8, None
+                sequence = np.frombuffer(words, "<u8").tolist()
                 found = machine.first_documents(sequence, window)
                 if None in found:
                     machine.add(sequence, doc)
+                    size += len(sequence)
                 rows.append((anchor, stretch, [doc if x is None else x for x in found]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["anchor", "stretch", "firsts"])
@@ -233,7 +339,7 @@ def _removed(window: int):
     return remove
 
 
-def without_repeats(docs: DataFrame, window: int = 13, hot_from: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 13, hot_from: int = HOT, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_text (kept words joined by one space)."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = plain.withColumn("text_key", F.xxhash64("text"))
@@ -251,15 +357,18 @@ def without_repeats(docs: DataFrame, window: int = 13, hot_from: int = HOT) -> D
     frequent = repeated.where(F.col("n") >= hot_from).orderBy(F.desc("n"), "anchor").limit(KNOWN_HOT).collect()
     hot = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r["anchor"] for r in frequent), np.int64))
 
-    parts = stored(judged.select("doc_id", "text_key", "text", "row_key").mapInArrow(_stretches(window, heads, marked, hot), PARTS), "stretches")
-    distinct = parts.where("words is not null").groupBy("anchor", "stretch").agg(F.min("doc_id").alias("doc_id"), F.any_value("words").alias("words"))
-    shards = distinct.select("anchor", "stretch", "doc_id", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "stretch")
+    machine = docs.sparkSession.sparkContext.broadcast(hot_automaton(judged, window, heads, hot, hot_windows))
+
+    parts = stored(judged.select("doc_id", "text_key", "text", "row_key").mapInArrow(_stretches(window, heads, marked, hot, machine), PARTS), "stretches")
+    sent = parts.where("words is not null").select("anchor", "stretch", "doc_id", "words")
+    shards = sent.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "stretch")
     firsts = shards.mapInArrow(_shard(window), "anchor long, stretch long, firsts array<long>")
-    places = parts.where("words is null").select("doc_id", "text_key", "start", "anchor", "stretch")
+    places = parts.where("words is null and anchor is not null").select("doc_id", "text_key", "start", "anchor", "stretch")
+    known = parts.where("words is null and anchor is null").select("doc_id", "text_key", F.array("start").alias("starts"), F.lit(False).alias("copy"))
     late = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     hits = places.join(firsts, ["anchor", "stretch"]).select("doc_id", "text_key", late.alias("starts"), F.lit(False).alias("copy")).where(F.size("starts") > 0)
     # no more than the text's windows, for each row of that id and text
-    per_text = hits.unionByName(copies).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.bool_or("copy").alias("copy"))
+    per_text = hits.unionByName(known).unionByName(copies).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.bool_or("copy").alias("copy"))
     marked_texts = keyed.join(per_text, ["doc_id", "text_key"], "left").select("doc_id", "text", "starts", "copy")
     return marked_texts.mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_text string")
 

@@ -229,8 +229,8 @@ def test_jaccard_chains_of_near_copies(spark, longest):
     assert jaccard.keep_one(df).count() == len({c for _, _, c in brute_jaccard(rows)})
 
 
-@pytest.mark.parametrize("hot_from", [1000, 2])
-def test_substring(docs, none, hot_from):
+@pytest.mark.parametrize(("hot_from", "hot_windows"), [(1000, 1000), (2, 20), (2, 100_000)])
+def test_substring(docs, none, hot_from, hot_windows):
     rows = texts()
     first = {}
     for i, t in rows:
@@ -244,7 +244,7 @@ def test_substring(docs, none, hot_from):
         w = words(t)
         gone = {k + j for k in range(len(w) - 12) if i is not None and first[tuple(w[k : k + 13])] < i for j in range(13)}
         want[(i, len(w), len(gone), sha(b" ".join(x for k, x in enumerate(w) if k not in gone)))] += 1
-    assert Counter((r.doc_id, r.n_words, r.n_removed, sha(r.kept_text)) for r in substring.without_repeats(docs, hot_from=hot_from).collect()) == want
+    assert Counter((r.doc_id, r.n_words, r.n_removed, sha(r.kept_text)) for r in substring.without_repeats(docs, hot_from=hot_from, hot_windows=hot_windows).collect()) == want
     assert substring.report(none).count() == 0
 
 
@@ -253,7 +253,8 @@ def test_suffix_automaton():
     sequences = [[rng.randint(0, 2) for _ in range(rng.randint(4, 20))] for _ in range(40)]
     machine, seen = substring.SuffixAutomaton(), {}
     for doc, s in enumerate(sequences):
-        assert machine.first_documents(s, 4) == [seen.get(tuple(s[i : i + 4])) for i in range(len(s) - 3)]
+        want = [seen.get(tuple(s[i : i + 4])) for i in range(len(s) - 3)]
+        assert machine.first_documents(s, 4) == want == substring.FrozenAutomaton(machine).first_documents(np.array(s, np.uint64), 4)
         machine.add(s, doc)
         for i in range(len(s) - 3):
             seen.setdefault(tuple(s[i : i + 4]), doc)
