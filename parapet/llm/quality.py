@@ -1,11 +1,10 @@
 """Quality rules, line first. The main path is DataFrame functions only.
 
 Each line with a word is held against three rules: punctuation (marks and symbols outweigh words, or no letter at all),
-navigation (a row of separators) and boilerplate (stock phrases that make up the line: at most `AROUND` words for each phrase, so
-that a long line which mentions one stays). Lines that fail are removed; a document fails if the base rules fail it (fewer than 10
-words, or over a fifth of the words in repeated 5-word windows) or if it loses too much: `clean` drops it if the removed lines of all
-three rules hold more than `most_lost` per cent of the characters of its lines, or if no word is left. `kept` in the report is the
-verdict of the query's SQL: there lines with a stock phrase anywhere don't count as lost, so it is true for some that `clean` drops.
+navigation (a row of separators) and boilerplate (stock phrases of four languages that make up the line: at most `AROUND` words for
+each phrase, so that a long line which mentions one stays). Lines that fail are removed; a document is rejected if the base rules fail
+it (fewer than 10 words, or over a fifth of the words in repeated 5-word windows), if the removed lines of all three rules hold more
+than `most_lost` per cent of the characters of its lines, or if no word is left.
 
 Words are runs of characters other than space and U+0009-000D. Null and empty texts have no words and are not kept. Rows are judged
 each on its own: repeated rows, a null doc_id and columns with other names change nothing. An empty table gives no rows.
@@ -16,12 +15,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parapet.llm._shared import let
+from parapet.llm._shared import free_name, let
 
 #: Fixed values of the contract: blank characters, symbols.
 BLANK, WORD, SYMBOLS = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", "[#*$%&|<>]"
-#: Stock phrases of page furniture.
-BOILERPLATE = r"(?i)(cookie policy|privacy policy|terms of (use|service)|all rights reserved|enable javascript|lorem ipsum|click here|subscribe to our|sign up for|share this|licensed under)"
+#: Stock phrases of page furniture, in English, German, French and Spanish.
+PHRASES = (
+    "cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|lorem ipsum|click here|subscribe to our|sign up for|share this|licensed under|"
+    "alle rechte vorbehalten|datenschutzerklärung|cookie-richtlinie|nutzungsbedingungen|hier klicken|klicken sie hier|newsletter abonnieren|javascript aktivieren|"
+    "tous droits réservés|politique de confidentialité|mentions légales|conditions d'utilisation|cliquez ici|abonnez-vous|activer javascript|"
+    "todos los derechos reservados|política de privacidad|aviso legal|términos de uso|haga clic aquí|suscríbete a|habilite javascript"
+)
+BOILERPLATE = f"(?iu)(?:{PHRASES})"
 SEPARATORS = r"[|»›•·]"
 WINDOW = 5
 #: A line with more words than this for each stock phrase is text.
@@ -37,13 +42,9 @@ def line_is_junk(line: Column) -> Column:
     return F.coalesce(punctuation | navigation, F.lit(False))
 
 
-def mentions_stock(line: Column) -> Column:
-    return F.coalesce(F.rlike(line, F.lit(BOILERPLATE)), F.lit(False))
-
-
 def line_is_stock(line: Column) -> Column:
     short = F.regexp_count(line, F.lit(WORD + "+")) <= AROUND * F.regexp_count(line, F.lit(BOILERPLATE))
-    return F.when(mentions_stock(line), short).otherwise(F.lit(False))
+    return F.when(F.rlike(line, F.lit(BOILERPLATE)), short).otherwise(F.lit(False))
 
 
 def repeated_words(words: Column) -> Column:
@@ -64,9 +65,9 @@ def repeated_words(words: Column) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), of_codes)
 
 
-def judged(docs: DataFrame, most_lost: int = 20) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, passed and cleaned_text in a struct column `quality`."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+def judgement(text: Column, most_lost: int = 20) -> Column:
+    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and cleaned_text."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
     words = F.array_remove(F.split(text, BLANK), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
     step1 = F.struct(
@@ -75,32 +76,32 @@ def judged(docs: DataFrame, most_lost: int = 20) -> DataFrame:
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         repeated_words(words).alias("n_repeat_words"),
-        F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), line_is_junk(x).alias("junk"), mentions_stock(x).alias("mention"), line_is_stock(x).alias("stock"))).alias("lines"),
+        F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), (line_is_junk(x) | line_is_stock(x)).alias("fails"))).alias("lines"),
     )
 
     def verdict(q: Column) -> Column:
         failed = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
         chars = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a + F.length(x["line"]))
-        few = lambda lost: 100 * lost <= most_lost * chars(q["lines"])
-        kept = ~failed & few(chars(F.filter(q["lines"], lambda x: x["junk"] & ~x["mention"])))
-        good = F.array_join(F.transform(F.filter(q["lines"], lambda x: ~(x["junk"] | x["stock"])), lambda x: x["line"]), "\n")
-        passed = ~failed & few(chars(F.filter(q["lines"], lambda x: x["junk"] | x["stock"]))) & F.rlike(good, F.lit(WORD))
-        return F.struct(*[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"), kept.alias("kept"), passed.alias("passed"), good.alias("cleaned_text"))
+        good = F.array_join(F.transform(F.filter(q["lines"], lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
+        few = 100 * chars(F.filter(q["lines"], lambda x: x["fails"])) <= most_lost * chars(q["lines"])
+        kept = ~failed & few & F.rlike(good, F.lit(WORD))
+        return F.struct(*[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"), kept.alias("kept"), good.alias("cleaned_text"))
 
-    return docs.withColumn("quality", let(step1, verdict))
+    return let(step1, verdict)
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     q = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return judged(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), *[f"quality.{c}" for c in q])
+    judged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(judgement(F.col("text")))).alias("quality"))
+    return judged.select("doc_id", *[f"quality.{c}" for c in q])
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """Documents that pass, without their failing lines; n_chars, if there, follows. Columns stay as they are."""
-    inner = docs.withColumnRenamed("quality", "_own_quality") if "quality" in docs.columns else docs
-    out = judged(inner).where("quality.passed").withColumn("text", F.col("quality.cleaned_text")).drop("quality")
+    """Documents that are kept, without their failing lines; n_chars, if there, follows. Columns stay as they are."""
+    name = free_name(docs, "quality")
+    # exploded, so that the plan can't move the judgement into a filter and make it twice
+    out = docs.select("*", F.explode(F.filter(F.array(judgement(F.col("text"))), lambda q: q["kept"])).alias(name)).withColumn("text", F.col(f"{name}.cleaned_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    if "_own_quality" in out.columns:
-        out = out.withColumnRenamed("_own_quality", "quality")
     return out.select(docs.columns)

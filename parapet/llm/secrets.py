@@ -1,9 +1,10 @@
 """Secret scans by a trigram inverted index. The main path is DataFrame functions only.
 
 From each rule's regular expression a Boolean query over trigrams is derived on the driver: every clause must hold, a clause
-holds if all trigrams of one of its alternatives stand in the (lower-cased) text. The index has postings for the trigrams that
-the rules' queries name: (trigram, document). Postings are intersected for each document and rule; only the candidates of a rule
-are verified with its regular expression. A rule without mandatory trigrams (a run of hex digits) scans every text in full.
+holds if all trigrams of one of its alternatives stand in the (lower-cased) text. The index is a bitmap index of the trigrams that the
+rules' queries name: each document holds its bit of every posting list, beside its text, so that nothing has to be joined back to the
+texts and no text is shuffled. Posting lists are intersected and united bit by bit as each rule's query says; only the candidates of
+a rule are verified with its regular expression. A rule without mandatory trigrams (a run of hex digits) scans every text in full.
 
 Spans are counted in code points, end exclusive, leftmost and non-overlapping within a kind. Null texts are empty and have no
 spans. Repeated rows are answered each; doc_id may be null or repeated. An empty table gives no rows. Other columns are ignored.
@@ -14,12 +15,13 @@ from __future__ import annotations
 import re._constants as K
 import re._parser as regex_parser
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parapet.llm._shared import let
+from parapet.llm._shared import free_name, let
 
 
 @dataclass(frozen=True)
@@ -110,22 +112,37 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return clauses
 
 
-def _candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """key, rules: the rules whose trigram query a text satisfies."""
+def _queries(rules: tuple[Rule, ...]) -> tuple[list[str], dict[str, list[list[int]]]]:
+    """The trigrams that the rules name, and each rule's query with a bit mask for each alternative."""
     needs = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
-    rows = [(t, kind, c, a, len(alternative), len(q)) for kind, q in needs.items() for c, clause in enumerate(q) for a, alternative in enumerate(clause) for t in alternative]
-    query = texts.sparkSession.createDataFrame(rows, "trigram string, kind string, clause int, alternative int, n_trigrams int, n_clauses int")  # bounded by the rules
-    trigrams = sorted({r[0] for r in rows})
-    found = F.array_compact(let(F.lower("text"), lambda low: F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams])))  # lower-cased once
-    postings = texts.select("key", F.explode(found).alias("trigram"))
-    hits = postings.join(F.broadcast(query), "trigram").groupBy("key", "kind", "clause", "alternative", "n_trigrams", "n_clauses").agg(F.count_distinct("trigram").alias("n"))
-    clauses = hits.where(F.col("n") == F.col("n_trigrams")).groupBy("key", "kind", "n_clauses").agg(F.count_distinct("clause").alias("n"))
-    return clauses.where(F.col("n") == F.col("n_clauses")).groupBy("key").agg(F.collect_set("kind").alias("rules"))  # no more than there are rules
+    trigrams = sorted({t for q in needs.values() for clause in q for alternative in clause for t in alternative})
+    bit = {t: i for i, t in enumerate(trigrams)}
+    return trigrams, {kind: [[sum(1 << bit[t] for t in alternative) for alternative in clause] for clause in q] for kind, q in needs.items()}
 
 
-def _spans(number: int, rule: Rule) -> Column:
+def postings(text: Column, trigrams: list[str]) -> Column:
+    """The document's column of the inverted index: a bit for each named trigram whose posting list it is in, 63 bits to a long."""
+    low = lambda x: [F.when(F.contains(x, F.lit(t)), F.lit(1 << (i % 63))).otherwise(F.lit(0)) for i, t in enumerate(trigrams)]
+
+    def words(x: Column) -> Column:
+        bits = low(x)
+        return F.array(*[reduce(lambda a, b: a + b, bits[i : i + 63]).cast("long") for i in range(0, len(bits), 63)])
+
+    return let(F.lower(text), words)  # lower-cased once
+
+
+def _is_candidate(index: Column, query: list[list[int]]) -> Column:
+    """Posting lists intersected within an alternative, united over alternatives, intersected over clauses."""
+
+    def held(mask: int) -> Column:
+        parts = [(i, mask >> (63 * i) & (1 << 63) - 1) for i in range(-(-mask.bit_length() // 63))]
+        return reduce(lambda a, b: a & b, [F.get(index, F.lit(i)).bitwiseAND(F.lit(part)) == F.lit(part) for i, part in parts if part])
+
+    return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [held(m) for m in clause]) for clause in query])
+
+
+def _spans(number: int, rule: Rule, text: Column) -> Column:
     """Array of (start, number, end, kind): the texts between matches and the matches give the positions."""
-    text = F.col("text")
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
     steps = F.arrays_zip(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"), values.alias("value"))
@@ -140,14 +157,18 @@ def _spans(number: int, rule: Rule) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step)["out"]
 
 
-def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
-    """docs with `spans`: array of (start, number, end, kind), by start, then kind as listed. Its other columns are kept."""
-    texts = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    texts = texts.withColumn("key", F.xxhash64(F.col("doc_id").cast("long"), "text"))  # rows with one key only share candidates
-    found = _candidates(texts.select("key", "text"), rules)
+def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, name: str = "spans") -> DataFrame:
+    """docs, its text without nulls, with the column `name`: array of (start, number, end, kind), by start, then kind as listed."""
+    trigrams, queries = _queries(rules)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast("array<struct<start:bigint,number:int,end:bigint,kind:string>>")
-    parts = [F.when(F.array_contains("rules", r.kind) if trigram_query(r.pattern) else F.rlike("text", F.lit(r.pattern)), _spans(i, r)).otherwise(none) for i, r in enumerate(rules)]
-    return texts.join(found, "key", "left").withColumn("spans", F.sort_array(F.concat(*parts))).drop("key", "rules")
+
+    def verified(index: Column) -> Column:
+        parts = [F.when(_is_candidate(index, queries[r.kind]) if r.kind in queries else F.rlike(text, F.lit(r.pattern)), _spans(i, r, text)).otherwise(none) for i, r in enumerate(rules)]
+        return F.sort_array(F.concat(*parts))
+
+    # exploded, so that the plan can't write the spans out again wherever they are used
+    return docs.withColumn("text", text).select("*", F.explode(F.array(let(postings(text, trigrams), verified))).alias(name))
 
 
 def _joined(spans: Column) -> Column:
@@ -168,8 +189,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame) -> DataFrame:
     """docs with each stretch covered by spans replaced by [kind of its first span]; n_chars, if there, follows."""
-    inner = docs.withColumnRenamed("spans", "_own_spans") if "spans" in docs.columns else docs
-    found = with_spans(inner)
+    name = free_name(docs, "spans")
+    found = with_spans(docs, name=name)
 
     def step(acc: Column, x: Column) -> Column:
         apart = x["start"] >= acc["at"]
@@ -177,10 +198,8 @@ def mask(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(apart, F.concat(acc["out"], gap, F.lit("["), x["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    out = found.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text"))).drop("spans")
+    masked = F.aggregate(name, start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    out = found.withColumn("text", F.when(F.size(name) > 0, masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    if "_own_spans" in out.columns:
-        out = out.withColumnRenamed("_own_spans", "spans")
     return out.select(docs.columns)
