@@ -1,13 +1,17 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element, in page order. Lines of page furniture (menus, headers, footers, sidebars,
-notices, adverts, forms, comments: by element, by class, id or role, or because most of the line is links) are cut out and leave a
-gap. A form, or an element that only its class, id or role makes furniture, stays if it turns out to hold the main part, the first
-article, a headline with text, or most of the text of the page (lists of comments, adverts and related pages: only the first or the
-third). If furniture covers everything, such elements all stay. Text lengths are summed over a sliding window of lines; a surge point is where the sums rise from a gap and reach the
-threshold, a dive point is the next gap. The text between surge and dive is kept whole, short lines included. Where a page marks its
-article, or else its main part, the search stays inside it and every stretch there is kept, without threshold, surge or dive (a
-short article has no sum that reaches the threshold); if nothing surges, the stretch with the largest sum is taken.
+Markup is stripped to lines, one for each block element, in page order. Each line has a weight: the length of its text; nothing if it is
+page furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments: by element, by class, id or role, or because most
+of the line is links). Where a page marks its article, or else its main part, lines outside weigh nothing and those inside
+`THRESHOLD` more than their text. Weights are summed over a sliding window of lines. A surge point is where lines with weight begin,
+its dive point where the next line without weight follows; the text between is kept whole, short lines included, if its sums reach
+the threshold. On a page without marks, a stretch below it is kept if it stands in the container of a kept one (it follows a gap
+inside the text). If nothing reaches the threshold, the stretch with the largest sum is taken.
+
+A form, or an element that only its class, id or role makes furniture, is judged by what it holds: it stays if that is the main part, the
+first article, a headline with text, or most of the text of the page (adverts and comments: only the first or the third); inside the
+marked part it stays if its own sums reach three times the threshold (not adverts and comments). A class or id counts if all of its
+parts are words of furniture or layout: `related-posts` does, `related-work` doesn't. If furniture covers everything, such elements stay.
 
 A null page has no text, nor has one without any. Rows are taken each on its own; page_id and url are passed on, null or repeated. An
 empty table gives no rows. Other columns are ignored.
@@ -32,9 +36,12 @@ RAW = set("script style noscript template textarea iframe svg canvas object sele
 FURNITURE = set("nav footer aside button head dialog menu label noscript".split())
 FORMS = {"form", "fieldset"}
 CLOSED_BY = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
-HINTS = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|comment|comments|commentlist|disqus|respond|replies|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|related|recommended|share|sharing|social|newsletter|subscribe|subscription|signup|login|search|popup|modal|overlay|notice|notices|alert|widget|skip)(?:$|[\s_-])", re.I)
-PAGE_HINTS = re.compile(r"(?:^|[\s_-])(?:toolbar|topbar|masthead|header|footer|foot|copyright)(?:$|[\s_-])", re.I)  # of a page, but not of its article
-LISTS = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|comment|comments|commentlist|disqus|respond|replies|related|recommended)(?:$|[\s_-])", re.I)
+#: Words of class and id names: of furniture, of page furniture that an article may have too, of lists beside the text, of layout.
+HINTS = set("banner cookie cookies consent gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager related recommended share sharing social newsletter subscribe subscription signup login search popup modal overlay notice notices alert widget skip".split())
+PAGE_HINTS = set("toolbar topbar masthead header footer foot copyright".split())
+LISTS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments commentlist disqus respond replies".split())
+LAYOUT = set("area article articles bar block bottom box btn button buttons col column container content desktop div field first footer form global group head header icon icons id inner item items js last left line link links list main mobile module more news outer page panel post posts primary recent right row section site slot stories story text thread title to top unit wrap wrapper zone".split())
+NAME_PARTS = re.compile(r"[A-Za-z]+")
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
@@ -56,21 +63,24 @@ def _is_furniture(name: str, attributes: str, inside: bool) -> int:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
         return HARD
-    names = [found.get(a, "") for a in ("class", "id")]
-    if any(LISTS.search(x) for x in names):
+    names = [{w.lower() for w in NAME_PARTS.findall(x)} for a in ("class", "id") for x in found.get(a, "").split()]
+    if any(x & LISTS and x <= LISTS | HINTS | PAGE_HINTS | LAYOUT for x in names):
         return LISTING
-    hinted = found.get("role", "").lower() in ROLES or any(HINTS.search(x) for x in names) or (not inside and any(PAGE_HINTS.search(x) for x in names))
+    words = HINTS if inside else HINTS | PAGE_HINTS
+    hinted = found.get("role", "").lower() in ROLES or any(x & words and x <= HINTS | PAGE_HINTS | LAYOUT for x in names)
     return MAYBE if hinted else form
 
 
-def _confirmed(lines: list, kinds: list[int], holds: list[set[str]]) -> set[int]:
-    """Which of the elements in doubt are furniture, by what they hold."""
-    sizes = [0] * len(kinds)
-    for text, hard, within, *_ in lines:
-        if not hard:
-            for e in within:
+def _confirmed(lines: list, kinds: list[int], holds: list[set[str]], marked: list[bool]) -> set[int]:
+    """Which of the elements in doubt are furniture, by what they hold; marked: those that lie in the marked part."""
+    sizes, peaks = [0] * len(kinds), [0] * len(kinds)
+    for i, (text, hard, within, *_) in enumerate(lines):
+        for e in within:
+            if not hard:
                 sizes[e] += len(text)
-    out = {e for e, h in enumerate(holds) if not ("main" in h or ("h1" in h and sizes[e] >= THRESHOLD))}
+            if marked[e]:
+                peaks[e] = max(peaks[e], sum(len(x[0]) for x in lines[i : i + WINDOW] if not x[1] and e in x[2]))
+    out = {e for e, h in enumerate(holds) if not ("main" in h or ("h1" in h and sizes[e] >= THRESHOLD) or (kinds[e] == MAYBE and peaks[e] >= 3 * THRESHOLD))}
     listings = {e for e in out if kinds[e] == LISTING}
     total = sum(len(x[0]) for x in lines if not x[1] and listings.isdisjoint(x[2]))
     return {e for e in out if e in listings or not ("article" in holds[e] or 2 * sizes[e] > total)}
@@ -82,21 +92,22 @@ def lines_of(page: str, doubts: bool = True) -> list[tuple[str, bool, bool, bool
     out: list[tuple[str, bool, tuple[int, ...], bool, bool, int]] = []
     stack: list[tuple[str, int]] = []
     containers = [0]
-    parts: list[str] = []
+    parts: list[tuple[str, bool, bool]] = []  # text, in furniture, in a link
     counts = {"furniture": 0, "article": 0, "main": 0, "a": 0}
-    linked = 0
     kinds: list[int] = []
     holds: list[set[str]] = []
+    marked: list[bool] = []
     within: list[int] = []
     articles = 0
 
     def close_line() -> None:
-        nonlocal linked
-        text = " ".join(entities.unescape("".join(parts)).split())
+        hard = all(f for t, f, _ in parts if t.strip())
+        own = [(t, k) for t, f, k in parts if hard or not f]  # furniture in the middle of a line is left out of it
+        text = " ".join(entities.unescape("".join(t for t, _ in own)).split())
         if text:
-            out.append((text, counts["furniture"] > 0 or (counts["article"] + counts["main"] == 0 and linked > LINKS * len(text)), tuple(within), counts["article"] > 0, counts["main"] > 0, containers[-1]))
+            linked = sum(len(t) for t, k in own if k)
+            out.append((text, hard or (counts["article"] + counts["main"] == 0 and linked > LINKS * len(text)), tuple(within), counts["article"] > 0, counts["main"] > 0, containers[-1]))
         parts.clear()
-        linked = 0
 
     def shift(name: str, furniture: int, by: int) -> None:
         counts["furniture"] += by * (furniture == HARD)
@@ -118,14 +129,13 @@ def lines_of(page: str, doubts: bool = True) -> list[tuple[str, bool, bool, bool
         name = m[2] and m[2].lower()
         if not name:
             if not m[0].startswith(("<!", "<?")):
-                parts.append(m[0])
-                linked += len(m[0]) * (counts["a"] > 0)
+                parts.append((m[0], counts["furniture"] > 0, counts["a"] > 0))
             continue
         block = name in BLOCKS
         if block:
             close_line()
         elif name == "br":
-            parts.append(" ")
+            parts.append((" ", counts["furniture"] > 0, False))
         if m[1]:
             if any(n == name for n, _ in stack):
                 while pop() != name:
@@ -156,12 +166,13 @@ def lines_of(page: str, doubts: bool = True) -> list[tuple[str, bool, bool, bool
             within.append(len(kinds))
             kinds.append(furniture)
             holds.append(set())
+            marked.append(counts["article"] + counts["main"] > (name in ("article", "main")))
         if counts["furniture"] == 0 and (name in ("main", "h1") or (name == "article" and not articles)):
             for e in within:
                 holds[e].add(name)
         articles += name == "article" and not any(kinds[e] == LISTING for e in within)
     close_line()
-    gone = _confirmed(out, kinds, holds) if doubts else set()
+    gone = _confirmed(out, kinds, holds, marked) if doubts else set()
     return [(text, hard or not gone.isdisjoint(inside), *rest) for text, hard, inside, *rest in out]
 
 
@@ -169,28 +180,32 @@ def main_text(page: str) -> str:
     return _main_text(lines_of(page)) or _main_text(lines_of(page, doubts=False))
 
 
-def _main_text(lines: list[tuple[str, bool, bool, bool, int]]) -> str:
+def weights_of(lines: list[tuple[str, bool, bool, bool, int]]) -> list[int]:
     for place in (2, 3):
         if any(x[place] and not x[1] for x in lines):
-            lines = [(x[0], x[1] or not x[place], *x[2:]) for x in lines]
-            break
-    lengths = [0 if x[1] else len(x[0]) for x in lines]
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    stretches, start = [], None
-    for i in range(len(lines) + 1):  # from gap to gap
-        if i < len(lines) and lengths[i]:
+            return [0 if x[1] or not x[place] else THRESHOLD + len(x[0]) for x in lines]
+    return [0 if x[1] else len(x[0]) for x in lines]
+
+
+def stretches_of(weights: list[int], window: int) -> list[tuple[int, int, int]]:
+    """(largest sum, surge, dive) of each stretch of lines with weight; a window ends with its stretch."""
+    out, start = [], None
+    for i, w in enumerate([*weights, 0]):
+        if w:
             start = i if start is None else start
         elif start is not None:
-            stretches.append((max(min(sums[j], sum(lengths[j:i])) for j in range(start, i)), start, i))
+            out.append((max(sum(weights[j : min(j + window, i)]) for j in range(start, i)), start, i))
             start = None
+    return out
+
+
+def _main_text(lines: list[tuple[str, bool, bool, bool, int]], window: int = WINDOW, threshold: int = THRESHOLD) -> str:
+    stretches = stretches_of(weights_of(lines), window)
     if not stretches:
         return ""
-    kept = [s for s in stretches if s[0] >= THRESHOLD] or [max(stretches)]
-    if any(lines[i][2] or lines[i][3] for _, i, _ in kept):
-        kept = stretches  # inside the marked part every stretch counts
-    else:  # a short stretch beside a kept one, in the same container, is what follows a gap inside the text
-        held = {lines[i][4] for _, a, b in kept for i in range(a, b)}
-        kept = [s for s in stretches if s in kept or any(lines[i][4] in held for i in range(s[1], s[2]))]
+    kept = [s for s in stretches if s[0] >= threshold] or [max(stretches)]
+    held = {lines[i][4] for _, a, b in kept for i in range(a, b)}
+    kept = [s for s in stretches if s in kept or any(lines[i][4] in held for i in range(s[1], s[2]))]
     return "\n".join(lines[i][0] for _, a, b in kept for i in range(a, b))
 
 

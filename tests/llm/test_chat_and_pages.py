@@ -107,6 +107,59 @@ def test_line_blocks_without_a_marked_part():
     assert html.main_text(page) == f"{body}\nShort."
 
 
+def test_hint_words_do_not_delete_text_of_an_article():
+    page = "<body><article><h1>Head</h1><p>First part.</p><div class='related-work'><p>What others did.</p></div><section id='side-effects'><p>What it also does.</p></section><div class='related-posts'><a href='/'>Another</a></div><div class='ad'>Buy.</div><p>End.</p></article></body>"
+    assert html.main_text(page) == "Head\nFirst part.\nWhat others did.\nWhat it also does.\nEnd."
+
+
+def test_what_a_class_marks_inside_an_article_is_judged_by_its_sums():
+    text = " ".join(f"word{i}" for i in range(60))
+    page = "<article><p>The start of it.</p><div class='notice'><p>%s</p></div><p>End.</p></article>"
+    assert html.main_text(page % text) == f"The start of it.\n{text}\nEnd."
+    assert html.main_text(page % "Short note.") == "The start of it.\nEnd."
+
+
+def test_controls_inside_a_line_are_left_out():
+    body = "A story that is told here at such length that its single line reaches the threshold by itself, " * 2
+    assert html.main_text(f"<div><p>{body}<label>Key</label><button>x</button> and more</p></div>") == " ".join(f"{body} and more".split())
+
+
+def test_stretches_against_brute_force():
+    rng = random.Random(12)
+    for _ in range(500):
+        weights = [rng.choice([0, 0, rng.randint(1, 60)]) for _ in range(rng.randint(0, 14))]
+        want = []
+        for a in range(len(weights)):
+            for b in range(a + 1, len(weights) + 1):
+                inside = all(weights[a:b]) and (a == 0 or not weights[a - 1]) and (b == len(weights) or not weights[b])
+                if inside:
+                    want.append((max(sum(w for k, w in enumerate(weights[a:b], a) if j <= k < j + 3) for j in range(a, b)), a, b))
+        assert html.stretches_of(weights, 3) == want
+
+
+@pytest.mark.parametrize("mark", ["article", "main", "div"])
+def test_made_pages_give_back_their_story(mark):
+    """Pages put together from a story and furniture, with and without a marked part, against the story; block sums decide the latter."""
+    rng = random.Random(21)
+    prose = lambda n: " ".join("w" + "x" * rng.randint(1, 7) for _ in range(n))
+    furniture = ["<nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>", "<aside><p>%s</p></aside>", "<div class='ad'>%s</div>", "<div id='cookie-notice'><p>%s</p><button>OK</button></div>", "<div class='comments'><p>%s</p></div>", "<form action='/'><label>Mail</label><input><p>%s</p></form>", "<footer>%s</footer>", "<script>var x='<p>%s</p>'</script>", "<p><a href='/x'>%s</a></p>"]
+    some = lambda n, inside=False: "".join(f.replace("%s", prose(rng.randint(2, 12))) for f in rng.sample(furniture[: len(furniture) - inside], n))
+    changed = 0
+    for _ in range(150):
+        blocks = [prose(rng.randint(25, 80)) if rng.random() < 0.8 else prose(rng.randint(1, 5)) for _ in range(rng.randint(1, 8))] + [prose(40)]
+        inner = "".join(f"<p>{b}</p>" + (some(1, True) if rng.random() < 0.3 else "") for b in blocks)
+        stray = f"<div><span>{prose(2)}</span></div><nav>x</nav>" if mark == "div" else f"<div>{prose(50)}</div>"
+        page = f"<html><body>{some(3)}{stray}<{mark}>{inner}</{mark}>{some(3)}</body></html>"
+        assert html.main_text(page) == "\n".join(blocks)
+        changed += html._main_text(html.lines_of(page), threshold=0) != "\n".join(blocks)
+    assert changed == (150 if mark == "div" else 0)
+
+
+def test_very_long_page():
+    body = "<p>" + "word " * 200_000 + "</p>"
+    assert len(html.main_text(f"<nav>x</nav><article>{body * 3}</article>")) == 3 * (5 * 200_000 - 1) + 2
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE % ("<article>", "</article>"), "x"), (1, None, None, "x"), (None, "v", "", "x"), (4, "w", "no markup < at all", "x"), (5, "w", "<p>unclosed <b>tags <script>var x", "x"), (6, "z", "<nav>only</nav>", "x")]
     found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
