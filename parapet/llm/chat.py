@@ -13,6 +13,8 @@ The template writes a turn as
 with a backslash before every backslash, `###` and `</turn>` inside texts and roles and before every colon inside roles, so that the
 turns can be read back. The loss mask covers the text of assistant turns.
 
+A conversation's turns stream through one task in order, with running digests; only its path (16 characters a turn) is held whole.
+
 Turns are ordered by `turn` (null first; ties by role, then text). Null roles and texts are empty. Rows without a conv_id are one
 conversation. Repeated rows are turns of their own. An empty table gives no rows. Other columns are ignored.
 """
@@ -74,41 +76,62 @@ def tokenizer(path: str):
     return t
 
 
+STEP = ["conv_id", "leaf", "depth", "path", "node", "parent", "role", "text"]
+
+
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """conv_id, turns -> a row for each turn; the first also carries the path of the whole conversation."""
-    names = ["conv_id", "leaf", "depth", "path", "node", "parent", "role", "text"]
+    """Turns by conversation and order -> a row for each, and after the last one a row with the conversation's last node and its path.
+    Only the path and the last node of one conversation are held at a time."""
+    kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.string()] * 5]
+    now, depth, node, path = None, 0, "", []
+    started = False
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=STEP)
+
+    def whole() -> tuple:
+        return (now, node, None, "".join(path), None, None, None, None)
+
     for b in batches:
         rows = []
-        for conv, turns in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            nodes, parent = [], ""
-            for t in turns:
-                parent = hashlib.sha256(f"{parent}\x00{t['role']}\x00{t['text']}".encode()).hexdigest()[:32]
-                nodes.append(parent)
-            path = "".join(n[:16] for n in nodes)
-            rows += [(conv, parent, depth, None if depth else path, nodes[depth], nodes[depth - 1] if depth else "", t["role"], t["text"]) for depth, t in enumerate(turns)]
-        for i in range(0, len(rows), 5000):
-            columns = list(zip(*rows[i : i + 5000], strict=True))
-            kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.string()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        for conv, role, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            if not started or conv != now:
+                if started:
+                    rows.append(whole())
+                started, now, depth, node, path = True, conv, 0, "", []
+            parent, node = node, hashlib.sha256(f"{node}\x00{role}\x00{text}".encode()).hexdigest()[:32]
+            path.append(node[:16])
+            rows.append((conv, None, depth, None, node, parent, role, text))
+            depth += 1
+        if rows:
+            yield rows_of(rows)
+    if started:
+        yield rows_of([whole()])
 
 
 def _attention(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nodes of a conversation -> for each: tokens before it, and the intervals of the stream that it attends to. In depth-first
-    order a node's first child follows it at once, so intervals join and a conversation that shares nothing has a single one."""
+    """The nodes of each walk (leaf, depth, node, stream_start, n_tokens), by leaf and depth -> for each: tokens before it, and the
+    intervals of the stream that it attends to. In depth-first order a node's first child follows it at once, so intervals join and a
+    conversation that shares nothing has a single one."""
     names = ["node", "position_start", "attention"]
     kind = pa.list_(pa.struct([("stream_start", pa.int64()), ("stream_end", pa.int64())]))
+    now, before, spans = None, 0, []
     for b in batches:
         rows = []
-        for steps in b.column(0).to_pylist():
-            before, spans = 0, []
-            for t in steps:
-                start, end = t["stream_start"], t["stream_start"] + t["n_tokens"]
-                spans = [*spans[:-1], (spans[-1][0], end)] if spans and spans[-1][1] == start else [*spans, (start, end)]
-                rows.append((t["node"], before, [{"stream_start": x, "stream_end": y} for x, y in spans]))
-                before += t["n_tokens"]
-        for i in range(0, len(rows), 5000):
-            columns = list(zip(*rows[i : i + 5000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), kind), strict=True)], names=names)
+        for leaf, _, node, start, n in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            if leaf != now:
+                now, before, spans = leaf, 0, []
+            if spans and spans[-1][1] == start:
+                spans[-1] = (spans[-1][0], start + n)
+            else:
+                spans.append((start, start + n))
+            rows.append((node, before, [{"stream_start": x, "stream_end": y} for x, y in spans]))
+            before += n
+            if len(rows) * len(spans) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), kind), strict=True)], names=names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), kind), strict=True)], names=names)
 
 
 def _emitted(path: str):
@@ -132,49 +155,74 @@ def prefix_tree(conversations: DataFrame, tokenizer_path: str) -> tuple[DataFram
     stream_start (place of the first token in the depth-first stream), position_start, attention (intervals of the stream, root first,
     the last ends with the node's own tokens; neighbours are joined). members: conv_id, depth, node.
     """
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    grouped = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    steps = stored(grouped.mapInArrow(_paths, "conv_id long, leaf string, depth int, path string, node string, parent string, role string, text string"), "turns")
+    order = ["conv_id", "turn", "role", "text"]
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
+    sorted_turns = turns.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "role", "text")
+    steps = stored(sorted_turns.mapInArrow(_paths, "conv_id long, leaf string, depth int, path string, node string, parent string, role string, text string"), "turns")
+    ends = steps.where("leaf is not null").select("conv_id", "leaf", "path")
+    members = steps.where("leaf is null").select("conv_id", "depth", "node", "parent", "role", "text")
     # depth-first: conversations by their paths; a node comes where the first conversation that has it comes, by depth
-    paths = steps.where("path is not null").groupBy("leaf").agg(F.min("path").alias("path")).withColumn("one", F.lit(1).cast("long"))
-    ranks = running_total(paths, ["path", "leaf"], "one", "rank", "paths").select("leaf", "rank")
-    distinct = steps.join(ranks, "leaf").groupBy("node", "parent", "depth").agg(F.min("rank").alias("rank"), F.any_value("role").alias("role"), F.any_value("text").alias("text"))
+    paths = stored(ends.groupBy("leaf").agg(F.min("path").alias("path"), F.min(F.struct("conv_id")).alias("c")).withColumn("one", F.lit(1).cast("long")), "paths")
+    ranks = running_total(paths.drop("c"), ["path", "leaf"], "one", "rank", "ranks").select("leaf", "rank")
+    of_conv = ends.select("conv_id", "leaf").join(ranks, "leaf").select(F.struct("conv_id").alias("c"), "rank")
+    of_conv = of_conv.select(F.xxhash64("c.conv_id").alias("k"), "c", "rank")
+    ranked = members.withColumn("k", F.xxhash64("conv_id")).join(of_conv, "k").where(F.struct("conv_id").eqNullSafe(F.col("c")))
+    distinct = ranked.groupBy("node", "parent", "depth").agg(F.min("rank").alias("rank"), F.any_value("role").alias("role"), F.any_value("text").alias("text"))
     distinct = distinct.select("node", "parent", "depth", "rank", "role", "text")
     schema = "node string, parent string, depth int, rank long, ids array<int>, n_tokens long, loss_from int, loss_to int"
-    emitted = running_total(distinct.mapInArrow(_emitted(tokenizer_path), schema), ["rank", "depth"], "n_tokens", "stream_start", "stream")
-    emitted = stored(emitted, "nodes")
-    places = steps.select("leaf", "depth", "node").distinct().join(emitted.select("node", "stream_start", "n_tokens"), "node")
-    walks = places.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "stream_start", "n_tokens"))).alias("steps"))
-    seen = walks.select("steps").mapInArrow(_attention, "node string, position_start long, attention array<struct<stream_start:bigint,stream_end:bigint>>")
+    emitted = stored(distinct.mapInArrow(_emitted(tokenizer_path), schema), "emitted")  # stored: range partitioning reads it twice
+    starts = running_total(emitted.select("node", "rank", "depth", "n_tokens"), ["rank", "depth"], "n_tokens", "stream_start", "stream").select("node", "stream_start")
+    emitted = stored(emitted.join(starts, "node"), "nodes")
+    # one walk for each leaf: that of its smallest conversation
+    walks = paths.select("leaf", F.xxhash64("c.conv_id").alias("k"), "c").join(members.withColumn("k", F.xxhash64("conv_id")), "k").where(F.struct("conv_id").eqNullSafe(F.col("c")))
+    places = walks.select("leaf", "depth", "node").join(emitted.select("node", "stream_start", "n_tokens"), "node")
+    ordered = places.select("leaf", "depth", "node", "stream_start", "n_tokens").repartition("leaf").sortWithinPartitions("leaf", "depth")
+    seen = ordered.mapInArrow(_attention, "node string, position_start long, attention array<struct<stream_start:bigint,stream_end:bigint>>")
     nodes = emitted.join(seen.groupBy("node").agg(F.any_value("position_start").alias("position_start"), F.any_value("attention").alias("attention")), "node")
-    return nodes, steps.select("conv_id", "depth", "node")
+    return nodes, members.select("conv_id", "depth", "node")
 
 
 def _read_back(path: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tokens of the turns (conv_id, depth, ids, loss_from, loss_to) by conversation and depth -> a row for each conversation; digests
+        run along, so that one batch of turns is held at a time."""
         decode = tokenizer(path).decode_batch
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        started, now, n, chars, loss_chars, turns_digest, loss_digest = False, None, 0, 0, 0, None, None
+
+        def row() -> tuple:
+            return (now, n, turns_digest.hexdigest(), loss_chars, loss_digest.hexdigest(), chars)
+
         for b in batches:
             rows = []
-            for conv, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                pieces = decode([p["ids"] for p in parts], skip_special_tokens=False)
-                formatted = "".join(pieces)
-                turns = parse(formatted)
-                loss = "".join(unescape(x[p["loss_from"] : p["loss_to"]]) for x, p in zip(pieces, parts, strict=True) if p["loss_from"] is not None)
-                digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-                rows.append((conv, len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
-            for i in range(0, len(rows), 5000):
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 5000], strict=True), kinds, strict=True)], names=names)
+            pieces = decode(b.column(2).to_pylist(), skip_special_tokens=False)
+            for conv, piece, lo, hi in zip(b.column(0).to_pylist(), pieces, b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                if not started or conv != now:
+                    if started:
+                        rows.append(row())
+                    started, now, n, chars, loss_chars, turns_digest, loss_digest = True, conv, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+                for role, text in parse(piece):
+                    turns_digest.update(f"{role}\n{text}\n".encode())
+                    n += 1
+                if lo is not None:
+                    loss = unescape(piece[lo:hi])
+                    loss_digest.update(loss.encode())
+                    loss_chars += len(loss)
+                chars += len(piece)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        if started:
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row(), kinds, strict=True)], names=names)
 
     return read
 
 
 def read_back(nodes: DataFrame, members: DataFrame, tokenizer_path: str) -> DataFrame:
     """Conversations put together again from the emitted tokens: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    parts = members.join(nodes.select("node", "ids", "loss_from", "loss_to"), "node")
-    whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "ids", "loss_from", "loss_to"))).alias("parts"))
-    return whole.mapInArrow(_read_back(tokenizer_path), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    parts = members.join(nodes.select("node", "ids", "loss_from", "loss_to"), "node").select("conv_id", "depth", "ids", "loss_from", "loss_to")
+    ordered = parts.repartition("conv_id").sortWithinPartitions("conv_id", "depth")
+    return ordered.mapInArrow(_read_back(tokenizer_path), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 #: The contract's own conversation.

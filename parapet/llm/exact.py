@@ -4,9 +4,10 @@ Texts are equal when they are identical after lower-casing A-Z only; null counts
 largest doc_id stays (a null doc_id is smaller than any other; among rows that share text and doc_id, all are marked alike).
 
 The work runs in two levels. Each task indexes its own rows, so that a text with a third of all rows leaves a task as one row;
-these rows are dealt out by digest and each shard indexes them again. An index takes a row as follows: a fingerprint hit in the
+these rows are dealt out by digest and each shard indexes them again, in order of their digests and at most `MOST_LIVE` at a time. An index takes a row as follows: a fingerprint hit in the
 cuckoo filter is verified against the full digest and length kept in the bucket; if it is a copy, the digest of the row that
-loses is deleted and that of the new live row is inserted; a full table is doubled and refilled from the stored keys.
+loses is deleted and that of the new live row is inserted; a full table is doubled and refilled from the stored keys. A stored index is
+kept up with `changed_groups`, which deletes the digests whose last document was removed.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parapet.llm._shared import stored, texts_of
+from parapet.llm._shared import free_name, stored, texts_of
 
 SLOTS, MOST_MOVES = 4, 64
 
@@ -89,6 +90,8 @@ class CuckooIndex:
             yield from rows
 
 
+MOST_LIVE = 500_000  # digests in one index: some 200 MB
+DIGESTS = "doc_id long, text_sha256 string, n_bytes long, row_key long"
 ROWS = "text_sha256 string, n_bytes long, keep_id long, group_size long"
 
 
@@ -122,20 +125,66 @@ def _own_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for doc, sha, size in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             _live(index, bytes.fromhex(sha), size, doc, 1)
-        if index.size > 500_000:  # bounded memory: pass on what is known so far
+        if index.size >= MOST_LIVE:  # bounded memory: pass on what is known so far
             yield from _rows(index)
             index = CuckooIndex()
     yield from _rows(index)
 
 
 def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = CuckooIndex()
+    """Rows by digest: what is indexed is passed on whenever the index is full and the next digest is another, so memory is bounded."""
+    index, last = CuckooIndex(), None
     for b in batches:
         for sha, size, doc, count in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            if index.size >= MOST_LIVE and sha != last:
+                yield from _rows(index)
+                index = CuckooIndex()
             _live(index, bytes.fromhex(sha), size, doc, count)
+            last = sha
     yield from _rows(index)
 
 
+def _change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text_sha256, n_bytes, keep_id, group_size, change) by digest, stored ones first: insertions and deletions of live digests."""
+    index, last = CuckooIndex(), None
+    for b in batches:
+        for sha, size, doc, count, change in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            if index.size >= MOST_LIVE and sha != last:
+                yield from _rows(index)
+                index = CuckooIndex()
+            key, last = bytes.fromhex(sha), sha
+            if change >= 0:
+                _live(index, key, size, doc, count)
+            elif (found := index.get(key)) is not None:
+                index.delete(key)
+                if found[2] > count:  # texts are left; which one stays is told by the rows that remain
+                    index.insert(key, (found[0], found[1], found[2] - count))
+    yield from _rows(index)
+
+
+def changed_groups(groups: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """Upkeep of a stored index: groups (as `group_table` gives them) after the documents of `added` came and those of `removed` went.
+
+    A digest whose last document goes is deleted from the filter and has no row any more. `keep_id` of a group that lost documents stays
+    what it was; where the row that stayed was removed itself, take `group_table` of what is left."""
+    new = group_table(added).withColumn("change", F.lit(1))
+    gone = group_table(removed).withColumn("change", F.lit(-1))
+    rows = groups.withColumn("change", F.lit(0)).unionByName(new).unionByName(gone).withColumn("last", F.col("change") < 0)
+    ordered = rows.repartition("text_sha256").sortWithinPartitions("text_sha256", "last").drop("last")
+    return ordered.mapInArrow(_change, ROWS)
+
+
+def group_table(docs: DataFrame) -> DataFrame:
+    """The live digests of docs: text_sha256, n_bytes, keep_id, group_size."""
+    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), row_key(docs).alias("row_key"))
+    return _grouped(plain.mapInArrow(_digests, DIGESTS))
+
+
+def _grouped(marks: DataFrame) -> DataFrame:
+    own = marks.drop("row_key").mapInArrow(_own_copies, ROWS)
+    return own.repartition(F.col("text_sha256")).sortWithinPartitions("text_sha256").mapInArrow(_shard, ROWS)
+
+
 def row_key(docs: DataFrame):
     """The same for rows alike in doc_id and text, null or not."""
     return F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
@@ -144,13 +193,13 @@ def row_key(docs: DataFrame):
 def exact_groups(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text, any more columns): doc_id, keep_id, group_size, kept, text_sha256, row_key. An empty table gives no rows."""
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), row_key(docs).alias("row_key"))
-    marks = stored(plain.mapInArrow(_digests, "doc_id long, text_sha256 string, n_bytes long, row_key long"), "digests")
-    groups = marks.drop("row_key").mapInArrow(_own_copies, ROWS).repartition(F.col("text_sha256")).mapInArrow(_shard, ROWS)
-    return marks.select("doc_id", "text_sha256", "row_key").join(groups.drop("n_bytes"), "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "row_key")
+    marks = stored(plain.mapInArrow(_digests, DIGESTS), "digests")
+    return marks.select("doc_id", "text_sha256", "row_key").join(_grouped(marks).drop("n_bytes"), "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "row_key")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that lose; of rows alike in doc_id and text one stays. Columns stay as they are."""
-    kept = exact_groups(docs).where("kept").select(F.col("row_key").alias("_row_key")).distinct()
-    keyed = docs.withColumn("_row_key", row_key(docs)).join(kept, "_row_key", "left_semi")
-    return keyed.dropDuplicates(["_row_key", "doc_id", "text"]).select(docs.columns)
+    name = free_name(docs, "row_key")
+    kept = exact_groups(docs).where("kept").select(F.col("row_key").alias(name)).distinct()
+    keyed = docs.withColumn(name, row_key(docs)).join(kept, name, "left_semi")
+    return keyed.dropDuplicates([name, "doc_id", "text"]).select(docs.columns)

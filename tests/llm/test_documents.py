@@ -66,6 +66,20 @@ def test_exact(docs, none):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(k for k in {(k, s) for _, k, _, _, s in want} for k in k[:1])
 
 
+def test_exact_upkeep(spark):
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    groups = exact.group_table(df([(1, "a"), (2, "A"), (3, "b"), (4, None), (5, "c")]))
+    after = exact.changed_groups(groups, df([(6, "B"), (7, "d")]), df([(1, "a"), (4, ""), (5, "c"), (9, "never there")]))
+    assert {(r.text_sha256, r.keep_id, r.group_size) for r in after.collect()} == {(sha("a"), 2, 1), (sha("b"), 6, 2), (sha("d"), 7, 1)}
+
+
+def test_columns_with_the_names_that_operators_use(spark):
+    row = {"doc_id": 1, "text": "some words that are here to be read by all who come along now", "row_key": "k", "_row_key": "j", "quality": "q", "spans": "s", "keep_id": 5, "rank": "r"}
+    docs = spark.createDataFrame([row])
+    for stage in (quality.clean, exact.drop_copies, jaccard.keep_one, secrets.mask):
+        assert [r.asDict() for r in stage(docs).collect()] == [row]
+
+
 def test_cuckoo_index_keeps_what_is_live():
     index, live, rng = exact.CuckooIndex(2), {}, random.Random(1)
     for n in range(6000):
