@@ -1,19 +1,23 @@
-"""Byte-level BPE by merge replay over the distinct words of a block of the corpus.
-
-A block is what a task has read of the corpus (an Arrow batch). Its distinct words not met before by this worker are laid out as
-one array of byte tokens with links to the neighbours. An inverted index leads from a token pair (by its rank) to all positions
-where it stands in any word; merges are applied in rank order, each to all its positions at once, and only the pairs with the
-touched neighbours enter the index anew. Whole texts are then put together from their words. The named method replays over the
-corpus; blocks stand in for it so that memory is bounded and no table of all words has to be joined back to the texts. The ids of
-a word don't depend on its block.
-
-Null texts are empty: no ids, the digest of nothing. Rows keep their doc_id, null or repeated. An empty table gives no rows.
+"""Byte-level BPE by merge replay over the distinct pieces of the corpus.
+
+1. Texts are cut at single spaces. The pieces are counted over the corpus; the most frequent ones, at most `FREQUENT`, are dealt out
+   over the cluster, and each task replays the merges for its share of them: their distinct words are laid out as one array of byte
+   tokens with links to the neighbours, an inverted index leads from a token pair (by its rank) to all positions where it stands in any
+   word, merges are applied in rank order, each to all its positions at once, and only the pairs with the touched neighbours enter the
+   index anew. The table of their ids is broadcast; its bound is `FREQUENT` short pieces.
+2. Whole texts are put together from their pieces. What the table lacks (rare pieces, whatever lies between odd white space) is replayed
+   in the same way for a block of texts at a time: joining a table of all pieces back would shuffle every word of every text. The ids
+   of a word don't depend on where it is replayed.
+
+Null texts are empty: no ids, the digest of nothing. Rows keep their doc_id, null or repeated. A text without single spaces is one
+piece. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,12 +27,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parapet.llm._shared import texts_of
+from parapet.llm._shared import most_frequent, stored, texts_of
 from parapet.llm.tokens import byte_vocabulary
 
 #: The characters with Unicode's White_Space property, as a regular expression class.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-MOST_PIECES = 700_000
+FREQUENT, LONGEST = 131_072, 64  # pieces of the broadcast table, and their characters at most: some 10 MB
+MOST_PIECES = 100_000  # rare pieces that a worker remembers
+BLOCK_ROWS = 2_000
 
 
 class MergeReplay:
@@ -44,9 +50,9 @@ class MergeReplay:
         self.pair, self.rank = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self.coarse = re.compile(f"[{WHITE}]+(?![^{WHITE}])| ?[^{WHITE}]+|[{WHITE}]")
         self.words = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")).findall
-        self.known: dict[str, tuple[str, bytes]] = {}  # pieces that follow a space
+        self.rare: dict[str, tuple[str, bytes]] = {}  # pieces that follow a space
         self.whole: dict[str, tuple[str, bytes]] = {}  # of this block, with their white space
-        self.odd: set[str] = {""}  # what stands between spaces and isn't a plain piece
+        self.odd: set[str] = {""}  # what stands between spaces of this block and isn't a plain piece
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it is no token."""
@@ -116,64 +122,106 @@ class MergeReplay:
             return parts
         return ["", *self.coarse.findall(text)]
 
-    def learn(self, texts: list[str]) -> None:
-        """All pieces of the texts are known afterwards: (ids joined by spaces, decoded bytes)."""
-        if len(self.known) > MOST_PIECES:
-            self.known.clear()
-            self.odd = {""}
-        known, new = self.known, set()
-        for t in texts:
-            new.update(t.split(" ")[1:])
-        self.odd.update(p for p in new if p not in known and (not p or p[0].isspace() or p[-1].isspace()))
-        new = {" " + p for p in new if p not in known and p not in self.odd}
-        for t in texts:
-            parts = self.cut(t)
-            if parts[0]:
-                new.add(parts[0])
-            else:
-                new.update(parts)
-        split = {p: self.words(p) for p in new}
+    def encode_pieces(self, pieces: list[str]) -> dict[str, tuple[str, bytes]]:
+        """(ids joined by spaces, decoded bytes) of each piece."""
+        split = {p: self.words(p) for p in pieces}
         words = list({w for ws in split.values() for w in ws})
         ids, raw = {}, {}
         for w, found in zip(words, self.encode_words([w.encode() for w in words]), strict=True):
             found = found.tolist()
             ids[w] = " ".join(map(str, found))
             raw[w] = b"".join([self.token[i] for i in found])
-        self.whole = {}
-        for p, ws in split.items():
-            both = (" ".join([ids[w] for w in ws]), b"".join([raw[w] for w in ws]))
-            if p[:1] == " " and p[1:] not in self.odd:
-                known[p[1:]] = both  # after a space
-            self.whole[p] = both
-
-    def look_up(self, text: str) -> list[tuple[str, bytes]]:
+        return {p: (" ".join([ids[w] for w in ws]), b"".join([raw[w] for w in ws])) for p, ws in split.items()}
+
+    def learn(self, texts: list[str], frequent: dict[str, tuple[str, bytes]]) -> None:
+        """All pieces of the texts are known afterwards."""
+        if len(self.rare) > MOST_PIECES:
+            self.rare.clear()
+        new = set()
+        for t in texts:
+            new.update(t.split(" ")[1:])
+        new = {p for p in new if p not in frequent and p not in self.rare}
+        self.odd = {""} | {p for p in new if not is_plain(p)}
+        pieces = {" " + p for p in new if p not in self.odd}
+        for t in texts:
+            parts = self.cut(t)
+            if parts[0]:
+                pieces.add(parts[0])
+            else:
+                pieces.update(parts[1:])
+        self.whole = self.encode_pieces(list(pieces))
+        self.rare.update((p, self.whole[" " + p]) for p in new if p not in self.odd)
+
+    def look_up(self, text: str, frequent: dict[str, tuple[str, bytes]]) -> list[tuple[str, bytes]]:
         parts = self.cut(text)
         if parts[0]:
-            return [self.whole[parts[0]], *map(self.known.__getitem__, parts[1:])]
+            rare = self.rare
+            return [self.whole[parts[0]], *[frequent.get(p) or rare[p] for p in parts[1:]]]
         return [self.whole[p] for p in parts[1:]]
 
 
+def is_plain(piece: str) -> bool:
+    return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
+
+
 @lru_cache(maxsize=2)
 def merge_replay(ranks_path: str) -> MergeReplay:
     return MergeReplay(ranks_path)
 
 
-def encode_and_decode(docs: DataFrame, ranks_path: str) -> DataFrame:
+def _piece_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: Counter[str] = Counter()
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        items = [(p, n) for p, n in found.items() if len(p) <= LONGEST and is_plain(p)]
+        found.clear()
+        for i in range(0, len(items), 50_000):
+            pieces, n = zip(*items[i : i + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(n, pa.int64())], names=["piece", "n"])
+
+    for b in batches:
+        for text in texts_of(b.column(0)):
+            found.update(text.split(" ")[1:])
+            if len(found) > 200_000:
+                yield from rows()
+    yield from rows()
+
+
+def frequent_pieces(docs: DataFrame, ranks_path: str, most: int = FREQUENT) -> dict[str, tuple[str, bytes]]:
+    """The most frequent pieces of the corpus, replayed once over the cluster."""
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_piece_counts, "piece string, n long")
+    counts = stored(counts.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1"), "pieces")
+
+    def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = [p for b in batches for p in b.column(0).to_pylist()]  # a share of at most `most`
+        done = merge_replay(ranks_path).encode_pieces([" " + p for p in pieces])
+        if pieces:
+            ids, raw = zip(*(done[" " + p] for p in pieces), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(ids, pa.string()), pa.array(raw, pa.binary())], names=["piece", "ids", "raw"])
+
+    table = most_frequent(counts, "n", most).select("piece").repartition("piece").mapInArrow(replayed, "piece string, ids string, raw binary")
+    return {p: (ids, bytes(raw)) for p, ids, raw in table.collect()}  # at most `most` rows
+
+
+def encode_and_decode(docs: DataFrame, ranks_path: str, most: int = FREQUENT) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256 (of the bytes decoded from the ids)."""
+    table = docs.sparkSession.sparkContext.broadcast(frequent_pieces(docs, ranks_path, most))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay = merge_replay(ranks_path)
-        for b in batches:
-            texts = texts_of(b.column(1))
-            n, ids_sha, raw_sha = [], [], []
-            replay.learn(texts)
-            for text in texts:
-                both = replay.look_up(text)
-                ids = " ".join([x for x, _ in both if x])
-                n.append(ids.count(" ") + 1 if ids else 0)
-                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                raw_sha.append(hashlib.sha256(b"".join([x for _, x in both])).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        replay, frequent = merge_replay(ranks_path), table.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_ROWS):
+                b = whole.slice(at, BLOCK_ROWS)
+                texts = texts_of(b.column(1))
+                n, ids_sha, raw_sha = [], [], []
+                replay.learn(texts, frequent)
+                for text in texts:
+                    both = replay.look_up(text, frequent)
+                    ids = " ".join([x for x, _ in both if x])
+                    n.append(ids.count(" ") + 1 if ids else 0)
+                    ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                    raw_sha.append(hashlib.sha256(b"".join([x for _, x in both])).hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(blocks, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parapet.llm._shared import free_name, grams, is_marked, marked_bits, mix, stored, texts_of, word_codes
+from parapet.llm._shared import free_name, grams, is_marked, marked_bits, mix, most_frequent, stored, texts_of, word_codes
 from parapet.operators.graph import components
 
 WORDS = 5
@@ -238,8 +238,8 @@ def linked(docs: DataFrame, percent: int = 80, longest: int = 64) -> DataFrame:
     keyed = plain.withColumn("text_key", F.xxhash64("text"))
     first = stored(keyed.select("doc_id", "text_key", "text").mapInArrow(_count, "doc_id long, text_key long, n long, h long, shingle long, count long, b0 long, b1 long, b2 long, b3 long"), "counted")
     texts = first.where("n is not null").select("doc_id", "text_key", "n", "h")
-    frequent = first.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("n")).where(F.col("n") > longest // 2).orderBy(F.desc("n"), "shingle").limit(KNOWN_LONG)
-    rows = sorted((s, n) for s, n in frequent.collect())
+    frequent = stored(first.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("n")).where(F.col("n") > longest // 2), "frequent")
+    rows = sorted((s, n) for s, n in most_frequent(frequent, "n", KNOWN_LONG).collect())
     known = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)))
 
     def merged_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

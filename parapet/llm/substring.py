@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parapet.llm._shared import grams, is_marked, marked_bits, stored, texts_of, word_codes
+from parapet.llm._shared import grams, is_marked, marked_bits, most_frequent, stored, texts_of, word_codes
 
 RUN, BITS = 5, 28
 HOT, KNOWN_HOT = 1_000, 65_536  # documents from which an anchor is hot; so many are known, a megabyte at most for each executor
@@ -188,8 +188,8 @@ def hot_automaton(judged: DataFrame, window: int, heads, hot, most: int) -> Froz
     machine = SuffixAutomaton()
     if len(hot.value):
         counts = judged.select("doc_id", "text", "row_key").mapInArrow(_hot_windows(window, heads, hot), "code long, n long, doc_id long, words binary")
-        frequent = counts.groupBy("code").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"), F.any_value("words").alias("words")).where("n > 1")
-        rows = frequent.orderBy(F.desc("n"), "code").limit(most).collect()  # `most` rows of 13 words
+        frequent = stored(counts.groupBy("code").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"), F.any_value("words").alias("words")).where("n > 1"), "hot-windows")
+        rows = most_frequent(frequent, "n", most).collect()  # `most` rows of 13 words
         for _, _, doc, words in sorted(rows, key=lambda r: r["doc_id"]):
             machine.add(np.frombuffer(words, "<u8").tolist(), doc)
     return FrozenAutomaton(machine)
@@ -354,7 +354,7 @@ def without_repeats(docs: DataFrame, window: int = 13, hot_from: int = HOT, hot_
     repeated = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     repeated = stored(repeated, "repeated")
     marked = marked_bits(repeated, "anchor", BITS)  # 32 MB, whatever the corpus
-    frequent = repeated.where(F.col("n") >= hot_from).orderBy(F.desc("n"), "anchor").limit(KNOWN_HOT).collect()
+    frequent = most_frequent(repeated.where(F.col("n") >= hot_from), "n", KNOWN_HOT).collect()
     hot = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r["anchor"] for r in frequent), np.int64))
 
     machine = docs.sparkSession.sparkContext.broadcast(hot_automaton(judged, window, heads, hot, hot_windows))

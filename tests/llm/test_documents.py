@@ -149,6 +149,8 @@ def test_bpe_round_trip(docs, none):
         ids = library.encode_ordinary(t or "")
         want[(i, len(ids), sha(" ".join(map(str, ids))), sha(t or ""))] += 1
     assert Counter(map(tuple, bpe.production(docs).collect())) == want
+    assert Counter(map(tuple, bpe.encode_and_decode(docs, path, most=20).collect())) == want
+    assert len(bpe.frequent_pieces(docs, path, most=20)) <= 20 < len(bpe.frequent_pieces(docs, path))
     assert bpe.production(none).count() == 0
 
 
