@@ -72,6 +72,12 @@ def replayed(evidence: Column, key: str, capability: str, kind: str) -> Answer:
     return Answer(value, F.when(gone, F.array(F.lit(capability))).otherwise(_names(None)))
 
 
+def part(enrichment: Column, field: str, capability: str) -> Answer:
+    """A field of an answer that came in parts: missing evidence, under that field's name, only if it is listed in `unavailable` and read."""
+    gone = F.coalesce(F.array_contains(enrichment["unavailable"], field), F.lit(False))
+    return Answer(enrichment[field], F.when(gone, F.array(F.lit(f"{capability}.{field}"))).otherwise(_names(None)))
+
+
 def at_least(n: int, *parts: Answer | Column) -> Answer:
     """n of the parts: true once n are true, else null if any is null, else false."""
     parts = [answer(p) for p in parts]

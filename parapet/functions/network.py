@@ -13,27 +13,52 @@ V4 = r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$"
 
 def ip_number(x: Column) -> Column:
     """An IPv4 address (also mapped into IPv6) as a number; null if it is none."""
-    x = F.regexp_replace(x, "^::ffff:", "")
+    x = F.regexp_replace(F.trim(x), "(?i)^::ffff:", "")
     parts = F.split(x, r"\.")
     return F.when(F.rlike(x, F.lit(V4)), reduce(lambda a, b: a * 256 + b, [F.get(parts, i).try_cast("bigint") for i in range(4)]))
 
 
-def ranges(cidrs: list[str]) -> list[tuple[int, int]]:
-    """Merged IPv4 ranges; texts that are no range are skipped."""
-    nets = []
+def ip6_text(x: Column) -> Column:
+    """An IPv6 address as 32 hexadecimal digits, whose order is that of the addresses; null if it is none (or is mapped IPv4)."""
+    low = F.lower(F.trim(x))
+    tail = F.regexp_extract(low, r"(\d+\.\d+\.\d+\.\d+)$", 1)
+    n = ip_number(tail)
+    group = lambda v: F.lower(F.hex(v))
+    low = F.when(tail == "", low).otherwise(F.concat(F.substring(low, F.lit(1), F.length(low) - F.length(tail)), group(F.shiftright(n, 16)), F.lit(":"), group(n.bitwiseAND(F.lit(0xFFFF)))))
+    sides = F.split(low, "::", -1)
+    groups = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
+    head, rest = groups(F.get(sides, F.lit(0))), F.coalesce(groups(F.get(sides, F.lit(1))), F.array().cast("array<string>"))
+    given = F.size(head) + F.size(rest)
+    all_groups = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), rest)
+    right = F.when(F.size(sides) == 1, given == 8).otherwise((F.size(sides) == 2) & (given < 8)) & F.forall(all_groups, lambda g: F.rlike(g, F.lit("^[0-9a-f]{1,4}$")))
+    return F.when(right & F.rlike(low, F.lit(":")) & ip_number(x).isNull(), F.array_join(F.transform(all_groups, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def networks(cidrs: list[str]) -> list:
+    """Merged ranges of both versions; texts that are no range are skipped."""
+    nets: dict[int, list] = {4: [], 6: []}
     for c in cidrs:
         try:
             net = ipaddress.ip_network(c, strict=False)
         except ValueError:
             continue
-        if net.version == 4:
-            nets.append(net)
-    return [(int(n[0]), int(n[-1])) for n in ipaddress.collapse_addresses(nets)]
+        if net.version == 6 and net.network_address.ipv4_mapped and net.prefixlen >= 96:
+            net = ipaddress.ip_network((int(net.network_address.ipv4_mapped), net.prefixlen - 96))
+        nets[net.version].append(net)
+    return [n for v in (4, 6) for n in ipaddress.collapse_addresses(nets[v])]
+
+
+def ranges(cidrs: list[str]) -> list[tuple[int, int]]:
+    """Merged IPv4 ranges as numbers."""
+    return [(int(n[0]), int(n[-1])) for n in networks(cidrs) if n.version == 4]
 
 
 def ip_in(x: Column, *cidrs: str) -> Column:
-    n = ip_number(x)
-    return reduce(lambda a, b: a | b, [n.between(*r) for r in ranges(list(cidrs))], F.when(n.isNotNull(), F.lit(False)))
+    """Whether an address lies in any of the ranges; IPv4 mapped into IPv6 counts as IPv4. Null if it is no address."""
+    n, t = ip_number(x), ip6_text(x)
+    tests = [n.between(*r) for r in ranges(list(cidrs))] + [t.between(f"{int(r[0]):032x}", f"{int(r[-1]):032x}") for r in networks(list(cidrs)) if r.version == 6]
+    held = reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in tests], F.lit(False))
+    return F.when(n.isNotNull() | t.isNotNull(), held)
 
 
 def flag_in_ranges(df: DataFrame, column: str, table: DataFrame, out: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +16,22 @@ def normalised(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"\d+", "0"), r"[^\p{L}0]+", " "))
 
 
-def features(subject: Column, sender: Column, links: Column) -> Column:
-    """array of struct(feature, weight): subject 3-word shingles, sender name, link root domains."""
+def features(subject: Column, sender: Column, roots: Column | None = None, hosts: Column | None = None, files: Column | None = None) -> Column:
+    """array of struct(feature, weight): subject 3-word shingles 3, sender name 5, link root domains 7, hosts 2, attachments 8 by digest or
+    3 by name. files: array of struct(md5, name). What a message lacks has no vote."""
     words = F.split(normalised(subject), " ")
-    shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.struct(F.concat(F.lit("s:"), F.array_join(F.slice(words, i + 1, F.lit(3)), " ")).alias("feature"), F.lit(3).alias("weight")))
-    name = F.array(F.struct(F.concat(F.lit("n:"), normalised(sender)).alias("feature"), F.lit(5).alias("weight")))
-    roots = F.transform(F.coalesce(links, F.array().cast("array<string>")), lambda x: F.struct(F.concat(F.lit("l:"), F.lower(x)).alias("feature"), F.lit(7).alias("weight")))
-    return F.array_distinct(F.concat(shingles, name, roots))
+
+    def named(prefix: str, x: Column, weight: int) -> Column:
+        return F.struct(F.concat(F.lit(prefix), x).alias("feature"), F.lit(weight).alias("weight"))
+
+    def each(prefix: str, xs: Column | None, weight: int) -> list[Column]:
+        return [] if xs is None else [F.transform(F.coalesce(xs, F.array().cast("array<string>")), lambda x: named(prefix, F.lower(x), weight))]
+
+    shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: named("s:", F.array_join(F.slice(words, i + 1, F.lit(3)), " "), 3))
+    parts = [shingles, F.array(named("n:", normalised(sender), 5)), *each("l:", roots, 7), *each("h:", hosts, 2)]
+    if files is not None:
+        parts.append(F.transform(files, lambda f: F.when(f["md5"].isNotNull(), named("a:", f["md5"], 8)).otherwise(named("f:", F.lower(f["name"]), 3))))
+    return F.filter(F.array_distinct(F.concat(*[F.coalesce(p, F.array().cast("array<struct<feature:string,weight:int>>")) for p in parts])), lambda x: x["feature"].isNotNull())
 
 
 def simhash(feats: Column) -> Column:
@@ -31,19 +42,45 @@ def simhash(feats: Column) -> Column:
 
 
 def fingerprints(messages: DataFrame) -> DataFrame:
-    """message_id, fingerprint."""
-    return messages.select("message_id", simhash(features(F.col("subject"), F.col("sender_domain"), F.lit(None).cast("array<string>"))).alias("fingerprint"))
+    """message_id, fingerprint: of subject and sender, and of link_roots, link_hosts and files where the table has these columns."""
+    more = [F.col(c) if c in messages.columns else None for c in ("link_roots", "link_hosts", "files")]
+    return messages.select("message_id", simhash(features(F.col("subject"), F.col("sender_domain"), *more)).alias("fingerprint"))
+
+
+def _bands(most: int) -> list[Column]:
+    """Of most + 3 blocks of the 64 bits, each choice of three as one value: two prints that differ in `most` bits agree in one choice at least."""
+    n = most + 3
+    cuts = [64 * i // n for i in range(n + 1)]
+    block = [F.shiftrightunsigned("fingerprint", lo).bitwiseAND(F.lit((1 << hi - lo) - 1)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    return [F.xxhash64(F.lit(k), *[block[i] for i in chosen]) for k, chosen in enumerate(combinations(range(n), 3))]
 
 
 def campaigns(prints: DataFrame, most: int = 3, least: int = 3) -> DataFrame:
     """message_id, campaign_id (smallest fingerprint), size: groups of messages linked by at most `most` differing bits.
 
-    Messages with one fingerprint are one node. Nodes meet in the four 16-bit bands, one of which must be equal; no band is capped.
+    Messages with one fingerprint are one node. Nodes meet where three of most + 3 blocks (some 32 bits) are equal, so that chance
+    meetings stay rare among 10^8 prints; none is capped.
     """
     nodes = stored(prints.where("fingerprint != 0").groupBy("fingerprint").agg(F.count("*").alias("n")), "prints")
-    bands = nodes.select("fingerprint", F.posexplode(F.array(*[F.shiftrightunsigned("fingerprint", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)])).alias("band", "part"))
-    pairs = bands.alias("x").join(bands.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.fingerprint") < F.col("y.fingerprint")) & (F.bit_count(F.col("x.fingerprint").bitwiseXOR(F.col("y.fingerprint"))) <= most))
-    found = components(pairs.select(F.col("x.fingerprint").alias("a"), F.col("y.fingerprint").alias("b")))
+    bands = nodes.select("fingerprint", F.explode(F.array(*_bands(most))).alias("band"))
+    pairs = bands.alias("x").join(bands.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.fingerprint") < F.col("y.fingerprint")) & (F.bit_count(F.col("x.fingerprint").bitwiseXOR(F.col("y.fingerprint"))) <= most))
+    found = components(pairs.select(F.col("x.fingerprint").alias("a"), F.col("y.fingerprint").alias("b")).distinct())
     named = nodes.join(found, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "n", F.coalesce("label", "fingerprint").alias("campaign_id"))
     sizes = stored(named.groupBy("campaign_id").agg(F.sum("n").alias("size")).where(F.col("size") >= least), "sizes")
     return prints.join(named.join(sizes, "campaign_id").select("fingerprint", "campaign_id", "size"), "fingerprint").select("message_id", "campaign_id", "size")
+
+
+def campaign_totals(members: DataFrame, messages: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Per campaign: size, first and last, how many are malicious, and how many an analyst left unreviewed, called benign or to remediate."""
+    rows = members.join(messages.select("message_id", "received_at", "triage"), "message_id").join(verdicts.select("message_id", "verdict"), "message_id", "left")
+    state = F.coalesce("triage", F.lit("unreviewed"))
+    return rows.groupBy("campaign_id").agg(
+        F.count("*").alias("size"), F.min("received_at").alias("first"), F.max("received_at").alias("last"), F.count_if(F.col("verdict") == "malicious").alias("malicious"),
+        *[F.count_if(state == s).alias(s) for s in ("unreviewed", "benign", "needs_remediation")],
+    )
+
+
+def response(members: DataFrame, messages: DataFrame) -> DataFrame:
+    """One row: messages considered, messages grouped, campaigns."""
+    grouped = members.agg(F.count("*").alias("grouped"), F.count_distinct("campaign_id").alias("campaigns"))
+    return messages.agg(F.count("*").alias("considered")).join(F.broadcast(grouped))  # one row each

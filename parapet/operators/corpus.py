@@ -46,12 +46,23 @@ def rerunnable(verdicts: DataFrame, capability: str) -> DataFrame:
     return verdicts.where(F.array_contains("missing", capability))
 
 
-def effectiveness(verdicts: DataFrame, triage: DataFrame, least: int = 5) -> DataFrame:
-    """Per rule that fired: hits, reviewed, confirmed, benign, precision (from `least` reviews on). triage: message_id, triage."""
+def effectiveness(verdicts: DataFrame, triage: DataFrame, dispositions: DataFrame | None = None, least: int = 5) -> DataFrame:
+    """Per rule that fired: hits, confirmed, benign, ignored, unreviewed, false_positive, accepted_risk, reviewed, precision (from `least`
+    reviews on). triage: message_id, triage; dispositions: message_id, disposition. A disposition goes before triage; an accepted risk
+    speaks for the rule; what is ignored counts neither way."""
     fired = verdicts.select("message_id", F.explode("matched").alias("rule")).join(triage, "message_id", "left")
-    state = F.coalesce("triage", F.lit("unreviewed"))
-    counts = fired.groupBy("rule").agg(F.count("*").alias("hits"), F.count_if(state != "unreviewed").alias("reviewed"), F.count_if(state == "needs_remediation").alias("confirmed"), F.count_if(state == "benign").alias("benign"))
-    return counts.withColumn("precision", F.when(F.col("reviewed") >= least, F.col("confirmed") / F.col("reviewed")))
+    if dispositions is None:
+        fired = fired.withColumn("disposition", F.lit(None).cast("string"))
+    else:
+        fired = fired.join(dispositions, "message_id", "left")
+    said = F.when(F.col("disposition").isin("false_positive", "accepted_risk"), F.col("disposition")).otherwise(F.coalesce("triage", F.lit("unreviewed")))
+    count = lambda *states: F.count_if(said.isin(*states))
+    counts = fired.groupBy("rule").agg(
+        F.count("*").alias("hits"), count("needs_remediation", "remediated").alias("confirmed"), count("benign").alias("benign"), count("ignored").alias("ignored"),
+        count("unreviewed").alias("unreviewed"), count("false_positive").alias("false_positive"), count("accepted_risk").alias("accepted_risk"),
+    )
+    reviewed = F.col("confirmed") + F.col("benign") + F.col("false_positive") + F.col("accepted_risk")
+    return counts.withColumn("reviewed", reviewed).withColumn("precision", F.when(F.col("reviewed") >= least, (F.col("confirmed") + F.col("accepted_risk")) / F.col("reviewed")))
 
 
 def dormant(rules: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -70,12 +81,17 @@ def training_labels(messages: DataFrame, dispositions: DataFrame) -> DataFrame:
 
 
 def hunt(messages: DataFrame, test: Answer | Column) -> DataFrame:
-    """One row: scanned, matched, undecided, and how often each kind of evidence was missing (sorted array of name, n)."""
+    """One row: scanned, matched, undecided, and how often each kind of evidence was missing (sorted array of name, n).
+
+    One pass: messages are counted by verdict and set of missing names first, of which there are few."""
     a = answer(test)
-    rows = messages.select(a.verdict.alias("v"), a.names.alias("m"))
-    counts = rows.agg(F.count("*").alias("scanned"), F.count_if(F.col("v") == "match").alias("matched"), F.count_if(F.col("v") == "indeterminate").alias("undecided"))
-    gaps = rows.where("v = 'indeterminate'").select(F.explode("m").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    return counts.crossJoin(gaps.agg(F.array_sort(F.collect_list(F.struct("name", "n"))).alias("missing")))  # one row each
+    sets = messages.select(a.verdict.alias("v"), a.names.alias("m")).groupBy("v", "m").agg(F.count("*").alias("n"))
+    gap = F.when(F.col("v") == "indeterminate", F.transform("m", lambda x: F.struct(x.alias("name"), F.col("n").alias("n"))))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    one = sets.agg(total(F.col("n")).alias("scanned"), total(F.when(F.col("v") == "match", F.col("n"))).alias("matched"), total(F.when(F.col("v") == "indeterminate", F.col("n"))).alias("undecided"), F.flatten(F.collect_list(gap)).alias("gaps"))
+    names = F.array_sort(F.array_distinct(F.transform("gaps", lambda g: g["name"])))
+    summed = F.transform(names, lambda x: F.struct(x.alias("name"), F.aggregate(F.filter("gaps", lambda g: g["name"] == x), F.lit(0).cast("long"), lambda s, g: s + g["n"]).alias("n")))
+    return one.select("scanned", "matched", "undecided", summed.alias("missing"))
 
 
 def hits(messages: DataFrame, test: Answer | Column, limit: int | None = None) -> DataFrame:
@@ -109,3 +125,34 @@ def link_digest(url: Column, retrieved: Column, length: Column) -> Column:
 
 def auth_badge(passed: Column) -> Column:
     return F.when(passed.isNull(), "absent").when(passed, "pass").otherwise("fail")
+
+
+def heads(messages: DataFrame, ids: DataFrame) -> DataFrame:
+    """The thin rows behind a list of findings. ids: message_id (repeated or unknown ones change nothing)."""
+    return messages.join(ids.select("message_id"), "message_id", "left_semi").select("message_id", "received_at", "sender_email", "subject")
+
+
+def flagged(messages: DataFrame, verdicts: DataFrame, state: str | None = None, most: int = 5000) -> DataFrame:
+    """Ids of malicious messages, newest first, at most `most` of them; with `state`, only those in that state of triage."""
+    bad = messages.join(verdicts.where("verdict = 'malicious'").select("message_id"), "message_id", "left_semi")
+    own = F.coalesce("triage", F.lit("unreviewed"))
+    found = bad.where(own == state) if state else bad
+    return found.select("message_id", "received_at", own.alias("state")).orderBy(F.desc("received_at"), F.desc("message_id")).limit(most)
+
+
+def people(messages: DataFrame, recipients: str | None = None) -> DataFrame:
+    """value: distinct lower-cased senders of what isn't outbound, or with an array column `recipients` the recipients: as list sources."""
+    if recipients:
+        return messages.select(F.explode(recipients).alias("v")).select(F.lower("v").alias("value")).where("value != ''").distinct()
+    return messages.where("direction is null or direction != 'outbound'").select(F.lower("sender_email").alias("value")).where("value != ''").distinct()
+
+
+def appeared(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rules (name, source) of `after` that are new, or whose source changed; nothing if there was no rule before."""
+    new = after.join(before.select("name", "source"), ["name", "source"], "left_anti")
+    return new.where(F.lit(not before.isEmpty())).select("name")
+
+
+def distinct_values(values: Column) -> Column:
+    """What a wildcard path yields: distinct values without nulls, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parapet.functions import logic as L
 from parapet.functions import strings as S
 from parapet.sources.mail import auth_summary, mismatched, subject_parts
 
@@ -44,11 +45,82 @@ def catalogue(mdm: Column) -> dict[str, tuple[str, Column]]:
 
 
 def insights(messages: DataFrame, keep: list[str], mdm: str = "mdm") -> DataFrame:
-    """keep + warnings and context: names of the observations that hold."""
-    held = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(kind).alias("kind"), F.coalesce(c, F.lit(False)).alias("held")) for n, (kind, c) in catalogue(F.col(mdm)).items()])
-    rows = messages.select(*keep, F.filter(held, lambda x: x["held"]).alias("_h"))
-    named = lambda kind: F.transform(F.filter("_h", lambda x: x["kind"] == kind), lambda x: x["name"])
-    return rows.select(*keep, named("warn").alias("warnings"), named("context").alias("context"))
+    """keep + warnings, context and unknown: names of the observations that hold, and of those whose fields are not there to tell."""
+    held = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(kind).alias("kind"), c.alias("held")) for n, (kind, c) in catalogue(F.col(mdm)).items()])
+    rows = messages.select(*keep, held.alias("_h"))
+    named = lambda test: F.transform(F.filter("_h", test), lambda x: x["name"])
+    of_kind = lambda kind: named(lambda x: F.coalesce(x["held"], F.lit(False)) & (x["kind"] == kind))
+    return rows.select(*keep, of_kind("warn").alias("warnings"), of_kind("context").alias("context"), named(lambda x: x["held"].isNull()).alias("unknown"))
+
+
+def facts(mdm: Column, profile: Column | None = None, whois: Column | None = None, link_days: Column | None = None, nlu: Column | None = None, shorteners: list[str] | None = None) -> list[tuple[str, str, bool, L.Answer]]:
+    """(group, label, warn, answer) of what is shown beside a message. A source that isn't given is missing evidence, by name, and what it
+    would have answered is unknown, not "no". profile: struct as of profile.as_of_events; whois: struct(days_old, registrar, registrant,
+    country) of the sender's domain; link_days: array of the ages of the links' domains, null where the age is not known; nlu: struct as
+    of scoring.understood."""
+    address = lambda x: S.parse_email(x)["domain"]
+    sender, links = mdm["sender"]["email"], mdm["links"]
+    domain = address(sender)
+    hosts = F.transform(links, lambda x: S.parse_url(x["href"])["host"])
+    roots = F.transform(links, lambda x: S.parse_url(x["href"])["domain"]["root_domain"])
+
+    def of(source: Column | None, name: str, value, kind: str) -> L.Answer:
+        return L.unavailable(name, kind) if source is None else L.Answer(value(source), F.when(source.isNull(), F.array(F.lit(name))).otherwise(F.array().cast("array<string>")))
+
+    def young(days: Column) -> Column:
+        return F.exists(days, lambda d: d < 30)
+
+    aged = L.unavailable("whois") if link_days is None else L.Answer(young(link_days), F.when(F.exists(link_days, lambda d: d.isNull()) & ~F.coalesce(young(link_days), F.lit(False)), F.array(F.lit("whois"))).otherwise(F.array().cast("array<string>")))
+    short = L.unavailable("$url_shorteners") if shorteners is None else L.Answer(F.exists(roots, lambda r: L.in_list(r, shorteners, "url_shorteners").value))
+    model = lambda field, kind, value: L.unavailable("nlu", kind) if nlu is None else L.Answer(value(nlu[field]), L.part(nlu, field, "nlu").missing)
+    sure = lambda *levels: lambda xs: F.transform(F.filter(xs, lambda x: x["confidence"].isin(*levels)), lambda x: x["name"])
+    a = L.Answer
+    return [
+        ("identity", "Sender", False, a(sender)),
+        ("identity", "Sender display name", False, a(mdm["sender"]["display_name"])),
+        ("identity", "Sender domain", False, a(domain)),
+        ("identity", "Return path", False, a(mdm["return_path"])),
+        ("identity", "Reply-to", False, a(F.transform(mdm["reply_to"], lambda r: r["email"]))),
+        ("identity", "Reply-to differs from sender", True, a(F.exists(mdm["reply_to"], lambda r: address(r["email"]) != domain))),
+        ("identity", "Return path differs from sender", True, a(address(mdm["return_path"]) != domain)),
+        ("identity", "Message-ID", False, a(mdm["message_id"])),
+        ("identity", "Recipients", False, a(F.size(mdm["recipients"]))),
+        ("identity", "Sender is also the only recipient", True, a((F.size(mdm["recipients"]) == 1) & F.exists(mdm["recipients"], lambda r: r["email"] == sender))),
+        ("reputation", "Sender prevalence", False, of(profile, "profile", lambda p: p["prevalence"], "string")),
+        ("reputation", "You have written to them before", False, of(profile, "profile", lambda p: p["prior_solicited"], "boolean")),
+        ("reputation", "Previously judged benign", False, of(profile, "profile", lambda p: p["prior_any_benign"], "boolean")),
+        ("reputation", "Previously judged malicious", True, of(profile, "profile", lambda p: p["prior_any_malicious"], "boolean")),
+        ("reputation", "Sender domain age (days)", False, of(whois, "whois", lambda w: w["days_old"], "long")),
+        ("reputation", "Sender domain registered in the last 30 days", True, of(whois, "whois", lambda w: w["days_old"] < 30, "boolean")),
+        ("reputation", "Registrar", False, of(whois, "whois", lambda w: w["registrar"], "string")),
+        ("reputation", "Registrant", False, of(whois, "whois", lambda w: w["registrant"], "string")),
+        ("reputation", "Registrant country", False, of(whois, "whois", lambda w: w["country"], "string")),
+        ("content", "Links in body", False, a(F.size(links))),
+        ("content", "Link domains", False, a(F.array_distinct(hosts))),
+        ("content", "A link domain is newly registered", True, aged),
+        ("content", "A link uses a URL shortener", True, short),
+        ("content", "Link text disagrees with its destination", True, a(F.exists(links, lambda x: F.contains(x["display_text"], F.lit("://")) & ~F.contains(F.lower(x["display_text"]), S.parse_url(x["href"])["host"])))),
+        ("content", "Attachments", False, a(F.size(mdm["attachments"]))),
+        ("content", "Language", False, model("language", "string", lambda x: x)),
+        ("content", "Intent", False, model("intents", "string", sure("high", "medium"))),
+        ("content", "Topic", False, model("topics", "string", sure("high"))),
+        ("content", "Urgency or financial language", True, model("entities", "boolean", lambda xs: F.exists(xs, lambda e: e["name"].isin("urgency", "financial")))),
+    ]
+
+
+def shown(messages: DataFrame, keep: list[str], mdm: str = "mdm", **sources) -> DataFrame:
+    """keep, group, label, warn, value (JSON text), unknown, missing: a row for each fact that has a value or could not be established. A
+    warning is shown if it holds or is unknown."""
+
+    def row(group: str, label: str, warn: bool, x: L.Answer) -> Column:
+        value = F.to_json(F.struct(x.value.alias("v")))  # '{}' for null
+        text = F.when(x.value.isNotNull(), F.substring(value, F.lit(6), F.length(value) - 6))
+        unknown = x.value.isNull() & (F.size(x.names) > 0)
+        return F.struct(F.lit(group).alias("group"), F.lit(label).alias("label"), F.lit(warn).alias("warn"), text.alias("value"), unknown.alias("unknown"), F.when(unknown, x.names).otherwise(F.array().cast("array<string>")).alias("missing"))
+
+    rows = F.array(*[row(*f) for f in facts(F.col(mdm), **sources)])
+    wanted = F.filter(rows, lambda r: r["unknown"] | (r["value"].isNotNull() & (~r["warn"] | (r["value"] == "true"))))
+    return messages.select(*keep, F.explode(wanted).alias("f")).select(*keep, "f.*")
 
 
 def origin(received: Column) -> Column:

@@ -67,6 +67,37 @@ def _stopwords():
     return sorted(STOPWORDS.items())
 
 
+#: Words behind the entities of a text.
+ENTITIES = {
+    "urgency": r"(?i)\b(urgent(?:ly)?|immediately|as soon as possible|right away|within 24 hours|final notice|act now)\b",
+    "financial": r"(?i)\b(invoice|payment|wire transfer|bank account|remittance|payroll|gift cards?|refund)\b|[$\x{20ac}\x{a3}] ?\d[\d.,]*",
+    "request": r"(?i)\b(please (?:review|confirm|send|reply|call)|kindly|can you|could you|let me know)\b",
+    "greeting": r"(?im)^\s*(?:hi|hello|dear|hey)\b[^\n,]{0,40}",
+}
+
+
+def understood(text: Column) -> Column:
+    """struct(language, entities, intents, topics, tags, unavailable): what can be told by rules; intents, topics and tags need a model and
+    are named as unavailable one by one (see logic.part). entities: distinct (name, text) in order of name and text."""
+    text = F.coalesce(text, F.lit(""))
+
+    def named(name: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(name).alias("name"), F.lower(F.trim(x)).alias("text")))
+
+    found = [named(*item) for item in ENTITIES.items()]
+    scored = F.lit(None).cast("array<struct<name:string,confidence:string>>")
+    return F.struct(
+        language(text).alias("language"), F.array_sort(F.array_distinct(F.concat(*found))).alias("entities"), scored.alias("intents"), scored.alias("topics"),
+        F.lit(None).cast("array<string>").alias("tags"), F.array(*map(F.lit, ("intents", "topics", "tags"))).alias("unavailable"),
+    )
+
+
+def absolute_confidence(score: Column, suppressive: Column) -> Column:
+    """Level of one label's score by itself; a label that only suppresses others is never more than medium."""
+    level = level_of(score)
+    return F.when(suppressive & (level == "high"), "medium").otherwise(level)
+
+
 def calibration(scored: DataFrame, thresholds: list[float]) -> DataFrame:
     """scored(score, label 0/1) -> precision, recall, f1 at each threshold. Every row is counted once for each threshold, in one pass."""
     sums = []

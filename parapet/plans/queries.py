@@ -16,9 +16,11 @@ from parapet.functions import logic as L
 from parapet.functions import network as N
 from parapet.functions import regex as R
 from parapet.functions import strings as S
-from parapet.operators import campaign, corpus, lists, profile, rules, scoring, sensitive
+from parapet.operators import campaign, corpus, insights, lists, profile, rules, scoring, sensitive
+from parapet.sources import mail
 from parapet.sources import messages as M
 from parapet.sources.shared import read_table
+from parapet.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -338,11 +340,14 @@ def rerunnable(spark, sf):
     return corpus.rerunnable(v_verdicts(spark, sf), "reputation").select("message_id")
 
 
-@query(f"""with {V_VERDICTS} select rule, count(*) as hits, count(*) filter (where triage <> 'unreviewed') as reviewed, count(*) filter (where triage = 'needs_remediation') as confirmed, count(*) filter (where triage = 'benign') as benign,
- case when count(*) filter (where triage <> 'unreviewed') >= 5 then count(*) filter (where triage = 'needs_remediation') / cast(count(*) filter (where triage <> 'unreviewed') as double) end as precision
- from (select unnest(matched) as rule, triage from verdicts) group by 1""")
+@query(f"""with {V_VERDICTS}, p as (select doc_id as message_id, case when doc_id % 11 = 0 then 'accepted_risk' else 'false_positive' end as disposition from documents where doc_id % 11 in (0, 3)),
+u as (select unnest(matched) as rule, coalesce(disposition, triage) as said from verdicts left join p using (message_id)),
+c as (select rule, count(*) as hits, count(*) filter (where said in ('needs_remediation', 'remediated')) as confirmed, count(*) filter (where said = 'benign') as benign, count(*) filter (where said = 'ignored') as ignored,
+ count(*) filter (where said = 'unreviewed') as unreviewed, count(*) filter (where said = 'false_positive') as false_positive, count(*) filter (where said = 'accepted_risk') as accepted_risk from u group by 1)
+select *, confirmed + benign + false_positive + accepted_risk as reviewed, case when confirmed + benign + false_positive + accepted_risk >= 5 then (confirmed + accepted_risk) / cast(confirmed + benign + false_positive + accepted_risk as double) end as precision from c""")
 def effectiveness(spark, sf):
-    return corpus.effectiveness(v_verdicts(spark, sf), M.v_messages(spark, sf).select("message_id", "triage"))
+    d = documents(spark, sf).where("doc_id % 11 in (0, 3)").select(F.col("doc_id").alias("message_id"), F.expr("case when doc_id % 11 = 0 then 'accepted_risk' else 'false_positive' end").alias("disposition"))
+    return corpus.effectiveness(v_verdicts(spark, sf), M.v_messages(spark, sf).select("message_id", "triage"), d)
 
 
 @query(f"""with {V_VERDICTS} select rule from (select unnest(['secret_in_text', 'symbols', 'shouting', 'reviewed_bad', 'reputation', 'trusted_source']) as rule) where rule not in (select unnest(matched) from verdicts)""")
@@ -435,13 +440,42 @@ def direction(spark, sf):
 
 
 @query("""with f as (select doc_id, 'email' as type, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}')) as value from documents
- union all select doc_id, 'aws_access_key', unnest(regexp_extract_all(text, '\\bAKIA[A-Z0-9]{16}\\b')) from documents
+ union all select doc_id, 'aws_access_key', unnest(regexp_extract_all(text, '\\bA(?:KIA|SIA|BIA|CCA)[A-Z0-9]{16}\\b')) from documents
  union all select doc_id, 'ipv4', unnest(regexp_extract_all(text, '\\b(?:(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\b')) from documents) select distinct doc_id, type, value from f""")
 def sensitive_plain(spark, sf):
-    return sensitive.extract(documents(spark, sf), "text", ["doc_id"]).where(F.col("type").isin("email", "aws_access_key", "ipv4"))
-
-
-@query()
+    return sensitive.extract(documents(spark, sf), "text", ["doc_id"]).where(F.col("type").isin("email", "aws_access_key", "ipv4")).select("doc_id", "type", "value")
+
+
+def _sensitive_sql() -> str:
+    """The shapes run in DuckDB's engine; the checksums are written out in its own terms."""
+    digits = "list_filter(list_transform(string_split(regexp_replace({0}, '[^0-9]', '', 'g'), ''), lambda c: try_cast(c as int)), lambda c: c is not null)"
+    luhn = "list_sum(list_transform(list_reverse({0}), lambda v, i: case when i % 2 = 1 then v when v > 4 then 2 * v - 9 else 2 * v end)) % 10 = 0"
+    weighted = lambda d, ws: " + ".join(f"{w} * {d}[{i}]" for i, w in enumerate(ws, 1))
+    vin = "list_transform(string_split(translate(value, 'ABCDEFGHJKLMNPRSTUVWXYZ', '12345678123457923456789'), ''), lambda c: try_cast(c as int))"
+    iban = "list_reduce(list_concat([0], list_transform(string_split(substr(replace(value, ' ', ''), 5) || substr(value, 1, 4), ''), lambda c: case when c between '0' and '9' then cast(c as int) else ascii(c) - 55 end)), lambda a, x: case when x > 9 then (a * 100 + x) % 97 else (a * 10 + x) % 97 end)"
+    tests = {
+        "credit_card_number": luhn.format("d"),
+        "iban_code": f"length(replace(value, ' ', '')) between 15 and 34 and {iban} = 1",
+        "us_aba_routing_number": f"({weighted('d', (3, 7, 1) * 3)}) % 10 = 0 and (value[1:2] between '01' and '12' or value[1:2] between '21' and '32' or value[1:2] between '61' and '72' or value[1:2] = '80')",
+        "canadian_sin": luhn.format("d"),
+        "nhs_number": f"({weighted('d', range(10, 1, -1))}) % 11 <> 1 and d[10] = (11 - ({weighted('d', range(10, 1, -1))}) % 11) % 11",
+        "nl_bsn": f"({weighted('d', range(9, 1, -1))} - d[9]) % 11 = 0 and value <> '000000000'",
+        "social_security_number": "not (value[1:3] in ('000', '666') or value[1:1] = '9' or value[5:6] = '00' or value[8:11] = '0000')",
+        "us_npi": luhn.format("list_concat([8, 0, 8, 4, 0], d)"),
+        "vehicle_vin": f"value[9:9] = case when ({weighted('v', (8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2))}) % 11 = 10 then 'X' else cast(({weighted('v', (8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2))}) % 11 as varchar) end",
+    }
+    parts = []
+    for kind, d in sensitive.DETECTORS.items():
+        shape = d.shape.replace("'", "''")
+        found = f"select distinct doc_id, '{kind}' as type, unnest(regexp_extract_all(text, '{shape}')) as value, '{d.confidence}' as confidence, {d.score}::double as score from documents"
+        if kind in tests:
+            extra = f", {vin} as v" if kind == "vehicle_vin" else ""
+            found = f"select doc_id, type, value, confidence, score from (select *, {digits.format('value')} as d{extra} from ({found})) where {tests[kind]}"
+        parts.append(found)
+    return " union all ".join(parts)
+
+
+@query(_sensitive_sql())
 def sensitive_checked(spark, sf):
     return sensitive.extract(documents(spark, sf), "text", ["doc_id"])
 
@@ -477,3 +511,128 @@ def fingerprints(spark, sf):
 @query()
 def campaigns(spark, sf):
     return campaign.campaigns(campaign.fingerprints(M.v_messages(spark, sf)))
+
+
+# --- what is behind findings, sources of lists, mail, and their like
+
+
+@query(f"""with {V_VERDICTS} select message_id, cast(received_at as varchar) as received_at, sender_email, subject from v where message_id in (select message_id from verdicts where verdict = 'malicious')""")
+def finding_heads(spark, sf):
+    ids = v_verdicts(spark, sf).where("verdict = 'malicious'")
+    return corpus.heads(M.v_messages(spark, sf), ids).select("message_id", F.date_format("received_at", "yyyy-MM-dd HH:mm:ss").alias("received_at"), "sender_email", "subject")
+
+
+@query(f"""with {V_VERDICTS} select message_id, triage as state from verdicts where verdict = 'malicious' order by received_at desc, message_id desc limit 5000""")
+def flagged_ids(spark, sf):
+    return corpus.flagged(M.v_messages(spark, sf), v_verdicts(spark, sf)).select("message_id", "state")
+
+
+@query(f"""with {V_MESSAGES} select distinct lower(sender_email) as value from v where direction <> 'outbound'""")
+def list_of_senders(spark, sf):
+    return corpus.people(M.v_messages(spark, sf))
+
+
+@query("""select distinct lower(unnest([p_brand, p_type])) as value from part""")
+def list_of_recipients(spark, sf):
+    return corpus.people(part(spark, sf).withColumn("to", F.array("p_brand", "p_type")), "to")
+
+
+@query("""select o_orderkey, array_to_string(list_sort(list_distinct(list(l_returnflag || l_linestatus))), ',') as kinds from orders join lineitem on l_orderkey = o_orderkey group by 1""")
+def wildcard_distinct(spark, sf):
+    kinds = F.transform("lines", lambda x: F.concat(x["l_returnflag"], x["l_linestatus"]))
+    return M.v_orders(spark, sf).where("lines is not null").select("o_orderkey", F.array_join(corpus.distinct_values(kinds), ",").alias("kinds"))
+
+
+@query("""select p_partkey::varchar as name from part where p_partkey % 7 = 0 or p_partkey % 5 = 0""")
+def appeared_rules(spark, sf):
+    both = part(spark, sf).select(F.col("p_partkey").cast("string").alias("name"), F.col("p_brand").alias("source"), "p_partkey")
+    before = both.where("p_partkey % 7 != 0").withColumn("source", F.when(F.col("p_partkey") % 5 == 0, "changed").otherwise(F.col("source")))
+    return corpus.appeared(before, both)
+
+
+@query("""select event_id, case when user_id * 37 % 65536 between 0 and 4095 or user_id * 37 % 65536 between 8192 and 12287 then true else false end as inside, event_id % 2 = 0 as mapped from events""")
+def ip6_ranges(spark, sf):
+    third = F.lower(F.hex(F.col("user_id") * 37 % 65536))
+    ip = F.concat(F.lit("2001:DB8:"), third, F.lit("::1"))
+    v4 = F.when(F.col("event_id") % 2 == 0, F.lit("::ffff:10.1.2.3")).otherwise(F.lit("11.1.2.3"))
+    inside = N.ip_in(ip, "2001:db8:0::/36", "2001:db8:2000::/36", "10.0.0.0/8", "nonsense")
+    return events(spark, sf).select("event_id", inside.alias("inside"), N.ip_in(v4, "10.0.0.0/8").alias("mapped"))
+
+
+@query(f"""with {V_MESSAGES}, c as (select *, contains(lower(body), 'password') as hit from v)
+select message_id, case when hit then 'match' when message_id % 3 = 0 then 'indeterminate' else 'no-match' end as verdict, case when not hit and message_id % 3 = 0 then 'nlu.intents' else '' end as missing from c""")
+def partial_evidence(spark, sf):
+    gone = F.when(F.col("message_id") % 3 == 0, F.array(F.lit("intents"))).otherwise(F.array().cast("array<string>"))
+    nlu = F.struct(F.when(F.col("message_id") % 3 != 0, F.lit(False)).alias("intents"), gone.alias("unavailable"))
+    a = L.answer(S.contains(F.col("body"), "password", fold=True)) | L.part(nlu, "intents", "nlu")
+    return M.v_messages(spark, sf).select("message_id", a.verdict.alias("verdict"), F.array_join(a.names, ",").alias("missing"))
+
+
+@query(f"""with {V_MESSAGES}, e as (select message_id, 'urgency' as name, lower(unnest(regexp_extract_all(body, '(?i)\\b(?:urgent(?:ly)?|immediately|as soon as possible|right away|within 24 hours|final notice|act now)\\b'))) as text from v
+ union all select message_id, 'financial', lower(unnest(regexp_extract_all(body, '(?i)\\b(?:invoice|payment|wire transfer|bank account|remittance|payroll|gift cards?|refund)\\b|[$\\x{{20ac}}\\x{{a3}}] ?\\d[\\d.,]*'))) from v) select distinct message_id, name, text from e""")
+def entities(spark, sf):
+    rows = M.v_messages(spark, sf).select("message_id", F.explode(scoring.understood(F.col("body"))["entities"]).alias("e"))
+    return rows.where(F.col("e.name").isin("urgency", "financial")).select("message_id", "e.*")
+
+
+RAW_MAIL = """concat('From: "User ', message_id, '" <', sender_email, '>\\r\\nTo: desk@example.org, b@src1.example.com\\r\\nReply-To: r', message_id % 5, '@reply.test\\r\\nReturn-Path: <bounce@', sender_domain, '>\\r\\nSubject: [ext] Re: Case ', message_id,
+ '\\r\\nMessage-ID: <m', message_id, '@example.org>\\r\\nReceived: from a by b\\r\\nAuthentication-Results: mx; spf=', if(message_id % 3 = 0, 'fail', 'pass'), '\\r\\nContent-Type: text/plain; charset=utf-8\\r\\nContent-Transfer-Encoding: base64\\r\\n\\r\\n', base64(encode(concat('See https://x', message_id % 50, '.shop.test/a please, it is urgent\\n', lang), 'utf-8')))"""
+
+
+def v_mail(spark, sf):
+    return mail.parse(M.v_messages(spark, sf).select("message_id", F.encode(F.expr(RAW_MAIL), "utf-8").alias("raw")))
+
+
+@query(f"""with {V_MESSAGES} select message_id, sender_email as sender, 'User ' || message_id as display_name, 'Case ' || message_id as base, true as is_reply, 'ext' as tags, message_id % 3 <> 0 as spf, 'm' || message_id || '@example.org' as mid,
+ 'desk@example.org,b@src1.example.com' as recipients, 'https://x' || (message_id % 50) || '.shop.test/a' as links, 'bounce@' || sender_domain as return_path, length(lang) + length('See https://x' || (message_id % 50) || '.shop.test/a please, it is urgent') + 1 as n_text from v""")
+def parsed_mail(spark, sf):
+    """Raw messages made from the documents' ids and senders, parsed again."""
+    m, subject = F.col("mdm"), mail.subject_parts(F.col("mdm.subject"))
+    return v_mail(spark, sf).select(
+        "message_id", m["sender"]["email"].alias("sender"), m["sender"]["display_name"].alias("display_name"), subject["base"].alias("base"), subject["is_reply"].alias("is_reply"), F.array_join(subject["tags"], ",").alias("tags"),
+        mail.auth_summary(m["hops"], "spf").alias("spf"), m["message_id"].alias("mid"), F.array_join(F.transform(m["recipients"], lambda r: r["email"]), ",").alias("recipients"),
+        F.array_join(F.transform(m["links"], lambda x: x["href"]), ",").alias("links"), m["return_path"].alias("return_path"), F.length(m["text"]).alias("n_text"),
+    )
+
+
+@query(f"""with {V_MESSAGES}, f as (select message_id, unnest([
+ ['Sender', '"' || sender_email || '"', ''], ['Sender domain', '"' || sender_domain || '"', ''], ['Recipients', '2', ''], ['Reply-to differs from sender', 'true', ''], ['Return path', '"bounce@' || sender_domain || '"', ''],
+ ['Links in body', '1', ''], ['Link domains', '["x' || (message_id % 50) || '.shop.test"]', ''], ['Attachments', '0', ''], ['Urgency or financial language', 'true', ''],
+ ['Sender domain age (days)', case when message_id % 4 <> 0 then cast(message_id % 60 as varchar) end, 'whois'], ['Sender domain registered in the last 30 days', case when message_id % 4 <> 0 then cast(message_id % 60 < 30 as varchar) end, 'whois'],
+ ['Sender prevalence', null, 'profile'], ['A link uses a URL shortener', null, '$url_shorteners'], ['Intent', null, 'nlu.intents']]) as x from v)
+select message_id, x[1] as label, x[2] as value, x[2] is null as unknown, case when x[2] is null then x[3] else '' end as missing from f where x[2] is distinct from 'false'""")
+def shown_insights(spark, sf):
+    whois = F.when(F.col("message_id") % 4 != 0, F.struct((F.col("message_id") % 60).alias("days_old"), F.lit("r").alias("registrar"), F.lit("o").alias("registrant"), F.lit("c").alias("country")))
+    rows = insights.shown(v_mail(spark, sf), ["message_id"], whois=whois, nlu=scoring.understood(F.col("mdm.text")))
+    labels_ = ("Sender", "Sender domain", "Recipients", "Reply-to differs from sender", "Return path", "Links in body", "Link domains", "Attachments", "Urgency or financial language", "Sender domain age (days)", "Sender domain registered in the last 30 days", "Sender prevalence", "A link uses a URL shortener", "Intent")
+    return rows.where(F.col("label").isin(*labels_)).select("message_id", "label", "value", "unknown", F.array_join("missing", ",").alias("missing"))
+
+
+@query(f"""with {V_VERDICTS} select count(*) as considered, (select count(*) from verdicts where message_id % 10 in (1, 2)) as grouped, 2 as campaigns from v""")
+def campaign_response(spark, sf):
+    members = M.v_messages(spark, sf).where("message_id % 10 in (1, 2)").select("message_id", (F.col("message_id") % 10).alias("campaign_id"))
+    return campaign.response(members, M.v_messages(spark, sf))
+
+
+@query(f"""with {V_VERDICTS} select message_id % 10 as campaign_id, count(*) as size, cast(min(received_at) as varchar) as first, cast(max(received_at) as varchar) as last, count(*) filter (where verdict = 'malicious') as malicious,
+ count(*) filter (where triage = 'unreviewed') as unreviewed, count(*) filter (where triage = 'benign') as benign, count(*) filter (where triage = 'needs_remediation') as needs_remediation from verdicts group by 1""")
+def campaign_summary(spark, sf):
+    members = M.v_messages(spark, sf).select("message_id", (F.col("message_id") % 10).alias("campaign_id"))
+    out = campaign.campaign_totals(members, M.v_messages(spark, sf), v_verdicts(spark, sf))
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first", "last")})
+
+
+@query("""select event_id, row_number() over (partition by user_id order by ts, event_id) - 1 as n_before from events""")
+def sender_order(spark, sf):
+    got = []
+    known = spark.createDataFrame([], "sender string, n_events long")
+    ingest.in_sender_order(M.v_sender_events(spark, sf), lambda _: known, got.append)
+    return got[0].select("event_id", "n_before")
+
+
+@query("""select event_id as id, (event_id % 10) / 10.0::double as progress from events where event_id % 10 < 10 and (event_id % 3 = 0 or event_id % 3 = 1)""")
+def stale_claims(spark, sf):
+    at = lambda s: F.lit(s).cast("timestamp")
+    heard = F.when(F.col("event_id") % 3 == 1, at("2024-01-01 00:00:00")).when(F.col("event_id") % 3 == 2, at("2024-01-01 00:55:00"))
+    claims = events(spark, sf).select(F.col("event_id").alias("id"), heard.alias("claimed_at"), heard.alias("heard_at"), (F.col("event_id") % 10).alias("done"), F.lit(10).alias("total"))
+    return ingest.take_over(claims, at("2024-01-01 01:00:00")).select("id", "progress")

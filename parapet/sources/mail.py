@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 MAILBOX = "struct<display_name:string,email:string>"
 SCHEMA = (
-    f"message_id string, sent_at timestamp, sender {MAILBOX}, reply_to array<{MAILBOX}>, recipients array<{MAILBOX}>, subject string, in_reply_to string, refs array<string>, "
+    f"message_id string, sent_at timestamp, sender {MAILBOX}, reply_to array<{MAILBOX}>, recipients array<{MAILBOX}>, subject string, return_path string, in_reply_to string, refs array<string>, "
     "hops array<struct<index:int,received:string,authentication_results:string>>, text string, html string, "
     "current_text string, previous array<string>, links array<struct<display_text:string,href:string>>, "
     "attachments array<struct<file_name:string,content_type:string,size:bigint,md5:string,sha1:string,sha256:string,head:binary>>, errors array<string>"
@@ -86,6 +86,7 @@ def parse_message(raw: bytes | None) -> dict | None:
         "reply_to": _boxes(tried("reply-to", lambda: m.get_all("Reply-To"), [])),
         "recipients": _boxes(tried("to", lambda: [*m.get_all("To", []), *m.get_all("Cc", []), *m.get_all("Bcc", [])], [])),
         "subject": header("Subject"),
+        "return_path": (header("Return-Path") or "").strip(" <>").lower() or None,
         "in_reply_to": (header("In-Reply-To") or "").strip(" <>") or None,
         "refs": re.findall(r"<([^>]+)>", header("References") or ""),
         "hops": [{"index": i, "received": r, "authentication_results": results[i] if i < len(results) else None} for i, r in enumerate(received)],

@@ -6,6 +6,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from parapet.sources.shared import stored
 
 HISTORY = "at timestamp, sender string, reply_to string, direction string, verdict string, auth_failed boolean"
 
@@ -58,20 +61,25 @@ def sql_rules(folder: str):
     return out, broken
 
 
-def append_new(df: DataFrame, path: str, key: list[str], by: list[str]) -> DataFrame:
-    """Append the rows whose key is not stored yet (each key once), partitioned by `by`; NUL characters are dropped. Returns what was added."""
+def append_new(df: DataFrame, path: str, key: list[str], by: str, batch: str) -> DataFrame:
+    """Write the rows whose key is not stored yet (each key once) below `by`=value/batch=`batch`; NUL characters are dropped. Returns them.
+
+    Only the partitions of the batch's own values of `by` are read, so a key must not change its `by`. What this batch wrote before
+    doesn't count as stored and is overwritten: a batch that runs again, even after it broke off half-way, leaves the same rows.
+    """
     spark = df.sparkSession
     clean = df.withColumns({f.name: F.translate(f.name, "\u0000", "") for f in df.schema if f.dataType.typeName() == "string"}).dropDuplicates(key)
-    try:
-        old = spark.read.parquet(path).select(*key)
-        clean = clean.join(old, key, "left_anti")
-    except Exception as e:  # the first write finds no table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    from parapet.sources.shared import stored
-
-    new = stored(clean, "new")
-    new.write.mode("append").partitionBy(*by).parquet(path)
+    clean = stored(clean, "batch")
+    days = [r[0] for r in clean.select(by).distinct().collect()]  # a batch spans few days
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        old = spark.read.schema(T.StructType([*df.select(*key, by).schema.fields, T.StructField("batch", T.StringType())])).parquet(path)
+        old = old.where(F.col(by).isin(days) & (F.col("batch") != batch)) if days else old.where("false")
+        new = stored(clean.join(old.select(*key), key, "left_anti"), "new")
+    else:
+        new = clean
+    out = new.withColumn("batch", F.lit(batch))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by, "batch").parquet(path)
     return new
 
 

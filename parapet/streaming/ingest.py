@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parapet.operators.rules import Rule, evaluate
+from parapet.sources.shared import passing
 from parapet.sources.tables import append_new
 
 
@@ -21,10 +23,14 @@ def message_stream(spark: SparkSession, path: str, schema: str, max_files: int =
 def store(messages: DataFrame, rules: list[Rule], target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Messages and verdicts of each batch are appended once for each message_id, also when a batch runs again."""
 
-    def batch(df: DataFrame, _: int) -> None:
-        new = append_new(df, f"{target}/messages", ["message_id"], ["day"])
-        verdicts = evaluate(new, rules, ["message_id", "day"])
-        append_new(verdicts, f"{target}/verdicts", ["message_id"], ["day"])
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:8]
+
+    def batch(df: DataFrame, number: int) -> None:
+        own = f"{name}-{number}"
+        with passing(df.sparkSession):
+            new = append_new(df, f"{target}/messages", ["message_id"], "day", own)
+            verdicts = evaluate(new, rules, ["message_id", "day"])
+            append_new(verdicts, f"{target}/verdicts", ["message_id"], "day", own)
 
     writer = messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -55,6 +61,25 @@ def running_profiles(events: DataFrame) -> DataFrame:
     return keyed.groupBy("sender").applyInPandasWithState(fold, PROFILE, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def in_sender_order(messages: DataFrame, profile_of, sink) -> DataFrame:
+    """For foreachBatch: a batch's messages by sender and time, each with what the sender had sent before it (the stored history and what
+    came earlier in the batch), handed to `sink`. profile_of(senders) gives sender and n_events as stored."""
+    ordered = messages.withColumn("sender", F.lower("sender")).repartition("sender").sortWithinPartitions("sender", "occurred_at", "event_id")
+    w = Window.partitionBy("sender").orderBy("occurred_at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    stored_counts = profile_of(ordered.select("sender").distinct()).select("sender", F.col("n_events").alias("_stored"))
+    out = ordered.withColumn("_here", F.count("*").over(w)).join(stored_counts, "sender", "left").withColumn("n_before", F.coalesce("_stored", F.lit(0)) + F.col("_here")).drop("_stored", "_here")
+    sink(out)
+    return out
+
+
+def take_over(claims: DataFrame, now, stale: str = "10 minutes") -> DataFrame:
+    """Work that nobody has: never claimed, or claimed by one who has not been heard of for `stale`, and not done. claims: id, claimed_at,
+    heard_at, done, total; adds the progress."""
+    silent = F.coalesce("heard_at", "claimed_at") <= now - F.expr(f"interval {stale}")
+    open_ = claims.where((F.col("done") < F.col("total")) & (F.col("claimed_at").isNull() | silent))
+    return open_.withColumn("progress", F.try_divide(F.col("done").cast("double"), F.col("total").cast("double")))
+
+
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     return events.withWatermark("occurred_at", late).groupBy(F.window("occurred_at", size), "verdict").count()
 
