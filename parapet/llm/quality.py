@@ -12,6 +12,8 @@ each on its own: repeated rows, a null doc_id and columns with other names chang
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +21,13 @@ from parapet.llm._shared import free_name, let
 
 #: Fixed values of the contract: blank characters, symbols.
 BLANK, WORD, SYMBOLS = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", "[#*$%&|<>]"
-#: Stock phrases of page furniture, in English, German, French and Spanish.
+#: Stock phrases of page furniture, in English, German, French and Spanish, lower-cased.
 PHRASES = (
-    "cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|lorem ipsum|click here|subscribe to our|sign up for|share this|licensed under|"
+    "cookie policy|privacy policy|terms of use|terms of service|all rights reserved|enable javascript|lorem ipsum|click here|subscribe to our|sign up for|share this|licensed under|"
     "alle rechte vorbehalten|datenschutzerklärung|cookie-richtlinie|nutzungsbedingungen|hier klicken|klicken sie hier|newsletter abonnieren|javascript aktivieren|"
     "tous droits réservés|politique de confidentialité|mentions légales|conditions d'utilisation|cliquez ici|abonnez-vous|activer javascript|"
     "todos los derechos reservados|política de privacidad|aviso legal|términos de uso|haga clic aquí|suscríbete a|habilite javascript"
 )
-BOILERPLATE = f"(?iu)(?:{PHRASES})"
 SEPARATORS = r"[|»›•·]"
 WINDOW = 5
 #: A line with more words than this for each stock phrase is text.
@@ -42,9 +43,14 @@ def line_is_junk(line: Column) -> Column:
     return F.coalesce(punctuation | navigation, F.lit(False))
 
 
+def names_stock(text: Column) -> Column:
+    """Whether any stock phrase stands in the text; only then are its lines searched one by one."""
+    return let(F.lower(text), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in PHRASES.split("|")]))
+
+
 def line_is_stock(line: Column) -> Column:
-    short = F.regexp_count(line, F.lit(WORD + "+")) <= AROUND * F.regexp_count(line, F.lit(BOILERPLATE))
-    return F.when(F.rlike(line, F.lit(BOILERPLATE)), short).otherwise(F.lit(False))
+    mentions = F.regexp_count(F.lower(line), F.lit(f"(?:{PHRASES})"))
+    return (mentions > 0) & (F.regexp_count(line, F.lit(WORD + "+")) <= AROUND * mentions)
 
 
 def repeated_words(words: Column) -> Column:
@@ -76,7 +82,7 @@ def judgement(text: Column, most_lost: int = 20) -> Column:
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         repeated_words(words).alias("n_repeat_words"),
-        F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), (line_is_junk(x) | line_is_stock(x)).alias("fails"))).alias("lines"),
+        let(names_stock(text), lambda some: F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), (line_is_junk(x) | (some & line_is_stock(x))).alias("fails")))).alias("lines"),
     )
 
     def verdict(q: Column) -> Column:

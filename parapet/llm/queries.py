@@ -69,7 +69,7 @@ f as (select r, line, regexp_matches(line, '[^\x20\x09-\x0D]') as has_word, leng
     len(regexp_extract_all(line, '[#*$%&|<>{}\[\]~^=_\\]|!!|\?\?')) as marks,
     len(regexp_extract_all(line, '[|\x{bb}\x{203a}\x{2022}\x{b7}]')) as bars,
     regexp_matches(line, '\p{L}') as letter,
-    len(regexp_extract_all(line, '(?i)(?:{phrases})')) as stock from l),
+    len(regexp_extract_all(lower(line), '(?:{phrases})')) as stock from l),
 h as (select *, (has_word and not letter) or (marks >= 3 and 10 * marks > 3 * words) or (bars >= 3 and 10 * bars > 2 * words) or (stock > 0 and words <= 12 * stock) as fails from f),
 v as (select r, sum(chars) as chars, count(*) filter (where has_word) - count(distinct line) filter (where has_word) as n_dup_lines,
     sum(case when fails then chars else 0 end) as lost, count(*) filter (where has_word and not fails) as good from h group by r),
@@ -79,7 +79,7 @@ z as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_fail
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and 100 * lost <= 20 * chars and good > 0 as kept from z""".replace(
         "{phrases}",
         # fixed values: the operator's stock phrases, written out
-        "cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|lorem ipsum|click here|subscribe to our|sign up for|share this|licensed under|"
+        "cookie policy|privacy policy|terms of use|terms of service|all rights reserved|enable javascript|lorem ipsum|click here|subscribe to our|sign up for|share this|licensed under|"
         "alle rechte vorbehalten|datenschutzerklärung|cookie-richtlinie|nutzungsbedingungen|hier klicken|klicken sie hier|newsletter abonnieren|javascript aktivieren|"
         "tous droits réservés|politique de confidentialité|mentions légales|conditions d''utilisation|cliquez ici|abonnez-vous|activer javascript|"
         "todos los derechos reservados|política de privacidad|aviso legal|términos de uso|haga clic aquí|suscríbete a|habilite javascript",
