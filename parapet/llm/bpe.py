@@ -15,11 +15,13 @@ piece. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from parapet.llm.tokens import byte_vocabulary
 #: The characters with Unicode's White_Space property, as a regular expression class.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 FREQUENT, LONGEST = 131_072, 64  # pieces of the broadcast table, and their characters at most: some 10 MB
-MOST_PIECES = 100_000  # rare pieces that a worker remembers
+MOST_PIECES = 400_000  # pieces that a worker remembers, those of the table included
 BLOCK_ROWS = 2_000
 
 
@@ -50,7 +52,9 @@ class MergeReplay:
         self.pair, self.rank = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self.coarse = re.compile(f"[{WHITE}]+(?![^{WHITE}])| ?[^{WHITE}]+|[{WHITE}]")
         self.words = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")).findall
-        self.rare: dict[str, tuple[str, bytes]] = {}  # pieces that follow a space
+        self.digits = {i: str(i) for i in self.token}
+        self.table: dict[str, tuple[str, bytes]] | None = None
+        self.known: dict[str, tuple[str, bytes]] = {}  # pieces that follow a space: the table's, and rare ones
         self.whole: dict[str, tuple[str, bytes]] = {}  # of this block, with their white space
         self.odd: set[str] = {""}  # what stands between spaces of this block and isn't a plain piece
 
@@ -124,25 +128,26 @@ class MergeReplay:
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, tuple[str, bytes]]:
         """(ids joined by spaces, decoded bytes) of each piece."""
-        split = {p: self.words(p) for p in pieces}
-        words = list({w for ws in split.values() for w in ws})
-        ids, raw = {}, {}
+        split = list(map(self.words, pieces))
+        words = list(set(chain.from_iterable(split)))
+        number, token, done = self.digits.__getitem__, self.token.__getitem__, {}
         for w, found in zip(words, self.encode_words([w.encode() for w in words]), strict=True):
-            found = found.tolist()
-            ids[w] = " ".join(map(str, found))
-            raw[w] = b"".join([self.token[i] for i in found])
-        return {p: (" ".join([ids[w] for w in ws]), b"".join([raw[w] for w in ws])) for p, ws in split.items()}
+            ids = found.tolist()
+            done[w] = (" ".join(map(number, ids)), b"".join(map(token, ids)))
+        return {p: done[ws[0]] if len(ws) == 1 else (" ".join([done[w][0] for w in ws]), b"".join([done[w][1] for w in ws])) for p, ws in zip(pieces, split, strict=True)}
 
-    def learn(self, texts: list[str], frequent: dict[str, tuple[str, bytes]]) -> None:
+    def learn(self, texts: list[str], table: dict[str, tuple[str, bytes]]) -> None:
         """All pieces of the texts are known afterwards."""
-        if len(self.rare) > MOST_PIECES:
-            self.rare.clear()
+        if self.table is not table or len(self.known) > MOST_PIECES:
+            self.table, self.known = table, dict(table)
         new = set()
         for t in texts:
             new.update(t.split(" ")[1:])
-        new = {p for p in new if p not in frequent and p not in self.rare}
-        self.odd = {""} | {p for p in new if not is_plain(p)}
-        pieces = {" " + p for p in new if p not in self.odd}
+        new.difference_update(self.known)
+        odd = {p for p in new if not is_plain(p)}
+        self.odd = {"", *odd}
+        new -= odd
+        pieces = {" " + p for p in new}
         for t in texts:
             parts = self.cut(t)
             if parts[0]:
@@ -150,13 +155,12 @@ class MergeReplay:
             else:
                 pieces.update(parts[1:])
         self.whole = self.encode_pieces(list(pieces))
-        self.rare.update((p, self.whole[" " + p]) for p in new if p not in self.odd)
+        self.known.update((p, self.whole[" " + p]) for p in new)
 
-    def look_up(self, text: str, frequent: dict[str, tuple[str, bytes]]) -> list[tuple[str, bytes]]:
+    def look_up(self, text: str) -> list[tuple[str, bytes]]:
         parts = self.cut(text)
         if parts[0]:
-            rare = self.rare
-            return [self.whole[parts[0]], *[frequent.get(p) or rare[p] for p in parts[1:]]]
+            return [self.whole[parts[0]], *map(self.known.__getitem__, parts[1:])]
         return [self.whole[p] for p in parts[1:]]
 
 
@@ -173,7 +177,8 @@ def _piece_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     found: Counter[str] = Counter()
 
     def rows() -> Iterator[pa.RecordBatch]:
-        items = [(p, n) for p, n in found.items() if len(p) <= LONGEST and is_plain(p)]
+        """What was met once among so many is left out: counts only decide which pieces the table has."""
+        items = [(p, n) for p, n in found.items() if n > 1 and len(p) <= LONGEST and is_plain(p)]
         found.clear()
         for i in range(0, len(items), 50_000):
             pieces, n = zip(*items[i : i + 50_000], strict=True)
@@ -190,7 +195,7 @@ def _piece_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def frequent_pieces(docs: DataFrame, ranks_path: str, most: int = FREQUENT) -> dict[str, tuple[str, bytes]]:
     """The most frequent pieces of the corpus, replayed once over the cluster."""
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_piece_counts, "piece string, n long")
-    counts = stored(counts.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1"), "pieces")
+    counts = stored(counts.groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
 
     def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = [p for b in batches for p in b.column(0).to_pylist()]  # a share of at most `most`
@@ -209,19 +214,23 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, most: int = FREQUENT) ->
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay, frequent = merge_replay(ranks_path), table.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK_ROWS):
-                b = whole.slice(at, BLOCK_ROWS)
-                texts = texts_of(b.column(1))
-                n, ids_sha, raw_sha = [], [], []
-                replay.learn(texts, frequent)
-                for text in texts:
-                    both = replay.look_up(text, frequent)
-                    ids = " ".join([x for x, _ in both if x])
-                    n.append(ids.count(" ") + 1 if ids else 0)
-                    ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                    raw_sha.append(hashlib.sha256(b"".join([x for _, x in both])).hexdigest())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        gc.disable()  # millions of small values and no cycles
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, BLOCK_ROWS):
+                    b = whole.slice(at, BLOCK_ROWS)
+                    texts = texts_of(b.column(1))
+                    n, ids_sha, raw_sha = [], [], []
+                    replay.learn(texts, frequent)
+                    for text in texts:
+                        both = replay.look_up(text)
+                        ids = " ".join([x for x, _ in both if x])
+                        n.append(ids.count(" ") + 1 if ids else 0)
+                        ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                        raw_sha.append(hashlib.sha256(b"".join([x for _, x in both])).hexdigest())
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            gc.enable()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(blocks, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
