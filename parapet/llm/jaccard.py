@@ -10,7 +10,7 @@ shingles link if they share T = ceil(threshold * (n1 + n2) / (1 + threshold)) li
    texts share beyond these lists is bounded by what they set apart, so a pair needs T - ceil(threshold * max(n1, n2)) + 1 hits there.
 3. Lists that are too long for pairs (more than `longest` texts; dealt out with a salt if known to be long) are not expanded. A star
    from each list's smallest text is a candidate first.
-4. Candidates are searched in blocks: a query text, and an inverted index of up to `BLOCK` candidates over the query's shingles.
+4. Candidates whose signatures (counts of shingles by their low bits) don't rule out T common ones are searched in blocks: a query text, and an inverted index of up to `BLOCK` candidates over the query's shingles.
    DivideSkip takes the L longest lists of the block apart, heap-merges the short ones, and probes the long ones by binary search for the
    texts with T - L hits; those that reach their own T are linked.
 5. Links join texts to components. What is left are pairs that share long lists and lie in different components: only texts outside a
@@ -51,6 +51,20 @@ def shingles(text: str) -> np.ndarray:
     return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
+def signature(found: np.ndarray) -> bytes | None:
+    """How many shingles fall on each value of their low bits, in as many cells as the power of two below their number."""
+    cells = 1 << (len(found).bit_length() - 1)
+    n = np.bincount((found & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else None
+
+
+def most_common(x: bytes, y: bytes) -> int:
+    """Two sets share no more than this."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    cells = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, cells).sum(0), b.reshape(-1, cells).sum(0)).sum())
+
+
 BITS = [f"b{i}" for i in range(4)]
 
 
@@ -75,23 +89,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, n = np.unique(np.concatenate(pending), return_counts=True)
         value, n = value[n > 1].astype(np.int64), n[n > 1]
         none = pa.nulls(len(value), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(value), pa.array(n, pa.int64()), *[none] * 4], names=names)
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(value), pa.binary()), pa.array(value), pa.array(n, pa.int64()), *[none] * 4], names=names)
 
-    names = ["doc_id", "text_key", "n", "h", "shingle", "count", *BITS]
+    names = ["doc_id", "text_key", "n", "h", "signature", "shingle", "count", *BITS]
     for b in batches:
-        n, h, bits = [], [], []
+        n, h, marks, bits = [], [], [], []
         for text in texts_of(b.column(2)):
             found = shingles(text)
             n.append(len(found))
             h.append(digest(found) if len(found) else None)
+            marks.append(None)
             bits.append((None,) * 4)
             if len(found) and h[-1] not in seen:
                 seen.add(h[-1])
-                bits[-1] = bitmap(found).tolist()
+                marks[-1], bits[-1] = signature(found), bitmap(found).tolist()
                 pending.append(found)
                 size += len(found)
         none = pa.nulls(len(n), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(h, pa.int64()), none, none, *[pa.array(x, pa.int64()) for x in zip(*bits, strict=True)]], names=names)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(marks, pa.binary()), none, none, *[pa.array(x, pa.int64()) for x in zip(*bits, strict=True)]], names=names)
         if size > 4_000_000:
             yield repeated()
             pending, size, seen = [], 0, set()
@@ -171,6 +186,18 @@ def _merger(percent: int, longest: int):
     return merge
 
 
+def _possible(percent: int):
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (n1, h1, n2, h2, star, signatures) whose signatures don't rule out that they share T shingles; null rules out nothing."""
+        for b in batches:
+            x, y = b.column(5).to_pylist(), b.column(6).to_pylist()
+            sizes = b.column(0).to_numpy() + b.column(2).to_numpy()
+            keep = [not p or not q or (100 + percent) * most_common(p, q) >= percent * n for p, q, n in zip(x, y, sizes.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(5)], names=["n1", "h1", "n2", "h2", "star"]).filter(pa.array(keep, pa.bool_()))
+
+    return check
+
+
 BLOCK, PROBE = 256, 0.01  # texts of a block; a probe's cost against that of a merge step
 
 
@@ -236,7 +263,7 @@ def linked(docs: DataFrame, percent: int = 80, longest: int = 64) -> DataFrame:
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = plain.withColumn("text_key", F.xxhash64("text"))
-    first = stored(keyed.select("doc_id", "text_key", "text").mapInArrow(_count, "doc_id long, text_key long, n long, h long, shingle long, count long, b0 long, b1 long, b2 long, b3 long"), "counted")
+    first = stored(keyed.select("doc_id", "text_key", "text").mapInArrow(_count, "doc_id long, text_key long, n long, h long, signature binary, shingle long, count long, b0 long, b1 long, b2 long, b3 long"), "counted")
     texts = first.where("n is not null").select("doc_id", "text_key", "n", "h")
     frequent = stored(first.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("n")).where(F.col("n") > longest // 2), "frequent")
     rows = sorted((s, n) for s, n in most_frequent(frequent, "n", KNOWN_LONG).collect())
@@ -302,6 +329,13 @@ def linked(docs: DataFrame, percent: int = 80, longest: int = 64) -> DataFrame:
         right = table.select(F.col("n").alias("n2"), F.col("h").alias("h2"), F.col(column).alias("y"))
         return candidates.join(left, ["n1", "h1"], "left").join(right, ["n2", "h2"], "left")
 
+    def possible(candidates: DataFrame, name: str) -> DataFrame:
+        """Candidates (n1, h1, n2, h2, star) less those that a signature, an eighth of a set in size, rules out."""
+        marks = first.where("signature is not null").select("n", "h", "signature").join(ends(candidates), ["n", "h"], "left_semi")
+        own = stored(marks.groupBy("n", "h").agg(F.any_value("signature").alias("signature")), f"{name}-signatures")
+        pairs = with_both(candidates, own, "signature").select("n1", "h1", "n2", "h2", "star", "x", "y")
+        return stored(pairs.mapInArrow(_possible(percent), "n1 long, h1 long, n2 long, h2 long, star boolean"), name)
+
     def checked(candidates: DataFrame, name: str) -> DataFrame:
         keys = heads.join(ends(candidates), ["n", "h"], "left_semi").select("text_key")
         own = keyed.select("text_key", "text").mapInArrow(_sets(marked_bits(keys, "text_key", 26)), "n long, h long, set binary")
@@ -327,7 +361,7 @@ def linked(docs: DataFrame, percent: int = 80, longest: int = 64) -> DataFrame:
 
     # first the stars and one more candidate for each text, its smallest partner; what these links join needs no further check
     both = hopeful_pairs(pairs).withColumn("star", F.lit(False)).unionByName(stars.withColumn("star", F.lit(True)))
-    candidates = stored(both.groupBy("n1", "h1", "n2", "h2").agg(F.bool_or("star").alias("star")), "candidates")
+    candidates = possible(stored(both.groupBy("n1", "h1", "n2", "h2").agg(F.bool_or("star").alias("star")), "candidates"), "possible")
     least = candidates.groupBy("n2", "h2").agg(F.min(F.struct("n1", "h1")).alias("c")).select("c.n1", "c.h1", "n2", "h2")
     trial = candidates.where("star").select("n1", "h1", "n2", "h2").unionByName(least).distinct()
     links = stored(nodes(checked(stored(trial, "trial"), "links")), "link-nodes")
@@ -346,7 +380,7 @@ def linked(docs: DataFrame, percent: int = 80, longest: int = 64) -> DataFrame:
         only = lambda a, b: reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{x}{a}").bitwiseAND(F.bitwise_not(f"{x}{b}"))) for x in BITS])
         enough = lambda n, a, b: (100 + percent) * (F.col(n) - only(a, b)) >= percent * (F.col("n") + F.col("n2"))
         others = outside.join(other(named), "shingle").where((F.col("part") != F.col("part2")) & reach & enough("n", "", "2") & enough("n2", "2", ""))
-        apart = apart.unionByName(as_pairs(others)).distinct()
+        apart = apart.unionByName(possible(stored(as_pairs(others).withColumn("star", F.lit(False)), "others"), "possible-others").drop("star")).distinct()
     apart = stored(apart, "apart")
     if not apart.isEmpty():
         found = components(links.unionByName(nodes(checked(apart, "more"))))
