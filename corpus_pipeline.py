@@ -5,10 +5,13 @@ Stages take and give tables with the columns of `documents`; the last gives the
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from parapet.llm import exact, jaccard, packing, quality, secrets
-from parapet.llm._shared import read_table, stored
+from parapet.llm._shared import read_table, shared_dir
+from parapet.sources.shared import discard, passing
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +44,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with passing(spark):  # a stage's own tables go when its result is written
+            made = stage(spark, docs, sf_dir)
+            path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex[:12]}"
+            made.write.option("compression", "zstd").parquet(path)
+        if last is not None:
+            discard(last)
+        docs = spark.read.schema(made.schema).parquet(path)
+        docs.stored_at, last = path, docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -35,8 +35,8 @@ from parapet.llm.tokens import byte_vocabulary
 #: The characters with Unicode's White_Space property, as a regular expression class.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 FREQUENT, LONGEST = 131_072, 64  # pieces of the broadcast table, and their characters at most: some 10 MB
-MOST_PIECES = 400_000  # pieces that a worker remembers, those of the table included
-BLOCK_ROWS = 2_000
+MOST_PIECES = 600_000  # pieces that a worker remembers, those of the table included
+BLOCK_ROWS = 4_000
 
 
 class MergeReplay:
@@ -66,6 +66,10 @@ class MergeReplay:
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word."""
+        return [np.array(x, np.int64) for x in self.replay(words)]
+
+    def replay(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word, none of them empty."""
         if not words:
             return []
         ends = np.cumsum([len(w) for w in words])
@@ -86,13 +90,14 @@ class MergeReplay:
             at, rank = at[rank >= 0], rank[rank >= 0]
             order = np.argsort(rank, kind="stable")
             at, rank = at[order], rank[order]
-            cuts = np.flatnonzero(np.diff(rank)) + 1
-            for part, r in zip(np.split(at, cuts), rank[np.concatenate([[0], cuts])] if len(rank) else (), strict=False):
-                if int(r) in index:
-                    index[int(r)].append(part)
+            starts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            cuts = [0, *starts.tolist(), len(rank)]
+            for i, j, r in zip(cuts, cuts[1:], rank[[0, *starts]].tolist() if len(rank) else (), strict=False):
+                if r in index:
+                    index[r].append(at[i:j])
                 else:
-                    index[int(r)] = [part]
-                    heapq.heappush(due, int(r))
+                    index[r] = [at[i:j]]
+                    heapq.heappush(due, r)
 
         post(np.arange(n))
         while due:
@@ -116,8 +121,8 @@ class MergeReplay:
             left = before[at]
             post(np.unique(np.concatenate([left[left >= 0], at])))
         live = token[:n] >= 0
-        upto = np.cumsum(live)[ends - 1]
-        return np.split(token[:n][live], upto[:-1])
+        upto, ids = np.cumsum(live)[ends - 1].tolist(), token[:n][live].tolist()
+        return [ids[i:j] for i, j in zip([0, *upto], upto, strict=False)]
 
     def cut(self, text: str) -> list[str]:
         """Pieces that nothing spans: at single spaces where that is plain to see, else by the coarse pattern."""
@@ -131,8 +136,7 @@ class MergeReplay:
         split = list(map(self.words, pieces))
         words = list(set(chain.from_iterable(split)))
         number, token, done = self.digits.__getitem__, self.token.__getitem__, {}
-        for w, found in zip(words, self.encode_words([w.encode() for w in words]), strict=True):
-            ids = found.tolist()
+        for w, ids in zip(words, self.replay([w.encode() for w in words]), strict=True):
             done[w] = (" ".join(map(number, ids)), b"".join(map(token, ids)))
         return {p: done[ws[0]] if len(ws) == 1 else (" ".join([done[w][0] for w in ws]), b"".join([done[w][1] for w in ws])) for p, ws in zip(pieces, split, strict=True)}
 

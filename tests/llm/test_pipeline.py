@@ -23,3 +23,14 @@ def test_stages_keep_columns_and_take_effect(spark):
 def test_names():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_stages_on_odd_and_on_no_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, None, None, None, None), (None, "", "en", "s", 0), (None, None, None, None, None), (2, "ten words or more are here for the rules to read", "en", None, None), (2, "ten words or more are here for the rules to read", "en", None, None)]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF).cache()
+            assert [(r.doc_id, r.text) for r in docs.collect()] in ([(2, rows[3][1])] * 2, [(2, rows[3][1])], [])
+        assert sum(r.length for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()) == (12 if data else 0)
