@@ -36,7 +36,7 @@ from parapet.llm.tokens import byte_vocabulary
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 FREQUENT, LONGEST = 131_072, 64  # pieces of the broadcast table, and their characters at most: some 10 MB
 MOST_PIECES = 600_000  # pieces that a worker remembers, those of the table included
-BLOCK_ROWS = 4_000
+BLOCK_ROWS, BLOCK_BYTES = 4_000, 24_000_000
 
 
 class MergeReplay:
@@ -56,7 +56,6 @@ class MergeReplay:
         self.table: dict[str, tuple[str, bytes]] | None = None
         self.known: dict[str, tuple[str, bytes]] = {}  # pieces that follow a space: the table's, and rare ones
         self.whole: dict[str, tuple[str, bytes]] = {}  # of this block, with their white space
-        self.odd: set[str] = {""}  # what stands between spaces of this block and isn't a plain piece
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it is no token."""
@@ -103,8 +102,11 @@ class MergeReplay:
         while due:
             r = heapq.heappop(due)
             found = index.pop(r)
-            at = np.unique(np.concatenate(found)) if len(found) > 1 else np.sort(found[0])
-            at = at[(token[at] >= 0) & (after[at] < n)]
+            at = np.sort(np.concatenate(found) if len(found) > 1 else found[0])
+            once = token[at] >= 0
+            once[1:] &= at[1:] != at[:-1]
+            at = at[once]
+            at = at[after[at] < n]
             at = at[self.ranks_of(token[at], token[after[at]]) == r]  # still there
             if len(at) > 1:
                 linked = after[at[:-1]] == at[1:]
@@ -119,50 +121,44 @@ class MergeReplay:
             inner = after[at] < n
             before[after[at][inner]] = at[inner]
             left = before[at]
-            post(np.unique(np.concatenate([left[left >= 0], at])))
+            post(np.concatenate([left, at]))  # what is entered twice is merged once
         live = token[:n] >= 0
         upto, ids = np.cumsum(live)[ends - 1].tolist(), token[:n][live].tolist()
         return [ids[i:j] for i, j in zip([0, *upto], upto, strict=False)]
 
-    def cut(self, text: str) -> list[str]:
-        """Pieces that nothing spans: at single spaces where that is plain to see, else by the coarse pattern."""
-        parts = text.split(" ")
-        if parts[0] and not parts[0][-1].isspace() and self.odd.isdisjoint(parts[1:]):
-            return parts
-        return ["", *self.coarse.findall(text)]
-
     def encode_pieces(self, pieces: list[str]) -> dict[str, tuple[str, bytes]]:
         """(ids joined by spaces, decoded bytes) of each piece."""
-        split = list(map(self.words, pieces))
+        split = [[p] if p[1:].isalpha() and p.isascii() and p[0] == " " else self.words(p) for p in pieces]
         words = list(set(chain.from_iterable(split)))
         number, token, done = self.digits.__getitem__, self.token.__getitem__, {}
         for w, ids in zip(words, self.replay([w.encode() for w in words]), strict=True):
             done[w] = (" ".join(map(number, ids)), b"".join(map(token, ids)))
         return {p: done[ws[0]] if len(ws) == 1 else (" ".join([done[w][0] for w in ws]), b"".join([done[w][1] for w in ws])) for p, ws in zip(pieces, split, strict=True)}
 
-    def learn(self, texts: list[str], table: dict[str, tuple[str, bytes]]) -> None:
-        """All pieces of the texts are known afterwards."""
+    def learn(self, texts: list[str], table: dict[str, tuple[str, bytes]]) -> list[list[str]]:
+        """Cuts the texts into pieces that nothing spans, all of them known afterwards: at single spaces where that is plain to see,
+        else by the coarse pattern, after an empty piece."""
         if self.table is not table or len(self.known) > MOST_PIECES:
             self.table, self.known = table, dict(table)
-        new = set()
-        for t in texts:
-            new.update(t.split(" ")[1:])
+        cut = [t.split(" ") for t in texts]
+        new: set[str] = set()
+        for parts in cut:
+            new.update(parts[1:])
         new.difference_update(self.known)
         odd = {p for p in new if not is_plain(p)}
-        self.odd = {"", *odd}
         new -= odd
         pieces = {" " + p for p in new}
-        for t in texts:
-            parts = self.cut(t)
-            if parts[0]:
+        for i, parts in enumerate(cut):
+            if parts[0] and not parts[0][-1].isspace() and odd.isdisjoint(parts[1:]):
                 pieces.add(parts[0])
             else:
-                pieces.update(parts[1:])
+                cut[i] = ["", *self.coarse.findall(texts[i])]
+                pieces.update(cut[i][1:])
         self.whole = self.encode_pieces(list(pieces))
         self.known.update((p, self.whole[" " + p]) for p in new)
+        return cut
 
-    def look_up(self, text: str) -> list[tuple[str, bytes]]:
-        parts = self.cut(text)
+    def look_up(self, parts: list[str]) -> list[tuple[str, bytes]]:
         if parts[0]:
             return [self.whole[parts[0]], *map(self.known.__getitem__, parts[1:])]
         return [self.whole[p] for p in parts[1:]]
@@ -221,14 +217,15 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, most: int = FREQUENT) ->
         gc.disable()  # millions of small values and no cycles
         try:
             for whole in batches:
-                for at in range(0, whole.num_rows, BLOCK_ROWS):
-                    b = whole.slice(at, BLOCK_ROWS)
+                rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES * whole.num_rows // (whole.nbytes + 1)))
+                for at in range(0, whole.num_rows, rows):
+                    b = whole.slice(at, rows)
                     texts = texts_of(b.column(1))
                     n, ids_sha, raw_sha = [], [], []
-                    replay.learn(texts, frequent)
-                    for text in texts:
-                        both = replay.look_up(text)
-                        ids = " ".join([x for x, _ in both if x])
+                    cut = replay.learn(texts, frequent)
+                    for parts in cut:
+                        both = replay.look_up(parts)
+                        ids = " ".join([x for x, _ in both])
                         n.append(ids.count(" ") + 1 if ids else 0)
                         ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                         raw_sha.append(hashlib.sha256(b"".join([x for _, x in both])).hexdigest())
