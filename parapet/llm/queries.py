@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 
-from parapet.llm import bpe, chat, exact, html, jaccard, lines, packing, quality, secrets, substring
+from parapet.llm import bpe, chat, exact, html, jaccard, lines, middle, neighbours, packing, quality, resample, secrets, substring
 from parapet.llm._shared import read_table
 
 
@@ -48,7 +50,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_secret_scan, op4_chat_format, op5_ngram_jaccard, op6_substring_dedup, op7_exact_dedup, op8_quality_rules, op9_html_extraction, op10_line_dedup)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.report(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        *(op1_packing, op2_bpe, op3_secret_scan, op4_chat_format, op5_ngram_jaccard, op6_substring_dedup, op7_exact_dedup, op8_quality_rules, op9_html_extraction, op10_line_dedup),
+        *(op11_importance_resampling, op12_nearest_neighbours, op13_fill_in_middle),
+    )
+}
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -111,6 +131,35 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
     sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
     sum(length(regexp_replace(role, '\\|###|</turn>|:', '!\0', 'g')) + length(regexp_replace(text, '\\|###|</turn>', '!\0', 'g')) + 15)::bigint as formatted_chars
 from c group by conv_id""",
+    "op11_importance_resampling": r"""
+with d as (select row_number() over () as r, doc_id, text from documents),
+w as (select r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from d
+    union all select -row_number() over (), regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+f as (select r, unnest(w) as f from w union all select r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w),
+x as (select f, hex(f) as h from (select distinct f from f)),
+c as (select f, xor(list_reduce(list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint),
+    lambda c, b: xor(c >> 8, [{crc}][(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295) % 10000 as bucket from x),
+b as (select r, bucket, count(*) as n from f join c using (f) group by all),
+t as (select bucket, coalesce(sum(n) filter (where r > 0), 0) as s, coalesce(sum(n) filter (where r < 0), 0) as t from b group by bucket),
+z as (select sum(s) as s, sum(t) as t from t),
+g as (select bucket, floor(1000 * ln((t.t + 1)::double * (z.s + 10000)::double / ((t.s + 1)::double * (z.t + 10000)::double)))::bigint as gain from t, z),
+k as (select r, sum(n)::bigint as n_features, sum(n * gain)::bigint as gain from b join g using (bucket) where r > 0 group by r),
+v as (select d.r, d.doc_id, len(w.w) as n_words, coalesce(n_features, 0) as n_features,
+    case when k.n_features is null then 0 else (gain - ((gain % n_features) + n_features) % n_features) // n_features end::bigint as weight,
+    ('0x' || substr(sha256('7:' || coalesce(d.doc_id::varchar, 'null')), 1, 8))::bigint as h from d join w using (r) left join k using (r)),
+y as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from v),
+o as (select r, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from y where n_words >= 20)
+select doc_id, n_features, weight, score, case when rank <= 25 * n // 100 then rank end as rank from y left join o using (r)""".replace("{crc}", ", ".join(str(zlib.crc32(bytes([b ^ 255])) ^ 0xFF000000) for b in range(256))),
+    "op13_fill_in_middle": r"""
+with d as (select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(doc_id::varchar, 'null')) as x from documents),
+h as (select *, ('0x' || substr(x, 1, 8))::bigint as h1, ('0x' || substr(x, 9, 8))::bigint as h2, ('0x' || substr(x, 17, 8))::bigint as h3, ('0x' || substr(x, 25, 8))::bigint as h4,
+    regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as t from d),
+f as (select *, len(t) as n, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form,
+    least(h1 % (len(t) + 1), h2 % (len(t) + 1)) as a, greatest(h1 % (len(t) + 1), h2 % (len(t) + 1)) as b from h),
+p as (select *, array_to_string(t[1:a], '') as prefix, array_to_string(t[a + 1:b], '') as middle, array_to_string(t[b + 1:], '') as suffix from f)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+    sha256(case form when 'plain' then text when 'spm' then '<S>' || suffix || '<P>' || prefix || '<M>' || middle else '<P>' || prefix || '<S>' || suffix || '<M>' || middle end) as output_sha256,
+    sha256(text) as restored_sha256 from p""",
     "op10_line_dedup": r"""
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
 u as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as i from d),
