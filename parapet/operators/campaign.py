@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -34,37 +35,65 @@ def features(subject: Column, sender: Column, roots: Column | None = None, hosts
     return F.filter(F.array_distinct(F.concat(*[F.coalesce(p, F.array().cast("array<struct<feature:string,weight:int>>")) for p in parts])), lambda x: x["feature"].isNotNull())
 
 
-def simhash(feats: Column) -> Column:
-    """64 weighted votes, one for each bit of the features' hashes, as a long."""
-    hashed = F.transform(feats, lambda f: F.struct(F.xxhash64(f["feature"]).alias("h"), f["weight"].alias("w")))
+def simhash(hashed: Column) -> Column:
+    """64 weighted votes, one for each bit of the features' digests, as a long. hashed: array of struct(h, w), best a column already made: it
+    is read for each bit."""
     bit = lambda b: F.aggregate(hashed, F.lit(0), lambda s, x: s + F.when(F.getbit(x["h"], F.lit(b)) == 1, x["w"]).otherwise(-x["w"]))
-    return F.aggregate(F.array(*[F.when(bit(b) > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")) for b in range(64)]), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(bit(b) > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")) for b in range(64)])
+
+
+def _digest(x: Column) -> Column:
+    """The first 64 bits of a text's MD5."""
+    half = lambda i: F.conv(F.substring(F.md5(x), i, 8), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
 
 
 def fingerprints(messages: DataFrame) -> DataFrame:
     """message_id, fingerprint: of subject and sender, and of link_roots, link_hosts and files where the table has these columns."""
     more = [F.col(c) if c in messages.columns else None for c in ("link_roots", "link_hosts", "files")]
-    return messages.select("message_id", simhash(features(F.col("subject"), F.col("sender_domain"), *more)).alias("fingerprint"))
+    hashed = F.transform(features(F.col("subject"), F.col("sender_domain"), *more), lambda f: F.struct(_digest(f["feature"]).alias("h"), f["weight"].alias("w")))
+    bound = messages.select("message_id", F.explode(F.array(hashed)).alias("hashed"))  # made once, not once for each bit
+    return bound.select("message_id", simhash(F.col("hashed")).alias("fingerprint"))
 
 
-def _bands(most: int) -> list[Column]:
-    """Of most + 3 blocks of the 64 bits, each choice of three as one value: two prints that differ in `most` bits agree in one choice at least."""
-    n = most + 3
-    cuts = [64 * i // n for i in range(n + 1)]
-    block = [F.shiftrightunsigned("fingerprint", lo).bitwiseAND(F.lit((1 << hi - lo) - 1)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
-    return [F.xxhash64(F.lit(k), *[block[i] for i in chosen]) for k, chosen in enumerate(combinations(range(n), 3))]
+CROWD = 1000  # prints in a band from which it is split further
 
 
-def campaigns(prints: DataFrame, most: int = 3, least: int = 3) -> DataFrame:
-    """message_id, campaign_id (smallest fingerprint), size: groups of messages linked by at most `most` differing bits.
-
-    Messages with one fingerprint are one node. Nodes meet where three of most + 3 blocks (some 32 bits) are equal, so that chance
-    meetings stay rare among 10^8 prints; none is capped.
-    """
-    nodes = stored(prints.where("fingerprint != 0").groupBy("fingerprint").agg(F.count("*").alias("n")), "prints")
-    bands = nodes.select("fingerprint", F.explode(F.array(*_bands(most))).alias("band"))
-    pairs = bands.alias("x").join(bands.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.fingerprint") < F.col("y.fingerprint")) & (F.bit_count(F.col("x.fingerprint").bitwiseXOR(F.col("y.fingerprint"))) <= most))
-    found = components(pairs.select(F.col("x.fingerprint").alias("a"), F.col("y.fingerprint").alias("b")).distinct())
+def _masks(most: int) -> list[tuple[int, list[int]]]:
+    """Of most + 3 blocks of the 64 bits, each choice of three, and most + 1 parts of the other bits. Two prints that differ in `most` bits
+    agree in all three blocks of one choice, and there in one of the parts."""
+    n = most + 3
+    cuts = [64 * i // n for i in range(n + 1)]
+    signed = lambda bits: (x := sum(1 << b for b in bits)) - (1 << 64 if x >> 63 else 0)
+    out = []
+    for chosen in combinations(range(n), 3):
+        held = {b for i in chosen for b in range(cuts[i], cuts[i + 1])}
+        rest = [b for b in range(64) if b not in held]
+        out.append((signed(held), [signed(rest[len(rest) * i // (most + 1) : len(rest) * (i + 1) // (most + 1)]) for i in range(most + 1)]))
+    return out
+
+
+def near_prints(nodes: DataFrame, most: int, crowd: int = CROWD) -> DataFrame:
+    """a < b: distinct fingerprints that differ in 1 to `most` bits. Prints meet where three of most + 3 blocks (some 32 bits) are equal, so
+    that chance meetings stay rare among 10^8 prints. In a band with more than `crowd` prints they only meet where a part of the other
+    bits is equal as well; no pair is lost."""
+    masks = _masks(most)
+    bands = nodes.select("fingerprint", F.posexplode(F.array(*[F.xxhash64(F.lit(k), F.col("fingerprint").bitwiseAND(F.lit(m))) for k, (m, _) in enumerate(masks)])).alias("k", "band"))
+    crowded = bands.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    rest = F.get(F.array(*[F.array(*map(F.lit, r)) for _, r in masks]), F.col("k"))
+    parts = F.transform(rest, lambda m, i: F.xxhash64(F.col("band"), i, F.col("fingerprint").bitwiseAND(m)))
+    met = bands.join(crowded, "band", "left").select("fingerprint", F.explode(F.when(F.col("n").isNull(), F.array("band")).otherwise(parts)).alias("meets"))
+    apart = F.bit_count(F.col("x.fingerprint").bitwiseXOR(F.col("y.fingerprint")))
+    pairs = met.alias("x").join(met.alias("y"), (F.col("x.meets") == F.col("y.meets")) & (F.col("x.fingerprint") < F.col("y.fingerprint")) & (apart <= most))
+    return pairs.select(F.col("x.fingerprint").alias("a"), F.col("y.fingerprint").alias("b")).distinct()
+
+
+def campaigns(prints: DataFrame, most: int = 3, least: int = 3, crowd: int = CROWD) -> DataFrame:
+    """message_id, campaign_id (smallest fingerprint), size: groups of messages linked by at most `most` differing bits. Messages with one
+    fingerprint are one node; a print of 0 is none."""
+    prints = stored(prints.select("message_id", "fingerprint").where("fingerprint != 0"), "prints")
+    nodes = stored(prints.groupBy("fingerprint").agg(F.count("*").alias("n")), "nodes")
+    found = components(near_prints(nodes, most, crowd))
     named = nodes.join(found, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "n", F.coalesce("label", "fingerprint").alias("campaign_id"))
     sizes = stored(named.groupBy("campaign_id").agg(F.sum("n").alias("size")).where(F.col("size") >= least), "sizes")
     return prints.join(named.join(sizes, "campaign_id").select("fingerprint", "campaign_id", "size"), "fingerprint").select("message_id", "campaign_id", "size")

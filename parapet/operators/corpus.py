@@ -101,9 +101,10 @@ def hits(messages: DataFrame, test: Answer | Column, limit: int | None = None) -
 
 
 def backtest(messages: DataFrame, test: Answer | Column, least: int = 5) -> DataFrame:
-    """One row over all hits: matched, reviewed, benign, confirmed, precision."""
+    """One row over all hits: matched, reviewed, benign, confirmed, precision. Whoever reviewed a hit and didn't call it benign confirmed it,
+    whether it was remediated, is to be, or was ignored."""
     found = messages.where(answer(test).verdict == "match").select(F.coalesce("triage", F.lit("unreviewed")).alias("t"))
-    out = found.agg(F.count("*").alias("matched"), F.count_if(F.col("t") != "unreviewed").alias("reviewed"), F.count_if(F.col("t") == "benign").alias("benign"), F.count_if(F.col("t").isin("needs_remediation", "ignored")).alias("confirmed"))
+    out = found.agg(F.count("*").alias("matched"), F.count_if(F.col("t") != "unreviewed").alias("reviewed"), F.count_if(F.col("t") == "benign").alias("benign"), F.count_if(~F.col("t").isin("unreviewed", "benign")).alias("confirmed"))
     return out.withColumn("precision", F.when(F.col("reviewed") >= least, F.col("confirmed") / F.col("reviewed")))
 
 
@@ -140,11 +141,15 @@ def flagged(messages: DataFrame, verdicts: DataFrame, state: str | None = None,
     return found.select("message_id", "received_at", own.alias("state")).orderBy(F.desc("received_at"), F.desc("message_id")).limit(most)
 
 
-def people(messages: DataFrame, recipients: str | None = None) -> DataFrame:
-    """value: distinct lower-cased senders of what isn't outbound, or with an array column `recipients` the recipients: as list sources."""
+def people(messages: DataFrame, recipients: str | None = None, domains: bool = False) -> DataFrame:
+    """value: distinct lower-cased senders of what isn't outbound, or with an array column `recipients` the recipients of what is known
+    not to be outbound: whom the organisation writes to is none of its own. With `domains` only what follows the @."""
     if recipients:
-        return messages.select(F.explode(recipients).alias("v")).select(F.lower("v").alias("value")).where("value != ''").distinct()
-    return messages.where("direction is null or direction != 'outbound'").select(F.lower("sender_email").alias("value")).where("value != ''").distinct()
+        found = messages.where("direction != 'outbound'").select(F.explode(recipients).alias("v"))
+    else:
+        found = messages.where("direction is null or direction != 'outbound'").select(F.col("sender_email").alias("v"))
+    value = F.lower(F.get(F.split("v", "@"), F.lit(1)) if domains else F.col("v"))
+    return found.select(value.alias("value")).where("value != ''").distinct()
 
 
 def appeared(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -75,6 +75,7 @@ def facts(mdm: Column, profile: Column | None = None, whois: Column | None = Non
     model = lambda field, kind, value: L.unavailable("nlu", kind) if nlu is None else L.Answer(value(nlu[field]), L.part(nlu, field, "nlu").missing)
     sure = lambda *levels: lambda xs: F.transform(F.filter(xs, lambda x: x["confidence"].isin(*levels)), lambda x: x["name"])
     a = L.Answer
+    # The names and order of groups and labels, which readers of insights know
     return [
         ("identity", "Sender", False, a(sender)),
         ("identity", "Sender display name", False, a(mdm["sender"]["display_name"])),

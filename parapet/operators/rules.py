@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -49,13 +50,15 @@ def load(table: DataFrame, rules: list[Rule]) -> tuple[list[tuple[Rule, Answer]]
 def evaluate(table: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
     """keep + verdict, matched, excluded_by, indeterminate, missing (arrays, rules by severity).
 
-    An exclusion that matches suppresses the verdict but not the list of matches. Rules that don't compile count as indeterminate.
+    An exclusion that matches suppresses the verdict but not the list of matches. Rules that don't compile are left out, with a warning
+    that names them (`load` gives the reasons); they don't change what the others find.
     """
     good, broken = load(table, rules)
+    if broken:
+        warnings.warn(f"rules left out: {broken}", stacklevel=2)
     boolean = [(r, a) for r, a in good if r.type != "query"]
     rows = [F.struct(F.lit(r.name).alias("name"), F.lit(r.type).alias("type"), a.verdict.alias("verdict"), a.names.alias("missing")) for r, a in boolean]
-    rows += [F.struct(F.lit(n).alias("name"), F.lit("rule").alias("type"), F.lit("indeterminate").alias("verdict"), F.array().cast("array<string>").alias("missing")) for n in broken]
-    judged = table.select(*keep, F.array(*rows).alias("_r"))
+    judged = table.select(*keep, F.array(*rows).cast("array<struct<name:string,type:string,verdict:string,missing:array<string>>>").alias("_r"))
     named = lambda test: F.transform(F.filter("_r", test), lambda x: x["name"])
     out = judged.select(
         *keep,
@@ -68,8 +71,13 @@ def evaluate(table: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
     return out.withColumn("verdict", verdict)
 
 
-def coverage(rules: list[Rule], available: set[str], spark) -> DataFrame:
-    """Per capability: rules that need it, and how many of these can be answered in full."""
-    rows = [(c, r.name, set(r.needs) <= available) for r in rules for c in r.needs]
-    table = spark.createDataFrame(rows, "capability string, rule string, answerable boolean")
-    return table.groupBy("capability").agg(F.count("*").alias("n_rules"), F.count_if("answerable").alias("n_answerable"))
+def coverage(rules: list[Rule], verdicts: DataFrame) -> DataFrame:
+    """Per capability that rules need: how many rules name it, how many messages were left undecided for want of it, and the share of all
+    messages. verdicts: missing (array of capabilities, of indeterminate rules)."""
+    needs = verdicts.sparkSession.createDataFrame([(c, r.name) for r in rules for c in r.needs], "capability string, rule string")
+    wanted = needs.groupBy("capability").agg(F.count("*").alias("n_rules"))
+    gaps = verdicts.select(F.explode(F.array_distinct("missing")).alias("capability")).groupBy("capability").agg(F.count("*").alias("n"))
+    out = wanted.join(F.broadcast(gaps.join(wanted.select("capability"), "capability", "left_semi")), "capability", "left")  # a row for each capability of the rules at most
+    total = verdicts.agg(F.count("*").alias("total"))
+    n = F.coalesce("n", F.lit(0))
+    return out.join(F.broadcast(total)).select("capability", "n_rules", n.alias("n_undecided"), F.try_divide(n.cast("double"), F.col("total").cast("double")).alias("share"))
