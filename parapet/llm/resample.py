@@ -20,6 +20,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -63,44 +64,49 @@ def buckets_of(words: list[bytes], own: int, longest: int, n_buckets: int) -> np
     return np.array(out, np.int64) % n_buckets
 
 
-def pieces(docs: DataFrame, text: str, longest: int) -> DataFrame:
-    """row (null where a text is one piece), doc_id, words, own."""
-
-    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = [(x or "").encode().translate(FOLDED) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(0), pa.array(data, pa.binary()), pa.array([len(x.split()) for x in data], pa.int64())], names=["row", "doc_id", "words", "own"])
+def pieces(docs: DataFrame, text: str, longest: int) -> list[DataFrame]:
+    """Texts of one chunk as they are, and the chunks of the others (folded): row, doc_id, words, own; row and own are null for whole texts."""
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 36
         for b in batches:
-            for doc_id, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for words, own in chunks_of(x.encode().translate(FOLDED), longest):
-                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([doc_id], pa.int64()), pa.array([words], pa.binary()), pa.array([own], pa.int64())], names=["row", "doc_id", "words", "own"])
+            for doc_id, x in zip(b.column(0), b.column(1), strict=True):
+                for words, own in chunks_of(x.as_py().encode().translate(FOLDED), longest):
+                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([doc_id.as_py()], pa.int64()), pa.array([words], pa.binary()), pa.array([own], pa.int64())], names=["row", "doc_id", "words", "own"])
                 row += 1
 
-    schema = "row long, doc_id long, words binary, own long"
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     is_long = F.coalesce(F.octet_length("text"), F.lit(0)) > CHUNK
-    cut = plain.where(is_long).mapInArrow(chunked, schema).withColumn("part", F.monotonically_increasing_id()).repartition("part").drop("part")
-    return plain.where(~is_long).mapInArrow(folded, schema).unionByName(stored(cut, "chunks"))
+    cut = plain.where(is_long).mapInArrow(chunked, "row long, doc_id long, words binary, own long").withColumn("part", F.monotonically_increasing_id()).repartition("part").drop("part")
+    none = F.lit(None).cast("long")
+    return [plain.where(~is_long).select(none.alias("row"), "doc_id", F.col("text").alias("words"), none.alias("own")), stored(cut, "chunks")]
+
+
+def _found(b: pa.RecordBatch, longest: int, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Own words and the buckets of their features, a text or chunk at a time."""
+    for words, own in zip(b.column(2), b.column(3), strict=True):
+        words, own = words.as_py() or "", own.as_py()
+        words = (words if own is not None else words.encode().translate(FOLDED)).split()
+        own = len(words) if own is None else own
+        yield own, buckets_of(words, own, longest, n_buckets)
 
 
-def histogram(table: DataFrame, longest: int, n_buckets: int) -> np.ndarray:
+def histogram(tables: list[DataFrame], longest: int, n_buckets: int) -> np.ndarray:
     """How many features fall into each bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_buckets, np.int64)
         for b in batches:
-            for words, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total += np.bincount(buckets_of(words.split(), own, longest, n_buckets), minlength=n_buckets)
+            for _, x in _found(b, longest, n_buckets):
+                total += np.bincount(x, minlength=n_buckets)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["bucket", "n"])
 
+    counts = reduce(DataFrame.unionByName, [t.mapInArrow(count, "bucket long, n long") for t in tables])
     out = np.zeros(n_buckets, np.int64)
-    for bucket, n in table.select("words", "own").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():  # n_buckets rows at most
+    for bucket, n in counts.groupBy("bucket").agg(F.sum("n")).collect():  # n_buckets rows at most
         out[bucket] = n
     return out
 
@@ -113,18 +119,19 @@ def gains_of(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def weighed(docs: DataFrame, target: DataFrame, longest: int = 2, n_buckets: int = 10_000) -> DataFrame:
     """Per row: doc_id, n_words, n_features, weight. `target` has a column text."""
-    table = pieces(docs, "text", longest)
+    tables = pieces(docs, "text", longest)
     goal = pieces(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), "text", longest)
-    gains = gains_of(histogram(table, longest, n_buckets), histogram(goal, longest, n_buckets))
+    gains = gains_of(histogram(tables, longest, n_buckets), histogram(goal, longest, n_buckets))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [buckets_of(x.split(), own, longest, n_buckets) for x, own in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array([len(x) for x in found], pa.int64()), pa.array([int(gains[x].sum()) for x in found], pa.int64())], names=["row", "doc_id", "n_words", "n_features", "gain"])
+            n = [(own, len(x), int(gains[x].sum())) for own, x in _found(b, longest, n_buckets)]
+            sums = [pa.array([x[i] for x in n], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *sums], names=["row", "doc_id", "n_words", "n_features", "gain"])
 
-    sums = table.mapInArrow(add, "row long, doc_id long, n_words long, n_features long, gain long")
-    whole = sums.where("row is null").drop("row")
-    cut = sums.where("row is not null").groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_words", "n_features", "gain")]).drop("row")
+    whole, cut = (t.mapInArrow(add, "row long, doc_id long, n_words long, n_features long, gain long") for t in tables)
+    whole = whole.drop("row")
+    cut = cut.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_words", "n_features", "gain")]).drop("row")
     mean = F.when(F.col("n_features") == 0, 0).otherwise(F.expr("(gain - pmod(gain, n_features)) div n_features"))
     return whole.unionByName(cut).select("doc_id", "n_words", "n_features", mean.cast("long").alias("weight"))
 
