@@ -1,9 +1,7 @@
-"""Deterministic scores: confidence of labels, attack score, macro families, language."""
+"""Deterministic scores: confidence of labels, attack score, language."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,24 +26,6 @@ def attack_score(matched: Column, auth_failed: Column, new_sender: Column, bulk:
     return F.struct(score.alias("score"), F.when(score >= 0.9, "malicious").when(score >= 0.5, "suspicious").when(score >= 0.15, "unknown").otherwise("likely_benign").alias("verdict"))
 
 
-#: Families of signs in macros and their weights.
-FAMILIES = {
-    "autoexec": (r"(?i)\b(auto_?open|document_open|workbook_open|auto_?close)\b", 2),
-    "shell": (r"(?i)\b(shell|wscript\.shell|cmd\.exe|powershell)\b", 3),
-    "download": (r"(?i)(urldownloadtofile|xmlhttp|winhttp|https?://)", 2),
-    "obfuscation": (r"(?i)(chrw?\s*\(\s*\d+\s*\)\s*[&+]|strreverse|base64)", 2),
-    "file": (r"(?i)(adodb\.stream|savetofile|createtextfile|environ\s*\()", 1),
-}
-
-
-def macro_risk(source: Column) -> Column:
-    """struct(families, weight, confidence): three families that weigh 7 are high, two that weigh 5 medium."""
-    hit = {n: F.coalesce(F.rlike(source, F.lit(p)), F.lit(False)) for n, (p, _) in FAMILIES.items()}
-    n = reduce(lambda a, b: a + b, [h.cast("int") for h in hit.values()])
-    weight = reduce(lambda a, b: a + b, [F.when(hit[k], FAMILIES[k][1]).otherwise(0) for k in hit])
-    return F.struct(F.array_compact(F.array(*[F.when(h, F.lit(k)) for k, h in hit.items()])).alias("families"), weight.alias("weight"), F.when((n >= 3) & (weight >= 7), "high").when((n >= 2) & (weight >= 5), "medium").otherwise("low").alias("confidence"))
-
-
 #: Frequent words by language.
 STOPWORDS = {
     "de": "der die das und ist von mit den ein eine zu im".split(),

@@ -724,3 +724,6 @@ def stale_claims(spark, sf):
     heard = F.when(F.col("event_id") % 3 == 1, at("2024-01-01 00:00:00")).when(F.col("event_id") % 3 == 2, at("2024-01-01 00:55:00"))
     claims = events(spark, sf).select(F.col("event_id").alias("id"), heard.alias("claimed_at"), heard.alias("heard_at"), (F.col("event_id") % 10).alias("done"), F.lit(10).alias("total"))
     return ingest.take_over(claims, at("2024-01-01 01:00:00")).select("id", "progress")
+
+
+from parapet.plans import content  # noqa: E402, F401  registers the queries over what messages carry

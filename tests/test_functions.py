@@ -103,6 +103,5 @@ def test_scores(spark):
     scores = lambda **k: F.create_map(*[F.lit(x) for kv in k.items() for x in kv])
     c, d = scoring.confidence(scores(a=0.6, b=0.2, c=0.2)), scoring.confidence(scores(a=0.5, b=0.4))
     assert values(spark, c["label"], c["confidence"], d["confidence"]) == ("a", "high", "medium")
-    m = scoring.macro_risk(F.lit('Sub AutoOpen()\nShell "cmd.exe"\nx = "http://e.test/a"'))
-    assert values(spark, m["confidence"], m["weight"], scoring.macro_risk(F.lit("Sub a()"))["confidence"], scoring.level_of(F.lit(0.2))) == ("high", 7, "low", "low")
+    assert values(spark, scoring.level_of(F.lit(0.2))) == ("low",)
     assert values(spark, scoring.language(F.lit("der Hund und die Katze")), scoring.language(F.lit("xyz"))) == ("de", None)
