@@ -1,10 +1,11 @@
 """Packing by cutting-stock column generation.
 
 1. Texts are tokenised once; the table keeps lengths and checksums, and ids only for texts longer than a sequence.
-2. The driver sees the histogram of lengths, which has at most `length` bars whatever the corpus. Lengths are grouped into classes
-   at most 1/32 wide, and a linear program over patterns (how many texts of each class share a sequence) is solved by column
-   generation: a knapsack dynamic program prices new patterns until none can improve the bound by more than 1/200, or until the
-   program is within 1/200 of what the tokens alone fill.
+2. The driver sees the histogram of lengths, which has at most `length` bars whatever the corpus. Lengths are grouped into at most
+   `CLASSES` classes, where that rounds up the fewest tokens, and a linear program over patterns (how many texts of each class share a
+   sequence) is solved by column generation. Its first columns come from filling sequences largest first. Then a knapsack dynamic
+   program prices new patterns at smoothed dual prices; each pass also gives a lower bound (the tokens alone are the first one). It
+   ends when the program is within `GAP` of the bound, or no pattern improves it; there is no limit on rounds.
 3. Patterns are rounded down; what is left of the histogram is filled largest first. Documents are ranked by (class, row) over the
    whole cluster, and a rank names its pattern, its copy of the pattern and so its sequence.
 4. Texts longer than a sequence form one tape in row order. The tape fills what the patterns leave free, from `least` tokens on,
@@ -16,6 +17,7 @@ doc_id is kept. An empty table gives no rows. Columns besides doc_id and text ar
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,23 +32,32 @@ from parapet.llm._shared import running_total, stored, texts_of
 from parapet.llm.tokens import piece_ids
 
 CELL = 1 << 17  # tape tokens in a cell of the overlap join
-
-
-def class_sizes(length: int) -> np.ndarray:
-    """The largest length of each class: every length up to 64, then steps of 1/32 of the power of two below."""
-    sizes, step, top = [], 1, 32
-    at = 1
-    while at <= length:
-        sizes.append(at)
-        if at >= 2 * top:
-            step, top = 2 * step, 2 * top
-        at += step
-    if sizes[-1] != length:
-        sizes.append(length)
-    return np.array(sizes)
-
-
-def best_patterns(sizes: np.ndarray, prices: np.ndarray, length: int, least: float, most: int = 24) -> tuple[float, list[np.ndarray]]:
+CLASSES, GAP = 192, 1 / 500
+
+
+def class_sizes(bars: np.ndarray, most: int = CLASSES) -> np.ndarray:
+    """The largest length of each class. bars: how many texts have each length. Of the lengths that occur, neighbours are merged while there
+    are more than `most`, always the two whose merging rounds up the fewest tokens."""
+    size = np.flatnonzero(bars).tolist()
+    weight, last = [int(bars[x]) for x in size], len(size) - 1
+    after, before, alive = list(range(1, last + 2)), list(range(-1, last)), [True] * (last + 1)
+    costs = [(weight[i] * (size[i + 1] - size[i]), i, i + 1, weight[i]) for i in range(last)]
+    heapq.heapify(costs)
+    left = len(size)
+    while left > most:
+        _, i, j, w = heapq.heappop(costs)
+        if not (alive[i] and alive[j]) or after[i] != j or weight[i] != w:
+            continue  # of a pair that has changed since
+        alive[i], weight[j], left, before[j] = False, weight[j] + w, left - 1, before[i]
+        if (p := before[i]) >= 0:
+            after[p] = j
+            heapq.heappush(costs, (weight[p] * (size[j] - size[p]), p, j, weight[p]))
+        if (n := after[j]) <= last:
+            heapq.heappush(costs, (weight[j] * (size[n] - size[j]), j, n, weight[j]))
+    return np.array([x for x, a in zip(size, alive, strict=True) if a], np.int64)
+
+
+def best_patterns(sizes: np.ndarray, prices: np.ndarray, length: int, least: float, most: int) -> tuple[float, list[np.ndarray]]:
     """Unbounded knapsack by dynamic programming over the capacity; multiples of a class enter by powers of two. The value of the best
     pattern, and the best patterns that hold given classes, as far as they are worth more than `least`."""
     best, taken, steps = np.zeros(length + 1), [], []
@@ -89,73 +100,101 @@ def inverted(matrix: np.ndarray) -> np.ndarray:
     return work[:, m:]
 
 
-def patterns_of(sizes: np.ndarray, demand: np.ndarray, length: int, gap: float = 5e-3, most_rounds: int = 1000) -> list[tuple[int, np.ndarray]]:
-    """(copies, counts by class) that hold exactly the demand. The linear program only has a row for each class in use.
+def filled(size: np.ndarray, left: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(copies, counts by class): sequences filled largest first, until nothing is left."""
+    left, out = left.copy(), []
+    while left.any():
+        room, col = length, np.zeros(len(size), np.int64)
+        for c in np.flatnonzero(left)[::-1].tolist():
+            col[c] = min(int(left[c]), room // int(size[c]))
+            room -= int(col[c] * size[c])
+        held = col > 0
+        copies = int((left[held] // col[held]).min())
+        left -= copies * col
+        out.append((copies, col))
+    return out
 
-    Each pass of the dynamic program prices a column for every class; columns of the pool enter the basis while they lower the
-    objective. Any basis is a valid answer, so ending after `most_rounds` steps costs sequences, not correctness.
-    """
-    use = np.flatnonzero(demand)
-    if not len(use):
+
+class Program:
+    """The linear program in its basis: as many patterns as classes, and how often each is used. Sums are plain array steps: the driver's
+    process has threads enough, so no linear-algebra library is called."""
+
+    def __init__(self, size: np.ndarray, need: np.ndarray, length: int) -> None:
+        self.need = need * (1 + 1e-7 * np.modf(np.arange(1, len(need) + 1) * 0.618034)[0])  # no two ratios tie, so pivots don't go in circles
+        self.columns = np.diag(length // size).astype(float)
+        self.inverse, self.x = np.diag(1 / np.diag(self.columns)), self.need / np.diag(self.columns)
+        self.pool = np.array([c for _, c in filled(size, need, length)])
+        self.turns = 0
+
+    def prices(self) -> np.ndarray:
+        return self.inverse.sum(0)
+
+    def descend(self) -> None:
+        """Patterns of the pool enter the basis while they lower the objective."""
+        while len(self.pool):
+            worth = (self.pool * self.prices()).sum(1)
+            k = int(worth.argmax())
+            if worth[k] <= 1 + 1e-7:
+                return
+            d = (self.inverse * self.pool[k]).sum(1)
+            ratio = np.where(d > 1e-9, self.x / np.where(d > 1e-9, d, 1), np.inf)
+            out = int(np.argmin(ratio))
+            if not np.isfinite(ratio[out]):
+                self.pool = np.delete(self.pool, k, 0)
+                continue
+            self.columns[:, out] = self.pool[k]
+            self.turns += 1
+            if self.turns % 100 == 0:  # afresh, against rounding
+                self.inverse = inverted(self.columns)
+                self.x = (self.inverse * self.need).sum(1)
+            else:
+                step, row = ratio[out], self.inverse[out] / d[out]
+                self.x = self.x - step * d
+                self.x[out] = step
+                self.inverse = self.inverse - d[:, None] * row
+                self.inverse[out] = row
+            self.x = np.maximum(self.x, 0)
+
+
+def solved(size: np.ndarray, need: np.ndarray, length: int, gap: float) -> tuple[Program, float]:
+    """The program within `gap` of a lower bound, and that bound. Prices that fit every pattern bound it from below; new patterns are sought
+    at prices between the basis' own and those of the best bound so far, nearer to its own where that finds none."""
+    program = Program(size, need, length)
+    centre = size / length  # no pattern is worth more than 1 at these
+    bound, share = float((need * centre).sum()), 0.9
+    while True:
+        program.descend()
+        if program.x.sum() <= (1 + gap) * bound:
+            return program, bound
+        own, new = np.maximum(program.prices(), 0), []
+        while not new:
+            mixed = share * centre + (1 - share) * own
+            value, found = best_patterns(size, mixed, length, 0.0, 48)
+            if (low := float((need * mixed).sum()) / value) > bound:
+                bound, centre = low, mixed / value
+            new = [x for x in found if (x * own).sum() > 1 + 1e-6]
+            if not new and share == 0:
+                return program, bound  # no pattern improves it
+            share = share if new else 0 if share < 0.2 else share - 0.3
+        program.pool = np.concatenate([program.pool, np.array(new)])
+        if len(program.pool) > 3000:
+            program.pool = program.pool[np.argsort(-(program.pool * own).sum(1))[:2000]]
+
+
+def patterns_of(sizes: np.ndarray, demand: np.ndarray, length: int, gap: float = GAP) -> list[tuple[int, np.ndarray]]:
+    """(copies, counts by class) that hold exactly the demand: the program's patterns rounded down, and what is left filled largest first."""
+    if not len(sizes):
         return []
-    size, need = sizes[use], demand[use].astype(float)
-    m = len(use)
-    columns = np.diag(length // size).astype(float)
-    inverse, x = np.diag(1 / np.diag(columns)), need / np.diag(columns)
-    pool = np.empty((0, m), np.int64)
-    enough = (1 + gap) * (need * size).sum() / length  # no packing has fewer sequences than the tokens fill
-    for turn in range(1, most_rounds + 1):
-        if x.sum() <= enough:
-            break
-        prices = inverse.sum(0)
-        worth = (pool * prices).sum(1)
-        if not len(worth) or worth.max() <= 1 + gap:
-            value, found = best_patterns(size, prices, length, 1 + gap)
-            if value <= 1 + gap or not found:
-                break
-            pool = np.concatenate([pool[-4000:], found])
-            worth = (pool * prices).sum(1)
-        counts = pool[int(worth.argmax())]
-        d = (inverse * counts).sum(1)
-        ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
-        out = int(np.argmin(ratio))
-        if not np.isfinite(ratio[out]):
-            break
-        columns[:, out] = counts
-        if turn % 100 == 0:  # afresh, against rounding
-            inverse = inverted(columns)
-            x = (inverse * need).sum(1)
-        else:
-            step = ratio[out]
-            x = x - step * d
-            x[out] = step
-            row = inverse[out] / d[out]
-            inverse = inverse - d[:, None] * row
-            inverse[out] = row
-        x = np.maximum(x, 0)
-    plan, left = [], demand[use].copy()
-    for j in np.argsort(-x, kind="stable"):
-        col = columns[:, j].astype(np.int64)
+    program, _ = solved(sizes, demand, length, gap)
+    plan, left = [], demand.copy()
+    for j in np.argsort(-program.x, kind="stable"):
+        col = program.columns[:, j].astype(np.int64)
         held = col > 0
-        copies = min(int(x[j] + 1e-6), int((left[held] // col[held]).min()))
+        copies = min(int(program.x[j] + 1e-3), int((left[held] // col[held]).min()))
         if copies:
             left -= copies * col
             plan.append((copies, col))
-    while left.any():  # largest first
-        room, col = length, np.zeros(m, np.int64)
-        for c in range(m - 1, -1, -1):
-            col[c] = min(left[c], room // size[c])
-            room -= col[c] * size[c]
-        held = col > 0
-        copies = int((left[held] // col[held]).min())
-        left -= copies * col
-        plan.append((copies, col))
-    out = []
-    for copies, col in plan:
-        counts = np.zeros(len(sizes), np.int64)
-        counts[use] = col
-        out.append((copies, counts))
-    return out
+    return plan + filled(sizes, left, length)
 
 
 @dataclass
@@ -206,11 +245,12 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, end_id: int = 1, leng
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     tokens = token_table(docs, json_path, ranks_path, end_id, length)
-    sizes = class_sizes(length)
-    bars = tokens.where(F.col("doc_tokens") <= length).groupBy("doc_tokens").count().collect()  # at most `length` rows
+    bars = np.zeros(length + 1, np.int64)
+    for n, count in tokens.where(F.col("doc_tokens") <= length).groupBy("doc_tokens").count().collect():  # at most `length` rows
+        bars[n] = count
+    sizes = class_sizes(bars)
     demand = np.zeros(len(sizes), np.int64)
-    for n, count in bars:
-        demand[np.searchsorted(sizes, n)] += count
+    np.add.at(demand, np.searchsorted(sizes, np.flatnonzero(bars)), bars[bars > 0])
     slots = slots_of(patterns_of(sizes, demand, length), demand)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

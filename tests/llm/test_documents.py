@@ -129,14 +129,54 @@ def test_packing(docs, none):
     assert packing.production(none).count() == 0
 
 
-def test_patterns_hold_the_demand():
-    sizes = packing.class_sizes(2048)
+def classes_of(bars):
+    sizes = packing.class_sizes(bars)
+    demand = np.zeros(len(sizes), np.int64)
+    for n in np.flatnonzero(bars):
+        demand[np.searchsorted(sizes, n)] += bars[n]
+    return sizes, demand
+
+
+def histograms():
     rng = np.random.default_rng(2)
-    demand = np.where(rng.random(len(sizes)) < 0.5, rng.integers(0, 400, len(sizes)), 0)
+    n = np.arange(2049)
+    yield "few", np.bincount(rng.integers(1, 2049, 300), minlength=2049), 1.06  # half of them over half a sequence
+    yield "many", np.bincount(np.minimum(rng.lognormal(5.5, 1.2, 40_000).astype(int) + 1, 2048), minlength=2049), 1.02
+    yield "all short", np.where((n > 0) & (n < 20), 10**6, 0), 1.001
+    yield "falling", (10**6 * 0.995**n).astype(int) * (n > 0), 1.02
+    yield "over half", np.where(n > 1100, 30, 0), None  # no two fit together
+    yield "one", np.where(n == 683, 10**9, 0), None
+    yield "none", np.zeros(2049, int), None
+
+
+@pytest.mark.parametrize("bars, most", [pytest.param(b, m, id=k) for k, b, m in histograms()])
+def test_patterns_hold_the_demand(bars, most):
+    sizes, demand = classes_of(bars)
+    assert len(sizes) <= packing.CLASSES and demand.sum() == bars.sum()
     plan = packing.patterns_of(sizes, demand, 2048)
-    assert sum(c * counts for c, counts in plan).tolist() == demand.tolist()
+    assert sum((c * counts for c, counts in plan), np.zeros(len(sizes), int)).tolist() == demand.tolist()
     assert all(counts @ sizes <= 2048 for _, counts in plan)
-    assert sum(c for c, _ in plan) <= 1.03 * (demand @ sizes) / 2048 + 3
+    used = sum(c for c, _ in plan)
+    if most:
+        assert used <= most * (bars * np.arange(2049)).sum() / 2048 + 1
+    if len(sizes):
+        program, bound = packing.solved(sizes, demand, 2048, packing.GAP)
+        own = np.maximum(program.prices(), 0)
+        value, _ = packing.best_patterns(sizes, own, 2048, 0.0, 1)
+        assert program.x.sum() <= (1 + packing.GAP) * bound or value <= 1 + 1e-5  # converged: near the bound, or no pattern improves it
+        assert np.allclose(program.columns @ program.x, program.need)
+
+
+def test_padding_without_long_texts(spark):
+    """The documents that fit in a sequence, without a tape that fills what patterns leave free."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) < 4000")
+    rows = packing.production(docs).collect()
+    assert {r.start for r in rows} == {0}
+    used = Counter()
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 2048 and len(used) == max(used) + 1
+    assert sum(used.values()) >= 0.98 * 2048 * len(used)
 
 
 def test_bpe_round_trip(docs, none):
