@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from parapet.functions import tree as H
 from parapet.operators import macros
 from parapet.plans.queries import documents, pages, query  # noqa: F401
 from parapet.sources import office
@@ -59,3 +60,20 @@ def office_relationships(spark, sf):
     """Relationships of a manifest made from each page; one in seven isn't well-formed and gives none."""
     rows = pages(spark, sf).select("page_id", F.explode(office.relationships(F.expr(MADE_RELS))).alias("r"))
     return rows.select("page_id", "r.name", "r.type", "r.target", "r.external", "r.target_url.scheme", "r.target_url.host")
+
+
+@query("""with p as (select page_id, html, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) as nav, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as art from pages)
+select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_extract(art, '(?s)<h1>(.*?)</h1>', 1)), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#x27;?', '''', 'g'), '&amp;?', '&', 'g') as headline, len(regexp_extract_all(art, '<p[ >]')) as n_paragraphs, len(regexp_extract_all(nav, '<li[ >]')) as n_items,
+ array_to_string(regexp_extract_all(nav, '<a href="([^"]*)"', 1), ',') as nav_links, array_to_string(regexp_extract_all(nav, '<a [^>]*>([^<]*)</a>', 1)[2:2], ',') as second_item, len(regexp_extract_all(html, '<a [^>]*href')) as n_links from p""")
+def page_paths(spark, sf):
+    """Paths over every page: //article/h1, //article/p, //nav//li, their links, //nav/ul/li[2] and all anchors."""
+    t, first = F.col("t"), lambda x: F.coalesce(F.get(x, F.lit(0)), F.lit(""))
+    df = pages(spark, sf).select("page_id", H.tree("html").alias("t"))
+    df = df.select("page_id", "t", H.pick(t, "article").alias("article"), H.pick(t, "nav").alias("nav"))
+    items = H.pick(t, "li", F.col("nav"))
+    second = H.pick(t, "li", H.pick(t, "ul", F.col("nav"), "child"), "child", lambda n: n["nth"] == 2)
+    return df.select(
+        "page_id", first(H.inner_text(t, H.pick(t, "h1", F.col("article"), "child"))).alias("headline"), F.size(H.pick(t, "p", F.col("article"), "child")).cast("long").alias("n_paragraphs"), F.size(items).cast("long").alias("n_items"),
+        F.array_join(F.transform(F.flatten(H.links(t, F.col("nav"))), lambda x: x["href"]), ",").alias("nav_links"), first(H.inner_text(t, second)).alias("second_item"),
+        F.size(H.pick(t, "a", test=lambda n: F.map_contains_key(n["attributes"], "href"))).cast("long").alias("n_links"),
+    )
