@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parapet.functions.suffixes import suffix_labels
+
 
 def _any(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, parts) if parts else F.lit(None).cast("boolean")
@@ -105,17 +107,20 @@ def parse_email(x: Column) -> Column:
     return F.when(x.isNotNull(), F.struct(F.when(at, low).alias("email"), local.alias("local_part"), domain.alias("domain")))
 
 
-#: Two-label public suffixes that are known here; the default rule takes the last label.
+#: Two-label public suffixes that are known without a list of rules; the default rule takes the last label.
 SUFFIXES = "co.uk org.uk ac.uk gov.uk me.uk com.au net.au org.au co.nz co.jp or.jp ne.jp com.br com.mx com.cn com.tr co.in co.za co.kr com.sg com.hk com.tw com.ar".split()
 
 
-def parse_domain(x: Column) -> Column:
-    """struct(domain, tld, sld, root_domain, subdomain, punycode); null for text with a space, / or @."""
+def parse_domain(x: Column, rules: list[str] | None = None) -> Column:
+    """struct(domain, tld, sld, root_domain, subdomain, punycode); null for text with a space, / or @. rules: public suffixes as
+    sources.tables.read_suffixes gives them. A host that is a suffix itself has neither sld nor root domain."""
     low = F.lower(F.rtrim(x, F.lit(".")))
     labels = F.split(low, r"\.")
-    two = F.substring_index(low, ".", -2).isin(*SUFFIXES)
-    tld = F.when(two, F.substring_index(low, ".", -2)).otherwise(F.substring_index(low, ".", -1))
-    taken = F.when(two, 2).otherwise(1)
+    if rules is None:
+        taken = F.when(F.substring_index(low, ".", -2).isin(*SUFFIXES), 2).otherwise(1)
+    else:
+        taken = suffix_labels(low, rules)
+    tld = F.array_join(F.slice(labels, F.greatest(F.size(labels) - taken + 1, F.lit(1)), taken), ".")
     sld = F.get(labels, F.size(labels) - 1 - taken)
     root = F.when(sld.isNotNull(), F.concat(sld, F.lit("."), tld))
     sub = F.array_join(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1 - taken, F.lit(0))), ".")
@@ -126,13 +131,13 @@ def parse_domain(x: Column) -> Column:
 URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/@:?#]*)(?::([^/@?#]*))?@)?(\[[^\]]*\]|[^/:?#]*)(?::(\d+))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
-def parse_url(x: Column) -> Column:
+def parse_url(x: Column, rules: list[str] | None = None) -> Column:
     """struct(scheme, username, password, host, port, path, query_params, fragment, ip, domain); null if it is no URL. A host that is
-    an address is in `ip`, not in `domain`."""
+    an address is in `ip`, not in `domain`. rules: as of parse_domain."""
     part = lambda i: F.nullif(F.regexp_extract(x, URL, i), F.lit(""))
     host = F.lower(part(4))
     ip = F.when(F.rlike(host, F.lit(r"^\d{1,3}(\.\d{1,3}){3}$|^\[")), host)
-    return F.when(F.rlike(x, F.lit(URL)), F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("username"), part(3).alias("password"), host.alias("host"), part(5).try_cast("int").alias("port"), part(6).alias("path"), part(7).alias("query_params"), part(8).alias("fragment"), ip.alias("ip"), F.when(ip.isNull(), parse_domain(host)).alias("domain")))
+    return F.when(F.rlike(x, F.lit(URL)), F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("username"), part(3).alias("password"), host.alias("host"), part(5).try_cast("int").alias("port"), part(6).alias("path"), part(7).alias("query_params"), part(8).alias("fragment"), ip.alias("ip"), F.when(ip.isNull(), parse_domain(host, rules)).alias("domain")))
 
 
 def query_map(query: Column) -> Column:

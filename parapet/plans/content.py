@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from parapet.functions import strings as S
 from parapet.functions import tree as H
 from parapet.operators import macros
 from parapet.plans.queries import documents, pages, query  # noqa: F401
@@ -77,3 +78,20 @@ def page_paths(spark, sf):
         F.array_join(F.transform(F.flatten(H.links(t, F.col("nav"))), lambda x: x["href"]), ",").alias("nav_links"), first(H.inner_text(t, second)).alias("second_item"),
         F.size(H.pick(t, "a", test=lambda n: F.map_contains_key(n["attributes"], "href"))).cast("long").alias("n_links"),
     )
+
+
+#: Rules of each kind, as public suffix lists have them.
+SUFFIX_RULES = ["com", "net", "uk", "co.uk", "jp", "*.kobe.jp", "!city.kobe.jp", "*.ck", "!www.ck", "io", "github.io", "cn", "com.cn", "公司.cn"]
+MADE_HOST = """case doc_id % 14 when 0 then 'a.b' || doc_id || '.Com' when 1 then 'x.y' || doc_id || '.co.uk' when 2 then 'co.uk' when 3 then 'w.c' || doc_id % 9 || '.z.kobe.jp' when 4 then 'z' || doc_id % 9 || '.kobe.jp' when 5 then 'h' || doc_id || '.city.kobe.jp'
+ when 6 then 'city.kobe.jp' when 7 then 'www.ck' when 8 then 'www.www.ck' when 9 then 'p' || doc_id || '.test.ck' when 10 then 'u' || doc_id || '.github.io' when 11 then 'evil' || doc_id || '.test' when 12 then 'v.w' || doc_id || '.公司.cn' else 'bad host' || doc_id end"""
+
+
+@query(f"""with h as (select doc_id, lower({MADE_HOST}) as host, string_split(lower({MADE_HOST}), '.') as l from documents), r as (select unnest({SUFFIX_RULES!r}) as rule),
+c as (select doc_id, len(l) - i + 1 as n, array_to_string(l[i:], '.') as name, '*' || case when i < len(l) then '.' || array_to_string(l[i + 1:], '.') else '' end as any_ from h, lateral (select unnest(generate_series(1, len(l))) as i)),
+m as (select doc_id, max(n) filter (where rule in (name, any_)) as n, min(n - 1) filter (where rule = '!' || name) as less from c join r on rule in (name, any_, '!' || name) group by 1),
+t as (select h.*, coalesce(less, n, 1) as n from h left join m using (doc_id) where not contains(host, ' '))
+select doc_id, host as domain, array_to_string(l[len(l) - n + 1:], '.') as tld, case when len(l) > n then array_to_string(l[len(l) - n:], '.') end as root_domain, case when len(l) > n then l[len(l) - n] end as sld, case when len(l) > n then array_to_string(l[1:len(l) - n - 1], '.') else '' end as subdomain from t""")
+def public_suffixes(spark, sf):
+    """Hosts made from the documents' ids, for each kind of rule."""
+    d = documents(spark, sf).select("doc_id", S.parse_domain(F.expr(MADE_HOST), SUFFIX_RULES).alias("d")).where("d is not null")
+    return d.select("doc_id", "d.domain", "d.tld", "d.root_domain", "d.sld", "d.subdomain")

@@ -31,6 +31,16 @@ def read_list(spark: SparkSession, path: str, kind: str = "lines", only: str | N
     return text.select(F.when(host != "", host).otherwise(F.col("value")).alias("value")).where("value != ''").distinct()
 
 
+def read_suffixes(spark: SparkSession, path: str, most: int = 100_000) -> list[str]:
+    """Rules of a public suffix list: a rule to a line, up to the first white space; `//` starts a comment. The list is part of a plan, so a
+    file with more rules than `most` is refused."""
+    rule = F.regexp_extract("value", r"^\s*(\S+)", 1)
+    found = spark.read.text(path).select(rule.alias("rule")).where((F.col("rule") != "") & ~F.startswith("rule", F.lit("//"))).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rules in {path}")
+    return [r.rule for r in found]
+
+
 def read_rules(folder: str) -> tuple[list[dict], dict[str, str]]:
     """Rule files (YAML with name, severity, type, when: a Spark SQL condition); broken files are reported by path."""
     import yaml
