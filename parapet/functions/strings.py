@@ -76,6 +76,21 @@ def json_path(x: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(F.try_parse_json(x), path, kind)
 
 
+def json_values(x: Column, path: str) -> Column:
+    """array of text: what a path with any number of `[*]` finds in JSON text, in order; an array within the row is opened for each wildcard, so
+    no row moves. What isn't there, or is no array where one is opened, gives nothing; text that is no JSON gives null."""
+    *opened, last = [p if p.startswith("$") else "$" + p for p in path.split("[*]")]
+    none = F.array().cast("array<variant>")
+    found = F.array(F.try_parse_json(x))
+
+    def items(part: str):
+        return lambda v: F.coalesce(F.try_variant_get(v, part, "array<variant>"), none)
+
+    for part in opened:
+        found = F.flatten(F.transform(found, items(part)))
+    return F.when(F.try_parse_json(x).isNotNull(), F.filter(F.transform(found, lambda v: F.try_variant_get(v, last, "string")), lambda s: s.isNotNull()))
+
+
 def decode_hex(x: Column) -> Column:
     return F.try_to_binary(x, F.lit("hex")).try_cast("string")
 

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from parapet.functions import strings as S
 from parapet.functions import tree as H
-from parapet.operators import macros
-from parapet.plans.queries import documents, pages, query  # noqa: F401
-from parapet.sources import office
+from parapet.operators import corpus, macros
+from parapet.plans.queries import RULES, V_VERDICTS, documents, pages, query
+from parapet.sources import batches, office
+from parapet.sources import messages as M
+from parapet.sources.shared import shared_dir
+from parapet.streaming import ingest
 
 #: A macro made from each document, for Spark and DuckDB alike: an entry point, something it does, and the text as a comment.
 MADE_MACRO = """'Attribute VB_Name = "M' || cast(doc_id as string) || '"' || chr(10) || 'Sub ' || case doc_id % 6 when 0 then 'AutoOpen' when 1 then 'Document_Open' when 2 then 'Formatting' when 3 then 'Runtime' when 4 then 'Frame1_Layout' else 'Go' end || '()' || chr(10)
@@ -95,3 +99,25 @@ def public_suffixes(spark, sf):
     """Hosts made from the documents' ids, for each kind of rule."""
     d = documents(spark, sf).select("doc_id", S.parse_domain(F.expr(MADE_HOST), SUFFIX_RULES).alias("d")).where("d is not null")
     return d.select("doc_id", "d.domain", "d.tld", "d.root_domain", "d.sld", "d.subdomain")
+
+
+@query("""select o_orderkey, array_to_string(list_sort(list_distinct(flatten(list([l_returnflag, l_linestatus])))), ',') as flags, coalesce(array_to_string(list_sort(list_distinct(list('b' || l_suppkey) filter (where l_quantity > 40))), ','), '') as large
+ from orders join lineitem on l_orderkey = o_orderkey group by 1""")
+def json_wildcards(spark, sf):
+    """Paths with one and two wildcards over JSON text with nested arrays, made from each order; the second finds nothing in most items."""
+    item = lambda x: F.struct(F.array(F.struct(x["l_returnflag"].alias("f")), F.struct(x["l_linestatus"].alias("f"))).alias("flags"), F.when(x["l_quantity"] > 40, F.struct(F.concat(F.lit("b"), x["l_suppkey"]).alias("name"))).alias("by"))
+    text = F.to_json(F.struct(F.struct(F.transform("lines", item).alias("parts")).alias("body")))
+    df = M.v_orders(spark, sf).where("lines is not null").select("o_orderkey", text.alias("stored"))
+    joined = lambda path: F.array_join(corpus.distinct_values(S.json_values(F.col("stored"), path)), ",")
+    return df.select("o_orderkey", joined("$.body.parts[*].flags[*].f").alias("flags"), joined("$.body.parts[*].by.name").alias("large"))
+
+
+@query(f"""with {V_VERDICTS} select message_id, verdict, array_to_string(matched, ',') as matched, lower(sender_email) as event_of from verdicts""")
+def stored_batches(spark, sf):
+    """Messages stored in two batches that overlap, the second of them twice; then verdicts and sender events as readers see them."""
+    root = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex[:12]}"
+    messages = M.v_messages(spark, sf)
+    for name, part in (("a", messages.where("message_id % 3 < 2")), ("b", messages.where("message_id % 3 > 0")), ("b", messages)):
+        ingest.store_batch(part, RULES, root, name)
+    events = batches.read(spark, root, "sender_events").select("message_id", F.col("sender_email").alias("event_of"))
+    return batches.read(spark, root, "verdicts").join(events, "message_id").select("message_id", "verdict", F.array_join("matched", ",").alias("matched"), "event_of")

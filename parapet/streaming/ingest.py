@@ -12,27 +12,44 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parapet.operators.rules import Rule, evaluate
-from parapet.sources.shared import passing
-from parapet.sources.tables import append_new
+from parapet.sources import batches
+from parapet.sources.shared import passing, stored
 
 
 def message_stream(spark: SparkSession, path: str, schema: str, max_files: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def store(messages: DataFrame, rules: list[Rule], target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Messages and verdicts of each batch are appended once for each message_id, also when a batch runs again."""
+def sender_events(judged: DataFrame) -> DataFrame:
+    """One event of each message's sender, from what the message has of it: occurred_at, day, sender_email, sender_domain, reply_to, direction,
+    verdict, auth_failed."""
+    kinds = {"received_at": "timestamp", "sender_email": "string", "sender_domain": "string", "reply_to": "string", "direction": "string", "auth_failed": "boolean"}
+    of = {c: F.col(c).cast(k) if c in judged.columns else F.lit(None).cast(k) for c, k in kinds.items()}
+    return judged.select(
+        "message_id", "day", F.coalesce(of["received_at"], F.col("day").cast("timestamp")).alias("occurred_at"), F.lower(of["sender_email"]).alias("sender_email"), F.lower(of["sender_domain"]).alias("sender_domain"),
+        F.lower(of["reply_to"]).alias("reply_to"), F.coalesce(of["direction"], F.lit("inbound")).alias("direction"), "verdict", F.coalesce(of["auth_failed"], F.lit(False)).alias("auth_failed"),
+    )
+
+
+TABLES = ("messages", "verdicts", "sender_events")
 
-    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:8]
 
-    def batch(df: DataFrame, number: int) -> None:
-        own = f"{name}-{number}"
-        with passing(df.sparkSession):
-            new = append_new(df, f"{target}/messages", ["message_id"], "day", own)
-            verdicts = evaluate(new, rules, ["message_id", "day"])
-            append_new(verdicts, f"{target}/verdicts", ["message_id"], "day", own)
+def store_batch(df: DataFrame, rules: list[Rule], target: str, batch: str) -> bool:
+    """Messages that aren't stored yet, their verdicts and their senders' events, made visible by one manifest."""
+    if batches.exists(df.sparkSession, f"{target}/_batches/{batch}.json"):
+        return False
+    with passing(df.sparkSession):
+        new = batches.new_rows(df, target, "messages", ["message_id"], "day")
+        judged = stored(evaluate(new, rules, new.columns), "judged")
+        verdicts = judged.select("message_id", "day", "verdict", "matched", "excluded_by", "indeterminate", "missing")
+        return batches.commit(target, batch, {"messages": new, "verdicts": verdicts, "sender_events": sender_events(judged)}, "day")
 
-    writer = messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+
+def store(messages: DataFrame, rules: list[Rule], target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Messages, verdicts and sender events of each batch are stored once for each message_id, also when a batch runs again; readers
+    (sources.batches.read) see all three tables of a batch or none."""
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:8]
+    writer = messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, number: store_batch(df, rules, target, f"{name}-{number}") and None)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -105,3 +105,10 @@ def test_scores(spark):
     assert values(spark, c["label"], c["confidence"], d["confidence"]) == ("a", "high", "medium")
     assert values(spark, scoring.level_of(F.lit(0.2))) == ("low",)
     assert values(spark, scoring.language(F.lit("der Hund und die Katze")), scoring.language(F.lit("xyz"))) == ("de", None)
+
+
+def test_json_values(spark):
+    rows = ['{"a":[{"b":[{"c":"x"},{"c":2},{"d":1}]},{"b":"no array"},{"b":[{"c":null},{"c":"x"}]}]}', "[1]", "{bad", None, '{"a":{}}', '[{"b":[{"c":"r"}]}]']
+    df = spark.createDataFrame([(x,) for x in rows], "j string")
+    got = [tuple(r) for r in df.select(S.json_values(F.col("j"), "$.a[*].b[*].c"), S.json_values(F.col("j"), "$[*].b[*].c"), S.json_values(F.col("j"), "$.a[1].b")).collect()]
+    assert got == [(["x", "2", "x"], [], ["no array"]), ([], [], []), (None,) * 3, (None,) * 3, ([], [], []), ([], ["r"], [])]

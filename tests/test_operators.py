@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parapet.functions import logic as L
 from parapet.functions import strings as S
 from parapet.operators import campaign, graph, learn, lists, profile, rules
-from parapet.sources import mail, tables
+from parapet.sources import batches, mail, tables
 from parapet.streaming import ingest
 
 
@@ -256,7 +256,7 @@ def test_streams(spark, tmp_path):
     for n in range(2):  # a second run from scratch adds nothing
         q = ingest.store(ingest.message_stream(spark, str(tmp_path / "m"), "message_id long, day date, body string"), [rules.Rule("bad", lambda t: F.col("body") == "malicious")], str(tmp_path / "out"), str(tmp_path / f"cp{n}"))
         q.awaitTermination(120)
-    stored = spark.read.parquet(str(tmp_path / "out/verdicts"))
+    stored = batches.read(spark, str(tmp_path / "out"), "verdicts")
     assert stored.count() == 60 and stored.where("verdict = 'malicious'").count() == 12
     watch = spark.createDataFrame([("a", dt.datetime(2024, 1, 1), 0, None), ("b", dt.datetime(2024, 1, 1), 4, dt.datetime(2024, 1, 1)), ("c", dt.datetime(2024, 1, 1), 1, dt.datetime(2024, 1, 1, 9))], "url string, added_at timestamp, attempts int, last_at timestamp")
     assert [r.url for r in ingest.due_visits(watch, F.lit(dt.datetime(2024, 1, 1, 12))).collect()] == ["a"]
