@@ -11,7 +11,7 @@ from parapet.functions import strings as S
 from parapet.functions import tree as H
 from parapet.operators import corpus, macros
 from parapet.plans.queries import RULES, V_VERDICTS, documents, pages, query
-from parapet.sources import batches, office
+from parapet.sources import batches, office, threads
 from parapet.sources import messages as M
 from parapet.sources.shared import shared_dir
 from parapet.streaming import ingest
@@ -121,3 +121,17 @@ def stored_batches(spark, sf):
         ingest.store_batch(part, RULES, root, name)
     events = batches.read(spark, root, "sender_events").select("message_id", F.col("sender_email").alias("event_of"))
     return batches.read(spark, root, "verdicts").join(events, "message_id").select("message_id", "verdict", F.array_join("matched", ",").alias("matched"), "event_of")
+
+
+MADE_REPLY = """'Answer ' || doc_id || ' https://new.test/' || doc_id || chr(10) || chr(10) || case doc_id % 3 when 0 then 'On Mon, 2 Jan 2023 at 15:04, User <user' || doc_id || '@x.test> wrote:' || chr(10) || '> ' || replace(text, chr(10), chr(10) || '> ')
+ when 1 then '-----Original Message-----' || chr(10) || 'From: User <User' || doc_id || '@x.test>' || chr(10) || 'Sent: Monday' || chr(10) || 'Subject: Case ' || doc_id || chr(10) || chr(10) || text else 'no quote here' end"""
+
+
+@query(r"""with d as (select doc_id, regexp_replace(regexp_replace(text, '(?m)^[ \t]*(?:>[ \t]?)+', '', 'g'), '^[\s\x0B]+|[\s\x0B]+$', '', 'g') as t from documents)
+select doc_id, 'Answer ' || doc_id || ' https://new.test/' || doc_id || case when doc_id % 3 = 2 then chr(10) || chr(10) || 'no quote here' else '' end as current, case when doc_id % 3 < 2 then t end as quoted, case when doc_id % 3 < 2 then 'user' || doc_id || '@x.test' end as author,
+ case when doc_id % 3 = 1 then 'Case ' || doc_id end as subject, 'new.test' as host from d""")
+def mail_threads(spark, sf):
+    """A reply made to each document, which it quotes by marks, under headers, or not at all."""
+    df = threads.with_thread(documents(spark, sf).select("doc_id", F.expr(MADE_REPLY).alias("reply")), F.col("reply"), F.lit(None).cast("string"))
+    first = F.get("thread.previous", F.lit(0))
+    return df.select("doc_id", F.col("thread.current.text").alias("current"), first["text"].alias("quoted"), first["sender"]["email"].alias("author"), first["subject"].alias("subject"), F.get("thread.current.links", F.lit(0))["url"]["host"].alias("host"))
