@@ -9,8 +9,9 @@ the threshold. On a page without marks, a stretch below it is kept if it stands
 inside the text). If nothing reaches the threshold, the stretch with the largest sum is taken.
 
 A form, or an element that only its class, id or role makes furniture, is judged by what it holds: it stays if that is the main part, the
-first article, a headline with text, or most of the text of the page (adverts and comments: only the first or the third); inside the
-marked part it stays if its own sums reach three times the threshold (not adverts and comments). A class or id counts if all of its
+first article, a headline with text, or most of the text of the page (adverts and comments: only the first or the third). Inside the
+marked part a form also stays if its own sums reach three times the threshold; what a class, id or role makes furniture goes there
+whatever its length. A class or id counts if all of its
 parts are words of furniture or layout: `related-posts` does, `related-work` doesn't. If furniture covers everything, such elements stay.
 
 A null page has no text, nor has one without any. Rows are taken each on its own; page_id and url are passed on, null or repeated. An
@@ -50,14 +51,14 @@ CONTAINERS = {"div", "section", "td", "body", "article", "main"}
 WINDOW, THRESHOLD, LINKS = 3, 80, 0.6
 
 
-HARD, MAYBE, LISTING = 1, 2, 3
+HARD, MAYBE, LISTING, FORM = 1, 2, 3, 4
 
 
 def _is_furniture(name: str, attributes: str, inside: bool) -> int:
-    """0, HARD, or what the element's content must confirm: MAYBE, LISTING."""
+    """0, HARD, or what the element's content must confirm: MAYBE, LISTING, FORM."""
     if name in FURNITURE or (name == "header" and not inside):
         return HARD
-    form = MAYBE * (name in FORMS)
+    form = FORM * (name in FORMS)
     if not attributes or name in ("html", "body", "main"):
         return form
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
@@ -80,7 +81,7 @@ def _confirmed(lines: list, kinds: list[int], holds: list[set[str]], marked: lis
                 sizes[e] += len(text)
             if marked[e]:
                 peaks[e] = max(peaks[e], sum(len(x[0]) for x in lines[i : i + WINDOW] if not x[1] and e in x[2]))
-    out = {e for e, h in enumerate(holds) if not ("main" in h or ("h1" in h and sizes[e] >= THRESHOLD) or (kinds[e] == MAYBE and peaks[e] >= 3 * THRESHOLD))}
+    out = {e for e, h in enumerate(holds) if not ("main" in h or ("h1" in h and sizes[e] >= THRESHOLD) or (kinds[e] == FORM and peaks[e] >= 3 * THRESHOLD))}
     listings = {e for e in out if kinds[e] == LISTING}
     total = sum(len(x[0]) for x in lines if not x[1] and listings.isdisjoint(x[2]))
     return {e for e in out if e in listings or not ("article" in holds[e] or 2 * sizes[e] > total)}
@@ -98,7 +99,7 @@ def lines_of(page: str, doubts: bool = True) -> list[tuple[str, bool, bool, bool
     holds: list[set[str]] = []
     marked: list[bool] = []
     within: list[int] = []
-    articles = 0
+    articles, top = 0, 0  # top: where the outermost open article starts
 
     def close_line() -> None:
         hard = all(f for t, f, _ in parts if t.strip())
@@ -106,7 +107,7 @@ def lines_of(page: str, doubts: bool = True) -> list[tuple[str, bool, bool, bool
         text = " ".join(entities.unescape("".join(t for t, _ in own)).split())
         if text:
             linked = sum(len(t) for t, k in own if k)
-            out.append((text, hard or (counts["article"] + counts["main"] == 0 and linked > LINKS * len(text)), tuple(within), counts["article"] > 0, counts["main"] > 0, containers[-1]))
+            out.append((text, hard or (counts["article"] + counts["main"] == 0 and linked > LINKS * len(text)), tuple(within), counts["article"] > 0, counts["main"] > 0, top if counts["article"] else containers[-1]))
         parts.clear()
 
     def shift(name: str, furniture: int, by: int) -> None:
@@ -161,6 +162,7 @@ def lines_of(page: str, doubts: bool = True) -> list[tuple[str, bool, bool, bool
         stack.append((name, furniture))
         if name in CONTAINERS:
             containers.append(at)
+        top = at if name == "article" and not counts["article"] else top
         shift(name, furniture, 1)
         if furniture > HARD:
             within.append(len(kinds))
@@ -183,24 +185,24 @@ def main_text(page: str) -> str:
 def weights_of(lines: list[tuple[str, bool, bool, bool, int]]) -> list[int]:
     for place in (2, 3):
         if any(x[place] and not x[1] for x in lines):
-            return [0 if x[1] or not x[place] else THRESHOLD + len(x[0]) for x in lines]
+            return [0 if x[1] or not x[place] else len(x[0]) for x in lines]
     return [0 if x[1] else len(x[0]) for x in lines]
 
 
-def stretches_of(weights: list[int], window: int) -> list[tuple[int, int, int]]:
-    """(largest sum, surge, dive) of each stretch of lines with weight; a window ends with its stretch."""
+def stretches_of(weights: list[int], window: int, parts: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """(largest sum, surge, dive) of each stretch of lines with weight, and of one part; a window ends with its stretch."""
     out, start = [], None
     for i, w in enumerate([*weights, 0]):
-        if w:
-            start = i if start is None else start
-        elif start is not None:
+        if start is not None and (not w or (parts and parts[i] != parts[start])):
             out.append((max(sum(weights[j : min(j + window, i)]) for j in range(start, i)), start, i))
             start = None
+        if w and start is None:
+            start = i
     return out
 
 
 def _main_text(lines: list[tuple[str, bool, bool, bool, int]], window: int = WINDOW, threshold: int = THRESHOLD) -> str:
-    stretches = stretches_of(weights_of(lines), window)
+    stretches = stretches_of(weights_of(lines), window, [x[4] if x[2] else -1 for x in lines])
     if not stretches:
         return ""
     kept = [s for s in stretches if s[0] >= threshold] or [max(stretches)]

@@ -112,11 +112,25 @@ def test_hint_words_do_not_delete_text_of_an_article():
     assert html.main_text(page) == "Head\nFirst part.\nWhat others did.\nWhat it also does.\nEnd."
 
 
-def test_what_a_class_marks_inside_an_article_is_judged_by_its_sums():
-    text = " ".join(f"word{i}" for i in range(60))
-    page = "<article><p>The start of it.</p><div class='notice'><p>%s</p></div><p>End.</p></article>"
-    assert html.main_text(page % text) == f"The start of it.\n{text}\nEnd."
-    assert html.main_text(page % "Short note.") == "The start of it.\nEnd."
+@pytest.mark.parametrize("mark", ["cookie-notice", "newsletter", "related", "sidebar", "nav", "popup", "subscribe-box", "menu", "notice"])
+def test_what_a_class_marks_inside_an_article_goes_whatever_its_length(mark):
+    text = "A paragraph that is as long as those of the story and tells of something else, so that only its class can say what it is. "
+    story = "The story is told in several paragraphs of some length, so that what stands between them isn't most of the page. " * 3
+    page = f"<article><h1>Head</h1><p>{story}</p><div class='{mark}'>{3 * f'<p>{text}</p>'}</div><p>{story}</p><p>{story}</p><p>End.</p></article>"
+    assert html.main_text(page) == "\n".join(["Head", *3 * [story.strip()], "End."])
+    most = f"<article><p>Start.</p><div class='{mark}'>{3 * f'<p>{text}</p>'}</div><p>End.</p></article>"
+    assert html.main_text(most) == "\n".join(["Start.", *3 * [text.strip()], "End."])  # it is most of the page
+    headed = page.replace(f"<div class='{mark}'>", f"<div class='{mark}'><h1>Another</h1>")
+    assert "Another" in html.main_text(headed)
+
+
+def test_sums_tell_articles_from_teasers():
+    story = "The story is told at such length that its sums reach the threshold, which those of no teaser do, and it goes on."
+    teasers = "".join(f"<article><p>Teaser {i}</p><p>More on it</p></article>" for i in range(4))
+    page = f"<body><div>{teasers}</div><article><h1>Head</h1><div><p>{story}</p></div><aside>x</aside><div><p>Short end.</p></div></article><section>{teasers}</section></body>"
+    assert html.main_text(page) == f"Head\n{story}\nShort end."
+    assert "Teaser 3" in html._main_text(html.lines_of(page), threshold=1)  # with marks, too, the sums decide
+    assert html.main_text(f"<body>{teasers}</body>") == "Teaser 3\nMore on it"  # none reaches it
 
 
 def test_controls_inside_a_line_are_left_out():
