@@ -9,9 +9,10 @@ shards by content, and documents stream only past the shards that can match them
 1. Each 13-word window has an anchor, the smallest of the codes of its nine 5-word runs. Equal windows have equal anchors. Anchors
    are counted over the corpus and those of several documents are marked in a bitmap of fixed size (2**28 bits, built from sums over
    the cluster). When it fills up, more stretches go on to the next step; the result stays the same.
-2. The windows at hot anchors (those in very many documents) are counted too; the most frequent ones, at most `HOT_WINDOWS`, with
-   their first documents make up the broadcast automaton. Documents stream their hot stretches past it: where the matching statistic
-   is 13 or more, the state names the first document. Windows it doesn't know go one by one to shards by their own hash.
+2. The windows at hot anchors (the most frequent ones, at most `HOT`) are counted too; the most frequent of those that repeat, at most
+   `HOT_WINDOWS`, with their first documents make up the broadcast automaton. Documents stream their hot stretches past it: where the
+   matching statistic is 13 or more, the state names the first document. If all repeated windows at hot anchors have room in it, a window
+   it doesn't know stands nowhere else; if not, such windows go one by one to shards by their own hash.
 3. The stretches of words whose windows share another marked anchor (13 to 21 words) are sent to the shard of that anchor: a task sends
    each distinct stretch once, with its smallest doc_id.
 4. A shard takes its stretches by anchor and rising doc_id. Each is streamed through the shard's suffix automaton; where the matching
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 from parapet.llm._shared import grams, is_marked, marked_bits, most_frequent, stored, texts_of, word_codes
 
 RUN, BITS = 5, 28
-HOT, KNOWN_HOT = 1_000, 65_536  # documents from which an anchor is hot; so many are known, a megabyte at most for each executor
-HOT_WINDOWS = 16_384  # windows of the broadcast automaton: some 400,000 states at most, 20 MB for each Python worker
+HOT = 1_024  # anchors whose windows go past the broadcast automaton
+HOT_WINDOWS = 16_384  # windows of the broadcast automaton: some 400,000 states at most, 60 MB for each Python worker
 MOST_WORDS = 100_000  # of a shard's automaton
 
 
@@ -125,29 +126,31 @@ class FrozenAutomaton:
         self.key, self.to = (np.array([e[i] for e in edges], np.int64) for i in (0, 1))
         self.link, self.length = np.array(machine.link, np.int32), np.array(machine.length, np.int32)
         self.doc = np.array([-1 if d is None else d for d in machine.doc], np.int64)
+        self.complete = False  # whether it has every repeated window at hot anchors
+        self.tables: tuple | None = None
 
     def first_documents(self, code: np.ndarray, window: int) -> list:
         """For each window of the sequence: the first document that has it, or None."""
         if not len(self.words):
             return [None] * (len(code) - window + 1)
+        if self.tables is None:  # once for each worker
+            self.tables = dict(zip(self.key.tolist(), self.to.tolist(), strict=True)), self.link.tolist(), self.length.tolist(), self.doc.tolist()
+        edges, link, lengths, docs = self.tables
         at = np.minimum(np.searchsorted(self.words, code), len(self.words) - 1)
-        numbers = np.where(self.words[at] == code, at, -1).tolist()
-        out, state, length, last = [], 0, 0, len(self.key) - 1
-        for i, w in enumerate(numbers):
-            while True:
-                e = min(int(np.searchsorted(self.key, state << 32 | w)), last) if w >= 0 else -1
-                if e >= 0 and self.key[e] == state << 32 | w:
-                    state, length = int(self.to[e]), length + 1
-                    break
-                if not state:
-                    break
-                state = int(self.link[state])
-                length = int(self.length[state])
+        out, state, length = [], 0, 0
+        for i, w in enumerate(np.where(self.words[at] == code, at, -1).tolist()):
+            to = edges.get(state << 32 | w) if w >= 0 else None
+            while to is None and state:
+                state = link[state]
+                length = lengths[state]
+                to = edges.get(state << 32 | w) if w >= 0 else None
+            if to is not None:
+                state, length = to, length + 1
             if i >= window - 1:
                 at = state
-                while length >= window and self.length[self.link[at]] >= window:
-                    at = self.link[at]
-                out.append(int(self.doc[at]) if length >= window else None)
+                while length >= window and lengths[link[at]] >= window:
+                    at = link[at]
+                out.append(docs[at] if length >= window else None)
         return out
 
 
@@ -185,14 +188,17 @@ def _hot_windows(window: int, heads, hot):
 
 def hot_automaton(judged: DataFrame, window: int, heads, hot, most: int) -> FrozenAutomaton:
     """Of the most frequent windows at hot anchors. Any choice of windows gives the same result; what is left out goes to the shards."""
-    machine = SuffixAutomaton()
+    machine, complete = SuffixAutomaton(), False
     if len(hot.value):
         counts = judged.select("doc_id", "text", "row_key").mapInArrow(_hot_windows(window, heads, hot), "code long, n long, doc_id long, words binary")
         frequent = stored(counts.groupBy("code").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"), F.any_value("words").alias("words")).where("n > 1"), "hot-windows")
-        rows = most_frequent(frequent, "n", most).collect()  # `most` rows of 13 words
+        complete = frequent.count() <= most
+        rows = (frequent if complete else most_frequent(frequent, "n", most)).collect()  # `most` rows of 13 words
         for _, _, doc, words in sorted(rows, key=lambda r: r["doc_id"]):
             machine.add(np.frombuffer(words, "<u8").tolist(), doc)
-    return FrozenAutomaton(machine)
+    frozen = FrozenAutomaton(machine)
+    frozen.complete = complete
+    return frozen
 
 
 def _anchor_counts(window: int, heads):
@@ -254,9 +260,9 @@ def _stretches(window: int, heads, marked, hot, machine):
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], spread, [False]])))
                 for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):  # runs of windows at hot anchors
                     for k, doc1 in enumerate(machine.value.first_documents(code[i : j + window - 1], window), i):
-                        if doc1 is not None:
+                        if doc1 is not None or machine.value.complete:
                             spread[k] = hit[k] = False
-                            if doc1 < doc:
+                            if doc1 is not None and doc1 < doc:
                                 docs.append(doc)
                                 keys.append(key)
                                 starts.append(k)
@@ -339,7 +345,7 @@ def _removed(window: int):
     return remove
 
 
-def without_repeats(docs: DataFrame, window: int = 13, hot_from: int = HOT, hot_windows: int = HOT_WINDOWS) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 13, hot: int = HOT, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_text (kept words joined by one space)."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = plain.withColumn("text_key", F.xxhash64("text"))
@@ -354,12 +360,12 @@ def without_repeats(docs: DataFrame, window: int = 13, hot_from: int = HOT, hot_
     repeated = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     repeated = stored(repeated, "repeated")
     marked = marked_bits(repeated, "anchor", BITS)  # 32 MB, whatever the corpus
-    frequent = most_frequent(repeated.where(F.col("n") >= hot_from), "n", KNOWN_HOT).collect()
-    hot = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r["anchor"] for r in frequent), np.int64))
+    frequent = most_frequent(repeated, "n", hot).collect()
+    hot_anchors = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r["anchor"] for r in frequent), np.int64))
 
-    machine = docs.sparkSession.sparkContext.broadcast(hot_automaton(judged, window, heads, hot, hot_windows))
+    machine = docs.sparkSession.sparkContext.broadcast(hot_automaton(judged, window, heads, hot_anchors, hot_windows))
 
-    parts = stored(judged.select("doc_id", "text_key", "text", "row_key").mapInArrow(_stretches(window, heads, marked, hot, machine), PARTS), "stretches")
+    parts = stored(judged.select("doc_id", "text_key", "text", "row_key").mapInArrow(_stretches(window, heads, marked, hot_anchors, machine), PARTS), "stretches")
     sent = parts.where("words is not null").select("anchor", "stretch", "doc_id", "words")
     shards = sent.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "stretch")
     firsts = shards.mapInArrow(_shard(window), "anchor long, stretch long, firsts array<long>")

@@ -286,8 +286,8 @@ def test_jaccard_chains_of_near_copies(spark, longest):
     assert jaccard.keep_one(df).count() == len({c for _, _, c in brute_jaccard(rows)})
 
 
-@pytest.mark.parametrize(("hot_from", "hot_windows"), [(1000, 1000), (2, 20), (2, 100_000)])
-def test_substring(docs, none, hot_from, hot_windows):
+@pytest.mark.parametrize(("hot", "hot_windows"), [(0, 1000), (10, 1000), (1000, 20), (1000, 100_000)])
+def test_substring(docs, none, hot, hot_windows):
     rows = texts()
     first = {}
     for i, t in rows:
@@ -301,7 +301,7 @@ def test_substring(docs, none, hot_from, hot_windows):
         w = words(t)
         gone = {k + j for k in range(len(w) - 12) if i is not None and first[tuple(w[k : k + 13])] < i for j in range(13)}
         want[(i, len(w), len(gone), sha(b" ".join(x for k, x in enumerate(w) if k not in gone)))] += 1
-    assert Counter((r.doc_id, r.n_words, r.n_removed, sha(r.kept_text)) for r in substring.without_repeats(docs, hot_from=hot_from, hot_windows=hot_windows).collect()) == want
+    assert Counter((r.doc_id, r.n_words, r.n_removed, sha(r.kept_text)) for r in substring.without_repeats(docs, hot=hot, hot_windows=hot_windows).collect()) == want
     assert substring.report(none).count() == 0
 
 
