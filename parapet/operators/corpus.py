@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parapet.functions.logic import Answer, answer
+from parapet.sources.shared import stored
 
 
 def window_of(messages: DataFrame, first_day: str, last_day: str) -> DataFrame:
@@ -119,6 +120,28 @@ def retro(messages: DataFrame, verdicts: DataFrame, test: Answer | Column, rule:
     return found.join(known, ["message_id", "kind", "source"], "left_anti")
 
 
+BUCKETS = 256
+
+
+def index_values(values: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Append (message_id, value) to an index that later looks for values: partitioned by a bucket of the lower-cased value."""
+    low = F.lower("value")
+    rows = values.where("value is not null").select("message_id", low.alias("value"), F.pmod(F.xxhash64(low), F.lit(buckets)).cast("int").alias("bucket"))
+    rows.repartition("bucket", F.pmod(F.xxhash64("message_id"), F.lit(4))).write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def grown_list(spark: SparkSession, path: str, before: DataFrame, after: DataFrame, known: DataFrame, name: str, buckets: int = BUCKETS) -> DataFrame:
+    """message_id, kind, source, value: what a list finds among indexed messages by the values that it gained (`before` and `after`: value), and that
+    isn't known (message_id, kind, source) yet. Only the new values' buckets of the index are read: what the list had before was found
+    then. One finding for each message and value."""
+    low = lambda df: df.select(F.lower("value").alias("value")).where("value != ''").distinct()
+    delta = stored(low(after).join(low(before), "value", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(buckets)).cast("int")), "delta")
+    touched = [r.bucket for r in delta.select("bucket").distinct().collect()]  # `buckets` at most
+    index = spark.read.schema("message_id long, value string, bucket int").parquet(path).where(F.col("bucket").isin(touched) if touched else F.lit(False))
+    found = index.join(delta, ["bucket", "value"], "left_semi").select("message_id", F.lit("list").alias("kind"), F.lit(name).alias("source"), "value").distinct()
+    return found.join(known, ["message_id", "kind", "source"], "left_anti")
+
+
 def link_digest(url: Column, retrieved: Column, length: Column) -> Column:
     """Changes when a link's target, outcome or size class changes."""
     return F.substring(F.sha2(F.concat_ws("|", url, retrieved.cast("string"), F.floor(F.log10(F.greatest(length, F.lit(1)))).cast("string")), 256), 1, 16)

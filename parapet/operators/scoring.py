@@ -47,6 +47,43 @@ def _stopwords():
     return sorted(STOPWORDS.items())
 
 
+#: Languages that their script tells, by Unicode's names of scripts.
+SCRIPTS = {"korean": "Hangul", "chinese": "Han", "russian": "Cyrillic", "greek": "Greek", "arabic": "Arabic", "hebrew": "Hebrew", "thai": "Thai", "hindi": "Devanagari"}
+NAMES = {"de": "german", "en": "english", "es": "spanish", "fr": "french"}
+
+
+def detected(text: Column, words: dict[str, list[str]] | None = None) -> Column:
+    """struct(language, confidence) by script, then among Latin texts by words. A tenth of kana (counted three times) makes a text Japanese, more than
+    half of the letters of another script its language. Latin texts of three words or more are told by the share of each language's words
+    (`words`, by language) that occur; the lead over the second is the confidence, and a lead of 0.05 or less tells nothing. Null where
+    nothing is told, or for text without letters."""
+    lists = words or {NAMES[k]: w for k, w in STOPWORDS.items()}
+    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    other = F.rlike(text, F.lit(r"[\p{L}&&[^\p{IsLatin}]]"))  # most texts need no further count
+    of = lambda *scripts: F.when(other, F.regexp_count(text, F.lit("[\\p{L}&&[" + "".join(rf"\p{{Is{x}}}" for x in scripts) + "]]"))).otherwise(0)
+    latin = F.when(other, F.regexp_count(text, F.lit(r"[\p{L}&&[\p{IsLatin}]]"))).otherwise(letters)
+    told = lambda language, confidence: F.struct(F.lit(language).alias("language"), F.lit(confidence).cast("double").alias("confidence"))
+    kana = of("Hiragana", "Katakana")
+    out = F.when((kana > 0) & (30 * kana >= letters), told("japanese", 0.95))
+    for language, script in SCRIPTS.items():
+        out = out.when(of(script) * (6 if script == "Hangul" else 2) > letters, told(language, 0.85))
+
+    def by_words(found: Column) -> Column:
+        present = F.array_distinct(found)
+        shares = F.array(*[F.struct((-F.size(F.array_intersect(present, F.array(*map(F.lit, ws)))) / F.lit(len(ws))).alias("less"), F.lit(name).alias("language")) for name, ws in sorted(lists.items())])
+
+        def lead(ordered: Column) -> Column:
+            first, second = F.get(ordered, F.lit(0)), F.get(ordered, F.lit(1))
+            apart = F.coalesce(second["less"], F.lit(0.0)) - first["less"]
+            return F.when((first["less"] < 0) & (apart > 0.05), F.struct(first["language"].alias("language"), F.least(apart, F.lit(1.0)).alias("confidence")))
+
+        return F.when(F.size(found) >= 3, F.get(F.transform(F.array(F.array_sort(shares)), lead), F.lit(0)))
+
+    tokens = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
+    latin_told = F.get(F.transform(F.array(tokens), by_words), F.lit(0))
+    return out.when((letters > 0) & (2 * latin > letters), latin_told)
+
+
 #: Words behind the entities of a text.
 ENTITIES = {
     "urgency": r"(?i)\b(urgent(?:ly)?|immediately|as soon as possible|right away|within 24 hours|final notice|act now)\b",

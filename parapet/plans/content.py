@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from parapet.functions import strings as S
 from parapet.functions import tree as H
-from parapet.operators import corpus, macros
-from parapet.plans.queries import RULES, V_VERDICTS, documents, pages, query
+from parapet.operators import corpus, learn, macros, scoring
+from parapet.plans.queries import RULES, V_VERDICTS, documents, labels, pages, query
 from parapet.sources import batches, office, threads
 from parapet.sources import messages as M
 from parapet.sources.shared import shared_dir
@@ -135,3 +135,53 @@ def mail_threads(spark, sf):
     df = threads.with_thread(documents(spark, sf).select("doc_id", F.expr(MADE_REPLY).alias("reply")), F.col("reply"), F.lit(None).cast("string"))
     first = F.get("thread.previous", F.lit(0))
     return df.select("doc_id", F.col("thread.current.text").alias("current"), first["text"].alias("quoted"), first["sender"]["email"].alias("author"), first["subject"].alias("subject"), F.get("thread.current.links", F.lit(0))["url"]["host"].alias("host"))
+
+
+#: A text in each script, the document's own, or too little to tell.
+MADE_SCRIPT = """case doc_id % 14 when 0 then 'これは日本語の文章です ' || doc_id when 1 then '이것은 한국어 문장입니다' when 2 then '这是一个中文句子没有假名' when 3 then 'Это предложение на русском языке' when 4 then 'Αυτή είναι μια ελληνική πρόταση' when 5 then 'هذه جملة باللغة العربية'
+ when 6 then 'זהו משפט בעברית' when 7 then 'นี่คือประโยคภาษาไทย' when 8 then 'यह हिंदी में एक वाक्य है' when 9 then 'abc Это de' when 10 then '12345 !!' when 11 then 'two words' else text end"""
+
+
+def _script_sql() -> str:
+    of = lambda *names: "len(list_filter(l, lambda c: regexp_matches(c, '[" + "".join(f"\\p{{{n}}}" for n in names) + "]')))"
+    scripts = " ".join(f"when {of(s)} * {6 if s == 'Hangul' else 2} > len(l) then '{name}'" for name, s in [("korean", "Hangul"), ("chinese", "Han"), ("russian", "Cyrillic"), ("greek", "Greek"), ("arabic", "Arabic"), ("hebrew", "Hebrew"), ("thai", "Thai"), ("hindi", "Devanagari")])
+    words = {"english": "the of and to in is that it was for on are", "french": "le la les de et un une est des que pour dans", "german": "der die das und ist von mit den ein eine zu im", "spanish": "el la de que y en los un por con una las"}
+    shares = ", ".join(f"{{'s': len(list_intersect(list_distinct(w), {v.split()!r})) / {len(v.split())}.0::double, 'k': '{k}'}}" for k, v in words.items())
+    return f"""with t as (select doc_id, {MADE_SCRIPT} as t from documents), l as (select doc_id, regexp_extract_all(t, '\\p{{L}}') as l, list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}]+'), lambda w: w <> '') as w from t),
+s as (select *, case when {of("Hiragana", "Katakana")} > 0 and 30 * {of("Hiragana", "Katakana")} >= len(l) then 'japanese' {scripts} end as script, list_sort([{shares}], 'desc') as r, 2 * {of("Latin")} > len(l) and len(w) >= 3 as latin from l),
+f as (select doc_id, script, latin and r[1].s > 0 and r[1].s - r[2].s > 0.05 as told, r[1].k as k, r[1].s - r[2].s as lead from s)
+select doc_id, coalesce(script, case when told then k end) as language, round(case when script = 'japanese' then 0.95 when script is not null then 0.85 when told then lead end, 9)::double as confidence from f"""
+
+
+@query(_script_sql())
+def language_by_script(spark, sf):
+    d = documents(spark, sf).select("doc_id", F.explode(F.array(scoring.detected(F.expr(MADE_SCRIPT)))).alias("d"))
+    return d.select("doc_id", "d.language", F.round("d.confidence", 9).alias("confidence"))
+
+
+@query("""select doc_id as message_id, 'list' as kind, 'hosts' as source, 'host' || doc_id % 50 || '.test' as value from documents where doc_id % 50 in (3, 7, 11) and doc_id % 4 <> 0""")
+def grown_list(spark, sf):
+    """A list of hosts gained three: what they find in the index of links, less what was found before."""
+    path = f"{shared_dir(spark)}/links-{uuid.uuid4().hex[:12]}"
+    links = documents(spark, sf).select(F.col("doc_id").alias("message_id"), F.expr("'Host' || doc_id % 50 || '.test'").alias("value"))
+    corpus.index_values(links, path)
+    hosts = links.select("value").distinct()
+    before, after = hosts.where("value in ('Host1.test', 'Host2.test')"), hosts.where("value in ('Host1.test', 'Host2.test', 'Host3.test', 'Host7.test', 'Host11.test')")
+    known = links.where("message_id % 4 = 0").select("message_id", F.lit("list").alias("kind"), F.lit("hosts").alias("source"))
+    return corpus.grown_list(spark, path, before, after, known, "hosts")
+
+
+@query("""with h as (select doc_id, list_reduce(list_concat([2166136261::bigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda h, b: (xor(h, b) * 16777619) % 4294967296) as h from labels)
+select doc_id, h as hash, h % 1000 < 200 as held from h""")
+def held_out(spark, sf):
+    key = F.col("doc_id").cast("string")
+    return labels(spark, sf).select("doc_id", learn.fnv1a(key).alias("hash"), learn.split(key).alias("held"))
+
+
+@query()
+def agreement(spark, sf):
+    """Weights of a model of the labels over signs of the documents (a test holds the fit against brute force)."""
+    signs = {"digits": r"\d{3}", "marks": r"[#$%&|]{2}", "shouting": r"!!", "long_word": r"\w{16}", "several_lines": r"\n", "colon": r":"}
+    rows = labels(spark, sf).join(documents(spark, sf), "doc_id").select("doc_id", (1 - F.col("quality")).alias("label"), *[F.rlike("text", F.lit(p)).cast("int").alias(n) for n, p in signs.items()])
+    model = learn.fit(rows, list(signs), key="doc_id")
+    return spark.createDataFrame([*model["weights"].items(), ("(intercept)", model["intercept"])], "feature string, weight double")
