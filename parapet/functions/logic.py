@@ -122,8 +122,17 @@ def in_list(x: Column, values: list[str] | None, name: str) -> Answer:
     return Answer(F.coalesce(F.lower(x).isin(*sorted({v.lower() for v in values})), F.lit(False)) if values else F.lit(False))
 
 
+#: Letters that Unicode's simple case folding joins with another small letter.
+FOLDED = {"ſ": "s", "ς": "σ", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε", "ẛ": "ṡ", "\u1fbe": "ι", "\u0345": "ι", "µ": "μ"}
+
+
+def folded(x: Column) -> Column:
+    return F.translate(F.lower(x), "".join(FOLDED), "".join(FOLDED.values()))
+
+
 def same_text(a: Column, b: Column) -> Column:
-    return F.lower(a) == F.lower(b)
+    """Equality by simple case folding."""
+    return folded(a) == folded(b)
 
 
 def int_div(a: Column, b: Column) -> Column:

@@ -53,9 +53,9 @@ def slice_text(x: Column, low: int, high: int) -> Column:
     return F.substring(x, F.lit(max(low, 0) + 1), F.lit(max(high - max(low, 0), 0)))
 
 
-#: Letters of other scripts that look like Latin ones (from Unicode's confusables), and what they look like.
-CONFUSABLE = "аеорсухіјѕԁԛԝһӏАВЕКМНОРСТХІЅЈΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορικ"
-LOOKS_LIKE = "aeopcyxijsdqwhlABEKMHOPCTXISJABEZHIKMNOPTYXavopik"
+#: Letters of other scripts and forms that look like Latin ones, and dashes (from Unicode's confusables), and what they look like.
+CONFUSABLE = "аеорсухіјѕԁԛԝһӏАВЕКМНОРСТХІЅЈΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορικ" + "ıɡɑᴏѵⅰⅴⅹⅼⅽⅾⅿ" + "‐‑‒–—―−"
+LOOKS_LIKE = "aeopcyxijsdqwhlABEKMHOPCTXISJABEZHIKMNOPTYXavopik" + "igaovivxlcdm" + "-------"
 
 
 def replace_confusables(x: Column) -> Column:

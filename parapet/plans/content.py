@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from parapet.functions import logic
 from parapet.functions import strings as S
 from parapet.functions import tree as H
 from parapet.operators import corpus, learn, macros, scoring
@@ -185,3 +186,20 @@ def agreement(spark, sf):
     rows = labels(spark, sf).join(documents(spark, sf), "doc_id").select("doc_id", (1 - F.col("quality")).alias("label"), *[F.rlike("text", F.lit(p)).cast("int").alias(n) for n, p in signs.items()])
     model = learn.fit(rows, list(signs), key="doc_id")
     return spark.createDataFrame([*model["weights"].items(), ("(intercept)", model["intercept"])], "feature string, weight double")
+
+
+@query("""with w as (select url, timestamp '2024-01-01' + to_minutes(page_id % 600) as added, page_id % 5 as attempts, timestamp '2024-01-01' + to_minutes(page_id % 600 + 30) as last from pages),
+d as (select url, attempts + 1 as attempt, case when attempts = 0 then added + to_minutes(30) else last + to_hours(6) end as due from w where attempts < 4) select url, attempt, cast(due as varchar) as due from d where due <= timestamp '2024-01-01 09:00:00' order by d.due, url limit 25""")
+def due_visits(spark, sf):
+    """What one round takes of the pages' links that are due."""
+    at = lambda minutes: F.timestamp_seconds(F.lit(1704067200) + minutes * 60)
+    watches = pages(spark, sf).select("url", at(F.col("page_id") % 600).alias("added_at"), (F.col("page_id") % 5).alias("attempts"), at(F.col("page_id") % 600 + 30).alias("last_at"))
+    return ingest.due_visits(watches, F.lit("2024-01-01 09:00:00").cast("timestamp")).select("url", "attempt", F.date_format("due", "yyyy-MM-dd HH:mm:ss").alias("due"))
+
+
+@query("""select doc_id, doc_id % 4 < 3 as same from documents""")
+def case_folding(spark, sf):
+    """Pairs that differ in case only, also where small letters have two forms, and pairs that don't."""
+    a = F.expr("case doc_id % 4 when 0 then 'ΟΔΟΣ' || doc_id when 1 then 'Straſſe' || doc_id when 2 then upper(lang) || 'µ' else 'a' end")
+    b = F.expr("case doc_id % 4 when 0 then 'οδος' || doc_id when 1 then 'STRASSE' || doc_id when 2 then lang || 'Μ' else 'b' end")
+    return documents(spark, sf).select("doc_id", logic.same_text(a, b).alias("same"))

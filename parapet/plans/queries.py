@@ -206,10 +206,12 @@ def string_distance(spark, sf):
     return p.join(q, "p_partkey").select("p_partkey", S.distance(F.col("p_name"), F.col("other")).alias("apart"), S.distance(F.col("p_name"), F.col("other"), fold=True).alias("apart_folded"), S.concat("p_brand", F.lit("/"), "p_type").alias("joined"))
 
 
-@query("""select doc_id, length(text) - length(translate(text, 'éè', '')) as n_accents, translate(translate(text[1:60], 'aeo', 'аео'), 'аео', 'aeo') as folded from documents""")
+@query("""select doc_id, length(text) - length(translate(text, 'éè', '')) as n_accents, text as folded from documents""")
 def confusables(spark, sf):
-    head = F.substring("text", 1, 60)
-    return documents(spark, sf).select("doc_id", S.count(F.col("text"), "é").cast("long").__add__(S.count(F.col("text"), "è").cast("long")).alias("n_accents"), S.replace_confusables(F.translate(head, "aeo", "аео")).alias("folded"))
+    """Whole texts, written in letters of other scripts that look alike, and folded back."""
+    pairs = {latin: other for other, latin in zip(S.CONFUSABLE, S.LOOKS_LIKE, strict=True)}
+    other = F.translate("text", "".join(pairs), "".join(pairs.values()))
+    return documents(spark, sf).select("doc_id", S.count(F.col("text"), "é").cast("long").__add__(S.count(F.col("text"), "è").cast("long")).alias("n_accents"), S.replace_confusables(other).alias("folded"))
 
 
 @query("""select event_id, sha256(props) as sha256, md5(props) as md5, cast(json_extract_string(props, '$.k') as bigint) as k, json_extract_string(props, '$.none') as none, try_cast(replace(props, '{', '') as double) as bad,
@@ -658,11 +660,16 @@ def partial_evidence(spark, sf):
     return M.v_messages(spark, sf).select("message_id", a.verdict.alias("verdict"), F.array_join(a.names, ",").alias("missing"))
 
 
-@query(f"""with {V_MESSAGES}, e as (select message_id, 'urgency' as name, lower(unnest(regexp_extract_all(body, '(?i)\\b(?:urgent(?:ly)?|immediately|as soon as possible|right away|within 24 hours|final notice|act now)\\b'))) as text from v
- union all select message_id, 'financial', lower(unnest(regexp_extract_all(body, '(?i)\\b(?:invoice|payment|wire transfer|bank account|remittance|payroll|gift cards?|refund)\\b|[$\\x{{20ac}}\\x{{a3}}] ?\\d[\\d.,]*'))) from v) select distinct message_id, name, text from e""")
+SAID = """case message_id % 4 when 0 then 'This is URGENT: payment of $4,5' || message_id % 10 || ' or a refund, it is urgent' when 1 then 'Please review the Invoice immediately.' when 2 then 'Hello Ann ' || message_id || ', kindly let me know' else 'Nothing of the kind' end"""
+
+
+@query(f"""with {V_MESSAGES} select message_id, x[1] as name, x[2] as text from (select message_id, unnest(case message_id % 4 when 0 then [['urgency', 'urgent'], ['financial', 'payment'], ['financial', '$4,5' || message_id % 10], ['financial', 'refund']]
+ when 1 then [['request', 'please review'], ['financial', 'invoice'], ['urgency', 'immediately']] when 2 then [['greeting', 'hello ann ' || message_id], ['request', 'kindly'], ['request', 'let me know']] else [] end) as x from v)""")
 def entities(spark, sf):
-    rows = M.v_messages(spark, sf).select("message_id", F.explode(scoring.understood(F.col("body"))["entities"]).alias("e"))
-    return rows.where(F.col("e.name").isin("urgency", "financial")).select("message_id", "e.*")
+    """What is found in each message below a line made for it; the SQL names what the line says."""
+    text = F.concat(F.expr(SAID), F.lit("\n"), F.col("body"))
+    rows = M.v_messages(spark, sf).select("message_id", F.explode(scoring.understood(text)["entities"]).alias("e"))
+    return rows.select("message_id", "e.*")
 
 
 RAW_MAIL = """concat('From: "User ', message_id, '" <', sender_email, '>\\r\\nTo: desk@example.org, b@src1.example.com\\r\\nReply-To: r', message_id % 5, '@reply.test\\r\\nReturn-Path: <bounce@', sender_domain, '>\\r\\nSubject: [ext] Re: Case ', message_id,

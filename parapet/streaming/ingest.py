@@ -101,7 +101,11 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "2 hour
     return events.withWatermark("occurred_at", late).groupBy(F.window("occurred_at", size), "verdict").count()
 
 
-def due_visits(watches: DataFrame, now) -> DataFrame:
-    """Links to visit again: first after 30 minutes, then every 6 hours, 4 times in all. watches: url, added_at, attempts, last_at."""
+def due_visits(watches: DataFrame, now, most: int | None = 25, claims: DataFrame | None = None) -> DataFrame:
+    """Links to visit again: first after 30 minutes, then every 6 hours, 4 times in all; the longest due first, `most` a round (None: all), and
+    none that somebody has claimed for this attempt. watches: url, added_at, attempts, last_at; claims: url, attempt. Adds attempt and due."""
     after = F.when(F.col("attempts") == 0, F.unix_micros("added_at") + 1_800_000_000).otherwise(F.unix_micros("last_at") + 21_600_000_000)
-    return watches.where((F.col("attempts") < 4) & (after <= F.unix_micros(now)))
+    due = watches.withColumns({"attempt": F.col("attempts") + 1, "due": F.timestamp_micros(after)}).where((F.col("attempts") < 4) & (after <= F.unix_micros(now)))
+    if claims is not None:
+        due = due.join(claims.select("url", "attempt"), ["url", "attempt"], "left_anti").select(*watches.columns, "attempt", "due")
+    return due if most is None else due.orderBy("due", "url").limit(most)
