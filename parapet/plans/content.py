@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from parapet.functions import logic
 from parapet.functions import strings as S
 from parapet.functions import tree as H
-from parapet.operators import corpus, learn, macros, scoring
-from parapet.plans.queries import RULES, V_VERDICTS, documents, labels, pages, query
+from parapet.operators import corpus, hashes, learn, macros, scoring
+from parapet.plans.queries import RULES, V_VERDICTS, documents, labels, pages, query, table
 from parapet.sources import batches, office, threads
 from parapet.sources import messages as M
 from parapet.sources.shared import shared_dir
@@ -203,3 +203,14 @@ def case_folding(spark, sf):
     a = F.expr("case doc_id % 4 when 0 then 'ΟΔΟΣ' || doc_id when 1 then 'Straſſe' || doc_id when 2 then upper(lang) || 'µ' else 'a' end")
     b = F.expr("case doc_id % 4 when 0 then 'οδος' || doc_id when 1 then 'STRASSE' || doc_id when 2 then lang || 'Μ' else 'b' end")
     return documents(spark, sf).select("doc_id", logic.same_text(a, b).alias("same"))
+
+
+@query("""with c as (select vec_id, list_sum(list_transform(embedding, lambda x, i: case when x > 0 then (1::hugeint << (i - 1)::int) else 0 end))::hugeint as h from embeddings),
+s as (select vec_id, (case when h >= 9223372036854775808::hugeint then h - 18446744073709551616::hugeint else h end)::bigint as h from c),
+k as (select vec_id as known_id, xor(h, (1::bigint << (vec_id // 50 % 20)::int) - 1) as k from s where vec_id % 50 = 0)
+select vec_id as id, known_id, bit_count(xor(h, k))::int as distance from s, k where bit_count(xor(h, k)) <= 13""")
+def near_hashes(spark, sf):
+    """Sign codes of all embeddings near known codes, which are some of them with up to 19 bits changed."""
+    codes = table("embeddings")(spark, sf).select(F.col("vec_id").alias("id"), hashes.sign_code(F.col("embedding")).alias("hash"))
+    changed = F.expr("hash ^ (shiftleft(1L, cast((id div 50) % 20 as int)) - 1)")
+    return hashes.near(codes, codes.where("id % 50 = 0").select(F.col("id").alias("known_id"), changed.alias("hash")))
