@@ -9,10 +9,10 @@ shards by content, and documents stream only past the shards that can match them
 1. Each 13-word window has an anchor, the smallest of the codes of its nine 5-word runs. Equal windows have equal anchors. Anchors
    are counted over the corpus and those of several documents are marked in a bitmap of fixed size (2**28 bits, built from sums over
    the cluster). When it fills up, more stretches go on to the next step; the result stays the same.
-2. The windows at hot anchors (the most frequent ones, at most `HOT`) are counted too; the most frequent of those that repeat, at most
-   `HOT_WINDOWS`, with their first documents make up the broadcast automaton. Documents stream their hot stretches past it: where the
-   matching statistic is 13 or more, the state names the first document. If all repeated windows at hot anchors have room in it, a window
-   it doesn't know stands nowhere else; if not, such windows go one by one to shards by their own hash.
+2. The windows at the most frequent anchors (at most `HOT`) are counted too. Anchors whose repeated windows have room, most frequent first
+   and at most `HOT_WINDOWS` windows, are hot: these windows with their first documents make up the broadcast automaton. Documents stream
+   their hot stretches past it: where the matching statistic is 13 or more, the state names the first document; a window that it doesn't
+   know stands nowhere else.
 3. The stretches of words whose windows share another marked anchor (13 to 21 words) are sent to the shard of that anchor: a task sends
    each distinct stretch once, with its smallest doc_id.
 4. A shard takes its stretches by anchor and rising doc_id. Each is streamed through the shard's suffix automaton; where the matching
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from parapet.llm._shared import grams, is_marked, marked_bits, most_frequent, stored, texts_of, word_codes
 
 RUN, BITS = 5, 28
-HOT = 1_024  # anchors whose windows go past the broadcast automaton
+HOT = 1_024  # anchors, most of whose windows have room in the broadcast automaton
 HOT_WINDOWS = 16_384  # windows of the broadcast automaton: some 400,000 states at most, 60 MB for each Python worker
 MOST_WORDS = 100_000  # of a shard's automaton
 
@@ -126,7 +126,6 @@ class FrozenAutomaton:
         self.key, self.to = (np.array([e[i] for e in edges], np.int64) for i in (0, 1))
         self.link, self.length = np.array(machine.link, np.int32), np.array(machine.length, np.int32)
         self.doc = np.array([-1 if d is None else d for d in machine.doc], np.int64)
-        self.complete = False  # whether it has every repeated window at hot anchors
         self.tables: tuple | None = None
 
     def first_documents(self, code: np.ndarray, window: int) -> list:
@@ -156,7 +155,7 @@ class FrozenAutomaton:
 
 def _hot_windows(window: int, heads, hot):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(code, n, doc_id, words) of the windows at hot anchors: how many texts of the task have them, and the smallest doc_id."""
+        """(anchor, code, n, doc_id, words) of the windows at given anchors: how many texts of the task have them, and the smallest doc_id."""
         known: dict[int, list] = {}
 
         def rows() -> Iterator[pa.RecordBatch]:
@@ -164,18 +163,20 @@ def _hot_windows(window: int, heads, hot):
             known.clear()
             for i in range(0, len(items), 20_000):
                 part = items[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int64()), *[pa.array([v[j] for _, v in part], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]], names=["code", "n", "doc_id", "words"])
+                columns = [pa.array([v[j] for _, v in part], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([columns[3], pa.array([k for k, _ in part], pa.int64()), *columns[:3]], names=["anchor", "code", "n", "doc_id", "words"])
 
         for b in batches:
             b = b.filter(pa.array(is_marked(heads.value, b.column(2).to_numpy())))
             for doc, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                 code = word_codes(text.encode())
-                at = np.flatnonzero(np.isin(anchors(code, window)[1], hot.value)).tolist()
+                anchor = anchors(code, window)[1]
+                at = np.flatnonzero(np.isin(anchor, hot.value)).tolist()
                 data, own = code.tobytes(), set()
                 for i in at:
                     words = data[8 * i : 8 * (i + window)]
                     k = xxhash.xxh3_64_intdigest(words) - (1 << 63)
-                    had = known.setdefault(k, [0, doc, words])
+                    had = known.setdefault(k, [0, doc, words, int(anchor[i])])
                     had[0] += k not in own
                     had[1] = min(had[1], doc)
                     own.add(k)
@@ -186,19 +187,24 @@ def _hot_windows(window: int, heads, hot):
     return count
 
 
-def hot_automaton(judged: DataFrame, window: int, heads, hot, most: int) -> FrozenAutomaton:
-    """Of the most frequent windows at hot anchors. Any choice of windows gives the same result; what is left out goes to the shards."""
-    machine, complete = SuffixAutomaton(), False
-    if len(hot.value):
-        counts = judged.select("doc_id", "text", "row_key").mapInArrow(_hot_windows(window, heads, hot), "code long, n long, doc_id long, words binary")
-        frequent = stored(counts.groupBy("code").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"), F.any_value("words").alias("words")).where("n > 1"), "hot-windows")
-        complete = frequent.count() <= most
-        rows = (frequent if complete else most_frequent(frequent, "n", most)).collect()  # `most` rows of 13 words
-        for _, _, doc, words in sorted(rows, key=lambda r: r["doc_id"]):
+def hot_automaton(judged: DataFrame, window: int, heads, frequent: list[int], most: int) -> tuple[FrozenAutomaton, np.ndarray]:
+    """Of all repeated windows at the first of the `frequent` anchors that have room, and these anchors. Any choice of anchors gives the same
+    result; what is left out goes to the shards."""
+    machine, hot = SuffixAutomaton(), []
+    if frequent:
+        asked = judged.sparkSession.sparkContext.broadcast(np.array(frequent, np.int64))
+        counts = judged.select("doc_id", "text", "row_key").mapInArrow(_hot_windows(window, heads, asked), "anchor long, code long, n long, doc_id long, words binary")
+        summed = counts.groupBy("anchor", "code").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"), F.any_value("words").alias("words"))
+        windows = stored(summed.where("n > 1"), "hot-windows")
+        sizes, left = {r["anchor"]: r["count"] for r in windows.groupBy("anchor").count().collect()}, most  # a row for each of the anchors
+        for a in frequent:
+            if sizes.get(a, 0) <= left:
+                left -= sizes.get(a, 0)
+                hot.append(a)
+        rows = windows.where(F.col("anchor").isin(hot)).select("doc_id", "words").collect() if hot else []  # `most` rows of 13 words at most
+        for doc, words in sorted(rows, key=lambda r: r["doc_id"]):
             machine.add(np.frombuffer(words, "<u8").tolist(), doc)
-    frozen = FrozenAutomaton(machine)
-    frozen.complete = complete
-    return frozen
+    return FrozenAutomaton(machine), np.array(sorted(hot), np.int64)
 
 
 def _anchor_counts(window: int, heads):
@@ -256,25 +262,21 @@ def _stretches(window: int, heads, marked, hot, machine):
                 first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                 last = np.append(first[1:], len(at))
                 data = code.tobytes()
-                spread = hit & np.isin(anchor, hot.value)
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], spread, [False]])))
+                past = hit & np.isin(anchor, hot.value)
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], past, [False]])))
                 for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):  # runs of windows at hot anchors
                     for k, doc1 in enumerate(machine.value.first_documents(code[i : j + window - 1], window), i):
-                        if doc1 is not None or machine.value.complete:
-                            spread[k] = hit[k] = False
-                            if doc1 is not None and doc1 < doc:
-                                docs.append(doc)
-                                keys.append(key)
-                                starts.append(k)
-                                codes_out.append(None)
-                                hashes.append(None)
-                plain = (hit & ~spread)[first]  # an anchor's windows are all hot or none is
+                        if doc1 is not None and doc1 < doc:
+                            docs.append(doc)
+                            keys.append(key)
+                            starts.append(k)
+                            codes_out.append(None)
+                            hashes.append(None)
+                plain = (hit & ~past)[first]  # an anchor's windows are all hot or none is
                 parts = [(i, j, int(anchor[i])) for i, j in zip(first[plain].tolist(), last[plain].tolist(), strict=True)]
-                parts += [(i, i + 1, None) for i in np.flatnonzero(spread).tolist()]
                 for i, j, shard in parts:
                     words = data[8 * i : 8 * (j + window - 1)]
-                    code_of = xxhash.xxh3_64_intdigest(words) - (1 << 63)
-                    k = (code_of if shard is None else shard, code_of)
+                    k = (shard, xxhash.xxh3_64_intdigest(words) - (1 << 63))
                     had = known.get(k)
                     if had is None or doc < had[0]:
                         known[k] = (doc, words)
@@ -360,10 +362,8 @@ def without_repeats(docs: DataFrame, window: int = 13, hot: int = HOT, hot_windo
     repeated = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     repeated = stored(repeated, "repeated")
     marked = marked_bits(repeated, "anchor", BITS)  # 32 MB, whatever the corpus
-    frequent = most_frequent(repeated, "n", hot).collect()
-    hot_anchors = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r["anchor"] for r in frequent), np.int64))
-
-    machine = docs.sparkSession.sparkContext.broadcast(hot_automaton(judged, window, heads, hot_anchors, hot_windows))
+    frequent = [r["anchor"] for r in sorted(most_frequent(repeated, "n", hot).collect(), key=lambda r: (-r["n"], r["anchor"]))]  # `hot` rows at most
+    machine, hot_anchors = map(docs.sparkSession.sparkContext.broadcast, hot_automaton(judged, window, heads, frequent, hot_windows))
 
     parts = stored(judged.select("doc_id", "text_key", "text", "row_key").mapInArrow(_stretches(window, heads, marked, hot_anchors, machine), PARTS), "stretches")
     sent = parts.where("words is not null").select("anchor", "stretch", "doc_id", "words")
