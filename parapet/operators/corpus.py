@@ -151,17 +151,20 @@ def auth_badge(passed: Column) -> Column:
     return F.when(passed.isNull(), "absent").when(passed, "pass").otherwise("fail")
 
 
-def heads(messages: DataFrame, ids: DataFrame) -> DataFrame:
-    """The thin rows behind a list of findings. ids: message_id (repeated or unknown ones change nothing)."""
-    return messages.join(ids.select("message_id"), "message_id", "left_semi").select("message_id", "received_at", "sender_email", "subject")
+def heads(messages: DataFrame, ids: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """The thin rows behind a list of findings, the latest one of each id, with its verdict if verdicts are given. ids: message_id (repeated or
+    unknown ones change nothing)."""
+    found = messages.join(ids.select("message_id").distinct(), "message_id", "left_semi").select("message_id", "received_at", "sender_email", "subject")
+    rows = latest(found, ["message_id"], "received_at", "subject")
+    return rows if verdicts is None else rows.join(verdicts.select("message_id", "verdict"), "message_id", "left")
 
 
-def flagged(messages: DataFrame, verdicts: DataFrame, state: str | None = None, most: int = 5000) -> DataFrame:
-    """Ids of malicious messages, newest first, at most `most` of them; with `state`, only those in that state of triage."""
+def flagged(messages: DataFrame, verdicts: DataFrame, state: str | None = None, most: int | None = 5000) -> DataFrame:
+    """Ids of malicious messages, newest first, at most `most` of them (None: all); with `state`, only those in that state of triage."""
     bad = messages.join(verdicts.where("verdict = 'malicious'").select("message_id"), "message_id", "left_semi")
     own = F.coalesce("triage", F.lit("unreviewed"))
-    found = bad.where(own == state) if state else bad
-    return found.select("message_id", "received_at", own.alias("state")).orderBy(F.desc("received_at"), F.desc("message_id")).limit(most)
+    found = (bad.where(own == state) if state else bad).select("message_id", "received_at", own.alias("state")).orderBy(F.desc("received_at"), F.desc("message_id"))
+    return found if most is None else found.limit(most)
 
 
 def people(messages: DataFrame, recipients: str | None = None, domains: bool = False) -> DataFrame:

@@ -600,10 +600,14 @@ def campaigns(spark, sf):
 # --- what is behind findings, sources of lists, mail, and their like
 
 
-@query(f"""with {V_VERDICTS} select message_id, cast(received_at as varchar) as received_at, sender_email, subject from v where message_id in (select message_id from verdicts where verdict = 'malicious')""")
+@query(f"""with {V_VERDICTS} select message_id, cast(received_at as varchar) as received_at, sender_email, subject, verdict from verdicts where message_id % 3 = 0""")
 def finding_heads(spark, sf):
-    ids = v_verdicts(spark, sf).where("verdict = 'malicious'")
-    return corpus.heads(M.v_messages(spark, sf), ids).select("message_id", F.date_format("received_at", "yyyy-MM-dd HH:mm:ss").alias("received_at"), "sender_email", "subject")
+    """Of messages that are stored twice, the later row counts."""
+    messages = M.v_messages(spark, sf)
+    earlier = messages.withColumns({"received_at": F.col("received_at") - F.expr("interval 1 hour"), "subject": F.lit("earlier")})
+    ids = messages.where("message_id % 3 = 0").select("message_id")
+    rows = corpus.heads(messages.unionByName(earlier), ids.unionByName(ids), v_verdicts(spark, sf))
+    return rows.select("message_id", F.date_format("received_at", "yyyy-MM-dd HH:mm:ss").alias("received_at"), "sender_email", "subject", "verdict")
 
 
 @query(f"""with {V_VERDICTS} select message_id, triage as state from verdicts where verdict = 'malicious' order by received_at desc, message_id desc limit 5000""")
