@@ -154,35 +154,39 @@ class FrozenAutomaton:
 
 
 def _hot_windows(window: int, heads, hot):
+    names = ["anchor", "code", "n", "doc_id", "words"]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(anchor, code, n, doc_id, words) of the windows at given anchors: how many texts of the task have them, and the smallest doc_id."""
-        known: dict[int, list] = {}
+        pending: list[tuple] = []
+        size = 0
 
         def rows() -> Iterator[pa.RecordBatch]:
-            items = list(known.items())
-            known.clear()
-            for i in range(0, len(items), 20_000):
-                part = items[i : i + 20_000]
-                columns = [pa.array([v[j] for _, v in part], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([columns[3], pa.array([k for k, _ in part], pa.int64()), *columns[:3]], names=["anchor", "code", "n", "doc_id", "words"])
+            anchor, code, doc, words = (np.concatenate([x[k] for x in pending]) for k in range(4))
+            order = np.lexsort((doc, code))
+            first = np.flatnonzero(np.concatenate([[True], code[order][1:] != code[order][:-1]]))
+            n = np.diff(np.append(first, len(order)))
+            for i in range(0, len(first), 20_000):
+                at = order[first[i : i + 20_000]]
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * window), len(at), [None, pa.py_buffer(np.ascontiguousarray(words[at]).tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array(code[at]), pa.array(n[i : i + 20_000], pa.int64()), pa.array(doc[at]), packed], names=names)
 
         for b in batches:
             b = b.filter(pa.array(is_marked(heads.value, b.column(2).to_numpy())))
             for doc, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                 code = word_codes(text.encode())
                 anchor = anchors(code, window)[1]
-                at = np.flatnonzero(np.isin(anchor, hot.value)).tolist()
-                data, own = code.tobytes(), set()
-                for i in at:
-                    words = data[8 * i : 8 * (i + window)]
-                    k = xxhash.xxh3_64_intdigest(words) - (1 << 63)
-                    had = known.setdefault(k, [0, doc, words, int(anchor[i])])
-                    had[0] += k not in own
-                    had[1] = min(had[1], doc)
-                    own.add(k)
-            if len(known) > 200_000:
-                yield from rows()
-        yield from rows()
+                at = np.flatnonzero(np.isin(anchor, hot.value))
+                if len(at):
+                    own, first = np.unique(grams(code, window)[at].astype(np.int64), return_index=True)
+                    at = at[first]
+                    pending.append((anchor[at], own, np.full(len(at), doc, np.int64), np.lib.stride_tricks.sliding_window_view(code, window)[at]))
+                    size += len(at)
+                    if size > 200_000:
+                        yield from rows()
+                        pending, size = [], 0
+        if pending:
+            yield from rows()
 
     return count
 
