@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parapet.functions import logic as L
 from parapet.functions import strings as S
-from parapet.operators import campaign, graph, learn, lists, profile, rules
+from parapet.operators import campaign, graph, learn, lists, profile, rules, scoring
 from parapet.sources import batches, mail, tables
 from parapet.streaming import ingest
 
@@ -314,3 +314,17 @@ def test_markup(spark):
     page = '<html><head><title>t</title><style>p{}</style></head><body><p>One &amp; two</p><div style="display:none">secret</div><a href="https://x.test/a"><b>go</b></a></body></html>'
     h = spark.range(1).select(markup.parse_html(F.lit(page)).alias("h"), markup.xpath_texts(F.lit("<a><b>1</b><b>2</b></a>"), "a/b/text()").alias("x")).first()
     assert (h.h.inner_text, h.h.display_text, [tuple(x) for x in h.h.links], h.x) == ("One & two\nsecret\ngo", "One & two\ngo", [("https://x.test/a", "go")], ["1", "2"])
+
+
+def test_entities_of_the_made_line_whatever_the_body_says(spark, tmp_path):
+    from parapet.plans.queries import QUERIES
+
+    spark.createDataFrame([(0, "It costs $ 75,000.\n\nhi you", "en", "s"), (1, None, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(map(tuple, QUERIES["entities"](spark, str(tmp_path)).collect()))
+    assert got == [(0, "financial", "$4,50"), (0, "financial", "payment"), (0, "financial", "refund"), (0, "urgency", "urgent"), (1, "financial", "invoice"), (1, "request", "please review"), (1, "urgency", "immediately")]
+
+
+def test_entities_by_line(spark):
+    rows = spark.range(1).select(F.inline(scoring.entities_by_line(F.lit("an invoice\nnothing\n  Hi Ann, urgent\n")))).collect()
+    assert [(r.line, [tuple(e) for e in r.entities]) for r in rows] == [(0, [("financial", "invoice")]), (2, [("greeting", "hi ann"), ("urgency", "urgent")])]
