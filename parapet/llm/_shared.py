@@ -69,6 +69,13 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows a few at a time: what a task makes of them, in Python objects, is held for so many texts only."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def let(value, body: Callable):
     """Bind a value once for use inside higher-order functions (an outer expression named in a lambda is evaluated again for each element)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parapet.llm._shared import grams, is_marked, marked_bits, most_frequent, stored, texts_of, word_codes
+from parapet.llm._shared import grams, is_marked, marked_bits, most_frequent, slices, stored, texts_of, word_codes
 
 RUN, BITS = 5, 28
 HOT = 1_024  # anchors, most of whose windows have room in the broadcast automaton
@@ -171,7 +171,7 @@ def _hot_windows(window: int, heads, hot):
                 packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * window), len(at), [None, pa.py_buffer(np.ascontiguousarray(words[at]).tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array(code[at]), pa.array(n[i : i + 20_000], pa.int64()), pa.array(doc[at]), packed], names=names)
 
-        for b in batches:
+        for b in slices(batches):
             b = b.filter(pa.array(is_marked(heads.value, b.column(2).to_numpy())))
             for doc, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                 code = word_codes(text.encode())
@@ -219,7 +219,7 @@ def _anchor_counts(window: int, heads):
             value, n = np.unique(np.concatenate(pending), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(value), pa.array(n, pa.int64())], names=["anchor", "n"])
 
-        for b in batches:
+        for b in slices(batches):
             head = pa.array(is_marked(heads.value, b.column(0).to_numpy()))
             for text in texts_of(b.column(1).filter(head)):
                 _, code = anchors(word_codes(text.encode()), window)
@@ -252,7 +252,7 @@ def _stretches(window: int, heads, marked, hot, machine):
                 n = len(part)
                 yield pa.RecordBatch.from_arrays([pa.array([v[0] for _, v in part], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array([k[0] for k, _ in part], pa.int64()), pa.array([k[1] for k, _ in part], pa.int64()), pa.array([v[1] for _, v in part], pa.binary())], names=names)
 
-        for b in batches:
+        for b in slices(batches):
             docs, keys, starts, codes_out, hashes = [], [], [], [], []
             b = b.filter(pa.array(is_marked(heads.value, b.column(3).to_numpy())))
             for doc, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
@@ -332,7 +332,7 @@ def _shard(window: int):
 
 def _removed(window: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, gone, kept = [], [], []
             for text, starts, copy in zip(texts_of(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 words = text.encode().split()

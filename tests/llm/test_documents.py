@@ -444,3 +444,22 @@ def test_divide_skip_counts_like_sets():
             sets.append(np.array(sorted(own or {1}), np.uint64))
         want = [100 * len(set(query.tolist()) & set(x.tolist())) >= 80 * len(set(query.tolist()) | set(x.tolist())) for x in sets]
         assert jaccard.divide_skip(query, sets, 80) == want
+
+
+def test_stretches_of_few_texts_are_held_at_once():
+    """A batch of many texts gives its places in parts, so that a worker's memory doesn't grow with the batch."""
+    from types import SimpleNamespace as Held
+
+    import numpy as np
+    import pyarrow as pa
+
+    from parapet.llm import substring
+
+    text = " ".join(f"w{i}" for i in range(40))
+    n = 2000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(range(n), pa.int64()), pa.array([text] * n), pa.array(range(n), pa.int64())], names=["doc_id", "text_key", "text", "row_key"])
+    all_bits = Held(value=np.full(1 << 10, 255, np.uint8))
+    cut = substring._stretches(13, all_bits, all_bits, Held(value=np.empty(0, np.int64)), Held(value=substring.FrozenAutomaton(substring.SuffixAutomaton())))
+    out = [b for b in cut(iter([batch])) if b.column(1).null_count == 0]
+    assert max(len(set(b.column(0).to_pylist())) for b in out) <= 500
+    assert sorted({d for b in out for d in b.column(0).to_pylist()}) == list(range(n))
