@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,20 +19,34 @@ def ip_number(x: Column) -> Column:
     return F.when(F.rlike(x, F.lit(V4)), reduce(lambda a, b: a * 256 + b, [F.get(parts, i).try_cast("bigint") for i in range(4)]))
 
 
+V6_GROUPS = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate a value once for all its uses in `body`."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ip6_text(x: Column) -> Column:
-    """An IPv6 address as 32 hexadecimal digits, whose order is that of the addresses; null if it is none (or is mapped IPv4)."""
-    low = F.lower(F.trim(x))
-    tail = F.regexp_extract(low, r"(\d+\.\d+\.\d+\.\d+)$", 1)
-    n = ip_number(tail)
-    group = lambda v: F.lower(F.hex(v))
-    low = F.when(tail == "", low).otherwise(F.concat(F.substring(low, F.lit(1), F.length(low) - F.length(tail)), group(F.shiftright(n, 16)), F.lit(":"), group(n.bitwiseAND(F.lit(0xFFFF)))))
-    sides = F.split(low, "::", -1)
-    groups = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
-    head, rest = groups(F.get(sides, F.lit(0))), F.coalesce(groups(F.get(sides, F.lit(1))), F.array().cast("array<string>"))
-    given = F.size(head) + F.size(rest)
-    all_groups = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), rest)
-    right = F.when(F.size(sides) == 1, given == 8).otherwise((F.size(sides) == 2) & (given < 8)) & F.forall(all_groups, lambda g: F.rlike(g, F.lit("^[0-9a-f]{1,4}$")))
-    return F.when(right & F.rlike(low, F.lit(":")) & ip_number(x).isNull(), F.array_join(F.transform(all_groups, lambda g: F.lpad(g, 4, "0")), ""))
+    """An IPv6 address as 32 hexadecimal digits, whose order is that of the addresses; null if it is none (or is mapped IPv4). Each step reads
+    the one before it once or twice only, so the expression stays small."""
+
+    def hexed(low: Column) -> Column:
+        """A dotted end as two groups; null if it is no IPv4 address."""
+        tail = F.regexp_extract(low, r"(\d+\.\d+\.\d+\.\d+)$", 1)
+        group = lambda v: F.lower(F.hex(v))
+        pair = _bound(ip_number(tail), lambda n: F.concat(group(F.shiftright(n, 16)), F.lit(":"), group(n.bitwiseAND(F.lit(0xFFFF)))))
+        return F.when(F.contains(low, F.lit(".")), F.concat(F.substring(low, F.lit(1), F.length(low) - F.length(tail)), pair)).otherwise(low)
+
+    def digits(low: Column) -> Column:
+        given = F.regexp_count(low, F.lit("[0-9a-f]+"))
+        right = F.when(F.contains(low, F.lit("::")), (given < 8) & F.rlike(low, F.lit(rf"^(?:{V6_GROUPS})?::(?:{V6_GROUPS})?\z"))).otherwise((given == 8) & F.rlike(low, F.lit(rf"^{V6_GROUPS}\z")))
+        whole = F.replace(low, F.lit("::"), F.concat(F.lit(":"), F.repeat(F.lit("0:"), F.greatest(8 - given, F.lit(0)))))
+        padded = F.regexp_replace(whole, "([0-9a-f]+)", "000$1")
+        return F.when(right, F.regexp_replace(padded, "[0-9a-f]*?([0-9a-f]{4})(?::|$)|:", "$1"))
+
+    plain = F.when(F.contains(x, F.lit(":")) & ip_number(x).isNull(), F.lower(F.trim(x)))
+    return _bound(plain, lambda low: _bound(hexed(low), digits))
 
 
 def networks(cidrs: list[str]) -> list:
@@ -55,10 +70,14 @@ def ranges(cidrs: list[str]) -> list[tuple[int, int]]:
 
 def ip_in(x: Column, *cidrs: str) -> Column:
     """Whether an address lies in any of the ranges; IPv4 mapped into IPv6 counts as IPv4. Null if it is no address."""
-    n, t = ip_number(x), ip6_text(x)
-    tests = [n.between(*r) for r in ranges(list(cidrs))] + [t.between(f"{int(r[0]):032x}", f"{int(r[-1]):032x}") for r in networks(list(cidrs)) if r.version == 6]
-    held = reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in tests], F.lit(False))
-    return F.when(n.isNotNull() | t.isNotNull(), held)
+    nets = networks(list(cidrs))
+
+    def held(ip: Column) -> Column:
+        n, t = ip["n"], ip["t"]
+        tests = [n.between(int(r[0]), int(r[-1])) if r.version == 4 else t.between(f"{int(r[0]):032x}", f"{int(r[-1]):032x}") for r in nets]
+        return F.when(n.isNotNull() | t.isNotNull(), reduce(lambda a, b: a | b, [F.coalesce(test, F.lit(False)) for test in tests], F.lit(False)))
+
+    return _bound(x, lambda text: _bound(F.struct(ip_number(text).alias("n"), ip6_text(text).alias("t")), held))
 
 
 def flag_in_ranges(df: DataFrame, column: str, table: DataFrame, out: str) -> DataFrame:

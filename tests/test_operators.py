@@ -328,3 +328,13 @@ def test_entities_of_the_made_line_whatever_the_body_says(spark, tmp_path):
 def test_entities_by_line(spark):
     rows = spark.range(1).select(F.inline(scoring.entities_by_line(F.lit("an invoice\nnothing\n  Hi Ann, urgent\n")))).collect()
     assert [(r.line, [tuple(e) for e in r.entities]) for r in rows] == [(0, [("financial", "invoice")]), (2, [("greeting", "hi ann"), ("urgency", "urgent")])]
+
+
+def test_address_expressions_stay_small(spark):
+    """Steps that read the one before them many times would multiply: the expression is what each row costs."""
+    from parapet.functions import network
+
+    df = spark.createDataFrame([("1::2\n",), ("::ffff:1.2.3.4",), ("1::2",), ("1:2:3:4:5:6:7:8:9",)], "ip string")
+    out = df.select(network.ip6_text(F.col("ip")).alias("t"), network.ip_in(F.col("ip"), "1::/16", "2::/16", "10.0.0.0/8").alias("inside"))
+    assert len(out._jdf.queryExecution().analyzed().toString()) < 20_000
+    assert [r.t for r in out.collect()] == [None, None, "0001" + "0000" * 6 + "0002", None]
