@@ -338,3 +338,15 @@ def test_address_expressions_stay_small(spark):
     out = df.select(network.ip6_text(F.col("ip")).alias("t"), network.ip_in(F.col("ip"), "1::/16", "2::/16", "10.0.0.0/8").alias("inside"))
     assert len(out._jdf.queryExecution().analyzed().toString()) < 20_000
     assert [r.t for r in out.collect()] == [None, None, "0001" + "0000" * 6 + "0002", None]
+
+
+def test_sensitive_values_amid_plain_words(spark):
+    """What is left of a text for the detectors is little, and holds every value with its edges."""
+    from parapet.operators import sensitive
+
+    prose = "The plain words go on, and so on; für Ärzte.\n" * 300
+    values = ["GB82 WEST 1234 5698 7654 32", "AB 12 34 56 C", "client_secret:\n abcdefghijklmnopqrst", "authorization: bearer abcdefghij", "bob@example.com", "+1 (415) 555 26 71", "046 454 286", "aa:bb:cc:dd:ee:ff", "DEUTDEFF"]
+    text = prose + f" plain {prose}".join(values) + " " + prose + "end"
+    row = spark.createDataFrame([(text, text + "4111111111111111x 123 foo 456 789")], "a string, b string").select(F.length(sensitive.unusual(F.col("a"))).alias("n"), sensitive.elements(F.col("a")).alias("e"), sensitive.elements(F.col("b")).alias("f")).first()
+    assert row.n < len(text) / 20
+    assert {e.value for e in row.e} == {*values} and {e.value for e in row.f} == {*values}
