@@ -6,8 +6,10 @@ A malformed message still gives a record, with what went wrong in `errors`; only
 from __future__ import annotations
 
 import email
+import email.headerregistry
 import email.policy
 import email.utils
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -27,6 +29,21 @@ SCHEMA = (
 QUOTE_HEAD = re.compile(r"^(?:On .{4,200} wrote:|Am .{4,200} schrieb.{0,80}:|Le .{4,200} a écrit ?:|El .{4,200} escribió:|-{2,} ?(?:Original Message|Forwarded message|Ursprüngliche Nachricht) ?-{2,})\s*$", re.M | re.I)
 
 
+class _Headers(email.headerregistry.HeaderRegistry):
+    """Headers as the registry reads them, each (name, value) once: else a header is read again whenever it is asked for. What is kept has a
+    fixed size; long values are read each time."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.kept = functools.lru_cache(4096)(super().__call__)
+
+    def __call__(self, name: str, value: str):
+        return self.kept(name, value) if len(value) <= 1000 else super().__call__(name, value)
+
+
+POLICY = email.policy.default.clone(header_factory=_Headers())
+
+
 def split_thread(text: str) -> tuple[str, list[str]]:
     """The newest part, and the quoted parts, newest first: at quote headers, else at a run of two or more lines that start with >."""
     cuts = [m.start() for m in QUOTE_HEAD.finditer(text)]
@@ -62,7 +79,7 @@ def parse_message(raw: bytes | None) -> dict | None:
             errors.append(f"{what}: {type(e).__name__}")
             return default
 
-    m = email.message_from_bytes(raw, policy=email.policy.default)
+    m = email.message_from_bytes(raw, policy=POLICY)
     header = lambda name: tried(name, lambda: str(m[name]) if m[name] is not None else None)
     text, html, attached = [], [], []
     for part in tried("parts", lambda: [p for p in m.walk() if not p.is_multipart()], []):

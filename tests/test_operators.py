@@ -350,3 +350,16 @@ def test_sensitive_values_amid_plain_words(spark):
     row = spark.createDataFrame([(text, text + "4111111111111111x 123 foo 456 789")], "a string, b string").select(F.length(sensitive.unusual(F.col("a"))).alias("n"), sensitive.elements(F.col("a")).alias("e"), sensitive.elements(F.col("b")).alias("f")).first()
     assert row.n < len(text) / 20
     assert {e.value for e in row.e} == {*values} and {e.value for e in row.f} == {*values}
+
+
+def test_a_header_is_read_once(monkeypatch):
+    import email.headerregistry
+
+    read = Counter()
+    real = email.headerregistry.HeaderRegistry.__call__
+    monkeypatch.setattr(email.headerregistry.HeaderRegistry, "__call__", lambda self, name, value: (read.update([(name.lower(), value)]), real(self, name, value))[1])
+    raw = b"From: A <a@x.test>\r\nTo: b@y.test\r\nSubject: once\r\nMessage-ID: <m@x.test>\r\nContent-Type: text/plain; charset=utf-8\r\n\r\nhello"
+    monkeypatch.setattr(mail, "POLICY", mail.POLICY.clone(header_factory=mail._Headers()))
+    first = mail.parse_message(raw)
+    assert mail.parse_message(raw) == first and first["sender"] == {"display_name": "A", "email": "a@x.test"}
+    assert read and max(read.values()) == 1
