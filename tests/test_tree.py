@@ -106,3 +106,33 @@ def test_broken_pages_end():
         for n in found:
             assert n["pre"] <= n["end"] < len(found) and (n["parent"] < n["pre"]) and n["start"] <= n["stop"] <= len(page)
             assert n["parent"] < 0 or n["end"] <= found[n["parent"]]["end"]
+
+
+def test_a_batch_of_pages_is_held_in_parts(monkeypatch):
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    class Tree(dict):
+        pass
+
+    alive, most, real = weakref.WeakSet(), 0, H.build
+
+    class Seen:
+        __hash__ = object.__hash__
+
+    def build(page):
+        nonlocal most
+        out, seen = Tree(real(page)), Seen()
+        out.seen = seen
+        alive.add(seen)
+        most = max(most, len(alive))
+        return out
+
+    monkeypatch.setattr(H, "build", build)
+    pages = pa.array(["<p>one</p>" + "x" * 90, None, ""] * 400)
+    out = H._trees(pages, held=1000)
+    gc.collect()
+    assert most <= 40 and len(out) == 1200
+    assert out.to_pylist()[:3] == pa.array([real("<p>one</p>" + "x" * 90), None, real("")], H._TREE).to_pylist()
