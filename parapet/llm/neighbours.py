@@ -2,12 +2,14 @@
 
 1. Vectors that take part are brought to length one and get a row number; they are dealt by it into shards of bounded size, whatever
    their ids and values. Queries are dealt into parts of bounded size, and each part meets each shard in a group of its own.
-2. A shard's index has one array for each of `projections` random directions: its vectors' values there, sorted, with their places.
-3. A query looks at a window around its own value in each array. Windows grow with the radius R (virtual rehashing: nothing is hashed
-   again, the same arrays are read further out), and each vector's collisions are counted as windows reach it.
-4. At radius R a vector at distance R falls into a window with a known probability; those with more collisions than all but a small
-   share of such vectors would fall short of are verified by their cosine. R grows until it reaches the distance of the k-th best
-   verified, or until it spans the sphere, when all that is left is verified.
+2. A shard's index has one array for each of `projections` random directions: its vectors' places, sorted by their values there.
+3. A query asks the `asked` arrays in which its own value lies farthest out, where few vectors are and a collision tells most. Its window
+   in one reaches from the end on its side down to c times its value: half of the vectors at cosine c from it lie there, fewer of those
+   farther off. Windows grow as c falls (virtual rehashing: nothing is hashed again, the same arrays are read further in), and each
+   vector's collisions are counted as windows reach it.
+4. Vectors with more collisions than all but a small share of those at cosine c would fall short of are verified by their cosine. c starts
+   where k neighbours of the shard's own rows usually are and falls until it reaches the k-th best verified, or 0, when all that is left
+   is verified.
 5. The k best of each shard are merged for each query.
 
 There is no cap on windows, candidates or partners. Vectors that are null, zero, or hold null or non-finite components take no part.
@@ -19,7 +21,7 @@ candidates than k, all are found. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, erf, sqrt
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,46 +30,46 @@ from pyspark.sql import functions as F
 
 from parapet.llm._shared import stored
 
-SHARD, PART = 4096, 1024  # vectors and queries that meet in a group
-STEP, FINE = 1.5, 1.15  # how much R grows until k are found, and from then on
-APART = 1000.0  # between the arrays when they lie one behind the other; values are far below
+SHARD, PART = 8192, 4096  # vectors and queries that meet in a group
+STEP = 0.02  # how much c falls first; each step is twice the one before
+GRID, FAR = 32, 8  # window ends are looked up at so many points a unit of value, up to so far out; a window ends at the next point beyond
+TRIED = 64  # rows of a shard whose k-th neighbours say where c starts
 
 
 class Index:
-    """Sorted arrays of a shard's unit vectors over random directions, one behind the other."""
-
-    def __init__(self, unit: np.ndarray, directions: np.ndarray, width: float, miss: float) -> None:
-        self.unit, self.directions, self.width = unit, directions, width
-        n, m = len(unit), directions.shape[1]
-        values = (unit @ directions).T
-        order = np.argsort(values, axis=1, kind="stable")
-        self.offset = APART * np.arange(m)
-        self.values = (np.take_along_axis(values, order, 1) + self.offset[:, None]).ravel()
-        self.places = order.ravel().astype(np.int32)
-        p = erf(width / sqrt(2))
-        self.least = ceil(m * p - miss * sqrt(m * p * (1 - p)))
-        self.n = n
-
-    def _reach(self, start: np.ndarray, stop: np.ndarray, counts: np.ndarray) -> None:
-        n = stop - start
-        if total := int(n.sum()):
-            at = np.arange(total) + np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            counts += np.bincount(self.places[at], minlength=self.n)
-
-    def nearest(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest found, in no order; more where the k-th is tied. `own`: the query's own place here, or -1."""
-        centre = query @ self.directions + self.offset
-        low = high = np.searchsorted(self.values, centre)
+    """A shard's unit vectors sorted along random directions."""
+
+    def __init__(self, unit: np.ndarray, directions: np.ndarray, asked: int, miss: float, k: int) -> None:
+        self.unit, self.n = unit, len(unit)
+        m = directions.shape[1]
+        self.asked = min(asked, m)
+        self.least = max(1, ceil(self.asked / 2 - miss * sqrt(self.asked) / 2))
+        self.places, self.below = np.empty((m, self.n), np.int32), np.empty((m, 2 * FAR * GRID + 1), np.int32)
+        points = np.arange(-FAR * GRID, FAR * GRID + 1) / GRID
+        for j, values in enumerate(np.ascontiguousarray((unit @ directions).T)):
+            self.places[j] = order = np.argsort(values)
+            self.below[j] = np.searchsorted(values[order], points)
+        near = unit[:: -(-self.n // TRIED)] @ unit.T
+        self.start = float(np.median(np.partition(near, -min(k + 1, self.n), axis=1)[:, -min(k + 1, self.n)]))  # k and the row itself
+
+    def nearest(self, query: np.ndarray, values: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest found, in no order; more where the k-th is tied. values: the query's in all arrays; `own`: its own place here, or -1."""
+        far = np.abs(values)
+        arrays = np.argpartition(far, -self.asked)[-self.asked :]
+        far, upper = far[arrays] * GRID, values[arrays] > 0
+        reached = np.where(upper, self.n, 0)
         counts, seen = np.zeros(self.n, np.int64), np.zeros(self.n, bool)
-        found, cosines = np.empty(0, np.int64), np.empty(0)
         seen[own : own + 1 if own >= 0 else own] = own >= 0
-        radius, wanted = 0.05, min(k, self.n - (own >= 0))
+        found, cosines = np.empty(0, np.int64), np.empty(0)
+        c, step, wanted = self.start, STEP, min(k, self.n - (own >= 0))
         while wanted:
-            whole = radius >= 2
+            whole = c <= 0
             if not whole:
-                below, above = np.searchsorted(self.values, centre - radius * self.width), np.searchsorted(self.values, centre + radius * self.width)
-                self._reach(np.concatenate([below, high]), np.concatenate([low, above]), counts)
-                low, high = below, above
+                point = np.minimum((c * far).astype(np.int64), FAR * GRID)
+                ends = self.below[arrays, FAR * GRID + np.where(upper, point, -point)]
+                runs = zip(arrays.tolist(), np.where(upper, ends, reached).tolist(), np.where(upper, reached, ends).tolist(), strict=True)
+                counts += np.bincount(np.concatenate([self.places[j, a:b] for j, a, b in runs]), minlength=self.n)
+                reached = ends
             more = np.flatnonzero(~seen if whole else (counts >= self.least) & ~seen)
             if len(more):
                 seen[more] = True
@@ -76,19 +78,13 @@ class Index:
                     kth = np.partition(cosines, -wanted)[-wanted]
                     best = cosines >= kth - 1e-9
                     found, cosines = found[best], cosines[best]
-            if whole:
+            if whole or len(found) >= wanted and cosines.min() >= c:
                 break
-            if len(found) >= wanted:
-                distance = sqrt(max(0.0, 2 - 2 * cosines.min()))
-                if radius >= distance:
-                    break
-                radius = min(radius * FINE, distance)
-            else:
-                radius *= STEP
+            c, step = max(c - step, cosines.min() if len(found) >= wanted else 0.0), 2 * step
         return found, cosines
 
 
-def search(vectors: DataFrame, asks: str = "vec_id % 50 = 0", k: int = 5, projections: int = 128, width: float = 1.0, miss: float = 1.645, seed: int = 3) -> DataFrame:
+def search(vectors: DataFrame, asks: str = "vec_id % 50 = 0", k: int = 5, projections: int = 512, asked: int = 64, miss: float = 2.4, seed: int = 3) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by cosine of every row for which `asks` holds. vectors: vec_id, embedding."""
 
     def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,12 +116,13 @@ def search(vectors: DataFrame, asks: str = "vec_id % 50 = 0", k: int = 5, projec
         if left.num_rows and right.num_rows:
             at = {c: left.column_names.index(c) for c in left.column_names}
             dim = left.column(at["dim"])[0].as_py()
+            left, right = left.sort_by("row"), right.sort_by("row")  # rows come in any order
             matrix = lambda t: np.frombuffer(b"".join(t.column(at["unit"]).to_pylist()), np.float64).reshape(-1, dim)
             ids, place = left.column(at["vec_id"]).to_pylist(), {r: i for i, r in enumerate(left.column(at["row"]).to_pylist())}
             directions = np.random.default_rng(seed).standard_normal((dim, projections))
-            index = Index(matrix(left), directions, width, miss)
-            for row, query_id, q in zip(right.column(at["row"]).to_pylist(), right.column(at["vec_id"]).to_pylist(), matrix(right), strict=True):
-                found, cosines = index.nearest(q, place.get(row, -1), k)
+            index, asking = Index(matrix(left), directions, asked, miss, k), matrix(right)
+            for row, query_id, q, values in zip(right.column(at["row"]).to_pylist(), right.column(at["vec_id"]).to_pylist(), asking, asking @ directions, strict=True):
+                found, cosines = index.nearest(q, values, place.get(row, -1), k)
                 best = sorted(zip((-cosines).tolist(), [(ids[i] is None, ids[i] or 0) for i in found.tolist()], strict=True))[:k]
                 out += [(row, query_id, None if null else v, -score) for score, (null, v) in best]
         columns = list(zip(*out, strict=True)) or [(), (), (), ()]

@@ -167,3 +167,48 @@ def test_neighbours_over_several_shards_and_parts(spark, monkeypatch):
         s[q] = -9
         hits += len(set(np.argsort(-s)[:5].tolist()) & {r.vec_id for r in got if r.query_id == q})
     assert len(got) == 225 and hits / 225 >= 0.95
+
+
+def read_by(monkeypatch, nearest, asking):
+    """What nearest() finds for each of `asking`, and how many array entries it reads at a time."""
+    read, count = [], np.bincount
+    monkeypatch.setattr(neighbours.np, "bincount", lambda x, *a, **b: read.append(len(x)) or count(x, *a, **b))
+    out = [nearest(i) for i in asking]
+    monkeypatch.undo()
+    return out, read
+
+
+def test_neighbours_read_a_small_part_of_the_arrays(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((8000, 64))
+    x[6000:] = x[6000] + 1e-3 * rng.standard_normal((2000, 64))  # near ones, among which c starts too high for the others
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for rows, most in ((unit[:6000], 25), (unit, 30)):
+        directions = np.random.default_rng(3).standard_normal((64, 512))
+        index = neighbours.Index(rows, directions, 64, 2.4, 5)
+        asking = range(0, len(rows), 97)
+        found, read = read_by(monkeypatch, lambda i: index.nearest(rows[i], rows[i] @ directions, i, 5), asking)  # noqa: B023
+        assert sum(read) <= most * len(asking) * len(rows)  # windows around the query's own value in 128 arrays: 76 and 66 for each query and vector
+        hits = 0
+        for i, (places, cosines) in zip(asking, found, strict=True):
+            near = rows @ rows[i]
+            near[i] = -9
+            assert np.allclose(near[places], cosines)
+            hits += len(set(places[np.argsort(-cosines)][:5].tolist()) & set(np.argsort(-near)[:5].tolist()))
+        assert hits >= 0.98 * 5 * len(asking)
+
+
+def test_neighbours_start_does_not_decide_what_is_found():
+    rng = np.random.default_rng(6)
+    unit = rng.standard_normal((400, 8))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    directions = np.random.default_rng(3).standard_normal((8, 512))
+    index = neighbours.Index(unit, directions, 64, 2.4, 5)
+    for index.start in (1.0, 0.9, 0.3, 0.0, -1.0):
+        for own in (-1, 7):
+            places, cosines = index.nearest(unit[7], unit[7] @ directions, own, 5)
+            near = unit @ unit[7]
+            near[7] = 1 if own < 0 else -9
+            assert sorted(places.tolist()) == sorted(np.argsort(-near)[:5].tolist())
+    places, _ = index.nearest(-unit[7], -unit[7] @ directions, -1, 400)  # more asked for than lie on its side
+    assert sorted(places.tolist()) == list(range(400))
