@@ -10,7 +10,9 @@
 4. Vectors with more collisions than all but a small share of those at cosine c would fall short of are verified by their cosine. c starts
    where k neighbours of the shard's own rows usually are and falls until it reaches the k-th best verified, or 0, when all that is left
    is verified.
-5. The k best of each shard are merged for each query.
+5. Queries meet an eighth of the shards first. The k-th best that a query found there bounds c in the others: they start at it and end there,
+   so windows are smaller the larger the table is.
+6. The k best of all shards are merged for each query.
 
 There is no cap on windows, candidates or partners. Vectors that are null, zero, or hold null or non-finite components take no part.
 A query is only compared with vectors of its own length. Rows with a null vec_id can be found, but don't ask. Repeated rows and ids are
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 from parapet.llm._shared import stored
 
-SHARD, PART = 8192, 4096  # vectors and queries that meet in a group
+SHARD, PART = 8192, 8192  # vectors and queries that meet in a group
+FIRST, FEW = 8, 4  # one in so many shards is met first; all at once, if there are fewer shards
 STEP = 0.02  # how much c falls first; each step is twice the one before
 GRID, FAR = 32, 8  # window ends are looked up at so many points a unit of value, up to so far out; a window ends at the next point beyond
 TRIED = 64  # rows of a shard whose k-th neighbours say where c starts
@@ -46,14 +49,14 @@ class Index:
         self.least = max(1, ceil(self.asked / 2 - miss * sqrt(self.asked) / 2))
         self.places, self.below = np.empty((m, self.n), np.int32), np.empty((m, 2 * FAR * GRID + 1), np.int32)
         points = np.arange(-FAR * GRID, FAR * GRID + 1) / GRID
-        for j, values in enumerate(np.ascontiguousarray((unit @ directions).T)):
+        for j, values in enumerate(directions.T @ unit.T):
             self.places[j] = order = np.argsort(values)
             self.below[j] = np.searchsorted(values[order], points)
         near = unit[:: -(-self.n // TRIED)] @ unit.T
         self.start = float(np.median(np.partition(near, -min(k + 1, self.n), axis=1)[:, -min(k + 1, self.n)]))  # k and the row itself
 
-    def nearest(self, query: np.ndarray, values: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest found, in no order; more where the k-th is tied. values: the query's in all arrays; `own`: its own place here, or -1."""
+    def nearest(self, query: np.ndarray, values: np.ndarray, own: int, k: int, bound: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest found, in no order; more where the k-th is tied. values: the query's in all arrays; `own`: its own place here, or -1; bound: only cosines from there on are wanted."""
         far = np.abs(values)
         arrays = np.argpartition(far, -self.asked)[-self.asked :]
         far, upper = far[arrays] * GRID, values[arrays] > 0
@@ -61,7 +64,7 @@ class Index:
         counts, seen = np.zeros(self.n, np.int64), np.zeros(self.n, bool)
         seen[own : own + 1 if own >= 0 else own] = own >= 0
         found, cosines = np.empty(0, np.int64), np.empty(0)
-        c, step, wanted = self.start, STEP, min(k, self.n - (own >= 0))
+        c, step, wanted = self.start if bound is None else bound, STEP, min(k, self.n - (own >= 0))
         while wanted:
             whole = c <= 0
             if not whole:
@@ -78,13 +81,15 @@ class Index:
                     kth = np.partition(cosines, -wanted)[-wanted]
                     best = cosines >= kth - 1e-9
                     found, cosines = found[best], cosines[best]
-            if whole or len(found) >= wanted and cosines.min() >= c:
+            if whole or bound is not None or len(found) >= wanted and cosines.min() >= c:
                 break
             c, step = max(c - step, cosines.min() if len(found) >= wanted else 0.0), 2 * step
+        if bound is not None:
+            found, cosines = found[cosines >= bound - 1e-9], cosines[cosines >= bound - 1e-9]
         return found, cosines
 
 
-def search(vectors: DataFrame, asks: str = "vec_id % 50 = 0", k: int = 5, projections: int = 512, asked: int = 64, miss: float = 2.4, seed: int = 3) -> DataFrame:
+def search(vectors: DataFrame, asks: str = "vec_id % 50 = 0", k: int = 5, projections: int = 1024, asked: int = 64, miss: float = 2.4, seed: int = 3) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by cosine of every row for which `asks` holds. vectors: vec_id, embedding."""
 
     def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,31 +112,43 @@ def search(vectors: DataFrame, asks: str = "vec_id % 50 = 0", k: int = 5, projec
     n, asking = table.agg(F.count("*"), F.count_if("asks")).first()
     shards, parts = max(1, -(-n // SHARD)), max(1, -(-asking // PART))
     hashed = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = table.select("dim", hashed(shards).alias("shard"), each(parts).alias("part"), "row", "vec_id", "unit")
-    queries = table.where("asks").select("dim", each(shards).alias("shard"), hashed(parts).alias("part"), "row", "vec_id", "unit")
+    each = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b - 1)))
+    held = table.select("dim", hashed(shards).alias("shard"), each(0, parts).alias("part"), "row", "vec_id", "unit")
+    queries = table.where("asks").select("dim", hashed(parts).alias("part"), "row", "vec_id", "unit")
 
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
-            at = {c: left.column_names.index(c) for c in left.column_names}
-            dim = left.column(at["dim"])[0].as_py()
+            dim = left.column("dim")[0].as_py()
             left, right = left.sort_by("row"), right.sort_by("row")  # rows come in any order
-            matrix = lambda t: np.frombuffer(b"".join(t.column(at["unit"]).to_pylist()), np.float64).reshape(-1, dim)
-            ids, place = left.column(at["vec_id"]).to_pylist(), {r: i for i, r in enumerate(left.column(at["row"]).to_pylist())}
+            matrix = lambda t: np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(-1, dim)
+            ids, place = left.column("vec_id").to_pylist(), {r: i for i, r in enumerate(left.column("row").to_pylist())}
             directions = np.random.default_rng(seed).standard_normal((dim, projections))
             index, asking = Index(matrix(left), directions, asked, miss, k), matrix(right)
-            for row, query_id, q, values in zip(right.column(at["row"]).to_pylist(), right.column(at["vec_id"]).to_pylist(), asking, asking @ directions, strict=True):
-                found, cosines = index.nearest(q, values, place.get(row, -1), k)
+            for row, query_id, bound, q, values in zip(*(right.column(c).to_pylist() for c in ("row", "vec_id", "bound")), asking, asking @ directions, strict=True):
+                found, cosines = index.nearest(q, values, place.get(row, -1), k, bound)
                 best = sorted(zip((-cosines).tolist(), [(ids[i] is None, ids[i] or 0) for i in found.tolist()], strict=True))[:k]
                 out += [(row, query_id, None if null else v, -score) for score, (null, v) in best]
         columns = list(zip(*out, strict=True)) or [(), (), (), ()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["row", "query_id", "vec_id", "score"])
 
-    key = ["dim", "shard", "part"]
-    best = held.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(near, "row long, query_id long, vec_id long, score double")
-    ranked = best.withColumn("rank", F.expr("row_number() over (partition by row order by score desc, vec_id asc nulls last)"))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def met(asking: DataFrame, start: int, stop: int) -> DataFrame:
+        """The k best that queries find in each of these shards."""
+        key = ["dim", "shard", "part"]
+        left = held.where(F.col("shard").between(start, stop - 1)).groupBy(*key)
+        right = asking.select(*(F.col(c).alias(c) for c in asking.columns), each(start, stop).alias("shard")).groupBy(*key)  # columns of its own
+        return left.cogroup(right).applyInArrow(near, "row long, query_id long, vec_id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.expr("row_number() over (partition by row order by score desc, vec_id asc nulls last)")).where(F.col("rank") <= k)
+
+    first = shards if shards < FEW else -(-shards // FIRST)
+    best = met(queries.withColumn("bound", F.lit(None).cast("double")), 0, first)
+    if first < shards:
+        top = stored(ranked(best).drop("rank"), "nearest")
+        bounds = top.groupBy("row").agg(F.expr(f"case when count(*) >= {k} then min(score) end").alias("bound"))
+        best = top.unionByName(met(queries.join(bounds, "row", "left"), first, shards))
+    return ranked(best).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def production(vectors: DataFrame) -> DataFrame:

@@ -212,3 +212,41 @@ def test_neighbours_start_does_not_decide_what_is_found():
             assert sorted(places.tolist()) == sorted(np.argsort(-near)[:5].tolist())
     places, _ = index.nearest(-unit[7], -unit[7] @ directions, -1, 400)  # more asked for than lie on its side
     assert sorted(places.tolist()) == list(range(400))
+
+
+def test_neighbours_bound_from_the_first_shards(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 60)
+    monkeypatch.setattr(neighbours, "PART", 7)
+    x = np.random.default_rng(8).standard_normal((500, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[50].tolist()) for i in range(90)]
+    rows += [(2000, [1.0, 2.0]), (2001, [2.0, 4.1]), (2002, [-1.0, 0.5]), (2050, [1.0]), (None, x[7].tolist())]  # fewer than k in all
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    by = {}
+    for r in sorted(neighbours.search(table).collect(), key=lambda r: r["rank"]):
+        by.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits = 0
+    for q, v in [(i, v) for i, v in rows if i is not None and i % 50 == 0 and len(v) == 16]:
+        scores = sorted((cosine(v, w) for j, w in rows if j != q and len(w) == 16), reverse=True)[:5]
+        hits += sum(s >= scores[-1] - 1e-9 for _, s in by[q])
+        assert len(by[q]) == 5
+    assert hits >= 0.97 * 5 * 12
+    assert [j for j, _ in by[50]] == [1000, 1001, 1002, 1003, 1004] and [j for j, _ in by[1050]] == [50, 1000, 1001, 1002, 1003]
+    assert [j for j, _ in by[2000]] == [2001, 2002] and 2050 not in by
+
+
+def test_neighbours_with_a_bound_give_no_less():
+    rng = np.random.default_rng(9)
+    unit = rng.standard_normal((3000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    directions = np.random.default_rng(3).standard_normal((64, 1024))
+    index = neighbours.Index(unit, directions, 64, 2.4, 5)
+    hits = wanted = 0
+    for q in rng.standard_normal((40, 64)):
+        q /= np.linalg.norm(q)
+        near = np.sort(unit @ q)[::-1]
+        for bound in (near[0] + 0.01, near[2], near[4], near[7], -0.5):
+            found, cosines = index.nearest(q, q @ directions, -1, 5, bound)
+            assert (cosines >= bound - 1e-9).all() and len(found) <= 5
+            hits += len(found)
+            wanted += min(5, int((near >= bound - 1e-9).sum()))
+    assert 0.98 * wanted <= hits <= wanted
