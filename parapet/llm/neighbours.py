@@ -7,9 +7,9 @@
    in one reaches from the end on its side down to c times its value: half of the vectors at cosine c from it lie there, fewer of those
    farther off. Windows grow as c falls (virtual rehashing: nothing is hashed again, the same arrays are read further in), and each
    vector's collisions are counted as windows reach it.
-4. Vectors with more collisions than all but a small share of those at cosine c would fall short of are verified by their cosine. c starts
-   where k neighbours of the shard's own rows usually are and falls until it reaches the k-th best verified, or 0, when all that is left
-   is verified.
+4. Vectors with more collisions than all but a small share of those at cosine c would fall short of are verified by their cosine (in single
+   precision first, where that rules them out). c starts where k neighbours of the shard's own rows usually are and falls until it reaches
+   the k-th best verified, or 0, when all that is left is verified.
 5. Queries meet an eighth of the shards first. The k-th best that a query found there bounds c in the others: they start at it and end there,
    so windows are smaller the larger the table is.
 6. The k best of all shards are merged for each query.
@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 
 from parapet.llm._shared import stored
 
-SHARD, PART = 8192, 8192  # vectors and queries that meet in a group
+SHARD, PART = 16384, 8192  # vectors and queries that meet in a group
 FIRST, FEW = 8, 4  # one in so many shards is met first; all at once, if there are fewer shards
 STEP = 0.02  # how much c falls first; each step is twice the one before
 GRID, FAR = 32, 8  # window ends are looked up at so many points a unit of value, up to so far out; a window ends at the next point beyond
+SLACK = 1e-3  # cosines in single precision are off by far less; what they leave is verified in double
 TRIED = 64  # rows of a shard whose k-th neighbours say where c starts
 
 
@@ -43,15 +44,16 @@ class Index:
     """A shard's unit vectors sorted along random directions."""
 
     def __init__(self, unit: np.ndarray, directions: np.ndarray, asked: int, miss: float, k: int) -> None:
-        self.unit, self.n = unit, len(unit)
+        self.unit, self.rough, self.n = unit, unit.astype(np.float32), len(unit)
         m = directions.shape[1]
         self.asked = min(asked, m)
         self.least = max(1, ceil(self.asked / 2 - miss * sqrt(self.asked) / 2))
         self.places, self.below = np.empty((m, self.n), np.int32), np.empty((m, 2 * FAR * GRID + 1), np.int32)
         points = np.arange(-FAR * GRID, FAR * GRID + 1) / GRID
-        for j, values in enumerate(directions.T @ unit.T):
-            self.places[j] = order = np.argsort(values)
-            self.below[j] = np.searchsorted(values[order], points)
+        for i in range(0, m, 64):
+            for j, values in enumerate(directions[:, i : i + 64].T @ unit.T, i):
+                self.places[j] = order = np.argsort(values)
+                self.below[j] = np.searchsorted(values[order], points)
         near = unit[:: -(-self.n // TRIED)] @ unit.T
         self.start = float(np.median(np.partition(near, -min(k + 1, self.n), axis=1)[:, -min(k + 1, self.n)]))  # k and the row itself
 
@@ -63,7 +65,7 @@ class Index:
         reached = np.where(upper, self.n, 0)
         counts, seen = np.zeros(self.n, np.int64), np.zeros(self.n, bool)
         seen[own : own + 1 if own >= 0 else own] = own >= 0
-        found, cosines = np.empty(0, np.int64), np.empty(0)
+        found, cosines, brief = np.empty(0, np.int64), np.empty(0), query.astype(np.float32)
         c, step, wanted = self.start if bound is None else bound, STEP, min(k, self.n - (own >= 0))
         while wanted:
             whole = c <= 0
@@ -76,6 +78,13 @@ class Index:
             more = np.flatnonzero(~seen if whole else (counts >= self.least) & ~seen)
             if len(more):
                 seen[more] = True
+                rough = self.rough[more] @ brief
+                least = -2.0 if bound is None else bound
+                if len(found) >= wanted:
+                    least = max(least, cosines.min())
+                if len(more) > wanted:
+                    least = max(least, np.partition(rough, -wanted)[-wanted])
+                more = more[rough >= least - SLACK]
                 found, cosines = np.concatenate([found, more]), np.concatenate([cosines, (self.unit[more] * query).sum(1)])
                 if len(found) > wanted:
                     kth = np.partition(cosines, -wanted)[-wanted]
@@ -89,7 +98,7 @@ class Index:
         return found, cosines
 
 
-def search(vectors: DataFrame, asks: str = "vec_id % 50 = 0", k: int = 5, projections: int = 1024, asked: int = 64, miss: float = 2.4, seed: int = 3) -> DataFrame:
+def search(vectors: DataFrame, asks: str = "vec_id % 50 = 0", k: int = 5, projections: int = 1024, asked: int = 40, miss: float = 2.8, seed: int = 3) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by cosine of every row for which `asks` holds. vectors: vec_id, embedding."""
 
     def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
